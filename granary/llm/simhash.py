@@ -26,6 +26,7 @@ its pairs.
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import checkpoint
+from granary.llm.common import checkpoint, partitions
 from granary.llm.graph import components
 
 #: (lowest bit, width) of each segment.
@@ -44,35 +45,47 @@ MOST_BITS = 4
 GENERATOR = 0b101011100011
 
 
-@functools.cache
-def golay() -> tuple[np.ndarray, np.ndarray]:
-    """For each 23-bit word: the nearest codeword's index, and all indices within four bits (-1: none)."""
-    words = np.arange(1 << 12, dtype=np.int64) << 11
+def _remainder(words: np.ndarray) -> np.ndarray:
+    """Of 23-bit words divided by the generator: the syndrome, 11 bits."""
     rest = words.copy()
     for k in range(22, 10, -1):
         rest = np.where(rest >> k & 1, rest ^ (GENERATOR << (k - 11)), rest)
-    codewords = words | rest
-    near = np.full(1 << 23, -1, np.int16)
-    far = np.full((1 << 23, 6), -1, np.int16)
-    count = np.zeros(1 << 23, np.int8)
-    index = np.arange(1 << 12, dtype=np.int16)
-
-    def errors(weight: int, start: int = 0) -> Iterator[int]:
-        if weight == 0:
-            yield 0
-            return
-        for k in range(start, 23):
-            for e in errors(weight - 1, k + 1):
-                yield e | 1 << k
+    return rest
+
 
+@functools.cache
+def golay() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Syndromes of the 12 upper bits; for each syndrome its only error of up to three bits, and its
+    errors of four bits (five where the first has three bits, else none: -1)."""
+    upper = _remainder(np.arange(1 << 12, dtype=np.int64) << 11)
+    near = np.zeros(1 << 11, np.int64)
+    far = np.full((1 << 11, 5), -1, np.int64)
+    count = np.zeros(1 << 11, np.int64)
     for weight in range(5):
-        for e in errors(weight):  # codewords are distinct, so each step touches a word once
-            at = codewords ^ e
+        errors = np.array([sum(1 << k for k in bits) for bits in itertools.combinations(range(23), weight)])
+        for e, s in zip(errors.tolist(), _remainder(errors).tolist(), strict=True):
             if weight < 4:
-                near[at] = index
-            far[at, count[at]] = index
-            count[at] += 1
-    return near, far
+                near[s] = e
+            elif near[s].bit_count() == 3:
+                far[s, count[s]] = e
+                count[s] += 1
+    return upper, near, far
+
+
+def nearest(words: np.ndarray) -> np.ndarray:
+    """Index of the codeword nearest to each 23-bit word."""
+    upper, near, _ = golay()
+    return (words ^ near[upper[words >> 11] ^ (words & 0x7FF)]) >> 11
+
+
+def indices(words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(which words, codeword index): all codewords within four bits of each, one or six."""
+    upper, near, far = golay()
+    syndrome = upper[words >> 11] ^ (words & 0x7FF)
+    yield np.arange(len(words)), (words ^ near[syndrome]) >> 11
+    for errors in far[syndrome].T:
+        have = np.flatnonzero(errors >= 0)
+        yield have, (words[have] ^ errors[have]) >> 11
 
 
 def shingle_votes(text: str, width: int) -> int:
@@ -107,21 +120,19 @@ def fingerprints(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_c
 
 def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(key, position in ``fps``) of every key; a key is table, exact segment and Golay index in one integer."""
-    near, far = golay()
     u = fps.view(np.uint64)
     parts = [((u >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64) for low, width in SEGMENTS]
     at = np.arange(len(fps))
     keys, owners = [], []
     for table, (x, y) in enumerate((x, y) for x in range(3) for y in range(3) if x != y):
         exact = (np.int64(table) << 34 | parts[x]) << 12
-        for column in far[parts[y]].T:
-            have = column >= 0
-            keys.append((exact | column)[have])
-            owners.append(at[have])
+        for which, index in indices(parts[y]):
+            keys.append(exact[which] | index)
+            owners.append(which)
         if x < y:
-            nearest = near[parts[y]].astype(np.int64)
+            centre = nearest(parts[y])
             for bit in range(SEGMENTS[x][1]):
-                keys.append(((np.int64(table) << 34 | (parts[x] ^ (1 << bit))) << 12) | nearest)
+                keys.append(((np.int64(table) << 34 | (parts[x] ^ (1 << bit))) << 12) | centre)
                 owners.append(at)
     return np.concatenate(keys), np.concatenate(owners)
 
@@ -140,6 +151,7 @@ def links(fps: DataFrame) -> DataFrame:
     by_key = Window.partitionBy("key")
     shared = checkpoint(
         fps.select("fp")
+        .repartition(partitions(fps.sparkSession))
         .mapInArrow(run, "key long, fp long")
         .withColumn("pivot", F.min("fp").over(by_key))
         .withColumn("last", F.max("fp").over(by_key))
