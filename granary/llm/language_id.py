@@ -32,7 +32,7 @@ HASHES = 3
 FLOOR = 2e-5
 SHARE = 0.2
 #: Code points handled at once within a task.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 

@@ -32,6 +32,8 @@ BUCKETS = 1 << 20
 SHRINK = 3.0
 #: A word counts if its texts in some domain are so many standard deviations from their expected number.
 SIGNIFICANT = 8.0
+#: Share of the texts above which the absence of a word says nothing.
+COMMON = 0.05
 STEPS = 24
 TOLERANCE = 1e-4
 
@@ -48,7 +50,7 @@ def words_of(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def fit_weights(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tuple[DataFrame, list[float]]:
-    """(``bucket``, ``weights`` array by domain) of the telling words, and the log priors.
+    """(``bucket``, ``weights`` array by domain) of the telling words, and the log odds of a text with none.
 
     ``docs`` has ``id`` and ``body``; ``labelled`` has ``label_id`` and
     ``domain``.  Ids with several labels count under each; equal texts count
@@ -76,9 +78,20 @@ def fit_weights(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tup
     telling = far[0]
     for x in far[1:]:
         telling = telling | x
-    weights = F.array(*(F.log((F.col(f"n{k}") + SHRINK * share[d] + 1e-9) / (expected[d] + SHRINK * share[d] + 1e-9)) for k, d in enumerate(domains)))
-    priors = [float(np.log((rows.get(d, 0) + 1) / (everyone + len(domains)))) for d in domains]
-    return wide.where(telling).select("bucket", weights.alias("weights")), priors
+    # Share of a domain's texts with the word, drawn to the share of all texts.
+    overall = (F.col("all") + 1) / F.lit(everyone + 2.0)
+    pull = {d: SHRINK * share[d] + 1e-9 for d in domains}
+    inside = [F.least(F.lit(0.999), overall * (F.col(f"n{k}") + pull[d]) / (expected[d] + pull[d])) for k, d in enumerate(domains)]
+    # The absence of a common word mostly tells how long a text is, so it does not count.
+    absent = [F.when(overall <= COMMON, F.log((1 - p) / (1 - overall))).otherwise(0.0) for p in inside]
+    table = checkpoint(
+        wide.where(telling).select(
+            "bucket", F.array(*absent).alias("absent"), F.array(*(F.log(p / overall) - x for p, x in zip(inside, absent, strict=True))).alias("weights")
+        )
+    )
+    bare = table.agg(*(F.sum(F.col("absent")[k]) for k in range(len(domains)))).first()  # a text with no telling word
+    priors = [float(np.log((rows.get(d, 0) + 1) / (everyone + len(domains)))) + (bare[k] or 0.0) for k, d in enumerate(domains)]
+    return table.select("bucket", "weights"), priors
 
 
 def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> DataFrame:

@@ -9,13 +9,15 @@ span of words that its making depended on; equal words over that span give the
 same symbol anywhere.
 
 Of the symbols whose span lies in a window of consecutive words, the one with
-the smallest mixed name stands for the window.  Two equal windows choose the
-same symbol, so a window whose symbol was chosen only once in the corpus is not
-repeated.  The windows that are left, and those that hold no whole span, are
-verified by 128-bit names of all their words.
-
-Texts that are whole copies of each other are merged first: all their words go
-if they hold a window, and one of them stands for the rest in the search.
+the smallest mixed name stands for the window.  Neighbouring windows mostly
+choose the same symbol, so a text gives one row for each such stretch of
+windows: the symbol's name and a name of all words the stretch covers.  Equal
+windows choose the same symbol.  So a stretch whose symbol occurs once in the
+corpus holds no repeated window; one whose words occur again as a stretch of the
+same symbol is repeated as a whole; only where a symbol has stretches that
+differ (at the ends of a shared passage) are single windows verified, by 128-bit
+names of their words, one stretch of each kind.  A window that holds no whole
+span is a stretch of its own.
 
 Null text has no words; an empty or short text keeps all it has.  Rows are told
 apart by id and text, so ids may be null or repeated; a repeated row is a copy.
@@ -33,11 +35,12 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import checkpoint, partitions
 
-ROUNDS = 3
+#: Later rounds make symbols that fewer unrelated texts share, but whose spans fit fewer windows.
+ROUNDS = 6
 #: No symbol grows beyond so many words, so that every window has whole symbols.
-LONGEST = 8
+LONGEST = 12
 #: Words handled at once within a task.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _U = np.uint64
 
 
@@ -114,8 +117,8 @@ def choose(names: np.ndarray, first: np.ndarray, last: np.ndarray, window: int)
     return starts, np.where(count > 0, chosen, -1), sym, low
 
 
-def window_names(names: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit names of each window, from running sums of its words' names."""
+def names_between(names: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit names of the words in each [start, stop), from running sums of the words' names."""
     out = []
     for base, twist in ((0x9E3779B97F4A7C15, 0x2545F4914F6CDD1D), (0xD1342543DE82EF95, 0xA0761D6478BD642F)):
         powers = np.full(len(names) + 1, base, np.uint64)
@@ -125,7 +128,7 @@ def window_names(names: np.ndarray, starts: np.ndarray, window: int) -> tuple[np
         inverse[0] = 1
         inverse = np.multiply.accumulate(inverse)
         sums = np.append(_U(0), np.add.accumulate(mix(names ^ _U(twist)) * powers[:-1]))
-        out.append(mix((sums[starts + window] - sums[starts]) * inverse[starts]))
+        out.append(mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64)))
     return out[0], out[1]
 
 
@@ -152,13 +155,12 @@ def _side_by_side(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.
     return names, owner, begins[:-1][owner], begins[1:][owner], begins[:-1]
 
 
-def find_symbols(texts: list[str], window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For stretches of texts: word names, text of each window, its first word in the text,
-    its place among the names, the name it chose, and the place in the text of what it chose (-1: none)."""
+def stretches(texts: list[str], window: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Stretches of windows that chose the same symbol: index of the text, first window, number of
+    windows, the symbol's name, the name of the words covered."""
     for at, words in _batches(texts):
         long = [k for k, w in enumerate(words) if len(w) >= 1 << 20]
-        runs = [[k] for k in long] + [[k for k in range(len(words)) if k not in long]]
-        for ks in runs:
+        for ks in [[k] for k in long] + [[k for k in range(len(words)) if k not in long]]:
             if not ks:
                 continue
             names, owner, first, last, begins = _side_by_side([words[k] for k in ks])
@@ -166,15 +168,19 @@ def find_symbols(texts: list[str], window: int) -> Iterator[tuple[np.ndarray, np
             for cut in range(0, len(names), step):
                 # parts of a very long text overlap by more than any span can reach
                 a, b = max(0, cut - 4 * window), min(len(names), cut + step + 4 * window)
-                starts, chosen, sym, low = choose(names[a:b], first[a:b] - a, last[a:b] - a, window)
+                starts, chosen, sym, _ = choose(names[a:b], first[a:b] - a, last[a:b] - a, window)
                 own = (starts + a >= cut) & (starts + a < cut + step)
                 starts, chosen = starts[own], chosen[own]
                 if not len(starts):
                     continue
-                who = owner[starts + a]
-                name = np.where(chosen >= 0, sym[chosen] if len(sym) else _U(0), _U(0))
-                place = np.where(chosen >= 0, (low[chosen] if len(low) else 0) + a - begins[who], -1)
-                yield names, np.array(ks)[who] + at, starts + a - begins[who], starts + a, name, np.where(chosen >= 0, place, -1)
+                new = np.ones(len(starts), bool)
+                new[1:] = (chosen[1:] != chosen[:-1]) | (chosen[1:] < 0) | (starts[1:] != starts[:-1] + 1)
+                head = np.flatnonzero(new)
+                count = np.diff(np.append(head, len(starts)))
+                one, two = names_between(names[a:b], starts[head], starts[head] + count - 1 + window)
+                name = np.where(chosen[head] >= 0, sym[chosen[head]], one)
+                who = owner[starts[head] + a]
+                yield np.array(ks)[who] + at, starts[head] + a - begins[who], count, name, two
 
 
 def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,37 +189,10 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     Returns id, ``n_words``, ``spans`` (sorted disjoint ``start``/``stop`` word
     places) and ``kept_text`` (the other words, joined by one space).
     """
-    spark = docs.sparkSession
     rows = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")
     ).withColumn("text_key", F.xxhash64("body"))
     kind = rows.schema["id"].dataType.simpleString()
-    copies = checkpoint(
-        rows.groupBy(F.unhex(F.md5("body")).alias("copy_hash"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "text_key")).alias("first"))
-        .where("n > 1")
-    )
-    hashed = rows.select("id", "text_key", F.unhex(F.md5("body")).alias("copy_hash"))
-    copied = checkpoint(
-        hashed.join(copies, "copy_hash")
-        .select("id", "text_key", (F.struct("id", "text_key") == F.col("first")).alias("leads"))
-        .distinct()
-    )
-
-    def chosen_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for _, who, _, _, name, place in find_symbols(texts, window):
-                new = np.ones(len(who), bool)
-                new[1:] = (who[1:] != who[:-1]) | (place[1:] != place[:-1])
-                new &= place >= 0
-                order = np.flatnonzero(new)
-                rows_of = pa.array(who[order])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(rows_of), b.column(2).take(rows_of), pa.array(name[order].view(np.int64)), pa.array(place[order].astype(np.int32))],
-                    ["id", "text_key", "name", "place"],
-                )
-
     key = ["id", "text_key"]
 
     def on_key(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
@@ -221,63 +200,61 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
         out = a.join(b, (F.col("text_key") == F.col("other_key")) & F.col("id").eqNullSafe(F.col("other_id")), how)
         return out.drop("other_id", "other_key")
 
-    symbols = on_key(
-        rows.select("id", "body", "text_key").mapInArrow(chosen_symbols, f"id {kind}, text_key long, name long, place int"),
-        copied.where(~F.col("leads")).select(*key),
-        "left_anti",
-    ).distinct()
-    by_name = Window.partitionBy("name")
-    shared = (
-        symbols.withColumn("low", F.min(F.struct("id", "text_key", "place")).over(by_name))
-        .withColumn("high", F.max(F.struct("id", "text_key", "place")).over(by_name))
-        .where("low <> high")
-        .groupBy(*key)
-        .agg(F.collect_set("place").alias("places"))
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for who, first, count, name, words in stretches(b.column(1).to_pylist(), window):
+                at = pa.array(who)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(at), b.column(2).take(at), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(name.view(np.int64)), pa.array(words.view(np.int64))],
+                    ["id", "text_key", "first", "n", "name", "words"],
+                )
+
+    alike = Window.partitionBy("name", "words")
+    found = checkpoint(
+        rows.select("id", "body", "text_key")
+        .mapInArrow(find, f"id {kind}, text_key long, first int, n int, name long, words long")
+        .withColumn("of_name", F.count(F.lit(1)).over(Window.partitionBy("name")))
+        .where("of_name > 1")
+        .withColumn("of_words", F.count(F.lit(1)).over(alike))
+        .withColumn("place", F.row_number().over(alike.orderBy("text_key", "first")))
+        .select(*key, "first", "n", (F.col("of_words") > 1).alias("whole"), ((F.col("of_name") > F.col("of_words")) & (F.col("place") == 1)).alias("verify"))
     )
-    dealt = rows.select("id", "body", "text_key").repartition(partitions(spark), "text_key")
+    verify = found.where("verify").groupBy(*key).agg(F.collect_list(F.struct("first", "n")).alias("ranges"))
+    dealt = rows.select("id", "body", "text_key").repartition(partitions(docs.sparkSession), "text_key")
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, places = b.column(1).to_pylist(), b.column(3).to_pylist()
-            for names, who, word, at, _, place in find_symbols(texts, window):
-                codes = [np.array(p or [], np.int64) + (k << 40) for k, p in enumerate(places)]
-                hit = np.isin((who.astype(np.int64) << 40) + place, np.concatenate(codes)) | (place < 0)
-                who, word, at = who[hit], word[hit], at[hit]
-                one, two = window_names(names, at, window)
-                rows_of = pa.array(who)
+            for k, (text, ranges) in enumerate(zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                names = word_names(text.encode("utf-8", "surrogatepass").split())
+                starts = np.unique(np.concatenate([np.arange(r["first"], r["first"] + r["n"]) for r in ranges]))
+                one, two = names_between(names, starts, starts + window)
+                at = pa.array(np.full(len(starts), k))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(rows_of), b.column(2).take(rows_of), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(word.astype(np.int32))],
-                    ["id", "text_key", "one", "two", "word"],
+                    [b.column(0).take(at), b.column(2).take(at), pa.array(starts.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
+                    ["id", "text_key", "first", "one", "two"],
                 )
 
-    followers = copied.where(~F.col("leads")).select(*key)
-    searched = on_key(on_key(dealt, shared, "left"), followers, "left_anti").mapInArrow(
-        candidates, f"id {kind}, text_key long, one long, two long, word int"
-    ).distinct()
-    by_window = Window.partitionBy("one", "two")
     again = (
-        searched.withColumn("low", F.min(F.struct("id", "text_key", "word")).over(by_window))
-        .withColumn("high", F.max(F.struct("id", "text_key", "word")).over(by_window))
-        .where("low <> high")
-        .groupBy(*key)
-        .agg(F.collect_set("word").alias("starts"))
+        on_key(dealt, verify, "inner")
+        .mapInArrow(windows, f"id {kind}, text_key long, first int, one long, two long")
+        .withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("one", "two")))
+        .where("times > 1")
+        .select(*key, "first", F.lit(1).alias("n"))
     )
+    gone = found.where("whole").select(*key, "first", "n").unionByName(again).groupBy(*key).agg(F.collect_set(F.struct("first", "n")).alias("ranges"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
         for b in batches:
             counts, spans, kept = [], [], []
-            for text, starts, whole in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for text, ranges in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = text.encode("utf-8", "surrogatepass").split()
-                if whole and len(words) >= window:
-                    found = [(0, len(words))]
-                elif starts:
-                    s = np.sort(np.array(starts, np.int64))
-                    new = np.append(True, s[1:] > s[:-1] + window)
-                    ends = np.append(s[:-1][new[1:]], s[-1:]) + window
-                    found = list(zip(s[new].tolist(), ends.tolist(), strict=True))
-                else:
-                    found = []
+                found: list[list[int]] = []
+                for start, stop in sorted((r["first"], r["first"] + r["n"] - 1 + window) for r in ranges or ()):
+                    if found and start <= found[-1][1]:
+                        found[-1][1] = max(found[-1][1], stop)
+                    else:
+                        found.append([start, stop])
                 out, at = [], 0
                 for start, stop in found:
                     out += words[at:start]
@@ -289,7 +266,6 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
                 [b.column(0), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(kept, pa.string())], ["id", "n_words", "spans", "kept_text"]
             )
 
-    marked = on_key(on_key(dealt, again, "left"), copied.select(*key, F.lit(True).alias("whole")), "left")
-    return marked.select("id", "body", "starts", "whole").mapInArrow(
+    return on_key(dealt, gone, "left").select("id", "body", "ranges").mapInArrow(
         remove, f"id {kind}, n_words long, spans array<struct<start:int,stop:int>>, kept_text string"
     ).withColumnRenamed("id", id_col)

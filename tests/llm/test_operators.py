@@ -284,8 +284,25 @@ def test_simhash_links_lose_nothing(spark):
 
 
 def test_golay_indices():
-    near, far = simhash.golay()
-    assert (near >= 0).all() and set(np.unique((far >= 0).sum(axis=1))) == {1, 6}
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 1 << 23, 3000)
+    b = a.copy()
+    for _ in range(2):
+        b ^= 1 << rng.integers(0, 23, len(a))
+    of = []
+    for words_ in (a, b):
+        sets = [set() for _ in words_]
+        for which, index in simhash.indices(words_):
+            for k, i in zip(which.tolist(), index.tolist(), strict=True):
+                sets[k].add(i)
+        of.append(sets)
+    assert {len(x) for x in of[0]} == {1, 6}
+    assert all(x & y for x, y in zip(*of, strict=True))
+    code = np.arange(1 << 12, dtype=np.int64) << 11
+    code |= simhash._remainder(code)
+    for w in a[:50].tolist():
+        distance = [(int(c) ^ w).bit_count() for c in code]
+        assert int(np.argmin(distance)) == int(simhash.nearest(np.array([w]))[0]) and min(distance) <= 3
 
 
 # --- 6
@@ -323,11 +340,14 @@ def test_repeated_passages(spark, docs, awkward):
     assert substring_dedup.repeated_spans(awkward.limit(0)).count() == 0
 
 
-def test_very_long_text_is_cut_without_loss(monkeypatch):
+def test_stretches_cover_every_window_once():
     rng = np.random.default_rng(1)
-    text = " ".join(f"w{k}" for k in rng.integers(0, 50, 4000))
-    whole = [x[4] for x in [[*y] for y in substring_dedup.find_symbols([text], 35)]][0]
-    assert len(whole) == 4000 - 34
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 50, n)) for n in (4000, 34, 35, 0, 900)]
+    got = Counter()
+    for who, first, count, _, _ in substring_dedup.stretches(texts, 35):
+        for t, f, n in zip(who.tolist(), first.tolist(), count.tolist(), strict=True):
+            got.update((t, k) for k in range(f, f + n))
+    assert got == Counter((t, k) for t, x in enumerate(texts) for k in range(len(words(x)) - 34))
 
 
 # --- 7
