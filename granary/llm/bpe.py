@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fragments and words kept per worker; a full table is emptied.
-SEEN_MOST = 400_000
+SEEN_MOST = 150_000
 
 
 def byte_letters() -> list[str]:

@@ -6,8 +6,9 @@ labelled rows, predicts every document's domain posteriors.  Document rates r >=
 squares of (expected domain token totals - targets), where a document gives
 r * words * posterior to each domain: projected gradient steps from r = 1, each
 one aggregation of a few sums over all documents.  The weight is the inverse of
-the domains' Gram matrix over the documents with a rate above zero (domains x
-domains, on the driver), so a step that hits no bound solves the problem.
+the domains' Gram matrix (domains x domains, on the driver): a step of length one
+then never overshoots, and solves the problem where it hits no bound.  Momentum,
+dropped whenever the squares grow, speeds up the rest.
 
 DataFrame functions only.  Null text counts as empty; a text without words has
 no part in any total and gets even posteriors and rate 1.  An empty table gives
@@ -32,9 +33,11 @@ BUCKETS = 1 << 20
 SHRINK = 3.0
 #: A word counts if its texts in some domain are so many standard deviations from their expected number.
 SIGNIFICANT = 8.0
+#: ... and if it is in at least this share of the texts of some domain; rarer ones tell of copies, not of domains.
+SUPPORT = 0.03
 #: Share of the texts above which the absence of a word says nothing.
 COMMON = 0.05
-STEPS = 24
+STEPS = 32
 TOLERANCE = 1e-4
 
 
@@ -78,6 +81,10 @@ def fit_weights(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tup
     telling = far[0]
     for x in far[1:]:
         telling = telling | x
+    frequent = [F.col(f"n{k}") >= SUPPORT * max(rows.get(d, 0), 1) for k, d in enumerate(domains)]
+    enough = frequent[0]
+    for x in frequent[1:]:
+        enough = enough | x
     # Share of a domain's texts with the word, drawn to the share of all texts.
     overall = (F.col("all") + 1) / F.lit(everyone + 2.0)
     pull = {d: SHRINK * share[d] + 1e-9 for d in domains}
@@ -85,7 +92,7 @@ def fit_weights(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tup
     # The absence of a common word mostly tells how long a text is, so it does not count.
     absent = [F.when(overall <= COMMON, F.log((1 - p) / (1 - overall))).otherwise(0.0) for p in inside]
     table = checkpoint(
-        wide.where(telling).select(
+        wide.where(telling & enough).select(
             "bucket", F.array(*absent).alias("absent"), F.array(*(F.log(p / overall) - x for p, x in zip(inside, absent, strict=True))).alias("weights")
         )
     )
@@ -125,25 +132,30 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     ps = [f"p{k}" for k in range(len(domains))]
     state = checkpoint(posteriors(rows, labelled, domains).withColumn("rate", F.lit(1.0)))
-    wanted = np.array([targets[d] for d in domains])
     pairs = [(a, b) for a in ps for b in ps]
-    open_words = F.when(F.col("rate") > 0, F.col("n_words")).otherwise(0)
+    found = state.agg(F.sum("n_words"), *(F.sum(F.col("n_words") * F.col(a) * F.col(b)) for a, b in pairs)).first()
+    tokens = float(found[0] or 1)
+    gram = np.array([x or 0.0 for x in found[1:]], float).reshape(len(ps), len(ps)) / tokens
+    weight = np.linalg.pinv(gram, rcond=1e-6, hermitian=True)
+    wanted = np.array([targets[d] for d in domains])
+    state = state.withColumn("before", F.col("rate"))
+    last, speed, least = None, 1.0, float("inf")
     for step in range(STEPS):
-        found = state.agg(
-            F.sum("n_words"),
-            *(F.sum(F.col("n_words") * F.col("rate") * F.col(p)) for p in ps),
-            *(F.sum(open_words * F.col(a) * F.col(b)) for a, b in pairs),
-        ).first()
-        tokens = float(found[0] or 1)
-        sums = np.array([x or 0.0 for x in found[1:]], float) / tokens
-        error = sums[: len(ps)] - wanted
-        if np.abs(error).max() < TOLERANCE:
+        found = state.agg(*(F.sum(F.col("n_words") * F.col("rate") * F.col(p)) for p in ps)).first()
+        sums = np.array([x or 0.0 for x in found]) / tokens
+        error = sums - wanted
+        loss = float(error @ weight @ error)
+        if np.abs(error).max() < TOLERANCE or abs(least - loss) < TOLERANCE**2:
             break
-        # The gradient step of the weighted squares over the documents that are not at zero.
-        gram = sums[len(ps) :].reshape(len(ps), len(ps))
-        slope = np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ error
-        move = sum((F.col(p) * float(s) for p, s in zip(ps[1:], slope[1:], strict=True)), F.col(ps[0]) * float(slope[0]))
-        state = state.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - move))
+        following = (1 + (1 + 4 * speed**2) ** 0.5) / 2
+        push = 0.0 if last is None or loss > least else (speed - 1) / following
+        speed, least = (1.0 if loss > least else following), loss
+        ahead = error if last is None else error + push * (sums - last)
+        slope = weight @ ahead
+        move = sum((F.col(p) * float(x) for p, x in zip(ps[1:], slope[1:], strict=True)), F.col(ps[0]) * float(slope[0]))
+        pushed = F.col("rate") + push * (F.col("rate") - F.col("before")) - move
+        state = state.select("id", "n_words", *ps, F.greatest(F.lit(0.0), pushed).alias("rate"), F.col("rate").alias("before"))
+        last = sums
         if step % 4 == 3:
             state = checkpoint(state)
     named = F.create_map(*(x for d, p in zip(domains, ps, strict=True) for x in (F.lit(d), F.col(p))))
