@@ -1,0 +1,111 @@
+"""Content groups, physical copies, size groups and places."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Sizes from here on are told apart by a sample before they are read in full.
+SAMPLE_FROM = 16 << 20
+
+
+def physical_key(stable: Column | None = None) -> Column:
+    """The names of one inode on a stable source are one copy; else each entry is its own."""
+    linked = (F.col("nlink") > 1) & F.col("ino").isNotNull()
+    if stable is not None:
+        linked &= stable
+    return F.when(linked, F.concat(F.lit("h"), F.col("source_id"), F.lit(":"), F.col("ino"))).otherwise(F.concat(F.lit("e"), F.col("entry_id")))
+
+
+def copies(files: DataFrame) -> DataFrame:
+    """Per content: ``names``, ``copies`` (physical), ``sources``, ``size``."""
+    return (
+        files.where("state = 'hashed' and size > 0")
+        .withColumn("pkey", physical_key())
+        .groupBy("digest")
+        .agg(
+            F.count(F.lit(1)).alias("names"),
+            F.count_distinct("pkey").alias("copies"),
+            F.count_distinct("source_id").alias("sources"),
+            F.max("size").alias("size"),
+        )
+    )
+
+
+def size_states(files: DataFrame) -> DataFrame:
+    """unique_size where a size has one physical copy (a hashed file keeps its state), else pending or hashed."""
+    groups = files.withColumn("pkey", physical_key()).groupBy("size").agg(F.count_distinct("pkey").alias("phys"))
+    return files.join(groups, "size").withColumn(
+        "next_state",
+        F.when(F.col("size") == 0, "none")
+        .when(F.col("state") == "hashed", "hashed")
+        .when(F.col("phys") < 2, "unique_size")
+        .when((F.col("size") >= SAMPLE_FROM) & (F.col("state") == "sampled"), "sampled")
+        .otherwise("pending"),
+    )
+
+
+def places(files: DataFrame) -> DataFrame:
+    """``place`` of each file: only_copy, this_source, other_source, unchecked, unreadable or none."""
+    joined = files.join(copies(files).select("digest", F.col("copies").alias("n_copies"), F.col("sources").alias("n_sources")), "digest", "left")
+    return joined.withColumn(
+        "place",
+        F.when(F.col("unreadable"), "unreadable")
+        .when(F.col("size") == 0, "none")
+        .when(F.col("state") != "hashed", "unchecked")
+        .when(F.col("n_sources") > 1, "other_source")
+        .when(F.col("n_copies") > 1, "this_source")
+        .otherwise("only_copy"),
+    )
+
+
+#: From worst to best, the order in which a folder's place is decided.
+PLACE_ORDER = ("unreadable", "unchecked", "only_copy", "this_source", "other_source")
+
+
+def folder_place() -> Column:
+    """Place of a folder from its place sums (columns named after the places)."""
+    out = F.when(F.col("unreadable") > 0, "unreadable")
+    for p in PLACE_ORDER[1:]:
+        out = out.when(F.col(p) > 0, p)
+    return out.otherwise("none")
+
+
+def place_sums(placed: DataFrame) -> DataFrame:
+    """Per folder the bytes of each place."""
+    from granary.functions.paths import with_ancestors
+
+    return (
+        with_ancestors(placed, True)
+        .groupBy("ancestor")
+        .agg(*(F.sum(F.when(F.col("place") == p, F.col("size")).otherwise(0)).alias(p) for p in PLACE_ORDER))
+    )
+
+
+def preferred_copies(files: DataFrame) -> DataFrame:
+    """For each hashed file its preferred other copy: another source first, then the smallest id; its own inode is none."""
+    f = files.where("state = 'hashed' and size > 0").withColumn("pkey", physical_key())
+    other = f.select(
+        F.col("digest"), F.col("entry_id").alias("copy_id"), F.col("source_id").alias("copy_source"), F.col("pkey").alias("copy_pkey")
+    )
+    pairs = f.join(other, "digest").where("pkey <> copy_pkey")
+    order = Window.partitionBy("entry_id").orderBy((F.col("copy_source") == F.col("source_id")).cast("int"), "copy_id")
+    return pairs.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("entry_id", "copy_id", "copy_source")
+
+
+def split_archive(size: int, weights: list[int]) -> list[int]:
+    """Shares of ``size`` by weight: exact quotients, largest remainders first, at least one byte for a weight above zero."""
+    total = sum(weights)
+    if total <= 0 or size <= 0:
+        return [0] * len(weights)
+    shares = [size * w // total for w in weights]
+    order = sorted(range(len(weights)), key=lambda k: (-(size * weights[k] % total), k))
+    for k in order[: size - sum(shares)]:
+        shares[k] += 1
+    for k, w in enumerate(weights):
+        if w > 0 and shares[k] == 0:
+            donor = max(range(len(shares)), key=lambda j: (shares[j], -j))
+            if shares[donor] > 1:
+                shares[donor] -= 1
+                shares[k] = 1
+    return shares

@@ -1,4 +1,23 @@
-"""Every registered query and its SQL."""
+"""Every registered query and its SQL, gathered from the query modules."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    """Register a function (spark, sf_dir) -> DataFrame, with SQL for the same rows."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+from granary.plans import content_queries, date_queries, intent_queries, search_queries, tree_queries, change_queries  # noqa: E402, F401
