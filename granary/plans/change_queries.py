@@ -1 +1,139 @@
-from granary.plans.registry import query  # noqa: F401
+"""Snapshots, plans, commands, streaming ingest (S*, X*, T*)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from granary.operators import changes
+from granary.plans.registry import query
+from granary.sources import adapters as a
+from granary.streaming import ingest
+
+_D = a.with_tables(a.TREE_DOCS)
+_SNAP = a.with_tables(
+    a.TREE_DOCS,
+    "old AS (SELECT path, kind, size, mtime_ns FROM tree_docs WHERE entry_id % 10 <> 0)",
+    "new AS (SELECT path, CASE WHEN entry_id % 17 = 0 THEN 'dir' ELSE kind END AS kind, size, mtime_ns + CASE WHEN entry_id % 4 = 0 THEN 3600000000000 WHEN entry_id % 6 = 0 THEN 5000000000 ELSE 0 END AS mtime_ns FROM tree_docs WHERE entry_id % 9 <> 0)",
+    "d AS (SELECT path, o.kind AS ok, n.kind AS nk, o.size AS os, n.size AS ns, abs(n.mtime_ns - o.mtime_ns) AS dt FROM old o FULL OUTER JOIN new n USING (path))",
+    "ops AS (SELECT path, CASE WHEN ok IS NULL THEN 'insert' WHEN nk IS NULL THEN 'missing' WHEN nk <> ok THEN 'replace' WHEN os = ns AND (dt <= 2000000000 OR abs(dt - 3600000000000) <= 2000000000) THEN 'unchanged' ELSE 'update' END AS op FROM d)",
+)
+
+
+def snapshots(spark, sf):
+    t = a.tree_docs(spark, sf)
+    shift = F.when(F.col("entry_id") % 4 == 0, 3_600_000_000_000).when(F.col("entry_id") % 6 == 0, 5_000_000_000).otherwise(0)
+    new = t.where("entry_id % 9 <> 0").select("path", F.when(F.col("entry_id") % 17 == 0, "dir").otherwise(F.col("kind")).alias("kind"), "size", (F.col("mtime_ns") + shift).alias("mtime_ns"))
+    return t.where("entry_id % 10 <> 0").select("path", "kind", "size", "mtime_ns"), new
+
+
+@query("s3_diff", _SNAP + " SELECT path, op FROM ops")
+def s3(spark, sf):
+    return changes.snapshot_diff(*snapshots(spark, sf), resolution=2_000_000_000, local_time=True)
+
+
+@query("s5_missing", _SNAP + " SELECT path FROM ops WHERE op = 'missing'")
+def s5(spark, sf):
+    old, new = snapshots(spark, sf)
+    return old.join(new, "path", "left_anti").select("path")
+
+
+@query("x18_first_difference", _SNAP + " SELECT min(path) AS path FROM ops WHERE op <> 'unchanged'")
+def x18(spark, sf):
+    return s3(spark, sf).where("op <> 'unchanged'").agg(F.min("path").alias("path"))
+
+
+@query("t3_figure_diff", _SNAP + " SELECT op, count(*) AS n FROM ops WHERE op <> 'unchanged' GROUP BY 1")
+def t3(spark, sf):
+    return s3(spark, sf).where("op <> 'unchanged'").groupBy("op").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s16_command_log", "SELECT user_id AS command_key, min(event_id) AS first_id, count(DISTINCT props) > 1 AS conflict FROM events GROUP BY 1")
+def s16(spark, sf):
+    return a.table(spark, sf, "events").groupBy(F.col("user_id").alias("command_key")).agg(F.min("event_id").alias("first_id"), (F.count_distinct("props") > 1).alias("conflict"))
+
+
+@query("x1_refusal", _D + " SELECT entry_id, CASE WHEN unreadable THEN 'unreadable' WHEN state = 'pending' THEN 'pending' WHEN size > 9000 THEN 'too_large' END AS reason FROM tree_docs")
+def x1(spark, sf):
+    return a.tree_docs(spark, sf).select("entry_id", F.when(F.col("unreadable"), "unreadable").when(F.col("state") == "pending", "pending").when(F.col("size") > 9000, "too_large").alias("reason"))
+
+
+@query("x2_conflict", "SELECT p_partkey AS seq, row_number() OVER (PARTITION BY p_brand, lower(p_type) ORDER BY p_partkey) > 1 AS conflict FROM part")
+def x2(spark, sf):
+    moves = a.table(spark, sf, "part").select(F.col("p_partkey").alias("seq"), F.col("p_brand").alias("dest"), F.col("p_type").alias("name"))
+    return changes.name_conflicts(moves, True).select("seq", "conflict")
+
+
+@query("x5_free_name", "SELECT p_partkey AS seq, CASE WHEN row_number() OVER w = 1 THEN p_type ELSE p_type || ' (' || row_number() OVER w || ')' END AS free_name FROM part WINDOW w AS (PARTITION BY p_brand, p_type ORDER BY p_partkey)")
+def x5(spark, sf):
+    n = F.row_number().over(Window.partitionBy("p_brand", "p_type").orderBy("p_partkey"))
+    return a.table(spark, sf, "part").withColumn("n", n).select(F.col("p_partkey").alias("seq"), F.when(F.col("n") == 1, F.col("p_type")).otherwise(F.concat("p_type", F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).alias("free_name"))
+
+
+@query("x8_undo", "SELECT o_orderkey AS item, row_number() OVER (ORDER BY o_orderkey DESC) AS step FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders)")
+def x8(spark, sf):
+    o = a.table(spark, sf, "orders")
+    one = o.join(F.broadcast(o.agg(F.min("o_custkey").alias("first"))), F.col("o_custkey") == F.col("first"))
+    return one.select(F.col("o_orderkey").alias("item"), F.row_number().over(Window.orderBy(F.desc("o_orderkey"))).cast("long").alias("step"))  # one customer's orders
+
+
+@query("x10_last_copy", _D + ", n AS (SELECT digest, count(*) AS n FROM tree_docs GROUP BY 1) SELECT entry_id, row_number() OVER (PARTITION BY digest ORDER BY path, entry_id) >= n AS refused FROM tree_docs JOIN n USING (digest) WHERE kind <> 'fr'")
+def x10(spark, sf):
+    t = a.tree_docs(spark, sf)
+    return changes.last_copies(t.where("kind <> 'fr'").select("entry_id", "digest", "path"), t.groupBy("digest").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("x12_verdict", _D + ", c AS (SELECT digest, count(*) FILTER (source_id <> 'src0') AS online FROM tree_docs WHERE state = 'hashed' GROUP BY 1) SELECT entry_id, CASE WHEN unreadable THEN 'unreadable' WHEN size = 0 THEN 'no_content' WHEN online > 0 THEN 'safe' ELSE 'unique' END AS verdict FROM tree_docs LEFT JOIN c USING (digest) WHERE source_id = 'src0'")
+def x12(spark, sf):
+    t = a.tree_docs(spark, sf)
+    c = t.where("state = 'hashed'").groupBy("digest").agg(F.count_if(F.col("source_id") != "src0").alias("online"))
+    return t.where("source_id = 'src0'").join(c, "digest", "left").select("entry_id", F.when(F.col("unreadable"), "unreadable").when(F.col("size") == 0, "no_content").when(F.col("online") > 0, "safe").otherwise("unique").alias("verdict"))
+
+
+@query("a23_check_counts", _D + " SELECT source_id, state, unreadable, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM tree_docs GROUP BY ALL")
+def a23(spark, sf):
+    return a.tree_docs(spark, sf).groupBy("source_id", "state", "unreadable").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+
+
+@query("x20_siblings", _D + " SELECT a.entry_id, b.entry_id AS sibling FROM tree_docs a JOIN tree_docs b ON a.source_id = b.source_id AND a.kind = b.kind AND a.entry_id // 200 = b.entry_id // 200 AND a.entry_id <> b.entry_id")
+def x20(spark, sf):
+    t = a.tree_docs(spark, sf).select("entry_id", "source_id", "kind", F.expr("entry_id div 200").alias("stem"))
+    o = t.withColumnRenamed("entry_id", "sibling")
+    return t.join(o, ["source_id", "kind", "stem"]).where("entry_id <> sibling").select("entry_id", "sibling")
+
+
+@query("x21_renumber", _D + " SELECT entry_id, row_number() OVER (PARTITION BY source_id ORDER BY entry_id) - 1 AS seq FROM tree_docs WHERE kind IN (SELECT kind FROM tree_docs GROUP BY 1 HAVING count(*) > 120)")
+def x21(spark, sf):
+    t = a.tree_docs(spark, sf)
+    used = t.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).where("n > 120").select("kind")
+    seq = F.row_number().over(Window.partitionBy("source_id").orderBy("entry_id")).cast("long") - 1
+    return t.join(used, "kind", "left_semi").select("entry_id", seq.alias("seq"))
+
+
+@query("t2_distinct", _D + " SELECT source_id FROM tree_docs WHERE kind = 'de' UNION SELECT source_id FROM tree_docs WHERE size > 9000")
+def t2(spark, sf):
+    t = a.tree_docs(spark, sf)
+    return t.where("kind = 'de'").select("source_id").union(t.where("size > 9000").select("source_id")).distinct()
+
+
+@query("t6_adjust", _D + " SELECT kind, CAST(sum(CASE WHEN entry_id % 2 = 0 THEN size ELSE -size END) AS BIGINT) AS delta FROM tree_docs GROUP BY 1")
+def t6(spark, sf):
+    return a.tree_docs(spark, sf).groupBy("kind").agg(F.sum(F.when(F.col("entry_id") % 2 == 0, F.col("size")).otherwise(-F.col("size"))).alias("delta"))
+
+
+@query("t12_expired", "SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-10 00:00:00' AND event_type = 'click'")
+def t12(spark, sf):
+    return a.table(spark, sf, "events").where("ts < timestamp_ntz'2024-01-10 00:00:00' and event_type = 'click'").select("event_id")
+
+
+@query("s17_overlapping_roots", a.with_tables(a.TREE_PAGES) + ", h AS (SELECT DISTINCT path FROM tree_pages) SELECT x.path AS outer_path, y.path AS inner_path FROM h x JOIN h y ON y.path LIKE x.path || '/%'")
+def s17(spark, sf):
+    from granary.functions.paths import with_ancestors
+
+    h = a.tree_pages(spark, sf).select("path").distinct()
+    return with_ancestors(h).join(h.withColumnRenamed("path", "outer_path"), F.col("ancestor") == F.col("outer_path")).select("outer_path", F.col("path").alias("inner_path"))
+
+
+@query("t4_stream_ingest", "SELECT user_id, count(*) AS n, CAST(max(event_id) AS BIGINT) AS last_id FROM events GROUP BY 1")
+def t4(spark, sf):
+    return ingest.latest_by_user(spark, f"{sf}/events.parquet")

@@ -198,8 +198,8 @@ _L = a.with_tables(a.TREE_LINES)
 _PER = _L + ", per AS (SELECT folder, key, CAST(sum(size) AS BIGINT) AS bytes FROM tree_lines GROUP BY ALL), held AS (SELECT key FROM per GROUP BY key HAVING count(*) > 1), top3 AS (SELECT folder, key, bytes, row_number() OVER (PARTITION BY folder ORDER BY bytes DESC, key) AS rank FROM per JOIN held USING (key) QUALIFY rank <= 3)"
 _MATCH = (
     _PER
-    + """, holders AS (SELECT DISTINCT folder, key FROM tree_lines), some AS (SELECT folder, key FROM holders QUALIFY row_number() OVER (PARTITION BY key ORDER BY folder) <= 64),
-    pairs AS (SELECT DISTINCT t.folder AS a, s.folder AS b FROM top3 t JOIN some s USING (key) WHERE t.folder <> s.folder),
+    + """, holders AS (SELECT DISTINCT folder, key FROM tree_lines), few AS (SELECT folder, key FROM holders QUALIFY row_number() OVER (PARTITION BY key ORDER BY folder) <= 64),
+    pairs AS (SELECT DISTINCT t.folder AS a, s.folder AS b FROM top3 t JOIN few s USING (key) WHERE t.folder <> s.folder),
     own AS (SELECT folder AS a, CAST(sum(size) AS BIGINT) AS total, count(*) AS files FROM tree_lines GROUP BY 1),
     hit AS (SELECT p.a, p.b, CAST(sum(f.size) AS BIGINT) AS matched, count(*) AS matched_files FROM pairs p JOIN tree_lines f ON f.folder = p.a JOIN holders h ON h.folder = p.b AND h.key = f.key GROUP BY ALL),
     found AS (SELECT hit.*, total, files FROM hit JOIN own USING (a))"""
@@ -240,13 +240,13 @@ def r4(spark, sf):
 
 def _sides(spark, sf):
     f = a.tree_docs(spark, sf).select("source_id", F.regexp_replace("path", "^[^/]+/", "").alias("path"), F.col("digest").alias("key"), "size")
-    near = f.withColumn("path", F.concat(F.substring_index("path", "/", 1), F.lit("/"), (F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long") % 40).cast("string"), F.lit("-"), F.substring("key", 1, 2)))
+    near = f.withColumn("path", F.concat(F.substring_index("path", "/", 1), F.lit("/"), (F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long") % 39).cast("string")))
     return near.where("source_id in ('src0', 'src1', 'src2', 'src3')").drop("source_id"), near.where("source_id in ('src4', 'src5', 'src6', 'src7')").drop("source_id")
 
 
 _SIDES = a.with_tables(
     a.TREE_DOCS,
-    "sides AS (SELECT source_id IN ('src0','src1','src2','src3') AS is_left, kind || '/' || (entry_id % 40) || '-' || substr(digest, 1, 2) AS path, digest AS key, size FROM tree_docs WHERE source_id IN ('src0','src1','src2','src3','src4','src5','src6','src7'))",
+    "sides AS (SELECT source_id IN ('src0','src1','src2','src3') AS is_left, kind || '/' || (entry_id % 39) AS path, digest AS key, size FROM tree_docs WHERE source_id IN ('src0','src1','src2','src3','src4','src5','src6','src7'))",
     "l AS (SELECT path AS left_path, key, size AS ls, row_number() OVER (PARTITION BY key ORDER BY path) AS n FROM sides WHERE is_left)",
     "r AS (SELECT path AS right_path, key, size AS rs, row_number() OVER (PARTITION BY key ORDER BY path) AS n FROM sides WHERE NOT is_left)",
     "p AS (SELECT left_path, right_path, ls, rs FROM l FULL OUTER JOIN r ON l.key = r.key AND l.n = r.n)",

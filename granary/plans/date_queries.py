@@ -1 +1,121 @@
-from granary.plans.registry import query  # noqa: F401
+"""Dates of photos (M*, O11, S9, F18)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from granary.operators import dates
+from granary.plans.registry import query
+from granary.sources import adapters as a
+
+_P = a.with_tables(a.PHOTOS_EVENTS)
+_CAND = (
+    _P
+    + """, per AS (SELECT folder, camera, min(capture_s) AS low, max(capture_s) AS high, count(*) AS n, sum(capture_s) AS total FROM photos_events GROUP BY ALL),
+    o AS (SELECT x.folder, x.camera, min(y.low) AS olow, max(y.high) AS ohigh, sum(y.n) AS onn, sum(y.total) AS ot FROM per x JOIN per y ON x.folder = y.folder AND x.camera <> y.camera GROUP BY ALL),
+    cand AS (SELECT folder, camera, CAST(total // n - ot // onn AS BIGINT) AS delta FROM per JOIN o USING (folder, camera) WHERE high - low < 86400 AND (low > ohigh + {m} OR high < olow - {m}))"""
+)
+
+
+@query("m1_name_date", _P + " SELECT photo_id, CAST(epoch(strptime(regexp_extract(name, '^IMG_([0-9]{8}_[0-9]{6})', 1), '%Y%m%d_%H%M%S')) AS BIGINT) AS named_s FROM photos_events")
+def m1(spark, sf):
+    return a.photos_events(spark, sf).select("photo_id", dates.name_date(F.col("name")).alias("named_s"))
+
+
+@query("m2_folder_date", _P + " SELECT DISTINCT folder, CAST(folder AS DATE) AS day FROM photos_events")
+def m2(spark, sf):
+    return a.photos_events(spark, sf).select("folder").distinct().select("folder", dates.folder_date(F.col("folder")).alias("day"))
+
+
+@query("m4_plausible", _P + " SELECT photo_id, capture_s >= 631152000 AND capture_s <= 1706572800 AND capture_s % 86400 <> 0 AS plausible FROM photos_events")
+def m4(spark, sf):
+    c = F.col("capture_s")
+    return a.photos_events(spark, sf).select("photo_id", ((c >= 631152000) & (c <= 1706572800) & (c % 86400 != 0)).alias("plausible"))
+
+
+@query("m5_derive", _P + " SELECT photo_id, CASE WHEN photo_id % 3 = 0 THEN capture_s WHEN photo_id % 3 = 1 THEN CAST(epoch(strptime(substr(name, 5, 15), '%Y%m%d_%H%M%S')) AS BIGINT) ELSE CAST(epoch(CAST(folder AS DATE)) AS BIGINT) END AS effective_s, CASE photo_id % 3 WHEN 0 THEN 'exif' WHEN 1 THEN 'name' ELSE 'folder' END AS source FROM photos_events")
+def m5(spark, sf):
+    p = a.photos_events(spark, sf)
+    k = F.col("photo_id") % 3
+    candidate = lambda cond, value, name: F.when(cond, F.struct(value.alias("s"), F.lit(name).alias("source")))
+    folder = F.unix_seconds(dates.folder_date(F.col("folder")).cast("timestamp"))
+    first = F.filter(F.array(candidate(k == 0, F.col("capture_s"), "exif"), candidate(k <= 1, dates.name_date(F.col("name")), "name"), candidate(F.lit(True), folder, "folder")), lambda x: x.isNotNull())
+    return p.withColumn("first", F.get(first, F.lit(0))).select("photo_id", F.col("first.s").alias("effective_s"), F.col("first.source").alias("source"))
+
+
+@query("m6_shift", _P + " SELECT photo_id, capture_s + CASE WHEN camera = 'cam3' THEN -93600 ELSE 0 END AS shifted_s FROM photos_events")
+def m6(spark, sf):
+    return a.photos_events(spark, sf).select("photo_id", (F.col("capture_s") + F.when(F.col("camera") == "cam3", -93600).otherwise(0)).alias("shifted_s"))
+
+
+@query("m7_flags", _P + " SELECT photo_id, CAST(CASE WHEN camera = 'cam3' THEN 4 ELSE 0 END + CASE WHEN capture_s % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS flags FROM photos_events")
+def m7(spark, sf):
+    bit = lambda c, b: F.when(c, b).otherwise(0)
+    return a.photos_events(spark, sf).select("photo_id", (bit(F.col("camera") == "cam3", 4) + bit(F.col("capture_s") % 2 == 0, 1)).cast("int").alias("flags"))
+
+
+@query("f18_media_filter", _P + " SELECT photo_id FROM photos_events WHERE camera = 'cam3' AND kind = 'click' AND folder >= '2024-01-10'")
+def f18(spark, sf):
+    return a.photos_events(spark, sf).where("camera = 'cam3' and kind = 'click' and folder >= '2024-01-10'").select("photo_id")
+
+
+@query("m8_camera_key", _P + " SELECT camera, kind, lower(camera) || '|' || kind AS camera_key FROM photos_events GROUP BY ALL")
+def m8(spark, sf):
+    return a.photos_events(spark, sf).select("camera", "kind", F.concat_ws("|", F.lower("camera"), "kind").alias("camera_key")).distinct()
+
+
+@query("m9_events", _P + " SELECT folder, count(DISTINCT camera) AS cameras, count(*) AS photos FROM photos_events GROUP BY 1 HAVING count(DISTINCT camera) >= 2")
+def m9(spark, sf):
+    return dates.events(a.photos_events(spark, sf))
+
+
+@query("m10_candidates", _CAND.replace("{m}", "0") + " SELECT folder, camera, delta FROM cand")
+def m10(spark, sf):
+    return dates.offset_candidates(a.photos_events(spark, sf), 0)
+
+
+@query(
+    "m12_offset",
+    _CAND.replace("{m}", "0")
+    + """, r AS (SELECT *, row_number() OVER (PARTITION BY camera ORDER BY delta, folder) AS r, count(*) OVER (PARTITION BY camera) AS n FROM cand)
+    SELECT camera, max(n) AS folders, -CAST(round(max(CASE WHEN r = (n + 1) // 2 THEN delta END) / 60) AS BIGINT) * 60 AS suggested FROM r GROUP BY camera HAVING max(delta) - min(delta) <= 36000""",
+)
+def m12(spark, sf):
+    return dates.offsets(dates.offset_candidates(a.photos_events(spark, sf), 0), 36000)
+
+
+@query("m14_template", _P + " SELECT photo_id, strftime(CAST(folder AS DATE), '%Y/%m') || '/' || folder AS target FROM photos_events")
+def m14(spark, sf):
+    day = dates.folder_date(F.col("folder"))
+    return a.photos_events(spark, sf).select("photo_id", F.concat(F.date_format(day, "yyyy/MM"), F.lit("/"), F.col("folder")).alias("target"))
+
+
+@query("m15_rename", _P + " SELECT photo_id, substr(name, 5, 15) || '_' || name AS renamed FROM photos_events")
+def m15(spark, sf):
+    return a.photos_events(spark, sf).select("photo_id", F.concat(F.substring("name", 5, 15), F.lit("_"), F.col("name")).alias("renamed"))
+
+
+@query("o11_media_page", _P + " SELECT photo_id, capture_s FROM photos_events ORDER BY capture_s, photo_id LIMIT 100")
+def o11(spark, sf):
+    return a.photos_events(spark, sf).select("photo_id", "capture_s").orderBy(F.asc_nulls_last("capture_s"), "photo_id").limit(100)
+
+
+@query("o14_camera_order", _P + " SELECT camera, count(*) AS photos, row_number() OVER (ORDER BY CASE WHEN camera = 'cam3' THEN 0 ELSE 1 END, count(*) DESC, camera) AS place FROM photos_events GROUP BY 1")
+def o14(spark, sf):
+    from pyspark.sql import Window
+
+    per = a.photos_events(spark, sf).groupBy("camera").agg(F.count(F.lit(1)).alias("photos"))
+    order = Window.orderBy(F.when(F.col("camera") == "cam3", 0).otherwise(1), F.desc("photos"), "camera")
+    return per.withColumn("place", F.row_number().over(order).cast("long"))
+
+
+@query("s9_tail", "SELECT event_id, event_type FROM events WHERE event_id > 5000 ORDER BY event_id LIMIT 200")
+def s9(spark, sf):
+    return a.table(spark, sf, "events").where("event_id > 5000").orderBy("event_id").limit(200).select("event_id", "event_type")
+
+
+@query("t7_prune", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
+def t7(spark, sf):
+    e = a.table(spark, sf, "events")
+    last = e.agg(F.max("ts").alias("last"))
+    return e.join(F.broadcast(last), F.col("ts") >= F.col("last") - F.expr("interval 7 days")).select("event_id")

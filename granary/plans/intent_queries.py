@@ -1 +1,169 @@
-from granary.plans.registry import query  # noqa: F401
+"""Decisions, tags, selections, review lists (I*, A16, A18, A22-A26, W5, W6, D11-D16)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from granary.functions.paths import with_ancestors
+from granary.operators import intent
+from granary.plans.registry import query
+from granary.sources import adapters as a
+
+#: Own decisions: a source's folder keeps, some languages discard, some files undecided.
+_OWN = """own AS (SELECT DISTINCT source_id AS own_path, 'keep' AS own_decision, 1 AS level FROM tree_docs WHERE source_id IN ('src1', 'src2', 'src3')
+  UNION ALL SELECT DISTINCT source_id || '/' || kind, 'discard', 2 FROM tree_docs WHERE kind = 'de'
+  UNION ALL SELECT path, 'undecided', 3 FROM tree_docs WHERE entry_id % 9 = 0)"""
+_I = a.with_tables(
+    a.TREE_DOCS,
+    _OWN,
+    """spots AS (SELECT path, path AS spot FROM tree_docs UNION ALL SELECT path, source_id FROM tree_docs UNION ALL SELECT path, source_id || '/' || kind FROM tree_docs)""",
+    """near AS (SELECT path, own_decision, own_path FROM spots JOIN own ON spot = own.own_path QUALIFY row_number() OVER (PARTITION BY path ORDER BY level DESC) = 1)""",
+    """eff AS (SELECT t.*, coalesce(n.own_decision, 'undecided') AS decision, n.own_path AS origin FROM tree_docs t LEFT JOIN near n USING (path))""",
+)
+
+
+def own(spark, sf):
+    t = a.tree_docs(spark, sf)
+    keep = t.where("source_id in ('src1', 'src2', 'src3')").select(F.col("source_id").alias("own_path"), F.lit("keep").alias("own_decision")).distinct()
+    discard = t.where("kind = 'de'").select(F.concat_ws("/", "source_id", "kind").alias("own_path"), F.lit("discard").alias("own_decision")).distinct()
+    back = t.where("entry_id % 9 = 0").select(F.col("path").alias("own_path"), F.lit("undecided").alias("own_decision"))
+    return keep.unionByName(discard).unionByName(back)
+
+
+def effective(spark, sf):
+    return intent.effective_decisions(a.tree_docs(spark, sf), own(spark, sf))
+
+
+@query("i1_effective", _I + " SELECT entry_id, decision, origin FROM eff")
+def i1(spark, sf):
+    return effective(spark, sf).select("entry_id", "decision", "origin")
+
+
+@query("w6_nearest", _I + " SELECT path, own_decision, own_path FROM near")
+def w6(spark, sf):
+    return effective(spark, sf).where("origin is not null").select("path", F.col("decision").alias("own_decision"), F.col("origin").alias("own_path"))
+
+
+@query("i2_bulk_guard", _I + " SELECT entry_id, decision = 'keep' AS skipped FROM eff WHERE kind = 'en'")
+def i2(spark, sf):
+    return effective(spark, sf).where("kind = 'en'").select("entry_id", (F.col("decision") == "keep").alias("skipped"))
+
+
+@query(
+    "a16_decision_totals",
+    _I + ", e(decision) AS (VALUES ('keep'), ('discard'), ('undecided'), ('later')) SELECT e.decision, count(entry_id) AS files, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes FROM e LEFT JOIN eff USING (decision) GROUP BY 1",
+)
+def a16(spark, sf):
+    all_of = spark.createDataFrame([("keep",), ("discard",), ("undecided",), ("later",)], "decision string")
+    t = effective(spark, sf).groupBy("decision").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+    return all_of.join(t, "decision", "left").select("decision", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
+
+
+_T = a.with_tables(a.TREE_DOCS, a.OWNER_LABELS, "tagged AS (SELECT t.path, tag, 3 AS level FROM tree_docs t JOIN owner_labels USING (entry_id) WHERE tag IS NOT NULL UNION ALL SELECT DISTINCT source_id || '/fr', 'french', 2 FROM tree_docs WHERE kind = 'fr')")
+
+
+@query("i4_effective_tags", _T + " SELECT d.entry_id, tag FROM tree_docs d JOIN tagged g ON g.path IN (d.path, d.source_id, d.source_id || '/' || d.kind)")
+def i4(spark, sf):
+    t = a.tree_docs(spark, sf).select("entry_id", "path", "source_id", "kind")
+    mine = t.join(a.owner_labels(spark, sf).where("tag is not null"), "entry_id").select("entry_id", "tag")
+    above = t.where("kind = 'fr'").select(F.concat_ws("/", "source_id", "kind").alias("at"), F.lit("french").alias("tag")).distinct()
+    inherited = with_ancestors(t).join(above, F.col("ancestor") == F.col("at")).select("entry_id", "tag")
+    return mine.unionByName(inherited).distinct()
+
+
+@query("f9_tag_filter", _T + " SELECT DISTINCT d.entry_id FROM tree_docs d JOIN tagged g ON g.path IN (d.path, d.source_id || '/' || d.kind) WHERE tag = 'french'")
+def f9(spark, sf):
+    return i4(spark, sf).where("tag = 'french'").select("entry_id")
+
+
+@query("w5_nearest_tag", _T + " SELECT d.entry_id, tag, max(g.level) AS level FROM tree_docs d JOIN tagged g ON g.path IN (d.path, d.source_id || '/' || d.kind) GROUP BY ALL")
+def w5(spark, sf):
+    return i4(spark, sf).select("entry_id", "tag", F.when(F.col("tag") == "french", 2).otherwise(3).alias("level"))
+
+
+@query("a25_tag_counts", _T + " SELECT tag, count(*) AS n FROM tagged GROUP BY 1")
+def a25(spark, sf):
+    t = a.tree_docs(spark, sf)
+    mine = t.join(a.owner_labels(spark, sf).where("tag is not null"), "entry_id").select("tag")
+    folders = t.where("kind = 'fr'").select("source_id").distinct().select(F.lit("french").alias("tag"))
+    return mine.unionByName(folders).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("i9_ancestors", "SELECT 'src1/en/x.txt' AS path, unnest(['src1', 'src1/en']) AS ancestor")
+def i9(spark, sf):
+    return with_ancestors(spark.createDataFrame([("src1/en/x.txt",)], "path string")).select("path", "ancestor")
+
+
+_SEL = a.with_tables(a.TREE_DOCS, "picked AS (SELECT DISTINCT source_id AS path FROM tree_docs WHERE source_id LIKE 'src1%' UNION SELECT source_id || '/' || kind FROM tree_docs WHERE kind = 'es' UNION SELECT path FROM tree_docs WHERE entry_id % 5 = 0)")
+_TOP = _SEL + ", tops AS (SELECT path FROM picked p WHERE NOT EXISTS (SELECT 1 FROM picked q WHERE p.path LIKE q.path || '/%'))"
+
+
+def picked(spark, sf):
+    t = a.tree_docs(spark, sf)
+    return (
+        t.where("source_id like 'src1%'").select(F.col("source_id").alias("path"))
+        .unionByName(t.where("kind = 'es'").select(F.concat_ws("/", "source_id", "kind").alias("path")))
+        .unionByName(t.where("entry_id % 5 = 0").select("path"))
+        .distinct()
+    )
+
+
+@query("d11_outermost", _TOP + " SELECT path FROM tops")
+def d11(spark, sf):
+    return intent.topmost(picked(spark, sf))
+
+
+@query("x9_topmost", _TOP + " SELECT t.path, count(*) AS files, CAST(sum(d.size) AS BIGINT) AS bytes FROM tops t JOIN tree_docs d ON d.path = t.path OR d.path LIKE t.path || '/%' GROUP BY 1")
+def x9(spark, sf):
+    t = a.tree_docs(spark, sf)
+    tops = intent.topmost(picked(spark, sf)).withColumnRenamed("path", "top")
+    rows = with_ancestors(t.select("path", "size")).select("ancestor", "size").unionByName(t.select(F.col("path").alias("ancestor"), "size"))
+    return rows.join(tops, F.col("ancestor") == F.col("top")).groupBy(F.col("top").alias("path")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+
+
+@query("a26_selection", _TOP + " SELECT count(DISTINCT d.path) AS files, CAST(sum(d.size) AS BIGINT) AS bytes FROM tops t JOIN tree_docs d ON d.path = t.path OR d.path LIKE t.path || '/%'")
+def a26(spark, sf):
+    return x9(spark, sf).agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
+
+
+_CARD = _I + ", cards AS (SELECT CASE WHEN size < 500 THEN 'leftovers' WHEN state = 'pending' THEN 'unchecked' WHEN unreadable THEN 'rescue' END AS list, size, decision = 'undecided' AS is_open FROM eff)"
+
+
+@query("a18_cards", _CARD + " SELECT list, count(*) FILTER (is_open) AS open_rows, CAST(coalesce(sum(size) FILTER (is_open), 0) AS BIGINT) AS open_bytes, count(*) FILTER (NOT is_open) AS decided_rows, CAST(coalesce(sum(size) FILTER (NOT is_open), 0) AS BIGINT) AS decided_bytes FROM cards WHERE list IS NOT NULL GROUP BY 1")
+def a18(spark, sf):
+    e = effective(spark, sf)
+    list_ = F.when(F.col("size") < 500, "leftovers").when(F.col("state") == "pending", "unchecked").when(F.col("unreadable"), "rescue")
+    open_ = F.col("decision") == "undecided"
+    amount = lambda c: F.sum(F.when(c, F.col("size")).otherwise(0))
+    return e.withColumn("list", list_).where("list is not null").groupBy("list").agg(
+        F.count_if(open_).alias("open_rows"), amount(open_).alias("open_bytes"), F.count_if(~open_).alias("decided_rows"), amount(~open_).alias("decided_bytes")
+    )
+
+
+@query("d12_leftovers", _I + " SELECT entry_id, CASE WHEN size = 0 THEN 'empty' WHEN size < 300 THEN 'tiny' ELSE 'partial' END AS reason FROM eff WHERE size < 300 OR state = 'sampled'")
+def d12(spark, sf):
+    s = F.col("size")
+    return a.tree_docs(spark, sf).where("size < 300 or state = 'sampled'").select("entry_id", F.when(s == 0, "empty").when(s < 300, "tiny").otherwise("partial").alias("reason"))
+
+
+@query("d16_open", _I + " SELECT entry_id, decision = 'undecided' AS is_open FROM eff WHERE state = 'hashed'")
+def d16(spark, sf):
+    return effective(spark, sf).where("state = 'hashed'").select("entry_id", (F.col("decision") == "undecided").alias("is_open"))
+
+
+@query("a22_summary", _I + " SELECT decision, state, count(*) AS n, count(*) FILTER (unreadable) AS unreadable FROM eff GROUP BY ALL")
+def a22(spark, sf):
+    return effective(spark, sf).groupBy("decision", "state").agg(F.count(F.lit(1)).alias("n"), F.count_if("unreadable").alias("unreadable"))
+
+
+@query("a24_state_counts", a.with_tables(a.TREE_DOCS) + " SELECT count(*) AS all_rows, count(*) FILTER (state = 'hashed') AS hashed, count(*) FILTER (state <> 'hashed') AS other FROM tree_docs")
+def a24(spark, sf):
+    return a.tree_docs(spark, sf).agg(F.count(F.lit(1)).alias("all_rows"), F.count_if(F.col("state") == "hashed").alias("hashed"), F.count_if(F.col("state") != "hashed").alias("other"))
+
+
+@query("w3_heads", "SELECT user_id % 5 AS claim, event_type AS kind, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 5, event_type ORDER BY ts, event_id) = 1")
+def w3(spark, sf):
+    e = a.table(spark, sf, "events")
+    first = e.groupBy((F.col("user_id") % 5).alias("claim"), F.col("event_type").alias("kind")).agg(F.min(F.struct("ts", "event_id")).alias("f"))
+    return first.select("claim", "kind", F.col("f.event_id").alias("event_id"))
