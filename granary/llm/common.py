@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,14 +41,22 @@ def id_bucket(id_col: str | Column, modulus: int) -> Column:
     return (F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % modulus).cast("int")
 
 
-def prefix_sums(df: DataFrame, order: list[str], value: str) -> DataFrame:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller pieces, so that what a task holds in Python stays small."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
+def prefix_sums(df: DataFrame, order: list[str], value: str, keep_range: bool = False) -> DataFrame:
     """Exclusive running sum of ``value`` and global row number over the whole table.
 
     Rows are dealt into key ranges, each range is summed by itself, and the
     sums of the ranges (one row per partition, so a bounded table) become the
     offsets.  Adds ``prefix_before`` and ``row_index``; the table is
     checkpointed once so that the ranges stay the same for both readings.
-    Equal rows take consecutive places in any order.
+    Equal rows take consecutive places in any order.  ``keep_range`` keeps the
+    number of the row's range as ``range_id``.
     """
     n = partitions(df.sparkSession)
     ranged = checkpoint(
@@ -71,5 +81,5 @@ def prefix_sums(df: DataFrame, order: list[str], value: str) -> DataFrame:
         .join(F.broadcast(offsets), "range_id")  # at most one row per partition
         .withColumn("prefix_before", F.col("inside_sum") + F.col("sum_offset"))
         .withColumn("row_index", F.col("inside_row") + F.col("row_offset"))
-        .drop("range_id", "inside_sum", "inside_row", "sum_offset", "row_offset")
+        .drop("inside_sum", "inside_row", "sum_offset", "row_offset", *([] if keep_range else ["range_id"]))
     )

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import checkpoint
+from granary.llm.common import checkpoint, slices
 
 PIECE = 48
 
@@ -99,7 +99,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             trees = [tree(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -157,7 +157,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         last = None
-        for b in batches:
+        for b in slices(batches):
             ids, results = [], []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = tree(text)
@@ -184,7 +184,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
 
     def straddle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
             results = [_compare(t, tree(t), f, tree(f)) for t, f in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in results], t) for k, t in enumerate(types))], ["id", *fields])

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import checkpoint, partitions
+from granary.llm.common import checkpoint, partitions, slices
 from granary.llm.graph import components
 
 #: (lowest bit, width) of each segment.
@@ -111,7 +111,7 @@ def fingerprints(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_c
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps = [shingle_votes(t.as_py(), width) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
 

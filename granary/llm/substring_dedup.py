@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import checkpoint, partitions
+from granary.llm.common import checkpoint, partitions, slices
 
 #: Later rounds make symbols that fewer unrelated texts share, but whose spans fit fewer windows.
 ROUNDS = 6
@@ -201,7 +201,7 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
         return out.drop("other_id", "other_key")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2048):
             for who, first, count, name, words in stretches(b.column(1).to_pylist(), window):
                 at = pa.array(who)
                 yield pa.RecordBatch.from_arrays(
@@ -223,7 +223,7 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     dealt = rows.select("id", "body", "text_key").repartition(partitions(docs.sparkSession), "text_key")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             for k, (text, ranges) in enumerate(zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)):
                 names = word_names(text.encode("utf-8", "surrogatepass").split())
                 starts = np.unique(np.concatenate([np.arange(r["first"], r["first"] + r["n"]) for r in ranges]))
@@ -245,7 +245,7 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
-        for b in batches:
+        for b in slices(batches):
             counts, spans, kept = [], [], []
             for text, ranges in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = text.encode("utf-8", "surrogatepass").split()
