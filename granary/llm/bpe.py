@@ -23,8 +23,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fragments and words kept per worker; a full table is emptied.
-SEEN_MOST = 150_000
+from granary.llm.common import slices
+
+#: Words and fragments kept per worker; a full table is emptied.
+SEEN_WORDS, SEEN_FRAGMENTS = 400_000, 50_000
 
 
 def byte_letters() -> list[str]:
@@ -91,7 +93,7 @@ class Codec:
             if k == len(symbols) or not self.can_meet[symbols[k - 1], symbols[k]]:
                 fragment = tuple(symbols[start:k])
                 if (ids := self.fragments.get(fragment)) is None:
-                    if len(self.fragments) >= SEEN_MOST:
+                    if len(self.fragments) >= SEEN_FRAGMENTS:
                         self.fragments.clear()
                     ids = self.merge(fragment)
                     if len(fragment) <= 64:
@@ -103,7 +105,7 @@ class Codec:
     def unseen(self, word: str) -> bytes:
         ids = [i for piece in self.pieces(word) for i in self.word(piece)]
         packed = np.array(ids, "<u4").tobytes()
-        if len(self.words) >= SEEN_MOST:
+        if len(self.words) >= SEEN_WORDS:
             self.words.clear()
         if len(word) <= 64:
             self.words[word] = packed
@@ -153,7 +155,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
+        for b in slices(batches):
             packed = [c.encode(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64())],
@@ -170,7 +172,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "token_ids") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
+        for b in slices(batches):
             texts = [c.decode(x.as_py() or b"") for x in b.column(b.schema.get_field_index(ids_col))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "decoded"])
 
