@@ -9,8 +9,13 @@ together with all turns before it.  All trees are written depth-first as one
 stream of code points, each node once.  A node has its place in the stream, the
 position id of its first code point (the length of its ancestors' text, so a
 branch continues where its parent ended) and the stream intervals it may attend
-to: its ancestors' and its own.  The loss mask of a node is the span of an
-assistant's text.
+to: its ancestors' and its own, where neighbours are one interval.  The loss mask
+of a node is the span of an assistant's text.
+
+A run is a stretch of the stream in which each node is the child of the one
+before.  Inside a run the attended text is contiguous, so intervals are found
+for runs, by pointer doubling over the run above, and a conversation of any
+length costs one row per turn.
 
 Turns go by turn number (nulls first), then role, then text.  Conversations with
 a null id are one conversation.  An empty table gives no nodes.
@@ -23,7 +28,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import checkpoint, prefix_sums
@@ -32,8 +37,8 @@ OPEN, BODY, CLOSE = "<s>", "[INST]", "[/INST]</s>"
 _CONTROL = re.compile(r"\\|</?s>|\[/?INST\]")
 _ESCAPED = re.compile(r"\\(\\|</?s>|\[/?INST\])")
 _TURN = re.compile(r"<s>((?:\\(?:\\|</?s>|\[/?INST\])|[^\\])*?)\[INST\]((?:\\(?:\\|</?s>|\[/?INST\])|[^\\])*?)\[/INST\]</s>", re.S)
-#: Bytes of a node's label in its path.
-LABEL = 10
+#: Bytes of a node's name; a path is the names from the root on.
+LABEL = 16
 
 
 def escape(text: str) -> str:
@@ -88,10 +93,11 @@ def _paths(turns: DataFrame) -> DataFrame:
 def prefix_tree(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(nodes, leaves).
 
-    Nodes: ``path`` (the node's name), ``segment``, ``start`` and ``stop`` in the
-    stream, ``position`` (id of its first code point), ``attends`` (array of
-    ``start``/``stop``, root first, own last), ``loss_start`` and ``loss_stop``
-    (offsets in the segment).  Leaves: ``conv`` and the ``path`` it ends at.
+    Nodes: ``name``, ``segment``, ``start`` and ``stop`` in the stream,
+    ``position`` (id of its first code point), ``attends`` (array of
+    ``start``/``stop`` in stream order, the last one ending with the node itself),
+    ``loss_start`` and ``loss_stop`` (offsets in the segment).  Leaves: ``conv``
+    and the ``path`` (names) of the node it ends at.
     """
     clean = turns.select(
         F.col(conv_col).alias("conv"),
@@ -105,33 +111,45 @@ def prefix_tree(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     distinct = steps.groupBy("path").agg(
         F.first("segment").alias("segment"), *(F.max(c).alias(c) for c in ("size", "position", "depth", "loss_start", "loss_stop"))
     )
+    in_range = Window.partitionBy("range_id").orderBy("path")
+    above = F.expr(f"substring(path, 1, length(path) - {LABEL})")
+    before = F.lag("path").over(in_range)
     placed = checkpoint(
-        prefix_sums(distinct, ["path"], "size").select(
-            "path", "segment", "depth", "position", "loss_start", "loss_stop", F.col("prefix_before").alias("start"), (F.col("prefix_before") + F.col("size")).alias("stop")
+        prefix_sums(distinct, ["path"], "size", keep_range=True)
+        .withColumn("start", F.col("prefix_before"))
+        .withColumn("head", F.when(before.isNull() | (before != above), F.col("start")))
+        .withColumn("run", F.last("head", ignorenulls=True).over(in_range.rowsBetween(Window.unboundedPreceding, 0)))
+        .select(
+            F.expr(f"substring(path, -{LABEL})").alias("name"),
+            F.expr(f"substring(path, length(path) - {2 * LABEL - 1}, {LABEL})").alias("parent"),
+            F.col("depth"), "segment", "position", "loss_start", "loss_stop", "start", (F.col("start") + F.col("size")).alias("stop"), "run",
         )
     )
-    above = placed.select("path", F.explode(F.sequence(F.lit(1), F.col("depth") + 1)).alias("level")).select(
-        F.col("path").alias("of"), F.expr(f"substring(path, 1, cast(level * {LABEL} as int))").alias("path")
-    )
-    attends = (
-        above.join(placed.select("path", "start", "stop"), "path")
-        .groupBy("of")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("attends"))
+    heads = placed.where("start = run and depth > 0").select("run", "parent")
+    parents = placed.select(F.col("name").alias("parent"), F.col("run").alias("up"), F.col("stop").alias("up_stop"))
+    chains = checkpoint(heads.join(parents, "parent").select("run", "up", F.array(F.struct(F.col("up").alias("start"), F.col("up_stop").alias("stop"))).alias("over")))
+    while not chains.where("up is not null").isEmpty():
+        further = chains.select(F.col("run").alias("up"), F.col("up").alias("next"), F.col("over").alias("more"))
+        chains = checkpoint(
+            chains.join(further, "up", "left").select("run", F.col("next").alias("up"), F.when(F.col("more").isNull(), F.col("over")).otherwise(F.concat("more", "over")).alias("over"))
+        )
+    own = F.array(F.struct(F.col("run").alias("start"), "stop"))
+    nodes = placed.join(chains.select("run", "over"), "run", "left").select(
+        "name", "segment", "start", "stop", "position", F.when(F.col("over").isNull(), own).otherwise(F.concat("over", own)).alias("attends"), "loss_start", "loss_stop"
     )
-    nodes = placed.join(attends, placed["path"] == attends["of"]).drop("of", "depth")
     return nodes, steps.where("last").select("conv", "path")
 
 
 def read_back(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
-    """``conv`` and ``formatted``: what a conversation's last node attends to, in stream order, with ``losses``.
+    """``conv`` and ``formatted``: the nodes on the path of a conversation, in stream order, with ``losses``.
 
     ``losses`` are the masked spans in ``formatted`` (``start``/``stop``).
     """
-    nodes = checkpoint(nodes)
-    seen = leaves.join(nodes.select("path", "attends"), "path").select("conv", F.explode("attends").alias("interval"))
-    pieces = seen.select("conv", F.col("interval.start").alias("start")).join(
-        nodes.select("start", "segment", "position", "loss_start", "loss_stop"), "start"
+    steps = F.sequence(F.lit(0), F.expr(f"length(path) div {LABEL} - 1").cast("int"))
+    seen = leaves.select("conv", "path", F.explode(steps).alias("step")).select(
+        "conv", F.expr(f"substring(path, step * {LABEL} + 1, {LABEL})").alias("name")
     )
+    pieces = seen.join(nodes.select("name", "start", "segment", "position", "loss_start", "loss_stop"), "name")
     joined = pieces.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("start", "position", "segment", "loss_start", "loss_stop"))).alias("parts"))
     return joined.select(
         "conv",

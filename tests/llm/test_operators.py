@@ -169,6 +169,8 @@ def test_chat_reads_back_and_shares_prefixes(spark):
         (5, 1, "assistant", ""), (5, 1, "assistant", ""), (5, None, "system", "first"),
         (None, 0, "user", "nobody"),
         (6, 0, "user", "hello"), (6, 1, "assistant", "hi \\ there\n"), (6, 2, "user", "bye"),
+        *((7, k, ("user", "assistant")[k % 2], f"long {k}") for k in range(300)),
+        *((8 + j, k, "user", f"long {k}" if k < 3 * j else f"off {j} {k}") for j in range(9) for k in range(30)),
     ]
     turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("path", F.lit("clash")).withColumn("start", F.lit(1))
     nodes, leaves = chat.prefix_tree(turns)
@@ -176,10 +178,12 @@ def test_chat_reads_back_and_shares_prefixes(spark):
     stream = {}
     for r in listed:
         assert r.stop - r.start == len(r.segment)
-        assert r.position == sum(a.stop - a.start for a in r.attends[:-1])
+        assert r.position + len(r.segment) == sum(a.stop - a.start for a in r.attends)
         assert [a.start for a in r.attends] == sorted(a.start for a in r.attends) and r.attends[-1].stop == r.stop
         stream[r.start] = r.segment
     order = sorted(stream)
+    whole = "".join(stream[k] for k in order)
+    attended = {"".join(whole[a.start : a.stop] for a in r.attends) for r in listed}
     assert order[0] == 0 and all(a + len(stream[a]) == b for a, b in zip(order, order[1:], strict=False))
     assert sum("hello" in s for s in stream.values()) == 1
     got = {r.conv: r for r in chat.digests(chat.read_back(nodes, leaves)).collect()}
@@ -189,6 +193,8 @@ def test_chat_reads_back_and_shares_prefixes(spark):
     assert set(got) == set(by)
     for c, said in by.items():
         said.sort()
+        for k in range(1, len(said) + 1):
+            assert "".join(chat.segment(r, t) for _, r, t in said[:k]) in attended
         loss = "".join(t for _, role, t in said if role == "assistant")
         assert got[c].n_turns == len(said)
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in said).encode()).hexdigest()
