@@ -83,14 +83,29 @@ def place_sums(placed: DataFrame) -> DataFrame:
 
 
 def preferred_copies(files: DataFrame) -> DataFrame:
-    """For each hashed file its preferred other copy: another source first, then the smallest id; its own inode is none."""
+    """For each hashed file its preferred other copy: another source first, then the smallest id; its own inode is none.
+
+    No pairs are made: of a content the first two sources, and of a content on
+    a source the first two physical copies, hold the answer for every file.
+    """
     f = files.where("state = 'hashed' and size > 0").withColumn("pkey", physical_key())
-    other = f.select(
-        F.col("digest"), F.col("entry_id").alias("copy_id"), F.col("source_id").alias("copy_source"), F.col("pkey").alias("copy_pkey")
-    )
-    pairs = f.join(other, "digest").where("pkey <> copy_pkey")
-    order = Window.partitionBy("entry_id").orderBy((F.col("copy_source") == F.col("source_id")).cast("int"), "copy_id")
-    return pairs.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("entry_id", "copy_id", "copy_source")
+    each = f.groupBy("digest", "source_id", "pkey").agg(F.min("entry_id").alias("id"))
+    here = _first_two(each, ["digest", "source_id"], "pkey").withColumnsRenamed({"first": "here1", "second": "here2"})
+    per_source = each.groupBy("digest", "source_id").agg(F.min("id").alias("id"))
+    away = _first_two(per_source, ["digest"], "source_id").withColumnsRenamed({"first": "away1", "second": "away2"})
+    other = lambda own, a, b: F.when(F.col(f"{a}.key") != F.col(own), F.col(a)).otherwise(F.col(b))
+    found = f.join(here, ["digest", "source_id"]).join(away, "digest").withColumns({"away": other("source_id", "away1", "away2"), "here": other("pkey", "here1", "here2")})
+    return found.select(
+        "entry_id", F.coalesce("away.id", "here.id").alias("copy_id"), F.coalesce("away.key", "source_id").alias("copy_source")
+    ).where("copy_id is not null")
+
+
+def _first_two(rows: DataFrame, by: list[str], key: str) -> DataFrame:
+    """Per group the rows with the two smallest ids as (``id``, ``key``); ``second`` is null where there is one."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("id"))
+    pair = F.struct("id", F.col(key).alias("key"))
+    top = rows.withColumn("rank", rank).where("rank <= 2")
+    return top.groupBy(*by).agg(F.min(pair).alias("first"), F.max(F.when(F.col("rank") == 2, pair)).alias("second"))
 
 
 def split_archive(size: int, weights: list[int]) -> list[int]:
