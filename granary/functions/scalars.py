@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,3 +50,30 @@ def zip_member_name(raw: pd.Series) -> pd.Series:
         return shown(bytes(b))
 
     return raw.map(one)
+
+
+def preview_text(raw: bytes, most: int) -> tuple[str, str]:
+    """Encoding and text of the first ``most`` bytes: by byte-order mark, else UTF-8 if valid, else windows-1252.
+
+    A character that the cap cuts is left out; bytes that an encoding lacks
+    become the replacement character.
+    """
+    b, cut = raw[:most], len(raw) > most
+    for mark, encoding in ((b"\xef\xbb\xbf", "UTF-8"), (b"\xff\xfe", "UTF-16LE"), (b"\xfe\xff", "UTF-16BE")):
+        if b.startswith(mark):
+            return encoding, codecs.getincrementaldecoder(encoding)("replace").decode(b[len(mark) :], not cut)
+    try:
+        return "UTF-8", codecs.getincrementaldecoder("utf-8")("strict").decode(b, not cut)
+    except UnicodeDecodeError:
+        return "windows-1252", b.decode("cp1252", "replace")
+
+
+def text_preview(raw: Column, most: int = 1 << 16) -> Column:
+    """``encoding`` and ``text`` of the start of binary content; null of null."""
+
+    @F.pandas_udf("encoding string, text string")
+    def one(values: pd.Series) -> pd.DataFrame:
+        found = [(None, None) if v is None else preview_text(bytes(v), most) for v in values]
+        return pd.DataFrame(found, columns=["encoding", "text"])
+
+    return one(raw)

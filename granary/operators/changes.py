@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.paths import depth, parent, with_ancestors
+
 
 def same_time(a: Column, b: Column, resolution: int, local_time: bool) -> Column:
     """Equal within the file system's resolution, or, where it keeps local time, an hour apart within it."""
@@ -44,3 +46,38 @@ def last_copies(discards: DataFrame, copies: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("digest").orderBy("path", "entry_id")
     return discards.withColumn("before", F.row_number().over(order)).join(copies, "digest").select("entry_id", (F.col("before") >= F.col("n")).alias("refused"))
+
+
+def merge_draft(only_here: DataFrame, there: DataFrame) -> DataFrame:
+    """Moves of files (``path``) that only one side has to the same path of the other, and the folders to make first.
+
+    ``op`` is mkdir, rename or conflict (the path is taken there); ``level`` is
+    the depth, by which folders are made from the top.
+    """
+    taken = there.select("path").distinct()
+    at = only_here.select("path").distinct().join(taken.withColumn("taken", F.lit(True)), "path", "left")
+    moves = at.select(F.when(F.col("taken"), "conflict").otherwise("rename").alias("op"), "path", depth(F.col("path")).alias("level"))
+    folders = lambda d: with_ancestors(d.select("path")).select(F.col("ancestor").alias("path"), "level").distinct()
+    new = folders(moves.where("op = 'rename'")).join(folders(taken).select("path"), "path", "left_anti")
+    return new.select(F.lit("mkdir").alias("op"), "path", "level").unionByName(moves)
+
+
+def restore_draft(items: DataFrame, present: DataFrame, fold_case: bool = False) -> DataFrame:
+    """Where items (``entry_id``, ``origin``) can go back: ``state`` planned, no_folder, taken or taken_in_plan.
+
+    ``present`` has the ``path`` of every entry that is there.  Of items that
+    go to one name the first in path order, then by id, has it.
+    """
+    key = (lambda c: F.lower(c)) if fold_case else (lambda c: c)
+    folders = with_ancestors(present.select("path")).select(F.col("ancestor").alias("folder")).distinct()
+    names = present.select(key(F.col("path")).alias("name_key")).distinct().withColumn("taken", F.lit(True))
+    at = items.withColumns({"folder": parent(F.col("origin")), "name_key": key(F.col("origin"))})
+    known = at.join(folders.withColumn("there", F.lit(True)), "folder", "left").join(names, "name_key", "left")
+    order = Window.partitionBy("name_key").orderBy("origin", "entry_id")
+    state = (
+        F.when(F.col("there").isNull() & (F.col("folder") != ""), "no_folder")
+        .when(F.col("taken"), "taken")
+        .when(F.row_number().over(order) > 1, "taken_in_plan")
+        .otherwise("planned")
+    )
+    return known.select("entry_id", "origin", state.alias("state"))

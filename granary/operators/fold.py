@@ -27,12 +27,9 @@ def totals(entries: DataFrame, root: bool = True) -> DataFrame:
     )
 
 
-def breakdown(entries: DataFrame, key: str, most_level: int | None = None) -> DataFrame:
+def breakdown(entries: DataFrame, key: str) -> DataFrame:
     """Per folder and value of ``key``: ``files``, ``bytes``."""
-    rows = with_ancestors(entries, True)
-    if most_level is not None:
-        rows = rows.where(F.col("level") <= most_level)
-    return rows.groupBy("ancestor", key).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+    return with_ancestors(entries, True).groupBy("ancestor", key).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
 
 
 def first_by(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -60,12 +57,9 @@ def composition(entries: DataFrame, groups: DataFrame) -> DataFrame:
     return marked.withColumn("shown", family).groupBy("ancestor", "shown").agg(F.sum("size").alias("bytes"))
 
 
-def top_per_folder(entries: DataFrame, most: int, *order: Column, level: int | None = None) -> DataFrame:
+def top_per_folder(entries: DataFrame, most: int, *order: Column) -> DataFrame:
     """At most ``most`` rows below each folder with their ``rank``, in a total order."""
-    rows = with_ancestors(entries, True)
-    if level is not None:
-        rows = rows.where(F.col("level") == level)
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("ancestor").orderBy(*order))).where(F.col("rank") <= most)
+    return with_ancestors(entries, True).withColumn("rank", F.row_number().over(Window.partitionBy("ancestor").orderBy(*order))).where(F.col("rank") <= most)
 
 
 def median_long(rows: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -32,3 +32,13 @@ def topmost(paths: DataFrame, column: str = "path") -> DataFrame:
     p = paths.select(F.col(column).alias("path")).distinct()
     covered = with_ancestors(p, True).join(p.withColumnRenamed("path", "top"), F.col("ancestor") == F.col("top"), "left_semi").select("path").distinct()
     return p.join(covered, "path", "left_anti").withColumnRenamed("path", column)
+
+
+def rescue(indicators: DataFrame, groups: DataFrame) -> DataFrame:
+    """Valuable entries (``path``, ``bytes``) inside disposable groups (``path``), each under its outermost group.
+
+    An indicator inside another one is no row, so no byte counts twice.
+    """
+    g = groups.select(F.col("path").alias("group_path")).distinct()
+    inside = with_ancestors(indicators, True).join(g, F.col("ancestor") == F.col("group_path")).groupBy("path", "bytes").agg(F.min_by("group_path", "level").alias("group_path"))
+    return inside.join(topmost(inside), "path", "left_semi").select("group_path", "path", "bytes")

@@ -70,3 +70,43 @@ def compare(left: DataFrame, right: DataFrame) -> DataFrame:
         F.when(F.col("right_path").isNull(), "only_left").when(F.col("left_path").isNull(), "only_right").otherwise("different").alias("bucket"),
     )
     return same.unionByName(rest)
+
+
+def drop_wrapper(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two sides, without a lone top folder around one of them.
+
+    It goes if exactly one side has it and more of that side's paths then occur
+    on the other.  The decision is one row per side, joined to the files.
+    """
+    top = F.substring_index("path", "/", 1)
+    bare = F.expr("substring(path, length(substring_index(path, '/', 1)) + 2)")
+
+    def facts(own: DataFrame, other: DataFrame) -> DataFrame:
+        at = other.select(F.col("path").alias("other_path")).distinct()
+        hits = lambda c, name: own.select(c.alias("p")).join(at, F.col("p") == F.col("other_path"), "left_semi").agg(F.count(F.lit(1)).alias(name))
+        lone = own.agg((F.min(top) == F.max(top)) & F.bool_and(F.contains("path", F.lit("/")))).toDF("lone").select(F.coalesce("lone", F.lit(False)).alias("lone"))
+        return lone.join(F.broadcast(hits(bare, "inside"))).join(F.broadcast(hits(F.col("path"), "whole")))
+
+    def stripped(own: DataFrame, other: DataFrame) -> DataFrame:
+        mine = facts(own, other).select("lone", (F.col("inside") > F.col("whole")).alias("better"))
+        theirs = other.agg(F.coalesce((F.min(top) == F.max(top)) & F.bool_and(F.contains("path", F.lit("/"))), F.lit(False)).alias("other_lone"))
+        drop = mine.join(F.broadcast(theirs)).select((F.col("lone") & ~F.col("other_lone") & F.col("better")).alias("drop"))
+        return own.join(F.broadcast(drop)).withColumn("path", F.when(F.col("drop"), bare).otherwise(F.col("path"))).drop("drop")
+
+    return stripped(left, right), stripped(right, left)
+
+
+def maximal(found: DataFrame) -> DataFrame:
+    """Relations (``a``, ``b``, ``relation``: folder paths) that no outer pair holds.
+
+    A pair is held where both its folders are, or lie below, those of another
+    pair; an overlap holds overlaps only, a same holds both ways.  Holding
+    is transitive, so it is tested against all pairs at once: each pair is
+    spread over its folders' ancestors, a number bounded by the depths.
+    """
+    up = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, "/", -1))), lambda k: F.array_join(F.slice(F.split(c, "/", -1), 1, k), "/"))
+    spread = found.select("a", "b", "relation", F.explode(up(F.col("a"))).alias("oa")).select("*", F.explode(up(F.col("b"))).alias("ob"))
+    outer = found.select(F.col("a").alias("oa"), F.col("b").alias("ob"), F.col("relation").alias("orel"))
+    back = outer.where("orel = 'same'").select(F.col("ob").alias("oa"), F.col("oa").alias("ob"), "orel")
+    held = spread.join(outer.unionByName(back), ["oa", "ob"]).where("not (a = oa and b = ob) and not (a = ob and b = oa) and (orel <> 'overlap' or relation = 'overlap')")
+    return found.join(held.select("a", "b").distinct(), ["a", "b"], "left_anti")

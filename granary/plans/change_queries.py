@@ -70,11 +70,10 @@ def x5(spark, sf):
     return a.table(spark, sf, "part").withColumn("n", n).select(F.col("p_partkey").alias("seq"), F.when(F.col("n") == 1, F.col("p_type")).otherwise(F.concat("p_type", F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).alias("free_name"))
 
 
-@query("x8_undo", "SELECT o_orderkey AS item, row_number() OVER (ORDER BY o_orderkey DESC) AS step FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders)")
+@query("x8_undo", "SELECT o_custkey AS action, o_orderkey AS item, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS step FROM orders")
 def x8(spark, sf):
-    o = a.table(spark, sf, "orders")
-    one = o.join(F.broadcast(o.agg(F.min("o_custkey").alias("first"))), F.col("o_custkey") == F.col("first"))
-    return one.select(F.col("o_orderkey").alias("item"), F.row_number().over(Window.orderBy(F.desc("o_orderkey"))).cast("long").alias("step"))  # one customer's orders
+    step = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderkey"))).cast("long")
+    return a.table(spark, sf, "orders").select(F.col("o_custkey").alias("action"), F.col("o_orderkey").alias("item"), step.alias("step"))
 
 
 @query("x10_last_copy", _D + ", n AS (SELECT digest, count(*) AS n FROM tree_docs GROUP BY 1) SELECT entry_id, row_number() OVER (PARTITION BY digest ORDER BY path, entry_id) >= n AS refused FROM tree_docs JOIN n USING (digest) WHERE kind <> 'fr'")
@@ -95,11 +94,11 @@ def a23(spark, sf):
     return a.tree_docs(spark, sf).groupBy("source_id", "state", "unreadable").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
 
 
-@query("x20_siblings", _D + " SELECT a.entry_id, b.entry_id AS sibling FROM tree_docs a JOIN tree_docs b ON a.source_id = b.source_id AND a.kind = b.kind AND a.entry_id // 200 = b.entry_id // 200 AND a.entry_id <> b.entry_id")
+@query("x20_siblings", _D + " SELECT entry_id FROM tree_docs t WHERE kind <> 'de' AND EXISTS (SELECT 1 FROM tree_docs m WHERE m.kind = 'de' AND m.source_id = t.source_id AND m.entry_id // 200 = t.entry_id // 200)")
 def x20(spark, sf):
     t = a.tree_docs(spark, sf).select("entry_id", "source_id", "kind", F.expr("entry_id div 200").alias("stem"))
-    o = t.withColumnRenamed("entry_id", "sibling")
-    return t.join(o, ["source_id", "kind", "stem"]).where("entry_id <> sibling").select("entry_id", "sibling")
+    moved = t.where("kind = 'de'").select("source_id", "stem").distinct()
+    return t.where("kind <> 'de'").join(moved, ["source_id", "stem"], "left_semi").select("entry_id")
 
 
 @query("x21_renumber", _D + " SELECT entry_id, row_number() OVER (PARTITION BY source_id ORDER BY entry_id) - 1 AS seq FROM tree_docs WHERE kind IN (SELECT kind FROM tree_docs GROUP BY 1 HAVING count(*) > 120)")
@@ -137,3 +136,37 @@ def s17(spark, sf):
 @query("t4_stream_ingest", "SELECT user_id, count(*) AS n, CAST(max(event_id) AS BIGINT) AS last_id FROM events GROUP BY 1")
 def t4(spark, sf):
     return ingest.latest_by_user(spark, f"{sf}/events.parquet")
+
+
+_MERGE = a.with_tables(
+    a.TREE_DOCS,
+    "here AS (SELECT source_id || '/' || kind || '/' || (entry_id % 39) AS path FROM tree_docs WHERE entry_id % 2 = 0)",
+    "there AS (SELECT source_id || '/' || kind || '/' || (entry_id % 39) AS path FROM tree_docs WHERE entry_id % 2 = 1 AND kind <> 'fr')",
+    "m AS (SELECT DISTINCT path, path IN (SELECT path FROM there) AS taken FROM here)",
+    "up AS (SELECT path, string_split(path, '/') AS p FROM m WHERE NOT taken)",
+    "tu AS (SELECT string_split(path, '/') AS p FROM there)",
+    "made AS (SELECT p[1] AS path, 1 AS level FROM up UNION SELECT p[1] || '/' || p[2], 2 FROM up)",
+    "had AS (SELECT p[1] AS path FROM tu UNION SELECT p[1] || '/' || p[2] FROM tu)",
+)
+
+
+@query("x4_merge", _MERGE + " SELECT 'mkdir' AS op, path, CAST(level AS INTEGER) AS level FROM made WHERE path NOT IN (SELECT path FROM had) UNION ALL SELECT CASE WHEN taken THEN 'conflict' ELSE 'rename' END, path, 3 FROM m")
+def x4(spark, sf):
+    short = F.concat_ws("/", "source_id", "kind", (F.col("entry_id") % 39).cast("string")).alias("path")
+    t = a.tree_docs(spark, sf)
+    return changes.merge_draft(t.where("entry_id % 2 = 0").select(short), t.where("entry_id % 2 = 1 and kind <> 'fr'").select(short))
+
+
+_REST = a.with_tables(
+    a.TREE_DOCS,
+    "s AS (SELECT entry_id, source_id || '/' || kind || '/' || (entry_id % 39) AS path, unreadable, kind FROM tree_docs)",
+    "i AS (SELECT entry_id, path AS origin FROM s WHERE unreadable)",
+    "p AS (SELECT path, regexp_replace(path, '/[^/]*$', '') AS folder FROM s WHERE NOT unreadable AND kind <> 'fr')",
+)
+
+
+@query("x11_restore", _REST + " SELECT entry_id, origin, CASE WHEN regexp_replace(origin, '/[^/]*$', '') NOT IN (SELECT folder FROM p) THEN 'no_folder' WHEN origin IN (SELECT path FROM p) THEN 'taken' WHEN row_number() OVER (PARTITION BY origin ORDER BY entry_id) > 1 THEN 'taken_in_plan' ELSE 'planned' END AS state FROM i")
+def x11(spark, sf):
+    s = a.tree_docs(spark, sf).select("entry_id", F.concat_ws("/", "source_id", "kind", (F.col("entry_id") % 39).cast("string")).alias("path"), "unreadable", "kind")
+    items = s.where("unreadable").select("entry_id", F.col("path").alias("origin"))
+    return changes.restore_draft(items, s.where("not unreadable and kind <> 'fr'").select("path"))

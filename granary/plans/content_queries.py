@@ -298,3 +298,42 @@ def d6(spark, sf):
 def t1(spark, sf):
     f = docs(spark, sf).select(F.col("digest").alias("key"), "size", F.lit("file").alias("arm"))
     return f.unionByName(a.archives_conv(spark, sf).select("key", "size", F.lit("member").alias("arm")))
+
+
+_WRAP = _SIDES + """, wrapped AS (SELECT 'backup/' || path AS path, key FROM sides WHERE NOT is_left),
+  bare AS (SELECT substr(path, 8) AS path, key FROM wrapped),
+  gone AS (SELECT (SELECT count(*) FROM bare WHERE path IN (SELECT path FROM sides WHERE is_left)) > (SELECT count(*) FROM wrapped WHERE path IN (SELECT path FROM sides WHERE is_left))
+    AND (SELECT count(DISTINCT string_split(path, '/')[1]) FROM sides WHERE is_left) > 1 AS g)"""
+
+
+@query("cp4_drop_wrapper", _WRAP + " SELECT CASE WHEN g THEN substr(path, 8) ELSE path END AS path, key FROM wrapped, gone")
+def cp4(spark, sf):
+    left, right = _sides(spark, sf)
+    wrapped = right.withColumn("path", F.concat(F.lit("backup/"), F.col("path")))
+    return relations.drop_wrapper(left, wrapped)[1].select("path", "key")
+
+
+def _nested(spark, sf):
+    """Files of the folders of sources and of languages within them."""
+    f = with_ancestors(a.tree_docs(spark, sf)).select(F.col("ancestor").alias("folder"), F.col("digest").alias("key"), "size")
+    return relations.labels(relations.matches(f).where("not startswith(b, concat(a, '/')) and not startswith(a, concat(b, '/'))"))
+
+
+_NEST = a.with_tables(a.TREE_DOCS, a.closure_sql("tree_docs"), "tree_lines AS (SELECT ancestor AS folder, digest AS key, size FROM closure)") + _MATCH[len(_L) :].replace(
+    "found AS (SELECT hit.*, total, files FROM hit JOIN own USING (a))", "found AS (SELECT hit.*, total, files FROM hit JOIN own USING (a) WHERE NOT starts_with(b, a || '/') AND NOT starts_with(a, b || '/'))"
+)
+_LABELS = """, l AS (SELECT f.a, f.b, CASE WHEN f.matched_files = f.files AND g.matched_files = g.files THEN 'same' WHEN f.matched_files = f.files THEN 'inside'
+  WHEN f.matched * 2 >= f.total OR coalesce(g.matched * 2 >= g.total, false) THEN 'overlap' END AS relation FROM found f LEFT JOIN found g ON g.a = f.b AND g.b = f.a),
+  k AS (SELECT * FROM l WHERE relation IS NOT NULL AND (relation = 'inside' OR a < b)),
+  o AS (SELECT a, b, relation FROM k UNION ALL SELECT b, a, relation FROM k WHERE relation = 'same')"""
+
+
+@query(
+    "r6_maximal",
+    _NEST
+    + _LABELS
+    + """ SELECT a, b, relation FROM k WHERE NOT EXISTS (SELECT 1 FROM o WHERE (k.a = o.a OR starts_with(k.a, o.a || '/')) AND (k.b = o.b OR starts_with(k.b, o.b || '/'))
+      AND NOT (k.a = o.a AND k.b = o.b) AND NOT (k.a = o.b AND k.b = o.a) AND (o.relation <> 'overlap' OR k.relation = 'overlap'))""",
+)
+def r6(spark, sf):
+    return relations.maximal(_nested(spark, sf)).select("a", "b", "relation")

@@ -90,9 +90,9 @@ def a25(spark, sf):
     return mine.unionByName(folders).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("i9_ancestors", "SELECT 'src1/en/x.txt' AS path, unnest(['src1', 'src1/en']) AS ancestor")
+@query("i9_ancestors", a.with_tables(a.TREE_DOCS) + " SELECT entry_id, source_id AS ancestor FROM tree_docs UNION ALL SELECT entry_id, source_id || '/' || kind FROM tree_docs")
 def i9(spark, sf):
-    return with_ancestors(spark.createDataFrame([("src1/en/x.txt",)], "path string")).select("path", "ancestor")
+    return with_ancestors(a.tree_docs(spark, sf)).select("entry_id", "ancestor")
 
 
 _SEL = a.with_tables(a.TREE_DOCS, "picked AS (SELECT DISTINCT source_id AS path FROM tree_docs WHERE source_id LIKE 'src1%' UNION SELECT source_id || '/' || kind FROM tree_docs WHERE kind = 'es' UNION SELECT path FROM tree_docs WHERE entry_id % 5 = 0)")
@@ -167,3 +167,20 @@ def w3(spark, sf):
     e = a.table(spark, sf, "events")
     first = e.groupBy((F.col("user_id") % 5).alias("claim"), F.col("event_type").alias("kind")).agg(F.min(F.struct("ts", "event_id")).alias("f"))
     return first.select("claim", "kind", F.col("f.event_id").alias("event_id"))
+
+
+_RESCUE = a.with_tables(a.TREE_ORDERS, a.closure_sql("tree_orders")) + """,
+  g AS (SELECT DISTINCT ancestor AS path FROM closure WHERE (level = 3 AND family = 'O') OR (level = 2 AND ancestor LIKE 'ASIA/%')),
+  ind AS (SELECT ancestor AS path, CAST(sum(size) AS BIGINT) AS bytes FROM closure WHERE level = 4 GROUP BY 1 HAVING max(size) = 50 UNION ALL SELECT path, size FROM tree_orders WHERE kind = 'R'),
+  up AS (SELECT path, bytes, string_split(path, '/') AS p FROM ind),
+  spots AS (SELECT path, bytes, array_to_string(p[1:k], '/') AS up, k FROM up, range(1, 5) r(k) WHERE k < len(p)),
+  ins AS (SELECT spots.path, bytes, arg_min(spots.up, k) AS group_path FROM spots JOIN g ON g.path = spots.up GROUP BY ALL)"""
+
+
+@query("d15_rescue", _RESCUE + " SELECT group_path, path, bytes FROM ins i WHERE NOT EXISTS (SELECT 1 FROM spots JOIN ins o ON o.path = spots.up WHERE spots.path = i.path)")
+def d15(spark, sf):
+    t = a.tree_orders(spark, sf)
+    c = with_ancestors(t)
+    groups = c.where("(level = 3 and family = 'O') or (level = 2 and ancestor like 'ASIA/%')").select(F.col("ancestor").alias("path")).distinct()
+    orders = c.where("level = 4").groupBy(F.col("ancestor").alias("path")).agg(F.sum("size").alias("bytes"), F.max("size").alias("most")).where("most = 50").drop("most")
+    return intent.rescue(orders.unionByName(t.where("kind = 'R'").select("path", F.col("size").alias("bytes"))), groups)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granary.functions.paths import extension, folded, glob_pattern, known_time, name, with_ancestors
-from granary.functions.scalars import csv_guard, display_name
+from granary.functions.scalars import csv_guard, display_name, text_preview
 from granary.operators import classify, search
 from granary.plans.registry import query
 from granary.sources import adapters as a
@@ -145,9 +145,9 @@ def s7(spark, sf):
     return a.table(spark, sf, "part").select(F.col("p_partkey").alias("entry_id"), classify.archive_format(n).alias("format"))
 
 
-@query("s11_csv_guard", "SELECT doc_id, CASE WHEN regexp_matches(left(text, 1), '[=+@\\t\\r-]') THEN '''' || left(text, 20) ELSE left(text, 20) END AS cell FROM documents")
+@query("s11_csv_guard", "SELECT doc_id, CASE WHEN regexp_matches(left(text, 1), '[=+@\\t\\r-]') THEN '''' || text ELSE text END AS cell FROM documents")
 def s11(spark, sf):
-    return a.table(spark, sf, "documents").select("doc_id", csv_guard(F.substring("text", 1, 20)).alias("cell"))
+    return a.table(spark, sf, "documents").select("doc_id", csv_guard(F.col("text")).alias("cell"))
 
 
 @query("s12_json_rows", _D + """ SELECT entry_id, '{"entry_id":' || entry_id || ',"kind":"' || kind || '","size":' || size || '}' AS body FROM files""")
@@ -207,3 +207,9 @@ def c9(spark, sf):
 def c12(spark, sf):
     k, n, s = F.col("kind"), F.col("name"), F.col("size")
     return parts(spark, sf).select("entry_id", F.when(n.endswith("bolt") & (s > 30), "possibly_valuable").when(k.startswith("PROMO") | (s < 5), "likely_junk").otherwise("uncertain").alias("class"))
+
+
+@query("s14_preview", "SELECT page_id, 'UTF-8' AS encoding, html AS text FROM pages WHERE html IS NOT NULL")
+def s14(spark, sf):
+    shown = text_preview(F.encode("html", "UTF-8"), 1 << 30)
+    return a.table(spark, sf, "pages").where("html is not null").select("page_id", shown.alias("shown")).select("page_id", "shown.encoding", "shown.text")

@@ -21,19 +21,19 @@ def a1(spark, sf):
     return fold.totals(a.tree_orders(spark, sf))
 
 
-@query("a2_by_kind", _OC + " SELECT ancestor, kind, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM closure WHERE level <= 3 GROUP BY ALL")
+@query("a2_by_kind", _OC + " SELECT ancestor, kind, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM closure GROUP BY ALL")
 def a2_kind(spark, sf):
-    return fold.breakdown(a.tree_orders(spark, sf), "kind", 3)
+    return fold.breakdown(a.tree_orders(spark, sf), "kind")
 
 
-@query("a2_by_year", _OC + " SELECT ancestor, year, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM closure WHERE level <= 3 GROUP BY ALL")
+@query("a2_by_year", _OC + " SELECT ancestor, year, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM closure GROUP BY ALL")
 def a2_year(spark, sf):
-    return fold.breakdown(a.tree_orders(spark, sf), "year", 3)
+    return fold.breakdown(a.tree_orders(spark, sf), "year")
 
 
-@query("a2_by_family", _OC + " SELECT ancestor, family, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM closure WHERE level <= 3 GROUP BY ALL")
+@query("a2_by_family", _OC + " SELECT ancestor, family, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM closure GROUP BY ALL")
 def a2_family(spark, sf):
-    return fold.breakdown(a.tree_orders(spark, sf), "family", 3)
+    return fold.breakdown(a.tree_orders(spark, sf), "family")
 
 
 @query(
@@ -62,30 +62,30 @@ def a4(spark, sf):
 
 @query(
     "a5_signal_counts",
-    _OC + " SELECT ancestor, signal, count(*) AS n FROM (SELECT ancestor, unnest(list_concat(CASE WHEN size > 45 THEN ['large'] ELSE [] END, CASE WHEN kind = 'R' THEN ['returned'] ELSE [] END)) AS signal FROM closure WHERE level <= 2) GROUP BY ALL",
+    _OC + " SELECT ancestor, signal, count(*) AS n FROM (SELECT ancestor, unnest(list_concat(CASE WHEN size > 45 THEN ['large'] ELSE [] END, CASE WHEN kind = 'R' THEN ['returned'] ELSE [] END)) AS signal FROM closure) GROUP BY ALL",
 )
 def a5(spark, sf):
     signals = F.filter(F.array(F.when(F.col("size") > 45, "large"), F.when(F.col("kind") == "R", "returned")), lambda s: s.isNotNull())
-    return with_ancestors(a.tree_orders(spark, sf), True).where("level <= 2").select("ancestor", F.explode(signals).alias("signal")).groupBy("ancestor", "signal").agg(F.count(F.lit(1)).alias("n"))
+    return with_ancestors(a.tree_orders(spark, sf), True).select("ancestor", F.explode(signals).alias("signal")).groupBy("ancestor", "signal").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
     "a6_smallest_paths",
-    _OC + " SELECT ancestor, path, row_number() OVER (PARTITION BY ancestor ORDER BY path) AS rank FROM closure WHERE level = 2 QUALIFY rank <= 20",
+    _OC + " SELECT ancestor, path, row_number() OVER (PARTITION BY ancestor ORDER BY path) AS rank FROM closure QUALIFY rank <= 20",
 )
 def a6(spark, sf):
-    return fold.top_per_folder(a.tree_orders(spark, sf), 20, F.asc("path"), level=2).select("ancestor", "path", F.col("rank").cast("long").alias("rank"))
+    return fold.top_per_folder(a.tree_orders(spark, sf), 20, F.asc("path")).select("ancestor", "path", F.col("rank").cast("long").alias("rank"))
 
 
 @query(
     "a7_notable",
     _OC
-    + """, f AS (SELECT ancestor, family, sum(size) AS b FROM closure WHERE level = 2 GROUP BY ALL),
+    + """, f AS (SELECT ancestor, family, sum(size) AS b FROM closure GROUP BY ALL),
     d AS (SELECT ancestor, family AS main FROM f QUALIFY row_number() OVER (PARTITION BY ancestor ORDER BY b DESC, family) = 1)
-    SELECT c.ancestor, c.path, c.size, row_number() OVER (PARTITION BY c.ancestor ORDER BY c.size DESC, c.path) AS rank FROM closure c JOIN d USING (ancestor) WHERE c.level = 2 AND c.family <> d.main QUALIFY rank <= 10""",
+    SELECT c.ancestor, c.path, c.size, row_number() OVER (PARTITION BY c.ancestor ORDER BY c.size DESC, c.path) AS rank FROM closure c JOIN d USING (ancestor) WHERE c.family <> d.main QUALIFY rank <= 10""",
 )
 def a7(spark, sf):
-    rows = with_ancestors(a.tree_orders(spark, sf), True).where("level = 2")
+    rows = with_ancestors(a.tree_orders(spark, sf), True)
     main = fold.first_by(rows.groupBy("ancestor", "family").agg(F.sum("size").alias("b")), ["ancestor"], F.desc("b"), F.asc("family")).select("ancestor", F.col("family").alias("main"))
     odd = rows.join(main, "ancestor").where("family <> main")
     from pyspark.sql import Window
@@ -200,23 +200,23 @@ def t5(spark, sf):
     return with_ancestors(t, True).join(touched, "ancestor", "left_semi").groupBy("ancestor").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
 
 
-@query("t9_subtree_move", _O + " SELECT CASE WHEN path LIKE 'ASIA/%' THEN 'MOVED/' || substr(path, 6) ELSE path END AS path, size FROM tree_orders WHERE size > 40")
+@query("t9_subtree_move", _O + " SELECT CASE WHEN path LIKE 'ASIA/%' THEN 'MOVED/' || substr(path, 6) ELSE path END AS path, size FROM tree_orders")
 def t9(spark, sf):
     moved = F.when(F.col("path").startswith("ASIA/"), F.concat(F.lit("MOVED/"), F.expr("substring(path, 6)"))).otherwise(F.col("path"))
-    return a.tree_orders(spark, sf).where("size > 40").select(moved.alias("path"), "size")
+    return a.tree_orders(spark, sf).select(moved.alias("path"), "size")
 
 
-@query("t11_delete_subtree", _O + " SELECT path, size FROM tree_orders WHERE NOT (path LIKE 'ASIA/%') AND NOT (path LIKE 'EUROPE/%') AND size > 45")
+@query("t11_delete_subtree", _O + " SELECT path, size FROM tree_orders WHERE NOT (path LIKE 'ASIA/%') AND NOT (path LIKE 'EUROPE/%')")
 def t11(spark, sf):
-    t = a.tree_orders(spark, sf).where("size > 45")
+    t = a.tree_orders(spark, sf)
     from granary.functions.paths import below
 
     return t.where(~below(F.col("path"), "ASIA") & ~below(F.col("path"), "EUROPE")).select("path", "size")
 
 
-@query("pj16_depth_name", _O + " SELECT path, CAST(len(string_split(path, '/')) AS INTEGER) AS depth, string_split(path, '/')[-1] AS name, array_to_string(list_slice(string_split(path, '/'), 1, 4), '/') AS parent FROM tree_orders WHERE size = 50")
+@query("pj16_depth_name", _O + " SELECT path, CAST(len(string_split(path, '/')) AS INTEGER) AS depth, string_split(path, '/')[-1] AS name, array_to_string(list_slice(string_split(path, '/'), 1, 4), '/') AS parent FROM tree_orders")
 def pj(spark, sf):
     from granary.functions.paths import name, parent
 
     p = F.col("path")
-    return a.tree_orders(spark, sf).where("size = 50").select("path", depth(p).cast("int").alias("depth"), name(p).alias("name"), parent(p).alias("parent"))
+    return a.tree_orders(spark, sf).select("path", depth(p).cast("int").alias("depth"), name(p).alias("name"), parent(p).alias("parent"))

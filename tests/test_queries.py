@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from granary.functions.scalars import shown
+from granary.functions.scalars import preview_text, shown
 from granary.operators import changes, content, fold, intent, relations, search
 from granary.plans import registry
 
@@ -97,3 +97,57 @@ def test_requests_are_checked():
         with pytest.raises(ValueError):
             bad.predicate()
     assert search.decode_cursor(search.encode_cursor(5, 7)) == (5, 7)
+
+
+def test_wrapper_goes_where_paths_then_agree(spark):
+    kind = "path string, key string"
+    left = spark.createDataFrame([("a/1", "k"), ("b/2", "m")], kind)
+    right = spark.createDataFrame([("w/a/1", "k"), ("w/b/2", "m")], kind)
+    paths = lambda d: {r.path for r in d.collect()}
+    l, r = relations.drop_wrapper(left, right)  # noqa: E741
+    assert paths(l) == paths(r) == {"a/1", "b/2"}
+    l, r = relations.drop_wrapper(right, right)  # noqa: E741
+    assert paths(l) == paths(r) == {"w/a/1", "w/b/2"}
+    l, r = relations.drop_wrapper(left, left.limit(0))  # noqa: E741
+    assert paths(l) == {"a/1", "b/2"} and paths(r) == set()
+
+
+def test_outer_relations_hold_inner_ones(spark):
+    rows = [("p", "q", "same"), ("p/x", "q/x", "inside"), ("q/y", "p/y", "inside"), ("p/z", "r", "overlap"), ("p/z/k", "r/k", "inside"), ("p/z/m", "r/m", "overlap")]
+    got = {(r.a, r.b) for r in relations.maximal(spark.createDataFrame(rows, "a string, b string, relation string")).collect()}
+    assert got == {("p", "q"), ("p/z", "r"), ("p/z/k", "r/k")}
+
+
+def test_merge_makes_missing_folders_only(spark):
+    here = spark.createDataFrame([("a/n/1",), ("a/2",), ("b/3",)], "path string")
+    there = spark.createDataFrame([("a/2",), ("a/4",)], "path string")
+    got = {(r.op, r.path, r.level) for r in changes.merge_draft(here, there).collect()}
+    assert got == {("mkdir", "a/n", 2), ("mkdir", "b", 1), ("rename", "a/n/1", 3), ("conflict", "a/2", 2), ("rename", "b/3", 2)}
+
+
+def test_restore_states(spark):
+    items = spark.createDataFrame([(1, "a/x"), (2, "a/y"), (3, "a/y"), (4, "gone/z"), (5, "top")], "entry_id long, origin string")
+    got = {r.entry_id: r.state for r in changes.restore_draft(items, spark.createDataFrame([("a/x",)], "path string")).collect()}
+    assert got == {1: "taken", 2: "planned", 3: "taken_in_plan", 4: "no_folder", 5: "planned"}
+
+
+def test_rescue_names_the_outermost_group(spark):
+    ind = spark.createDataFrame([("g/h/i", 5), ("g/h/i/j", 2), ("out/k", 9)], "path string, bytes long")
+    got = intent.rescue(ind, spark.createDataFrame([("g",), ("g/h",)], "path string")).collect()
+    assert [tuple(r) for r in got] == [("g", "g/h/i", 5)]
+
+
+def test_preferred_copy_is_elsewhere_first(spark):
+    kind = "entry_id long, source_id string, digest string, size long, state string, ino long, nlink int"
+    rows = [(1, "s", "k", 1, "hashed", 7, 2), (2, "s", "k", 1, "hashed", 7, 2), (3, "s", "k", 1, "hashed", 8, 1), (4, "t", "k", 1, "hashed", 9, 1), (5, "s", "m", 1, "hashed", 1, 2), (6, "s", "m", 1, "hashed", 1, 2), (7, "u", "n", 1, "hashed", 2, 1), (8, "u", "n", 1, "hashed", 3, 1)]
+    got = {r.entry_id: (r.copy_id, r.copy_source) for r in content.preferred_copies(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {1: (4, "t"), 2: (4, "t"), 3: (4, "t"), 4: (1, "s"), 7: (8, "u"), 8: (7, "u")}
+
+
+def test_preview_finds_the_encoding():
+    assert preview_text(b"\xef\xbb\xbfab", 9) == ("UTF-8", "ab")
+    assert preview_text("aé".encode(), 2) == ("UTF-8", "a")
+    assert preview_text(b"\xff\xfea\x00b\x00", 5) == ("UTF-16LE", "a")
+    assert preview_text(b"\xfe\xff\x00a", 9) == ("UTF-16BE", "a")
+    assert preview_text(b"caf\xe9 ", 9) == ("windows-1252", "café ")
+    assert preview_text(b"", 9) == ("UTF-8", "")
