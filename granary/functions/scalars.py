@@ -66,14 +66,3 @@ def preview_text(raw: bytes, most: int) -> tuple[str, str]:
         return "UTF-8", codecs.getincrementaldecoder("utf-8")("strict").decode(b, not cut)
     except UnicodeDecodeError:
         return "windows-1252", b.decode("cp1252", "replace")
-
-
-def text_preview(raw: Column, most: int = 1 << 16) -> Column:
-    """``encoding`` and ``text`` of the start of binary content; null of null."""
-
-    @F.pandas_udf("encoding string, text string")
-    def one(values: pd.Series) -> pd.DataFrame:
-        found = [(None, None) if v is None else preview_text(bytes(v), most) for v in values]
-        return pd.DataFrame(found, columns=["encoding", "text"])
-
-    return one(raw)
