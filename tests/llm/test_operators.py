@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, chat, exact_dedup, graph, language_id, language_model, merkle, mixing, queries, sharding, simhash, substring_dedup
+from granary.llm import bpe, chat, exact_dedup, graph, language_id, language_model, merkle, mixing, near_dedup, queries, sharding, simhash, substring_dedup
 
 ROWS = "doc_id long, text string, lang string, source string, n_chars long, id string, row string, body string, kept boolean, shard int, fp long, rate double"
 
@@ -289,6 +289,69 @@ def test_simhash_links_lose_nothing(spark):
         assert found.get(s, s) == want[s]
 
 
+def brute_near(rows, width=5):
+    """Smallest id of each component of Jaccard >= 0.8, by all pairs; and the number of such pairs."""
+    sets = {}
+    for key, text in rows:
+        w = (text or "").encode().lower().split()
+        sets[key] = {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+    root = {k: k for k in sets}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    pairs, keys = 0, sorted(sets)
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            n, m = len(sets[a]), len(sets[b])
+            if min(n, m) * 5 >= max(n, m) * 4 and (sets[a] == sets[b] or 9 * len(sets[a] & sets[b]) >= 4 * (n + m)):
+                pairs += 1
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    return {k: top(k) for k in sets}, pairs
+
+
+def test_near_copies_by_likeness(spark, awkward):
+    """Edits of every strength, chains, a crowd around one text, and texts just below the bar."""
+    rng = np.random.default_rng(8)
+    vocab = np.array([f"w{k}" for k in range(400)])
+    made = []
+    for base in range(40):
+        text = list(rng.choice(vocab, int(rng.integers(3, 300))))
+        for _ in range(60 if base == 0 else 8):
+            made.append(" ".join(text))
+            edited = list(text)
+            for _ in range(int(rng.integers(0, max(2, len(text) // 20)))):
+                edited[int(rng.integers(0, len(edited)))] = str(rng.choice(vocab))
+            text = text if base % 2 else edited
+            made.append(" ".join(edited))
+    table = make(spark, made).repartition(5)
+    for t in (table, awkward, awkward.limit(0)):
+        want, pairs = brute_near([(r.doc_id, r.text) for r in t.collect()])
+        got = near_dedup.near_groups(t).collect()
+        assert len(got) == t.count() and {r.doc_id: r.component_id for r in got} == want
+        left = near_dedup.drop_near_copies(t)
+        assert left.columns == t.columns and {r.doc_id for r in left.collect()} == set(want.values())
+
+
+def test_pipeline_drops_near_copies_at_0_8(spark, sf):
+    """The stage against brute force on the pairs of the test table."""
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    last = 10_000 + max(k for k, _ in rows)
+    copies = [(last + k, " ".join(w[: n // 2] + ["changed"] + w[n // 2 + 1 :])) for k, (_, t) in enumerate(rows) if (n := len(w := (t or "").split())) >= 60]
+    both = docs.unionByName(spark.createDataFrame(copies, "doc_id long, text string"), allowMissingColumns=True)
+    want, pairs = brute_near(rows + copies)
+    assert pairs >= len(copies) > 50
+    near = stage.get("near_dedup") or stage["simhash_near_dedup"]
+    assert {r.doc_id for r in near(spark, both, sf).collect()} == set(want.values())
+
+
 def test_golay_indices():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 1 << 23, 3000)
