@@ -86,3 +86,11 @@ def decode_cursor(cursor: str) -> tuple[int | str, int]:
 def capped_count(entries: DataFrame, q: Query, most: int = 10_000) -> DataFrame:
     few = entries.where(q.predicate()).limit(most + 1).agg(F.count(F.lit(1)).alias("n"))
     return few.select(F.least("n", F.lit(most)).alias("shown"), (F.col("n") > most).alias("capped"))
+
+
+def resolve(entries: DataFrame, q: Query, most: int | None = None) -> DataFrame:
+    """Ids of every match, ascending, for a selection; more than ``most`` are refused, so it is never a silent subset."""
+    found = entries.where(q.predicate()).select("entry_id")
+    if most is not None and found.limit(most + 1).count() > most:
+        raise ValueError(f"the search matches more than {most} entries; narrow it")
+    return found.orderBy("entry_id")

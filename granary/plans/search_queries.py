@@ -105,7 +105,7 @@ def o8(spark, sf):
 
 @query("o12_resolve", _D + " SELECT entry_id FROM files WHERE size > 5000 ORDER BY entry_id LIMIT 1001")
 def o12(spark, sf):
-    return docs(spark, sf).where("size > 5000").select("entry_id").orderBy("entry_id").limit(1001)
+    return search.resolve(docs(spark, sf), search.Query(min_size=5001))
 
 
 @query("pj6_ref", "SELECT 'm' || conv_id AS ref, regexp_matches('m' || conv_id, '^m?[1-9][0-9]*$') AS valid FROM conversations")

@@ -99,6 +99,18 @@ def test_requests_are_checked():
     assert search.decode_cursor(search.encode_cursor(5, 7)) == (5, 7)
 
 
+def test_resolve_gives_all_or_refuses(spark, sf):
+    large = sf.replace("sf0.001", "sf0.1")
+    texts = spark.read.parquet(f"{large}/documents.parquet")
+    got = [r.entry_id for r in registry.QUERIES["o12_resolve"](spark, large).collect()]
+    want = sorted(r.doc_id for r in texts.where("n_chars > 5000").select("doc_id").collect())
+    assert len(got) > 1001 and got == want
+    few = spark.createDataFrame([(k, k) for k in range(20)], "entry_id long, size long")
+    assert [r.entry_id for r in search.resolve(few, search.Query(min_size=10), 10).collect()] == list(range(10, 20))
+    with pytest.raises(ValueError):
+        search.resolve(few, search.Query(min_size=10), 9)
+
+
 def test_wrapper_goes_where_paths_then_agree(spark):
     kind = "path string, key string"
     left = spark.createDataFrame([("a/1", "k"), ("b/2", "m")], kind)
