@@ -22,11 +22,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with files in the session's shared checkpoint folder.
 
     The folder is the cluster's ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) is a temporary one chosen.
+    unset and all runs on one machine (tests) is a temporary one chosen.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set; it has to name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="granary-checkpoint-"))
     return df.checkpoint()
 
