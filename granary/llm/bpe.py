@@ -8,11 +8,14 @@ a lot, so each Python worker keeps a bounded table of those it has seen.
 
 The vocabulary file is a JSON file of a byte-level BPE with word ends.  Null
 text counts as empty and gives no tokens.  Ids travel packed, as little-endian
-unsigned 32-bit integers in one binary value.
+unsigned 32-bit integers in one binary value.  A very long fragment (one letter
+over and over, a script without spaces) takes time in proportion to its length
+times its logarithm.  Null and repeated ids are rows like any other.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -27,6 +30,8 @@ from granary.llm.common import slices
 
 #: Words and fragments kept per worker; a full table is emptied.
 SEEN_WORDS, SEEN_FRAGMENTS = 400_000, 50_000
+#: Symbols from which on a fragment's pairs wait in a heap.
+LONG = 48
 
 
 def byte_letters() -> list[str]:
@@ -76,6 +81,8 @@ class Codec:
     def merge(self, symbols: tuple[int, ...]) -> tuple[int, ...]:
         """Ids of one fragment: join the lowest-ranked pair, leftmost first, until none is left."""
         ids = [self.base[s] for s in symbols]
+        if len(ids) >= LONG:
+            return self.merge_long(ids)
         while len(ids) > 1:
             found = [(self.joins[p][0], k) for k, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.joins]
             if not found:
@@ -84,6 +91,26 @@ class Codec:
             ids[k : k + 2] = [self.joins[ids[k], ids[k + 1]][1]]
         return tuple(ids)
 
+    def merge_long(self, ids: list[int]) -> tuple[int, ...]:
+        """The same over a linked list: a joined pair renews only its two neighbours."""
+        n, joins = len(ids), self.joins
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting = [(joins[p][0], k, *p) for k, p in enumerate(zip(ids, ids[1:], strict=False)) if p in joins]
+        heapq.heapify(waiting)
+        while waiting:
+            _, k, x, y = heapq.heappop(waiting)
+            right = after[k]
+            if ids[k] != x or right >= n or ids[right] != y:
+                continue  # one of the two has been joined meanwhile
+            ids[k], ids[right] = joins[x, y][1], -1
+            after[k] = after[right]
+            if after[k] < n:
+                before[after[k]] = k
+            for left in (before[k], k):
+                if left >= 0 and after[left] < n and (pair := (ids[left], ids[after[left]])) in joins:
+                    heapq.heappush(waiting, (joins[pair][0], left, *pair))
+        return tuple(i for i in ids if i >= 0)
+
     def word(self, piece: str) -> list[int]:
         """Ids of one piece between white space and class changes."""
         symbols = list(piece.encode())
