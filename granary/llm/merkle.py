@@ -174,13 +174,14 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "body")
     walked = checkpoint(ordered.mapInArrow(walk, f"edge long, id {kind}, body string, {_RESULT}"))
     edges = walked.where("edge is not null").select("edge", "id", "body")
-    order = Window.orderBy("edge")  # two rows per task of the walk
-    first = edges.select(F.min_by("body", "edge").alias("first_body"))
+    # Only the numbers of the edges, two per task, meet in one place; their texts are joined.
+    first = edges.agg(F.min("edge").alias("first"))
+    turn = edges.select("edge").withColumn("next", F.lead("edge").over(Window.orderBy("edge")))
+    turn = turn.where("edge % 2 = 1").join(F.broadcast(first)).select("edge", F.coalesce("next", "first").alias("next"))
     pairs = (
-        edges.withColumn("following", F.lead("body").over(order))
-        .where("edge % 2 = 1")
-        .join(F.broadcast(first))
-        .select("id", "body", F.coalesce("following", "first_body").alias("following"))
+        edges.join(turn, "edge")
+        .join(edges.select(F.col("edge").alias("next"), F.col("body").alias("following")), "next")
+        .select("id", "body", "following")
     )
 
     def straddle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
