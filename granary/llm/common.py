@@ -50,38 +50,31 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield b.slice(k, rows)
 
 
-def prefix_sums(df: DataFrame, order: list[str], value: str, keep_range: bool = False) -> DataFrame:
-    """Exclusive running sum of ``value`` and global row number over the whole table.
+def prefix_sums(df: DataFrame, order: list[str], *values: str) -> DataFrame:
+    """Exclusive running sums of ``values`` and the global row number over the whole table.
 
     Rows are dealt into key ranges, each range is summed by itself, and the
     sums of the ranges (one row per partition, so a bounded table) become the
-    offsets.  Adds ``prefix_before`` and ``row_index``; the table is
-    checkpointed once so that the ranges stay the same for both readings.
-    Equal rows take consecutive places in any order.  ``keep_range`` keeps the
-    number of the row's range as ``range_id``.
+    offsets.  Adds ``<value>_before`` for each value and ``row_index``; the table
+    is checkpointed once so that the ranges stay the same for both readings.
+    Equal rows take consecutive places in any order.
     """
     n = partitions(df.sparkSession)
-    ranged = checkpoint(
-        df.repartitionByRange(n, *order).withColumn("range_id", F.spark_partition_id())
-    )
-    totals = ranged.groupBy("range_id").agg(
-        F.sum(value).alias("range_sum"), F.count(F.lit(1)).alias("range_rows")
-    )
-    before = Window.orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "range_id",
-        F.coalesce(F.sum("range_sum").over(before), F.lit(0)).alias("sum_offset"),
-        F.coalesce(F.sum("range_rows").over(before), F.lit(0)).alias("row_offset"),
-    )
+    ranged = checkpoint(df.repartitionByRange(n, *order).withColumn("range_id", F.spark_partition_id()))
+    return running_sums(ranged, order, *values).drop("range_id")
+
+
+def running_sums(ranged: DataFrame, order: list[str], *values: str) -> DataFrame:
+    """``prefix_sums`` of a checkpointed table whose ranges ``range_id`` follow ``order`` already."""
+    totals = ranged.groupBy("range_id").agg(F.count(F.lit(1)).alias("rows_here"), *(F.sum(v).alias(f"{v}_here") for v in values))
+    earlier = Window.orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ["rows", *values]
+    offsets = totals.select("range_id", *(F.coalesce(F.sum(f"{v}_here").over(earlier), F.lit(0)).alias(f"{v}_offset") for v in sums))
     inside = Window.partitionBy("range_id").orderBy(*order)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, -1)
     return (
-        ranged.withColumn(
-            "inside_sum",
-            F.coalesce(F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        )
-        .withColumn("inside_row", F.row_number().over(inside) - 1)
+        ranged.withColumns({f"{v}_inside": F.coalesce(F.sum(v).over(so_far), F.lit(0)) for v in values} | {"rows_inside": F.row_number().over(inside) - 1})
         .join(F.broadcast(offsets), "range_id")  # at most one row per partition
-        .withColumn("prefix_before", F.col("inside_sum") + F.col("sum_offset"))
-        .withColumn("row_index", F.col("inside_row") + F.col("row_offset"))
-        .drop("inside_sum", "inside_row", "sum_offset", "row_offset", *([] if keep_range else ["range_id"]))
+        .withColumns({f"{v}_before": F.col(f"{v}_inside") + F.col(f"{v}_offset") for v in values} | {"row_index": F.col("rows_inside") + F.col("rows_offset")})
+        .drop(*(f"{v}_{x}" for v in sums for x in ("inside", "offset")))
     )

@@ -39,8 +39,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
-    nodes, leaves = chat.prefix_tree(turns.unionByName(extra))
-    return chat.digests(chat.read_back(nodes, leaves)).withColumnRenamed("conv", "conv_id")
+    return chat.digests(*chat.prefix_tree(turns.unionByName(extra))).withColumnRenamed("conv", "conv_id")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

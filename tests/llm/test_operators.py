@@ -84,6 +84,23 @@ def test_bpe_cuts_are_certain():
         assert c.word(word) == list(c.merge(tuple(symbols)))
 
 
+def test_bpe_of_very_long_words():
+    """A word without any certain cut, and one of random letters, equal the library's within seconds."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary_path()
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    c, rng = bpe.Codec(path), np.random.default_rng(2)
+    for word in ("x" * 200_000, "".join(rng.choice(list("abcdehist"), 200_000)), "北京" * 30_000, "aaab" * 12, "the" * 1000):
+        start = time.time()
+        mine = np.frombuffer(c.encode(word), "<u4").tolist()
+        assert time.time() - start < 20
+        assert mine == t.encode(word, add_special_tokens=False).ids
+
+
 # --- 2
 
 
@@ -173,7 +190,7 @@ def test_chat_reads_back_and_shares_prefixes(spark):
         *((8 + j, k, "user", f"long {k}" if k < 3 * j else f"off {j} {k}") for j in range(9) for k in range(30)),
     ]
     turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("path", F.lit("clash")).withColumn("start", F.lit(1))
-    nodes, leaves = chat.prefix_tree(turns)
+    nodes, members = chat.prefix_tree(turns)
     listed = nodes.collect()
     stream = {}
     for r in listed:
@@ -186,13 +203,16 @@ def test_chat_reads_back_and_shares_prefixes(spark):
     attended = {"".join(whole[a.start : a.stop] for a in r.attends) for r in listed}
     assert order[0] == 0 and all(a + len(stream[a]) == b for a, b in zip(order, order[1:], strict=False))
     assert sum("hello" in s for s in stream.values()) == 1
-    got = {r.conv: r for r in chat.digests(chat.read_back(nodes, leaves)).collect()}
+    got = {r.conv: r for r in chat.digests(nodes, members).collect()}
+    formatted = {r.conv: r for r in chat.read_back(nodes, members).collect()}
     by = defaultdict(list)
     for c, t, role, text in rows:
         by[c].append((-1 if t is None else t, role or "", text or ""))
     assert set(got) == set(by)
     for c, said in by.items():
         said.sort()
+        assert formatted[c].formatted == "".join(chat.segment(r, t) for _, r, t in said)
+        assert "".join(chat.unescape(formatted[c].formatted[x.start : x.stop]) for x in formatted[c].losses) == "".join(t for _, role, t in said if role == "assistant")
         for k in range(1, len(said) + 1):
             assert "".join(chat.segment(r, t) for _, r, t in said[:k]) in attended
         loss = "".join(t for _, role, t in said if role == "assistant")
@@ -200,24 +220,43 @@ def test_chat_reads_back_and_shares_prefixes(spark):
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in said).encode()).hexdigest()
         assert got[c].loss_chars == len(loss) and got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
         assert got[c].formatted_chars == sum(len(chat.segment(r, t)) for _, r, t in said)
+    # depth-first: after a node come all that follow on it, before anything else
+    by_path = {}
+    for r in sorted(listed, key=lambda r: r.start):
+        path = "".join(whole[a.start : a.stop] for a in r.attends)
+        by_path[path] = (r.start, r.stop)
+    for path, (start, stop) in by_path.items():
+        below = [s for p, s in by_path.items() if p.startswith(path)]
+        assert max(b for _, b in below) - start == sum(b - a for a, b in below)
     empty, none = chat.prefix_tree(turns.limit(0))
-    assert empty.count() == 0 and chat.read_back(empty, none).count() == 0
+    assert empty.count() == 0 and chat.read_back(empty, none).count() == chat.digests(empty, none).count() == 0
 
 
 # --- 4
 
 
 def test_shards_are_contiguous_and_balanced(spark, docs, awkward, tmp_path):
-    for table in (docs, awkward):
-        rows = sorted((r.doc_id, zlib.crc32((r.text or "").encode()), len((r.text or "").encode()) + 8) for r in table.collect())
-        total = sum(r[2] for r in rows)
+    for table, shards in ((docs, 24), (docs, 3), (awkward, 24), (awkward.limit(9).union(awkward.limit(9)), 2)):
+        rows = sorted((r.doc_id, r.text or "") for r in table.collect())
+        lead, size, count = {}, Counter(), Counter()
+        for key, text in rows:
+            lead[text] = min(key, lead.get(text, key))
+            size[text] += len(text.encode()) + 8
+            count[text] += 1
+        total = sum(size.values())
+        units = defaultdict(list)
+        for key, text in rows:
+            together = count[text] > 1 and size[text] * shards <= sharding.TOGETHER * total
+            units[lead[text], lead[text] if together else key].append((key, len(text.encode()) + 8, zlib.crc32(text.encode())))
         at, want, slots = 0, [], Counter()
-        for key, crc, size in rows:
-            shard = min(23, (2 * at + size) * 24 // (2 * total))
-            want.append((key, size, crc, shard, slots[shard]))
-            slots[shard] += 1
-            at += size
-        got = sorted(tuple(r) for r in sharding.assign_shards(table, 24).collect())
+        for _, held in sorted(units.items()):
+            own = sum(x[1] for x in held)
+            shard = min(shards - 1, (2 * at + own) * shards // (2 * total))
+            for key, n, crc in sorted(held):
+                want.append((key, n, crc, shard, slots[shard]))
+                slots[shard] += 1
+            at += own
+        got = sorted(tuple(r) for r in sharding.assign_shards(table, shards).collect())
         assert got == sorted(want)
     assert sharding.assign_shards(awkward.limit(0)).count() == 0
     sharding.write_shards(docs, sharding.assign_shards(docs, 4), f"{tmp_path}/out")
