@@ -41,6 +41,8 @@ ROUNDS = 6
 LONGEST = 12
 #: Words handled at once within a task.
 CHUNK = 1 << 18
+#: Buckets of names; one that holds over 1 / (4 x partitions) of all rows is spread.
+BUCKETS = 1 << 16
 _U = np.uint64
 
 
@@ -209,37 +211,70 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
                     ["id", "text_key", "first", "n", "name", "words"],
                 )
 
-    alike = Window.partitionBy("name", "words")
-    found = checkpoint(
-        rows.select("id", "body", "text_key")
-        .mapInArrow(find, f"id {kind}, text_key long, first int, n int, name long, words long")
-        .withColumn("of_name", F.count(F.lit(1)).over(Window.partitionBy("name")))
-        .where("of_name > 1")
+    n = partitions(docs.sparkSession)
+    raw = rows.select("id", "body", "text_key").mapInArrow(find, f"id {kind}, text_key long, first int, n int, name long, words long")
+    bucket = F.pmod("name", F.lit(BUCKETS)).cast("int")
+    crowds = checkpoint(raw.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("rows")))  # BUCKETS rows at most
+    total = crowds.agg(F.sum("rows").alias("all_rows"))
+    crowded = crowds.join(F.broadcast(total)).where(F.col("rows") * 4 * n > F.col("all_rows")).select("bucket", F.lit(True).alias("hot"))  # 4 n rows at most
+    salted = (
+        raw.withColumn("bucket", bucket)
+        .join(F.broadcast(crowded), "bucket", "left")
+        .withColumn("hot", F.coalesce("hot", F.lit(False)))
+        .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("text_key", "first"), F.lit(n))).otherwise(0).cast("int"))
+        .drop("bucket")
+    )
+    alike = Window.partitionBy("name", "salt", "words")
+    counted = checkpoint(
+        salted.withColumn("of_name", F.count(F.lit(1)).over(Window.partitionBy("name", "salt")))
+        .where("of_name > 1 or hot")
         .withColumn("of_words", F.count(F.lit(1)).over(alike))
         .withColumn("place", F.row_number().over(alike.orderBy("text_key", "first")))
-        .select(*key, "first", "n", (F.col("of_words") > 1).alias("whole"), ((F.col("of_name") > F.col("of_words")) & (F.col("place") == 1)).alias("verify"))
     )
-    verify = found.where("verify").groupBy(*key).agg(F.collect_list(F.struct("first", "n")).alias("ranges"))
-    dealt = rows.select("id", "body", "text_key").repartition(partitions(docs.sparkSession), "text_key")
+    columns = [*key, "first", "n", "hot", (F.col("of_words") > 1).alias("whole"), ((F.col("of_name") > F.col("of_words")) & (F.col("place") == 1)).alias("verify")]
+    # Of the spread names, the totals over all salts; partial sums go before the shuffle.
+    spread = counted.where("hot")
+    kinds = spread.groupBy("name", "words").agg(F.count(F.lit(1)).alias("of_words"), F.min(F.struct("text_key", "first", "salt")).alias("leader"))
+    sums = kinds.groupBy("name").agg(F.sum("of_words").alias("of_name")).where("of_name > 1")
+    spread = (
+        spread.drop("of_name", "of_words", "place")
+        .join(kinds.join(sums, "name"), ["name", "words"])
+        .withColumn("place", F.when((F.col("leader.text_key") == F.col("text_key")) & (F.col("leader.first") == F.col("first")), 1).otherwise(2))
+    )
+    found = checkpoint(counted.where("not hot").select(*columns).unionByName(spread.select(*columns)))
+    verify = found.where("verify").groupBy(*key).agg(F.collect_list(F.struct("first", "n", "hot")).alias("ranges"))
+    dealt = rows.select("id", "body", "text_key").repartition(n, "text_key")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             for k, (text, ranges) in enumerate(zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)):
                 names = word_names(text.encode("utf-8", "surrogatepass").split())
+                at_hot = [np.arange(r["first"], r["first"] + r["n"]) for r in ranges if r["hot"]]
                 starts = np.unique(np.concatenate([np.arange(r["first"], r["first"] + r["n"]) for r in ranges]))
+                hot = np.isin(starts, np.concatenate(at_hot)) if at_hot else np.zeros(len(starts), bool)
                 one, two = names_between(names, starts, starts + window)
                 at = pa.array(np.full(len(starts), k))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(at), b.column(2).take(at), pa.array(starts.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
-                    ["id", "text_key", "first", "one", "two"],
+                    [b.column(0).take(at), b.column(2).take(at), pa.array(starts.astype(np.int32)), pa.array(hot), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
+                    ["id", "text_key", "first", "hot", "one", "two"],
                 )
 
-    again = (
+    # Equal windows chose one symbol, so a window that is everywhere has a spread name: it is dealt with a
+    # salt too, and counted again by one row per salt.
+    by_salt = Window.partitionBy("one", "two", "salt")
+    windowed = checkpoint(
         on_key(dealt, verify, "inner")
-        .mapInArrow(windows, f"id {kind}, text_key long, first int, one long, two long")
-        .withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("one", "two")))
-        .where("times > 1")
-        .select(*key, "first", F.lit(1).alias("n"))
+        .mapInArrow(windows, f"id {kind}, text_key long, first int, hot boolean, one long, two long")
+        .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("text_key", "first"), F.lit(n))).otherwise(0).cast("int"))
+        .withColumn("times", F.count(F.lit(1)).over(by_salt))
+        .withColumn("place", F.row_number().over(by_salt.orderBy("text_key", "first")))
+        .where("times > 1 or hot")
+    )
+    lone = windowed.where("hot and place = 1").withColumn("salts", F.count(F.lit(1)).over(Window.partitionBy("one", "two")))  # n rows of a window at most
+    again = (
+        windowed.where("times > 1").select(*key, "first")
+        .unionByName(lone.where("times = 1 and salts > 1").select(*key, "first"))
+        .withColumn("n", F.lit(1))
     )
     gone = found.where("whole").select(*key, "first", "n").unionByName(again).groupBy(*key).agg(F.collect_set(F.struct("first", "n")).alias("ranges"))
 
