@@ -41,8 +41,9 @@ ROUNDS = 6
 LONGEST = 12
 #: Words handled at once within a task.
 CHUNK = 1 << 18
-#: Buckets of names; one that holds over 1 / (4 x partitions) of all rows is spread.
+#: Buckets of names; one that holds over 1 / (4 x partitions) of the rows of a share of the texts is spread.
 BUCKETS = 1 << 16
+PROBE = 0.05
 _U = np.uint64
 
 
@@ -212,9 +213,10 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
                 )
 
     n = partitions(docs.sparkSession)
-    raw = rows.select("id", "body", "text_key").mapInArrow(find, f"id {kind}, text_key long, first int, n int, name long, words long")
+    found_in = lambda some: some.select("id", "body", "text_key").mapInArrow(find, f"id {kind}, text_key long, first int, n int, name long, words long")
+    raw = found_in(rows)
     bucket = F.pmod("name", F.lit(BUCKETS)).cast("int")
-    crowds = checkpoint(raw.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("rows")))  # BUCKETS rows at most
+    crowds = checkpoint(found_in(rows.sample(PROBE, 6)).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("rows")))  # BUCKETS rows at most
     total = crowds.agg(F.sum("rows").alias("all_rows"))
     crowded = crowds.join(F.broadcast(total)).where(F.col("rows") * 4 * n > F.col("all_rows")).select("bucket", F.lit(True).alias("hot"))  # 4 n rows at most
     salted = (
@@ -262,19 +264,19 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     # Equal windows chose one symbol, so a window that is everywhere has a spread name: it is dealt with a
     # salt too, and counted again by one row per salt.
     by_salt = Window.partitionBy("one", "two", "salt")
-    windowed = checkpoint(
+    again = (
         on_key(dealt, verify, "inner")
         .mapInArrow(windows, f"id {kind}, text_key long, first int, hot boolean, one long, two long")
         .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("text_key", "first"), F.lit(n))).otherwise(0).cast("int"))
         .withColumn("times", F.count(F.lit(1)).over(by_salt))
-        .withColumn("place", F.row_number().over(by_salt.orderBy("text_key", "first")))
-        .where("times > 1 or hot")
-    )
-    lone = windowed.where("hot and place = 1").withColumn("salts", F.count(F.lit(1)).over(Window.partitionBy("one", "two")))  # n rows of a window at most
-    again = (
-        windowed.where("times > 1").select(*key, "first")
-        .unionByName(lone.where("times = 1 and salts > 1").select(*key, "first"))
-        .withColumn("n", F.lit(1))
+        .withColumn("lone", F.col("hot") & (F.col("times") == 1))
+        .withColumn("leads", F.col("hot") & (F.row_number().over(by_salt.orderBy("text_key", "first")) == 1))
+        .where("times > 1 or lone")
+        # The first rows of all salts meet, n of a window at most; the others stay where they are.
+        .withColumn("salt", F.when(F.col("leads"), -1).otherwise(F.col("salt")))
+        .withColumn("salts", F.count(F.lit(1)).over(by_salt))
+        .where("times > 1 or salts > 1")
+        .select(*key, "first", F.lit(1).alias("n"))
     )
     gone = found.where("whole").select(*key, "first", "n").unionByName(again).groupBy(*key).agg(F.collect_set(F.struct("first", "n")).alias("ranges"))
 
