@@ -1,9 +1,9 @@
 """Mixing to target token totals with soft domain membership.
 
 A labelled table names the domain of some documents.  A naive Bayes classifier
-over the presence of telling words (hashed), fitted on at most ``SAMPLE``
-labelled rows, predicts every document's domain posteriors.  Document rates r >= 0 then minimise the weighted
-squares of (expected domain token totals - targets), where a document gives
+over the presence of words (hashed), fitted on at most ``SAMPLE`` labelled rows,
+predicts every document's domain posteriors.  Document rates r >= 0 then minimise
+the weighted squares of (expected domain token totals - targets), where a document gives
 r * words * posterior to each domain: projected gradient steps from r = 1, each
 one aggregation of a few sums over all documents.  The weight is the inverse of
 the domains' Gram matrix (domains x domains, on the driver): a step of length one
@@ -31,10 +31,11 @@ SAMPLE = 20_000
 BUCKETS = 1 << 20
 #: Texts added to each side of a word's odds, so that rare words say little.
 SHRINK = 3.0
-#: A word counts if its texts in some domain are so many standard deviations from their expected number.
-SIGNIFICANT = 8.0
-#: ... and if it is in at least this share of the texts of some domain; rarer ones tell of copies, not of domains.
-SUPPORT = 0.03
+#: Every word's log odds are drawn towards nothing by so many of their standard errors; so all words of
+#: the sample enter, and one that chance explains says nothing.
+DOUBT = 3.0
+#: A word counts if it is in at least this share of the texts of some domain; rarer ones tell of copies, not of domains.
+SUPPORT = 0.015
 #: Share of the texts above which the absence of a word says nothing.
 COMMON = 0.05
 STEPS = 32
@@ -77,22 +78,22 @@ def fit_weights(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tup
         F.sum("n").alias("all"), *(F.sum(F.when(F.col("domain") == d, F.col("n")).otherwise(0)).alias(f"n{k}") for k, d in enumerate(domains))
     )
     expected = {d: F.col("all") * share[d] for d in domains}
-    far = [F.abs(F.col(f"n{k}") - expected[d]) >= SIGNIFICANT * F.sqrt(expected[d] * (1 - share[d]) + 1) for k, d in enumerate(domains)]
-    telling = far[0]
-    for x in far[1:]:
-        telling = telling | x
-    frequent = [F.col(f"n{k}") >= SUPPORT * max(rows.get(d, 0), 1) for k, d in enumerate(domains)]
-    enough = frequent[0]
-    for x in frequent[1:]:
-        enough = enough | x
     # Share of a domain's texts with the word, drawn to the share of all texts.
     overall = (F.col("all") + 1) / F.lit(everyone + 2.0)
-    pull = {d: SHRINK * share[d] + 1e-9 for d in domains}
-    inside = [F.least(F.lit(0.999), overall * (F.col(f"n{k}") + pull[d]) / (expected[d] + pull[d])) for k, d in enumerate(domains)]
+    inside = []
+    for k, d in enumerate(domains):
+        pull = SHRINK * share[d] + 1e-9
+        odds = F.log((F.col(f"n{k}") + pull) / (expected[d] + pull))
+        doubt = DOUBT * F.sqrt(F.lit(1.0 - share[d]) / (F.col(f"n{k}") + pull))
+        inside.append(F.least(F.lit(0.999), overall * F.exp(F.signum(odds) * F.greatest(F.lit(0.0), F.abs(odds) - doubt))))
+    telling, frequent = F.lit(False), F.lit(False)
+    for k, (d, p) in enumerate(zip(domains, inside, strict=True)):
+        telling = telling | (p != overall)
+        frequent = frequent | (F.col(f"n{k}") >= SUPPORT * max(rows.get(d, 0), 1))
     # The absence of a common word mostly tells how long a text is, so it does not count.
     absent = [F.when(overall <= COMMON, F.log((1 - p) / (1 - overall))).otherwise(0.0) for p in inside]
     table = checkpoint(
-        wide.where(telling & enough).select(
+        wide.where(telling & frequent).select(
             "bucket", F.array(*absent).alias("absent"), F.array(*(F.log(p / overall) - x for p, x in zip(inside, absent, strict=True))).alias("weights")
         )
     )
@@ -122,7 +123,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Data
     return found.select("id", "n_words", *((p / whole).alias(f"p{k}") for k, p in enumerate(parts)))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float | None], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``n_words``, ``posterior`` (map by domain) and ``rate`` of every id.
 
     ``labelled`` has ``label_id`` and ``domain``; ``targets`` gives each domain's
@@ -133,11 +134,12 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
     ps = [f"p{k}" for k in range(len(domains))]
     state = checkpoint(posteriors(rows, labelled, domains).withColumn("rate", F.lit(1.0)))
     pairs = [(a, b) for a in ps for b in ps]
-    found = state.agg(F.sum("n_words"), *(F.sum(F.col("n_words") * F.col(a) * F.col(b)) for a, b in pairs)).first()
+    found = state.agg(F.sum("n_words"), *(F.sum(F.col("n_words") * F.col(p)) for p in ps), *(F.sum(F.col("n_words") * F.col(a) * F.col(b)) for a, b in pairs)).first()
     tokens = float(found[0] or 1)
-    gram = np.array([x or 0.0 for x in found[1:]], float).reshape(len(ps), len(ps)) / tokens
-    weight = np.linalg.pinv(gram, rcond=1e-6, hermitian=True)
-    wanted = np.array([targets[d] for d in domains])
+    natural = [(x or 0.0) / tokens for x in found[1 : len(ps) + 1]]
+    gram = np.array([x or 0.0 for x in found[len(ps) + 1 :]], float).reshape(len(ps), len(ps)) / tokens
+    weight = np.linalg.pinv(gram, rcond=1e-3, hermitian=True)
+    wanted = np.array([own if targets[d] is None else targets[d] for d, own in zip(domains, natural, strict=True)])
     state = state.withColumn("before", F.col("rate"))
     last, speed, least = None, 1.0, float("inf")
     for step in range(STEPS):
