@@ -82,13 +82,6 @@ def x10(spark, sf):
     return changes.last_copies(t.where("kind <> 'fr'").select("entry_id", "digest", "path"), t.groupBy("digest").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("x12_verdict", _D + ", c AS (SELECT digest, count(*) FILTER (source_id <> 'src0') AS online FROM tree_docs WHERE state = 'hashed' GROUP BY 1) SELECT entry_id, CASE WHEN unreadable THEN 'unreadable' WHEN size = 0 THEN 'no_content' WHEN online > 0 THEN 'safe' ELSE 'unique' END AS verdict FROM tree_docs LEFT JOIN c USING (digest) WHERE source_id = 'src0'")
-def x12(spark, sf):
-    t = a.tree_docs(spark, sf)
-    c = t.where("state = 'hashed'").groupBy("digest").agg(F.count_if(F.col("source_id") != "src0").alias("online"))
-    return t.where("source_id = 'src0'").join(c, "digest", "left").select("entry_id", F.when(F.col("unreadable"), "unreadable").when(F.col("size") == 0, "no_content").when(F.col("online") > 0, "safe").otherwise("unique").alias("verdict"))
-
-
 @query("a23_check_counts", _D + " SELECT source_id, state, unreadable, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM tree_docs GROUP BY ALL")
 def a23(spark, sf):
     return a.tree_docs(spark, sf).groupBy("source_id", "state", "unreadable").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))

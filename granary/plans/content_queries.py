@@ -31,89 +31,16 @@ def j5(spark, sf):
     return docs(spark, sf).select("entry_id", content.physical_key().alias("pkey"))
 
 
-@query("a12_copies", _C + " SELECT * FROM copies")
-def a12(spark, sf):
-    return content.copies(docs(spark, sf))
-
-
-@query("a13_with_copies", _C + " SELECT digest, names FROM copies WHERE names > 1")
-def a13(spark, sf):
-    return content.copies(docs(spark, sf)).where("names > 1").select("digest", "names")
-
-
-@query("a14_physical_groups", _C + " SELECT digest, copies, size * (copies - 1) AS surplus FROM copies WHERE copies > 1")
-def a14(spark, sf):
-    return content.copies(docs(spark, sf)).where("copies > 1").select("digest", "copies", (F.col("size") * (F.col("copies") - 1)).alias("surplus"))
-
-
-@query("a33_single_source", _C + " SELECT digest, copies, sources > 1 AS many_sources FROM copies")
-def a33(spark, sf):
-    return content.copies(docs(spark, sf)).select("digest", "copies", (F.col("sources") > 1).alias("many_sources"))
-
-
-@query(
-    "a9_coverage",
-    _D + " SELECT source_id, count(*) AS files, count(*) FILTER (state = 'hashed') AS hashed, count(*) FILTER (state = 'pending') AS pending, CAST(coalesce(sum(size) FILTER (state = 'hashed'), 0) AS BIGINT) AS hashed_bytes, CAST(coalesce(sum(size) FILTER (state = 'pending'), 0) AS BIGINT) AS pending_bytes FROM files GROUP BY 1",
-)
-def a9(spark, sf):
-    is_ = lambda s: F.col("state") == s
-    size = lambda s: F.sum(F.when(is_(s), F.col("size")).otherwise(0)).alias(f"{s}_bytes")
-    return docs(spark, sf).groupBy("source_id").agg(F.count(F.lit(1)).alias("files"), F.count_if(is_("hashed")).alias("hashed"), F.count_if(is_("pending")).alias("pending"), size("hashed"), size("pending"))
-
-
 @query("a34_member_coverage", _D + " SELECT kind, state, count(*) AS n FROM files GROUP BY ALL")
 def a34(spark, sf):
     return docs(spark, sf).groupBy("kind", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    "d1_states",
-    _D
-    + """, g AS (SELECT size, count(DISTINCT pkey) AS phys FROM files GROUP BY size)
-    SELECT entry_id, CASE WHEN size = 0 THEN 'none' WHEN state = 'hashed' THEN 'hashed' WHEN phys < 2 THEN 'unique_size' WHEN size >= 16777216 AND state = 'sampled' THEN 'sampled' ELSE 'pending' END AS next_state FROM files JOIN g USING (size)""",
-)
-def d1(spark, sf):
-    return content.size_states(docs(spark, sf)).select("entry_id", "next_state")
-
-
 @query("d4_dictionary", _D + " SELECT digest, min(entry_id) AS first_id, max(size) AS size FROM files GROUP BY 1")
 def d4(spark, sf):
     return docs(spark, sf).groupBy("digest").agg(F.min("entry_id").alias("first_id"), F.max("size").alias("size"))
 
 
-@query("d5_place", _P + " SELECT entry_id, place FROM placed")
-def d5(spark, sf):
-    return content.places(docs(spark, sf)).select("entry_id", "place")
-
-
-@query(
-    "d7_offline_only",
-    _D
-    + """, o AS (SELECT digest, bool_or(source_id NOT IN ('src1', 'src2')) AS online FROM files WHERE state = 'hashed' GROUP BY 1),
-    s AS (SELECT digest, count(DISTINCT source_id) AS n FROM files WHERE state = 'hashed' GROUP BY 1)
-    SELECT entry_id FROM files JOIN o USING (digest) JOIN s USING (digest) WHERE state = 'hashed' AND source_id NOT IN ('src1', 'src2') AND n > 1
-      AND NOT EXISTS (SELECT 1 FROM files x WHERE x.digest = files.digest AND x.state = 'hashed' AND x.source_id <> files.source_id AND x.source_id NOT IN ('src1', 'src2'))""",
-)
-def d7(spark, sf):
-    f = docs(spark, sf).where("state = 'hashed'")
-    online = ~F.col("source_id").isin("src1", "src2")
-    per = f.groupBy("digest").agg(F.count_distinct("source_id").alias("n"), F.count_distinct(F.when(online, F.col("source_id"))).alias("n_online"))
-    return f.where(online).join(per, "digest").where("n > 1 and n_online = 1").select("entry_id")
-
-
-@query("a20_place_sums", _S + " SELECT * FROM sums")
-def a20(spark, sf):
-    return content.place_sums(content.places(docs(spark, sf)))
-
-
-@query(
-    "d8_folder_place",
-    _S + " SELECT ancestor, CASE " + " ".join(f"WHEN {p} > 0 THEN '{p}'" for p in content.PLACE_ORDER) + " ELSE 'none' END AS place FROM sums",
-)
-def d8(spark, sf):
-    return content.place_sums(content.places(docs(spark, sf))).select("ancestor", content.folder_place().alias("place"))
-
-
 @query(
     "a19_dir_dups",
     _C
@@ -132,32 +59,9 @@ def a19(spark, sf):
     )
 
 
-@query("d18_children_places", _P + " SELECT source_id, kind, place, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM placed GROUP BY ALL")
-def d18(spark, sf):
-    return content.places(docs(spark, sf)).groupBy("source_id", "kind", "place").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
-
-
 _OTHER = "pairs AS (SELECT f.entry_id, f.source_id, o.entry_id AS copy_id, o.source_id AS copy_source FROM files f JOIN files o ON f.digest = o.digest AND f.pkey <> o.pkey WHERE f.state = 'hashed' AND o.state = 'hashed' AND f.size > 0)"
 
 
-@query("w1_preferred", _D + "," + _OTHER + " SELECT entry_id, copy_id, copy_source FROM pairs QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY CASE WHEN copy_source = source_id THEN 1 ELSE 0 END, copy_id) = 1")
-def w1(spark, sf):
-    return content.preferred_copies(docs(spark, sf))
-
-
-@query("j4_semi", _D + "," + _OTHER + " SELECT DISTINCT entry_id FROM pairs")
-def j4(spark, sf):
-    f = docs(spark, sf)
-    return f.where("state = 'hashed' and size > 0").join(content.copies(f).where("copies > 1").select("digest"), "digest", "left_semi").select("entry_id")
-
-
-@query("j12_copies_of", _D + "," + _OTHER + " SELECT copy_id, copy_source FROM pairs WHERE entry_id = 1")
-def j12(spark, sf):
-    f = docs(spark, sf).where("state = 'hashed' and size > 0").withColumn("pkey", content.physical_key())
-    one = f.where("entry_id = 1").select("digest", F.col("pkey").alias("own"))
-    return f.join(F.broadcast(one), "digest").where("pkey <> own").select(F.col("entry_id").alias("copy_id"), F.col("source_id").alias("copy_source"))
-
-
 @query("j6_anti", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def j6(spark, sf):
     return a.table(spark, sf, "documents").join(a.table(spark, sf, "labels"), "doc_id", "left_anti").select("doc_id")
@@ -176,24 +80,6 @@ def j8(spark, sf):
     return f.join(f.groupBy("digest").agg(F.min("entry_id").alias("first_id")), "digest").select("entry_id", "first_id")
 
 
-@query("f10_duplicates", _P + " SELECT entry_id, copies > 1 AS has_copies, sources > 1 AS elsewhere, state <> 'hashed' AS unchecked FROM placed LEFT JOIN copies USING (digest) WHERE NOT unreadable")
-def f10(spark, sf):
-    f = docs(spark, sf)
-    return f.where("not unreadable").join(content.copies(f).select("digest", "copies", "sources"), "digest", "left").select(
-        "entry_id", (F.col("copies") > 1).alias("has_copies"), (F.col("sources") > 1).alias("elsewhere"), (F.col("state") != "hashed").alias("unchecked")
-    )
-
-
-@query(
-    "f11_elsewhere",
-    _D + " SELECT f.entry_id FROM files f WHERE f.source_id = 'src0' AND f.state = 'hashed' AND EXISTS (SELECT 1 FROM files o WHERE o.digest = f.digest AND o.state = 'hashed' AND o.source_id <> 'src0')",
-)
-def f11(spark, sf):
-    f = docs(spark, sf).where("state = 'hashed'")
-    out = f.where("source_id <> 'src0'").select("digest").distinct()
-    return f.where("source_id = 'src0'").join(out, "digest", "left_semi").select("entry_id")
-
-
 _L = a.with_tables(a.TREE_LINES)
 _PER = _L + ", per AS (SELECT folder, key, CAST(sum(size) AS BIGINT) AS bytes FROM tree_lines GROUP BY ALL), held AS (SELECT key FROM per GROUP BY key HAVING count(*) > 1), top3 AS (SELECT folder, key, bytes, row_number() OVER (PARTITION BY folder ORDER BY bytes DESC, key) AS rank FROM per JOIN held USING (key) QUALIFY rank <= 3)"
 _MATCH = (
@@ -287,13 +173,6 @@ def d10(spark, sf):
     return per.select("archive_id", split(F.col("size") * 3 + 1, F.array("u", "v", F.lit(1).cast("long"))).alias("shares"))
 
 
-@query("d6_member_place", a.with_tables(a.ARCHIVES_CONV) + " SELECT archive_id, path, CASE WHEN count(DISTINCT archive_id) OVER (PARTITION BY key) > 1 THEN 'other_source' WHEN count(*) OVER (PARTITION BY key) > 1 THEN 'this_source' ELSE 'only_copy' END AS place FROM archives_conv")
-def d6(spark, sf):
-    m = a.archives_conv(spark, sf)
-    per = m.groupBy("key").agg(F.count_distinct("archive_id").alias("archives"), F.count(F.lit(1)).alias("n"))
-    return m.join(per, "key").select("archive_id", "path", F.when(F.col("archives") > 1, "other_source").when(F.col("n") > 1, "this_source").otherwise("only_copy").alias("place"))
-
-
 @query("t1_union", _D + ",m AS (SELECT key, size FROM (" + a.ARCHIVES_CONV.strip().split("AS (", 1)[1].rsplit(")", 1)[0] + ")) SELECT digest AS key, size, 'file' AS arm FROM files UNION ALL SELECT key, size, 'member' FROM m")
 def t1(spark, sf):
     f = docs(spark, sf).select(F.col("digest").alias("key"), "size", F.lit("file").alias("arm"))

@@ -62,11 +62,6 @@ def f13(spark, sf):
     return docs(spark, sf).where(~((F.col("path") == "src19") | F.col("path").startswith("src19/"))).select("entry_id")
 
 
-@query("f16_disposable", _N + " SELECT entry_id, (kind LIKE 'STANDARD%' OR kind LIKE 'PROMO%') AND coalesce(size, 0) < 10 AS disposable FROM parts")
-def f16(spark, sf):
-    return parts(spark, sf).select("entry_id", (F.col("kind").rlike("^(STANDARD|PROMO)") & (F.coalesce("size", F.lit(0)) < 10)).alias("disposable"))
-
-
 @query("f20_null_safe", "WITH t AS (SELECT d.doc_id AS entry_id, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)) SELECT entry_id, quality IS NOT DISTINCT FROM toxic AS same, quality IS NULL AS unknown FROM t")
 def f20(spark, sf):
     t = a.table(spark, sf, "documents").join(a.table(spark, sf, "labels"), "doc_id", "left")
@@ -203,7 +198,3 @@ def c9(spark, sf):
     return p.join(own, "entry_id", "left").select("entry_id", F.coalesce("own", "kind").alias("category"))
 
 
-@query("c12_purge_class", _N + " SELECT entry_id, CASE WHEN name LIKE '%bolt' AND size > 30 THEN 'possibly_valuable' WHEN kind LIKE 'PROMO%' OR size < 5 THEN 'likely_junk' ELSE 'uncertain' END AS class FROM parts")
-def c12(spark, sf):
-    k, n, s = F.col("kind"), F.col("name"), F.col("size")
-    return parts(spark, sf).select("entry_id", F.when(n.endswith("bolt") & (s > 30), "possibly_valuable").when(k.startswith("PROMO") | (s < 5), "likely_junk").otherwise("uncertain").alias("class"))
