@@ -155,46 +155,6 @@ def u1(spark, sf):
     return a.table(spark, sf, "pages").select("page_id", display_name(F.col("url").cast("binary")).alias("shown"))
 
 
-@query("c1_name_signals", _N + " SELECT entry_id, list_filter([CASE WHEN contains(name, 'red') THEN 'red' END, CASE WHEN contains(name, 'small') THEN 'small' END], lambda x: x IS NOT NULL) AS signals FROM parts")
-def c1(spark, sf):
-    return parts(spark, sf).select("entry_id", classify.signals(F.col("name"), {"red": "*red*", "small": "*small*"}).alias("signals"))
-
-
 _RULES = "r(rule, pattern, priority, category) AS (VALUES ('bolt', 'bolt', 10, 'metal'), ('gear', 'gear', 10, 'metal'), ('ring', 'ring', 20, 'round'), ('small', 'small', 20, 'small'), ('red', 'red', 20, 'colour'))"
 
 
-@query(
-    "c5_resolution",
-    _N
-    + f""", {_RULES}, hits AS (SELECT entry_id, rule, priority, category FROM parts JOIN r ON contains(name, pattern)),
-    top AS (SELECT entry_id, max(priority) AS p FROM hits GROUP BY 1), c AS (SELECT h.entry_id, count(DISTINCT category) AS n, min(category) AS one FROM hits h JOIN top t ON h.entry_id = t.entry_id AND h.priority = t.p GROUP BY 1)
-    SELECT p.entry_id, CASE WHEN c.n IS NULL THEN 'none' WHEN c.n > 1 THEN 'unknown' ELSE c.one END AS category FROM parts p LEFT JOIN c USING (entry_id)""",
-)
-def c5(spark, sf):
-    rules = [("bolt", "*bolt*", 10, "metal"), ("gear", "*gear*", 10, "metal"), ("ring", "*ring*", 20, "round"), ("small", "*small*", 20, "small"), ("red", "*red*", 20, "colour")]
-    return classify.resolve(parts(spark, sf), "name", rules).select("entry_id", "category")
-
-
-@query("c6_family", _N + " SELECT entry_id, CASE WHEN name LIKE '%bolt' THEN 'kept' WHEN name LIKE '%ring' THEN 'disposable' ELSE 'other' END AS family FROM parts")
-def c6(spark, sf):
-    metal = F.regexp_extract("name", r"(\S+)$", 1)
-    return parts(spark, sf).select("entry_id", F.coalesce(classify.lookup(metal, {"bolt": "kept", "ring": "disposable"}), F.lit("other")).alias("family"))
-
-
-@query(
-    "c8_veto",
-    a.with_tables(a.TREE_ORDERS, a.closure_sql("tree_orders"))
-    + " SELECT ancestor, CASE WHEN count(*) FILTER (size >= 49) > 0 THEN 'review' ELSE 'discard' END AS triage, count(*) FILTER (size >= 49) > 0 AS veto FROM closure WHERE level = 3 GROUP BY 1",
-)
-def c8(spark, sf):
-    valuable = F.count_if(F.col("size") >= 49) > 0
-    return with_ancestors(a.tree_orders(spark, sf)).where("level = 3").groupBy("ancestor").agg(F.when(valuable, "review").otherwise("discard").alias("triage"), valuable.alias("veto"))
-
-
-@query("c9_owner", _N + " SELECT entry_id, coalesce(CASE WHEN entry_id % 10 = 0 THEN 'owner' END, kind) AS category FROM parts")
-def c9(spark, sf):
-    p = parts(spark, sf)
-    own = p.where("entry_id % 10 = 0").select("entry_id", F.lit("owner").alias("own"))
-    return p.join(own, "entry_id", "left").select("entry_id", F.coalesce("own", "kind").alias("category"))
-
-
