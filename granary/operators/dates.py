@@ -1,57 +1,336 @@
-"""Dates of photos: from names and folders, by precedence, and clocks that are off."""
+"""Dates of photos: from names, folders and headers, by precedence, and clocks that are off.
+
+A date is a struct ``ns`` (start of its period, UTC nanoseconds), ``local`` (4, 7, 10
+or 19 letters) and ``precision`` (year, month, day, second).  Wall times are read in
+UTC.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.paths import parent, with_ancestors
 
-def name_date(name: Column) -> Column:
-    """Seconds of the time in a camera's file name (IMG_, VID_ or PXL_ with date and time), else null."""
-    digits = F.regexp_extract(name, r"^(?:IMG|VID|PXL)_(\d{8}_\d{6})", 1)
-    return F.unix_seconds(F.try_to_timestamp(F.when(digits != "", digits), F.lit("yyyyMMdd_HHmmss")))
+FIRST_YEAR = 1990
+SECOND = 1_000_000_000
+DAY = 86_400 * SECOND
+#: A clock that was never set starts here.
+CAMERA_DEFAULTS = (1970, 1980, 2000, 2001)
+#: Years a written date can have.
+YEARS = (1700, 2200)
+#: Flag bits.
+MTIME_DISAGREES, IMPLAUSIBLE, CAMERA_OFFSET, NO_DATE_METADATA = 1, 2, 4, 8
 
 
-def folder_date(folder: Column) -> Column:
-    """A folder named as a day, year first or day first."""
-    year_first = F.regexp_extract(folder, r"^(\d{4}-\d{2}-\d{2})$", 1)
-    day_first = F.regexp_extract(folder, r"^(\d{2}-\d{2}-\d{4})$", 1)
-    return F.coalesce(
-        F.try_to_timestamp(F.when(year_first != "", year_first), F.lit("yyyy-MM-dd")).cast("date"),
-        F.try_to_timestamp(F.when(day_first != "", day_first), F.lit("dd-MM-yyyy")).cast("date"),
-    )
+def _date(digits: Column, precision: Column, millis: Column | None = None) -> Column:
+    """The date that 14 digits name, null where there is none."""
+    at = F.try_to_timestamp(F.when(F.length(digits) == 14, digits), F.lit("yyyyMMddHHmmss"))
+    ns = F.unix_micros(at) * 1000 + (F.coalesce(millis, F.lit(0)) * 1_000_000 if millis is not None else 0)
+    length = F.when(precision == "year", 4).when(precision == "month", 7).when(precision == "day", 10).otherwise(19)
+    local = F.substring(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(1), length)
+    return F.when(F.year(at).between(*YEARS), F.struct(ns.alias("ns"), local.alias("local"), precision.alias("precision")))
 
 
-def events(photos: DataFrame) -> DataFrame:
-    """Folders with photos of two cameras or more."""
-    return photos.groupBy("folder").agg(F.count_distinct("camera").alias("cameras"), F.count(F.lit(1)).alias("photos")).where("cameras >= 2")
+#: Shapes of dated file names: pattern of the lower-case name, what completes its digits, precision; the first that fits decides.
+_NAMES = (
+    (r"^(?:img|vid)_(\d{8}_\d{6})(?!\d)", "", "second"),
+    (r"^pxl_(\d{8}_\d{6})\d{3}(?!\d)", "", "second"),
+    (r"^(?:img|vid)-(\d{8})-wa", "000000", "day"),
+    (r"^screenshot_(\d{4}-\d\d-\d\d-\d\d-\d\d-\d\d)(?!\d)", "", "second"),
+    (r"^screenshot_(\d{8}-\d{6})(?!\d)", "", "second"),
+    (r"^screenshot_(\d{4}-\d\d-\d\d)(?!\d)", "000000", "day"),
+    (r"^(\d{8}_\d{6})(?!\d)", "", "second"),
+    (r"^(\d{4}-\d\d-\d\d \d\d\.\d\d\.\d\d)(?!\d)", "", "second"),
+)
+
+
+def name_date(file_name: Column) -> Column:
+    """The date at the start of a camera's, phone's or chat program's file name (M1)."""
+    s = F.translate(file_name, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    digits = precision = F.lit(None).cast("string")
+    for pattern, tail, p in reversed(_NAMES):
+        found = F.regexp_extract(s, pattern, 1)
+        digits = F.when(found != "", F.concat(F.regexp_replace(found, r"\D", ""), F.lit(tail))).otherwise(digits)
+        precision = F.when(found != "", p).otherwise(precision)
+    millis = F.regexp_extract(s, r"^pxl_\d{8}_\d{6}(\d{3})(?!\d)", 1)
+    return _date(digits, precision, F.when(millis != "", millis.cast("long")))
+
+
+_SEP = r"(?=$|[ \-_.])"
+#: Dates at the start of a folder's name, before its end or one of space, ``-``, ``_``, ``.``.
+_LEADING = ((rf"^\d{{4}}-\d\d-\d\d{_SEP}", "000000", "day"), (rf"^\d{{4}}-\d\d{_SEP}", "01000000", "month"), (rf"^\d{{4}}{_SEP}", "0101000000", "year"))
 
 
-def offset_candidates(photos: DataFrame, margin: int = 6 * 3600, longest: int = 24 * 3600) -> DataFrame:
-    """Per folder and camera whose photos lie, within a day, wholly outside the others' times by a margin: ``delta`` of the middle times."""
-    per = photos.groupBy("folder", "camera").agg(
-        F.min("capture_s").alias("low"), F.max("capture_s").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("capture_s").alias("total")
+def leading_date(folder: Column) -> Column:
+    """The date that a folder's name begins with; of the forms the first that names a real one."""
+    found = []
+    for pattern, tail, p in _LEADING:
+        match = F.regexp_extract(folder, pattern, 0)
+        found.append(_date(F.when(match != "", F.concat(F.regexp_replace(match, r"\D", ""), F.lit(tail))), F.lit(p)))
+    return F.coalesce(*found)
+
+
+def folder_dates(folders: DataFrame, this_year: int) -> DataFrame:
+    """Adds ``folder_date`` to folders (``folder``: a path), read with the two folders above (M2).
+
+    First nested year/month/day, then year/month, else the date of its own name.
+    ``05-07-2010`` may be day first, so it is no month below a year.
+    """
+    parts = F.split("folder", "/", -1)
+    at = lambda k: F.when(F.size(parts) > k, F.get(parts, F.size(parts) - 1 - k))
+    out = folders.withColumns({"granary_own": at(0), "granary_up": at(1), "granary_top": at(2)})
+    year = lambda c: F.col(c).rlike(r"^\d{4}$") & F.col(c).try_cast("int").between(FIRST_YEAR, this_year)
+    two = lambda c: F.regexp_extract(c, rf"^(\d\d){_SEP}", 1)
+    month = lambda c: F.when(~F.col(c).rlike(r"^\d\d[\-_.](0\d|1[0-2])"), F.nullif(two(c), F.lit("")))
+    out = out.withColumns(
+        {
+            "granary_day": F.when(year("granary_top"), F.concat("granary_top", month("granary_up"), F.nullif(two("granary_own"), F.lit("")), F.lit("000000"))),
+            "granary_month": F.when(year("granary_up"), F.concat("granary_up", month("granary_own"), F.lit("01000000"))),
+            "granary_lead": leading_date(F.col("granary_own")),
+        }
     )
-    others = (
-        per.alias("a")
-        .join(per.alias("b"), (F.col("a.folder") == F.col("b.folder")) & (F.col("a.camera") != F.col("b.camera")))
-        .groupBy("a.folder", "a.camera")
-        .agg(F.min("b.low").alias("other_low"), F.max("b.high").alias("other_high"), F.sum("b.n").alias("other_n"), F.sum("b.total").alias("other_total"))
+    own = F.when(F.substring("granary_lead.local", 1, 4).cast("int").between(FIRST_YEAR, this_year), F.col("granary_lead"))
+    out = out.withColumn("folder_date", F.coalesce(_date(F.col("granary_day"), F.lit("day")), _date(F.col("granary_month"), F.lit("month")), own))
+    return out.drop("granary_own", "granary_up", "granary_top", "granary_day", "granary_month", "granary_lead")
+
+
+def nearest_folder_dates(rows: DataFrame, this_year: int) -> DataFrame:
+    """Adds ``folder_date``: that of the nearest dated folder above each ``path`` (M3).
+
+    Folders are far fewer than files: each is dated once, and every folder
+    takes the deepest date at or above it.
+    """
+    folders = rows.select(parent(F.col("path")).alias("folder")).where("folder <> ''").distinct()
+    every = with_ancestors(folders.select(F.concat("folder", F.lit("/x")).alias("path"), "folder"), False)
+    dated = folder_dates(every.select(F.col("ancestor").alias("at")).distinct().withColumnRenamed("at", "folder"), this_year).where("folder_date is not null")
+    near = (
+        every.select("folder", "ancestor", "level").join(dated.select(F.col("folder").alias("ancestor"), "folder_date"), "ancestor")
+        .groupBy("folder").agg(F.max_by("folder_date", "level").alias("folder_date"))
     )
-    j = per.join(others, ["folder", "camera"])
-    outside = (F.col("low") > F.col("other_high") + margin) | (F.col("high") < F.col("other_low") - margin)
-    return j.where((F.col("high") - F.col("low") < longest) & outside).select(
-        "folder", "camera", F.expr("total div n - other_total div other_n").alias("delta")
+    near = near.withColumnRenamed("folder", "granary_folder")
+    return rows.join(near, parent(F.col("path")) == F.col("granary_folder"), "left").drop("granary_folder")
+
+
+def plausible(date: Column, now_ns: int) -> Column:
+    """From FIRST_YEAR on, not after tomorrow, and not the first midnight of a camera's default year (M4)."""
+    default = F.lit(False)
+    for y in CAMERA_DEFAULTS:
+        default = default | (date["local"] == f"{y}-01-01T00:00:00")
+    return (F.substring(date["local"], 1, 4).cast("int") >= FIRST_YEAR) & (date["ns"] <= now_ns + DAY) & ~((date["precision"] == "second") & default)
+
+
+def instant(ns: Column) -> Column:
+    """An instant as a date of second precision; null stays null."""
+    at = F.timestamp_micros(F.floor(ns / 1000).cast("long"))
+    return F.when(ns.isNotNull(), F.struct(ns.cast("long").alias("ns"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss").alias("local"), F.lit("second").alias("precision")))
+
+
+def end_ns(date: Column) -> Column:
+    """Where a date's period ends."""
+    start = F.timestamp_micros(F.floor(date["ns"] / 1000).cast("long"))
+    months = F.when(date["precision"] == "year", 12).when(date["precision"] == "month", 1).otherwise(0)
+    later = F.unix_micros(F.add_months(start, months).cast("timestamp")) * 1000
+    return F.when(date["precision"] == "second", date["ns"] + SECOND).when(date["precision"] == "day", date["ns"] + DAY).otherwise(later)
+
+
+def contains(date: Column, ns: Column, slack: int = 0) -> Column:
+    return (ns >= date["ns"] - slack) & (ns < end_ns(date) + slack)
+
+
+def candidates(rows: DataFrame, now_ns: int, this_year: int) -> DataFrame:
+    """Adds ``candidates``: source, date and plausibility in order of trust.
+
+    ``rows``: ``path``, ``exif_ns``, ``offset_known``, ``gps_ns``, ``container_ns``, ``mtime_ns``; any may be null.
+    """
+    file_name = F.substring_index("path", "/", -1)
+    dates = {
+        "exif": instant(F.col("exif_ns")), "gps": instant(F.col("gps_ns")), "container": instant(F.col("container_ns")),
+        "file_name": name_date(file_name), "folder_name": F.col("folder_date"), "mtime": instant(F.col("mtime_ns")),
+    }
+    # Each date is a column before it is used: an expression used ten times would be computed ten times.
+    at = {s: F.col(f"granary_{s}") for s in dates}
+    listed = [F.when(d.isNotNull(), F.struct(F.lit(s).alias("source"), d.alias("date"), plausible(d, now_ns).alias("plausible"))) for s, d in at.items()]
+    out = nearest_folder_dates(rows, this_year).withColumns({f"granary_{s}": d for s, d in dates.items()}).withColumn("candidates", F.filter(F.array(*listed), lambda c: c.isNotNull()))
+    return out.drop("folder_date", *(f"granary_{s}" for s in dates))
+
+
+def _take(candidate: Column, slack: int) -> Column:
+    """A candidate as the effective date: one coarser than a second that holds the modification time is refined by it."""
+    source, date, mtime = candidate["source"], candidate["date"], F.col("mtime_ns")
+    named = source.isin("file_name", "folder_name")
+    refined = F.coalesce(named & (date["precision"] != "second") & contains(date, mtime, slack), F.lit(False))
+    confidence = (
+        F.when(source == "exif", F.when(F.coalesce("offset_known", F.lit(False)), "high").otherwise("medium"))
+        .when(source == "gps", "high").when(source == "container", "medium")
+        .when(named, F.when(refined, "medium").otherwise("low")).otherwise("lowest")
+    )
+    return F.when(candidate.isNotNull(), F.struct(source.alias("source"), F.when(refined, instant(mtime)).otherwise(date).alias("date"), confidence.alias("confidence"), refined.alias("refined")))
+
+
+def _owner(date: Column, confidence: str) -> Column:
+    return F.when(date.isNotNull(), F.struct(F.lit("owner").alias("source"), date.alias("date"), F.lit(confidence).alias("confidence"), F.lit(False).alias("refined")))
+
+
+def shifted(date: Column, seconds: Column) -> Column:
+    """A date moved by seconds; one coarser than a second starts its new period."""
+    moved = F.timestamp_micros(F.floor(date["ns"] / 1000).cast("long") + seconds * 1_000_000)
+    start = F.when(date["precision"] == "year", F.date_trunc("year", moved)).when(date["precision"] == "month", F.date_trunc("month", moved)).when(date["precision"] == "day", F.date_trunc("day", moved))
+    local = F.date_format(moved, "yyyy-MM-dd'T'HH:mm:ss")
+    length = F.when(date["precision"] == "year", 4).when(date["precision"] == "month", 7).when(date["precision"] == "day", 10).otherwise(19)
+    ns = F.when(date["precision"] == "second", date["ns"] + seconds * SECOND).otherwise(F.unix_micros(start) * 1000)
+    return F.when(F.year(moved).between(*YEARS), F.struct(ns.alias("ns"), F.substring(local, F.lit(1), length).alias("local"), date["precision"].alias("precision")))
+
+
+def derive(rows: DataFrame, now_ns: int, this_year: int, local_time: bool = False) -> DataFrame:
+    """Adds ``effective`` (source, date, confidence, refined) and ``flags`` (M5-M7).
+
+    The first plausible candidate, or the modification time however implausible.
+    ``correction`` (null, set, shift, use_name, use_folder) with ``set_date`` and
+    ``shift_s`` goes before.
+    """
+    slack = 3600 * SECOND if local_time else 0
+    c = candidates(rows, now_ns, this_year)
+    by = lambda s: F.get(F.filter("candidates", lambda x: x["source"] == s), F.lit(0))
+    best = F.coalesce(F.get(F.filter("candidates", lambda x: x["plausible"]), F.lit(0)), by("mtime"))
+    c = c.withColumns({"granary_best": best, "granary_exif": by("exif"), "granary_name": by("file_name"), "granary_folder": by("folder_name")})
+    c = c.withColumn("granary_first", _take(F.col("granary_best"), slack))
+    c = c.withColumn("granary_base", F.coalesce(F.col("granary_exif.date"), F.col("granary_first.date")))
+    base = F.col("granary_base")
+    kind = F.col("correction")
+    own = (
+        F.when(kind == "set", _owner(F.col("set_date"), "high")).when(kind == "shift", _owner(shifted(base, F.col("shift_s")), "medium"))
+        .when(kind == "use_name", _take(F.col("granary_name"), slack)).when(kind == "use_folder", _take(F.col("granary_folder"), slack))
+    )
+    c = c.withColumn("effective", F.coalesce(own, "granary_first"))
+    header = F.filter("candidates", lambda x: x["source"].isin("exif", "gps", "container"))
+    date = F.col("effective.date")
+    end = F.when(date["precision"] == "second", date["ns"]).otherwise(end_ns(date))
+    far = F.greatest(date["ns"] - F.col("mtime_ns"), F.col("mtime_ns") - end) > DAY + slack
+    trusted = F.col("effective.source").isin("exif", "gps", "container", "owner")
+    bit = lambda test, b: F.when(F.coalesce(test, F.lit(False)), b).otherwise(0)
+    flags = bit(trusted & far, MTIME_DISAGREES) + bit(F.exists(header, lambda x: ~x["plausible"]), IMPLAUSIBLE) + bit(F.size(header) == 0, NO_DATE_METADATA)
+    return c.withColumn("flags", flags).drop("granary_first", "granary_best", "granary_base", "granary_exif", "granary_name", "granary_folder")
+
+
+def inputs_key(*columns: Column) -> Column:
+    """A fingerprint of all that a date is derived from: an unchanged one needs no new derivation."""
+    return F.xxhash64(*(F.struct(c.isNull(), F.coalesce(c.cast("string"), F.lit(""))) for c in columns))
+
+
+def camera_key(make: Column, model: Column, serial: Column) -> Column:
+    """make|model|serial, each trimmed of blanks and NULs, ``|`` as ``/``; empty without any (M8)."""
+    parts = [F.translate(F.regexp_replace(F.coalesce(c, F.lit("")), "^[ \\x00]+|[ \\x00]+$", ""), "|", "/") for c in (make, model, serial)]
+    return F.when(F.concat(*parts) == "", "").otherwise(F.concat(parts[0], F.lit("|"), parts[1], F.lit("|"), parts[2]))
+
+
+def event_name(folder: Column) -> Column:
+    """A folder's name without its leading date and the separators after it."""
+    d = leading_date(folder)
+    rest = F.substring(folder, F.length(d["local"]) + 1, F.length(folder))
+    return F.when(d.isNull(), folder).otherwise(F.regexp_replace(rest, r"^[ \-_.]+", ""))
+
+
+def renamed(file_name: Column, date: Column) -> Column:
+    """``YYYYMMDD_HHMMSS_name``; a name that starts so is kept; null for a date coarser than a second."""
+    l = date["local"]  # noqa: E741
+    cut = lambda a, n: F.substring(l, a, n)
+    prefix = F.concat(cut(1, 4), cut(6, 2), cut(9, 2), F.lit("_"), cut(12, 2), cut(15, 2), cut(18, 2), F.lit("_"))
+    return F.when(date["precision"] == "second", F.when(file_name.startswith(prefix), file_name).otherwise(F.concat(prefix, file_name)))
+
+
+def events(photos: DataFrame) -> DataFrame:
+    """Folders with photos of two cameras or more (M9)."""
+    return photos.where("camera <> ''").groupBy("folder").agg(F.count_distinct("camera").alias("cameras"), F.count(F.lit(1)).alias("photos")).where("cameras >= 2")
+
+
+def half_away(value: Column, by: int) -> Column:
+    """A quotient of whole numbers, halves away from zero."""
+    return (F.signum(value) * F.floor((F.abs(value) + by // 2) / by)).cast("long")
+
+
+def median_of(rows: DataFrame, by: list[str], value: str, as_: str) -> DataFrame:
+    """Exact median of whole numbers by group: of an even number the lower middle plus half the step to the upper, cut.
+
+    Equal values are counted first, so a group is as many rows as it has values.
+    """
+    per = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("granary_n"))
+    w = Window.partitionBy(*by)
+    ranked = per.withColumn("granary_to", F.sum("granary_n").over(w.orderBy(value))).withColumn("granary_all", F.sum("granary_n").over(w))
+    holds = lambda r: (F.col("granary_to") >= r) & (F.col("granary_to") - F.col("granary_n") < r)
+    low, high = F.expr("(granary_all + 1) div 2"), F.expr("granary_all div 2 + 1")
+    out = ranked.groupBy(*by).agg(F.max(F.when(holds(low), F.col(value))).alias("granary_a"), F.max(F.when(holds(high), F.col(value))).alias("granary_b"))
+    return out.select(*by, (F.col("granary_a") + F.expr("(granary_b - granary_a) div 2")).alias(as_))
+
+
+def own_gps(photos: DataFrame) -> DataFrame:
+    """``folder``, ``camera`` and ``delta`` (seconds) of cameras whose own GPS times say how far they are off.
+
+    Three photos with GPS or more, agreeing within ten minutes, beyond an hour
+    where all their offsets are known, else beyond fourteen.
+    """
+    d = photos.where("gps_ns is not null and camera <> ''").withColumn("diff", F.col("capture_ns") - F.col("gps_ns"))
+    by = ["folder", "camera"]
+    per = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("diff").alias("low"), F.max("diff").alias("high"), F.bool_and("offset_known").alias("known"))
+    limit = F.when(F.col("known"), 3600 * SECOND).otherwise(14 * 3600 * SECOND)
+    at = per.join(median_of(d, by, "diff", "middle"), by)
+    return at.where((F.col("n") >= 3) & (F.col("high") - F.col("low") <= 600 * SECOND) & (F.abs("middle") > limit)).select(*by, half_away(F.col("middle"), SECOND).alias("delta"))
+
+
+def offset_candidates(photos: DataFrame) -> DataFrame:
+    """Per event and camera how far its clock seems off: ``folder``, ``camera``, ``delta`` (seconds) and ``reference``.
+
+    ``photos``: ``folder``, ``camera``, ``capture_ns``, ``gps_ns``, ``offset_known``
+    and ``folder_day`` (a date struct or null).  By its own GPS; else where its
+    photos span less than a day and lie wholly before or after the other
+    cameras' range, widened by six hours: the difference of the medians.  What
+    the other cameras' GPS or the folder's date says of them is the reference.
+    """
+    p = photos.where("camera <> ''")
+    by = ["folder", "camera"]
+    p = p.join(p.groupBy("folder").agg(F.count_distinct("camera").alias("cameras")).where("cameras >= 2").select("folder"), "folder")
+    inside = F.coalesce(contains(F.col("folder_day"), F.col("capture_ns")), F.lit(False))
+    gps_far = F.coalesce(F.abs(F.col("capture_ns") - F.col("gps_ns")) > 600 * SECOND, F.lit(False))
+    per = p.groupBy(*by).agg(
+        F.min("capture_ns").alias("low"), F.max("capture_ns").alias("high"), F.count(F.lit(1)).alias("n"), F.count("gps_ns").alias("gps"), F.count_if(gps_far).alias("far"),
+        F.count_if(inside).alias("inside"), F.max(F.col("folder_day").isNotNull()).alias("dated"),
+    )
+    # The other cameras' figures: the folder's less the camera's own; their median by exclusion.
+    w = Window.partitionBy("folder")
+    ends = per.groupBy("folder").agg(F.sort_array(F.collect_list(F.struct("low", "camera"))).alias("lows"), F.sort_array(F.collect_list(F.struct("high", "camera")), asc=False).alias("highs"))
+    other = lambda c: F.get(F.filter(c, lambda x: x["camera"] != F.col("camera")), F.lit(0))
+    at = per.join(ends, "folder").withColumns(
+        {"other_low": other("lows")["low"], "other_high": other("highs")["high"], **{f"other_{x}": F.sum(x).over(w) - F.col(x) for x in ("n", "gps", "far", "inside")}, "has_day": F.max("dated").over(w)}
     )
+    margin = 6 * 3600 * SECOND
+    apart = (F.col("high") - F.col("low") < DAY) & ((F.col("high") < F.col("other_low") - margin) | (F.col("low") > F.col("other_high") + margin))
+    found = at.where(apart).drop("lows", "highs")
+    mine = median_of(p, by, "capture_ns", "own_middle")
+    rest = p.select("folder", F.col("camera").alias("of"), "capture_ns").join(found.select(*by), "folder").where("of <> camera")
+    theirs = median_of(rest, by, "capture_ns", "other_middle")
+    reference = (
+        F.when((F.col("other_gps") > 0) & (F.col("other_far") == 0), "gps")
+        .when(F.col("has_day") & (F.col("other_inside") == F.col("other_n")) & (F.col("inside") == 0), "folder_name").otherwise("none")
+    )
+    by_range = found.join(mine, by).join(theirs, by).select(*by, half_away(F.col("own_middle") - F.col("other_middle"), SECOND).alias("delta"), reference.alias("reference"))
+    by_gps = own_gps(p).withColumn("reference", F.lit("own_gps"))
+    return by_gps.unionByName(by_range.join(by_gps.select(*by), by, "left_anti"))
+
 
+def detect(photos: DataFrame) -> DataFrame:
+    """``camera``, ``photos``, ``state`` (offset, disagrees, ok) and ``shift_s`` of every camera.
 
-def offsets(candidates: DataFrame, agree: int = 3600) -> DataFrame:
-    """A camera whose candidates agree: the middle delta, rounded to the minute, with the opposite sign."""
-    w = Window.partitionBy("camera")
-    ranked = candidates.withColumn("r", F.row_number().over(w.orderBy("delta", "folder"))).withColumn("n", F.count(F.lit(1)).over(w))
-    return (
-        ranked.groupBy("camera")
-        .agg(F.max(F.when(F.col("r") == F.expr("(n + 1) div 2"), F.col("delta"))).alias("middle"), F.max("delta").alias("high"), F.min("delta").alias("low"), F.max("n").alias("folders"))
-        .where(F.col("high") - F.col("low") <= agree)
-        .select("camera", "folders", (-F.round(F.col("middle") / 60).cast("long") * 60).alias("suggested"))
+    Offset: all its candidates agree within ten minutes, and a GPS, or the
+    folder's date at two events, sides with the others; the shift is minus the
+    median, to the minute.  Then the rest is compared again without those
+    cameras: who still has candidates disagrees.
+    """
+    first = offset_candidates(photos).persist()  # a row per event and camera at most, read three times
+    backed = F.max(F.col("reference").isin("gps", "own_gps")) | ((F.count(F.lit(1)) >= 2) & F.max(F.col("reference") == "folder_name"))
+    judged = first.groupBy("camera").agg((F.max("delta") - F.min("delta")).alias("spread"), backed.alias("backed"))
+    off = judged.where("spread <= 600 and backed").join(median_of(first, ["camera"], "delta", "middle"), "camera").select("camera", (half_away(-F.col("middle"), 60) * 60).alias("shift_s")).persist()  # a row per camera at most
+    second = offset_candidates(photos.join(off, "camera", "left_anti")).select("camera").distinct().withColumn("again", F.lit(True))
+    every = photos.where("camera <> ''").groupBy("camera").agg(F.count(F.lit(1)).alias("photos"))
+    return every.join(off, "camera", "left").join(second, "camera", "left").select(
+        "camera", "photos", F.when(F.col("shift_s").isNotNull(), "offset").when(F.col("again"), "disagrees").otherwise("ok").alias("state"), "shift_s"
     )

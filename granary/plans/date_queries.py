@@ -9,49 +9,169 @@ from granary.plans.registry import query
 from granary.sources import adapters as a
 
 _P = a.with_tables(a.PHOTOS_EVENTS)
-_CAND = (
-    _P
-    + """, per AS (SELECT folder, camera, min(capture_s) AS low, max(capture_s) AS high, count(*) AS n, sum(capture_s) AS total FROM photos_events GROUP BY ALL),
-    o AS (SELECT x.folder, x.camera, min(y.low) AS olow, max(y.high) AS ohigh, sum(y.n) AS onn, sum(y.total) AS ot FROM per x JOIN per y ON x.folder = y.folder AND x.camera <> y.camera GROUP BY ALL),
-    cand AS (SELECT folder, camera, CAST(total // n - ot // onn AS BIGINT) AS delta FROM per JOIN o USING (folder, camera) WHERE high - low < 86400 AND (low > ohigh + {m} OR high < olow - {m}))"""
-)
+#: The present, for plausibility: fixed, so that results do not move.
+NOW_NS, THIS_YEAR = 1_706_400_000_000_000_000, 2024
+
+#: Names of nine forms, by the id's remainder; ``{}`` is how either engine writes a time.
+_FORMS = ("IMG_{yyyyMMdd}_{HHmmss}.jpg", "PXL_{yyyyMMdd}_{HHmmss}123.jpg", "VID-{yyyyMMdd}-WA0007.mp4", "Screenshot_{yyyy}-{MM}-{dd}-{HH}-{mm}-{ss}.png", "Screenshot_{yyyyMMdd}-{HHmmss}.png",
+          "Screenshot_{yyyy}-{MM}-{dd}_x.png", "{yyyyMMdd}_{HHmmss}~2.jpg", "{yyyy}-{MM}-{dd} {HH}.{mm}.{ss}.jpg", "img_{yyyyMMdd}_{HHmmss}7.jpg", "holiday {yyyy}.jpg", "IMG_{yyyy}1399_{HHmmss}.jpg")
+_DUCK = {"yyyyMMdd": "%Y%m%d", "HHmmss": "%H%M%S", "yyyy": "%Y", "MM": "%m", "dd": "%d", "HH": "%H", "mm": "%M", "ss": "%S"}
+
+
+def _formed(ts):
+    """A file name for each event, of the form that its id picks."""
+    out = F.lit(None).cast("string")
+    for k, form in enumerate(_FORMS):
+        pieces = [F.date_format(ts, x) if n % 2 else F.lit(x) for n, x in enumerate(form.replace("{", "}").split("}")) if x]
+        out = F.when(F.col("event_id") % len(_FORMS) == k, F.concat(*pieces)).otherwise(out)
+    return out
+
+
+def _sql_form(form: str) -> str:
+    for java, c in _DUCK.items():
+        form = form.replace("{" + java + "}", c)
+    return form
+
+
+_NAMED = "named AS (SELECT event_id AS photo_id, ts, CASE event_id % 11 " + " ".join(f"WHEN {k} THEN strftime(ts, '{_sql_form(f)}')" for k, f in enumerate(_FORMS)) + " END AS name FROM events)"
+_STAMP = "CAST(epoch(date_trunc('second', ts)) AS BIGINT)"
+_M1 = f"""m1 AS (SELECT photo_id, name, CASE photo_id % 11 WHEN 1 THEN {_STAMP} * 1000000000 + 123000000 WHEN 2 THEN CAST(epoch(date_trunc('day', ts)) AS BIGINT) * 1000000000 WHEN 5 THEN CAST(epoch(date_trunc('day', ts)) AS BIGINT) * 1000000000
+  WHEN 8 THEN NULL WHEN 9 THEN NULL WHEN 10 THEN NULL ELSE {_STAMP} * 1000000000 END AS ns, CASE WHEN photo_id % 11 IN (8, 9, 10) THEN NULL WHEN photo_id % 11 IN (2, 5) THEN 'day' ELSE 'second' END AS precision FROM named)"""
+
+
+def named(spark, sf):
+    e = a.table(spark, sf, "events")
+    return e.withColumn("name", _formed(F.col("ts"))).withColumnRenamed("event_id", "photo_id")
 
 
-@query("m1_name_date", _P + " SELECT photo_id, CAST(epoch(strptime(regexp_extract(name, '^IMG_([0-9]{8}_[0-9]{6})', 1), '%Y%m%d_%H%M%S')) AS BIGINT) AS named_s FROM photos_events")
+@query("m1_name_date", "WITH " + _NAMED + "," + _M1 + " SELECT photo_id, ns, precision FROM m1")
 def m1(spark, sf):
-    return a.photos_events(spark, sf).select("photo_id", dates.name_date(F.col("name")).alias("named_s"))
+    e = a.table(spark, sf, "events").withColumn("name", _formed(F.col("ts")))
+    d = dates.name_date(F.col("name"))
+    return e.withColumn("d", d).select(F.col("event_id").alias("photo_id"), "d.ns", "d.precision")
+
+
+#: Folder paths by the id's remainder, with the date that each names.
+_FOLDERS = (
+    ("{yyyy}", "year"), ("{yyyy}-{MM} Trip", "month"), ("{yyyy}-{MM}-{dd}_x", "day"), ("{yyyy}/{MM}", "month"), ("{yyyy}/{MM} Bahia/{dd}", "day"), ("{yyyy}/{MM}-{dd}-{yyyy}", None),
+    ("{dd}-{MM}-{yyyy}", None), ("misc", None), ("1985", None), ("{yyyy}/13", None), ("{yyyy}/{MM}-28", "month"), ("{yyyy}x", None),
+)
+
 
+def _foldered(ts):
+    out = F.lit(None).cast("string")
+    for k, (form, _) in enumerate(_FOLDERS):
+        pieces = [F.date_format(ts, x) if n % 2 else F.lit(x) for n, x in enumerate(form.replace("{", "}").split("}")) if x]
+        out = F.when(F.col("event_id") % len(_FOLDERS) == k, F.concat(*pieces)).otherwise(out)
+    return out
 
-@query("m2_folder_date", _P + " SELECT DISTINCT folder, CAST(folder AS DATE) AS day FROM photos_events")
+
+_FOLDER = "foldered AS (SELECT event_id AS photo_id, ts, CASE event_id % 12 " + " ".join(f"WHEN {k} THEN strftime(ts, '{_sql_form(f)}')" for k, (f, _) in enumerate(_FOLDERS)) + " END AS folder FROM events)"
+_PREC = "CASE photo_id % 12 WHEN 5 THEN CASE WHEN day(ts) > 12 THEN 'month' END " + " ".join(f"WHEN {k} THEN '{p}'" for k, (_, p) in enumerate(_FOLDERS) if p) + " END"
+_M2 = f"m2 AS (SELECT photo_id, ts, folder, {_PREC} AS precision, CASE {_PREC} WHEN 'year' THEN strftime(ts, '%Y') WHEN 'month' THEN strftime(ts, '%Y-%m') WHEN 'day' THEN strftime(ts, '%Y-%m-%d') END AS local FROM foldered)"
+
+
+@query("m2_folder_date", "WITH " + _FOLDER + "," + _M2 + " SELECT DISTINCT folder, local, precision FROM m2")
 def m2(spark, sf):
-    return a.photos_events(spark, sf).select("folder").distinct().select("folder", dates.folder_date(F.col("folder")).alias("day"))
+    f = a.table(spark, sf, "events").select(_foldered(F.col("ts")).alias("folder")).distinct()
+    return dates.folder_dates(f, THIS_YEAR).select("folder", "folder_date.local", "folder_date.precision")
 
 
-@query("m4_plausible", _P + " SELECT photo_id, capture_s >= 631152000 AND capture_s <= 1706572800 AND capture_s % 86400 <> 0 AS plausible FROM photos_events")
-def m4(spark, sf):
-    c = F.col("capture_s")
-    return a.photos_events(spark, sf).select("photo_id", ((c >= 631152000) & (c <= 1706572800) & (c % 86400 != 0)).alias("plausible"))
+@query("m3_nearest_folder", "WITH " + _FOLDER + "," + _M2 + " SELECT photo_id, CASE WHEN precision IS NULL AND photo_id % 12 IN (5, 9) THEN strftime(ts, '%Y') ELSE local END AS local FROM m2")
+def m3(spark, sf):
+    """The file lies two undated folders below."""
+    e = a.table(spark, sf, "events").withColumn("path", F.concat(_foldered(F.col("ts")), F.lit("/raw/best/a.jpg")))
+    return dates.nearest_folder_dates(e, THIS_YEAR).select(F.col("event_id").alias("photo_id"), "folder_date.local")
 
 
-@query("m5_derive", _P + " SELECT photo_id, CASE WHEN photo_id % 3 = 0 THEN capture_s WHEN photo_id % 3 = 1 THEN CAST(epoch(strptime(substr(name, 5, 15), '%Y%m%d_%H%M%S')) AS BIGINT) ELSE CAST(epoch(CAST(folder AS DATE)) AS BIGINT) END AS effective_s, CASE photo_id % 3 WHEN 0 THEN 'exif' WHEN 1 THEN 'name' ELSE 'folder' END AS source FROM photos_events")
+_SHOTS = """shots AS (SELECT event_id AS photo_id, CASE WHEN event_id % 6 = 0 THEN CASE WHEN event_id % 4 = 0 THEN TIMESTAMP '2001-01-01' WHEN event_id % 4 = 2 THEN TIMESTAMP '1985-06-01' END WHEN event_id % 6 < 3 THEN date_trunc('second', ts) END AS exif,
+  CASE WHEN event_id % 10 = 3 THEN date_trunc('second', ts) + INTERVAL 30 DAY WHEN event_id % 10 = 4 THEN date_trunc('second', ts) END AS gps, CASE WHEN event_id % 14 = 5 THEN date_trunc('second', ts) - INTERVAL 1 HOUR END AS container,
+  CASE WHEN event_id % 9 <> 8 THEN date_trunc('second', ts) + INTERVAL 1 SECOND * (event_id % 5) * 40000 END AS mtime, ts FROM events)"""
+
+
+def shots(spark, sf):
+    """Photos with header times (some impossible), GPS, container time, modification time and a path."""
+    e = a.table(spark, sf, "events")
+    i, ts = F.col("event_id"), F.date_trunc("second", F.col("ts")).cast("timestamp")
+    ns = lambda c: F.unix_micros(c) * 1000
+    exif = F.when(i % 6 == 0, F.when(i % 4 == 0, F.lit("2001-01-01").cast("timestamp")).when(i % 4 == 2, F.lit("1985-06-01").cast("timestamp"))).when(i % 6 < 3, ts)
+    return e.select(
+        i.alias("photo_id"), ns(exif).alias("exif_ns"), (i % 2 == 0).alias("offset_known"),
+        F.when(i % 10 == 3, ns(ts) + 30 * dates.DAY).when(i % 10 == 4, ns(ts)).alias("gps_ns"), F.when(i % 14 == 5, ns(ts) - 3600 * dates.SECOND).alias("container_ns"),
+        F.when(i % 9 != 8, ns(ts) + (i % 5) * 40000 * dates.SECOND).alias("mtime_ns"), F.concat(_foldered(F.col("ts")), F.lit("/"), _formed(F.col("ts"))).alias("path"),
+        F.when(i % 17 == 3, "shift").when(i % 17 == 4, "use_name").when(i % 17 == 5, "use_folder").alias("correction"), F.lit(None).cast("struct<ns:bigint,local:string,precision:string>").alias("set_date"), F.lit(-93_600).cast("long").alias("shift_s"),
+    )
+
+
+@query("m4_plausible", "WITH " + _SHOTS + f" SELECT photo_id, year(exif) >= 1990 AND epoch(exif) <= {NOW_NS // 10**9} + 86400 AND exif NOT IN (TIMESTAMP '1970-01-01', TIMESTAMP '1980-01-01', TIMESTAMP '2000-01-01', TIMESTAMP '2001-01-01') AS plausible FROM shots WHERE exif IS NOT NULL")
+def m4(spark, sf):
+    return shots(spark, sf).where("exif_ns is not null").select("photo_id", dates.plausible(dates.instant(F.col("exif_ns")), NOW_NS).alias("plausible"))
+
+
+_E = lambda c: f"CAST(epoch({c}) AS BIGINT) * 1000000000"
+_END = "CASE {1} WHEN 'day' THEN {0} + 86400000000000 WHEN 'month' THEN CAST(epoch(make_timestamp({0} // 1000) + INTERVAL 1 MONTH) AS BIGINT) * 1000000000 WHEN 'year' THEN CAST(epoch(make_timestamp({0} // 1000) + INTERVAL 1 YEAR) AS BIGINT) * 1000000000 ELSE {0} END"
+_OK = f"({{0}} >= 631152000000000000 AND {{0}} <= {NOW_NS} + 86400000000000 AND NOT ({{1}} = 'second' AND {{0}} IN (946684800000000000, 978307200000000000)))"
+_M5 = "WITH " + _NAMED + "," + _M1 + "," + _FOLDER + "," + _M2 + "," + _SHOTS + f""",
+  near AS (SELECT photo_id, fp, CAST(epoch(date_trunc(coalesce(fp, 'day'), ts)) AS BIGINT) * 1000000000 AS fns FROM (SELECT *, CASE WHEN precision IS NULL AND photo_id % 12 IN (5, 9) THEN 'year' ELSE precision END AS fp FROM m2)),
+  cands AS (
+    SELECT photo_id, 1 AS k, 'exif' AS source, {_E("exif")} AS ns, 'second' AS precision FROM shots WHERE exif IS NOT NULL UNION ALL SELECT photo_id, 2, 'gps', {_E("gps")}, 'second' FROM shots WHERE gps IS NOT NULL
+    UNION ALL SELECT photo_id, 3, 'container', {_E("container")}, 'second' FROM shots WHERE container IS NOT NULL UNION ALL SELECT photo_id, 4, 'file_name', ns, precision FROM m1 WHERE ns IS NOT NULL
+    UNION ALL SELECT photo_id, 5, 'folder_name', fns, fp FROM near WHERE fp IS NOT NULL UNION ALL SELECT photo_id, 6, 'mtime', {_E("mtime")}, 'second' FROM shots WHERE mtime IS NOT NULL),
+  marked AS (SELECT *, {_OK.format("ns", "precision")} AS plausible FROM cands),
+  chosen AS (SELECT photo_id, k, source, ns, precision FROM marked WHERE plausible OR k = 6 QUALIFY row_number() OVER (PARTITION BY photo_id ORDER BY NOT plausible, k) = 1),
+  first AS (SELECT c.photo_id, c.source, c.ns, c.precision, CASE WHEN r THEN m ELSE ns END AS rns, CASE WHEN r THEN 'second' ELSE precision END AS rp FROM (SELECT c.*, {_E("s.mtime")} AS m,
+      coalesce(c.source IN ('file_name', 'folder_name') AND c.precision <> 'second' AND {_E("s.mtime")} >= c.ns AND {_E("s.mtime")} < {_END.format("c.ns", "c.precision")}, false) AS r FROM chosen c JOIN shots s USING (photo_id)) c),
+  fixed AS (SELECT s.photo_id, CASE WHEN s.photo_id % 17 = 3 AND (e.ns IS NOT NULL OR c.ns IS NOT NULL) THEN 'shift' WHEN s.photo_id % 17 = 4 AND n.ns IS NOT NULL THEN 'use' WHEN s.photo_id % 17 = 5 AND f.ns IS NOT NULL THEN 'use' END AS fix,
+      CASE WHEN s.photo_id % 17 = 3 THEN 'owner' WHEN s.photo_id % 17 = 4 THEN 'file_name' ELSE 'folder_name' END AS fsource, CASE WHEN s.photo_id % 17 = 3 THEN coalesce(e.ns, c.rns) WHEN s.photo_id % 17 = 4 THEN n.ns ELSE f.ns END AS xns,
+      CASE WHEN s.photo_id % 17 = 3 THEN CASE WHEN e.ns IS NOT NULL THEN 'second' ELSE c.rp END WHEN s.photo_id % 17 = 4 THEN n.precision ELSE f.precision END AS xp, c.source, c.ns, c.precision
+    FROM shots s LEFT JOIN first c USING (photo_id) LEFT JOIN marked e ON e.photo_id = s.photo_id AND e.k = 1 LEFT JOIN marked n ON n.photo_id = s.photo_id AND n.k = 4 LEFT JOIN marked f ON f.photo_id = s.photo_id AND f.k = 5),
+  eff AS (SELECT photo_id, CASE WHEN fix IS NULL THEN source ELSE fsource END AS source, CASE WHEN fix IS NULL THEN precision ELSE xp END AS precision,
+      CASE WHEN fix = 'shift' THEN CASE xp WHEN 'second' THEN xns - 93600000000000 ELSE CAST(epoch(date_trunc(xp, make_timestamp((xns - 93600000000000) // 1000))) AS BIGINT) * 1000000000 END WHEN fix = 'use' THEN xns ELSE ns END AS ns FROM fixed),
+  refd AS (SELECT e.photo_id, e.source, {_E("s.mtime")} AS mns, coalesce(e.source IN ('file_name', 'folder_name') AND e.precision <> 'second' AND {_E("s.mtime")} >= e.ns AND {_E("s.mtime")} < {_END.format("e.ns", "e.precision")}, false) AS refined, e.ns, e.precision FROM eff e JOIN shots s USING (photo_id))"""
+_CONF = "CASE source WHEN 'exif' THEN CASE WHEN photo_id % 2 = 0 THEN 'high' ELSE 'medium' END WHEN 'gps' THEN 'high' WHEN 'container' THEN 'medium' WHEN 'mtime' THEN 'lowest' WHEN 'owner' THEN 'medium' ELSE CASE WHEN refined THEN 'medium' ELSE 'low' END END"
+
+
+@query("m18_entry_dates", _M5 + " SELECT photo_id, source, ns, plausible FROM marked")
+def m18(spark, sf):
+    c = dates.candidates(shots(spark, sf), NOW_NS, THIS_YEAR)
+    return c.select("photo_id", F.explode("candidates").alias("c")).select("photo_id", "c.source", "c.date.ns", "c.plausible")
+
+
+def _no_fix(spark, sf):
+    return shots(spark, sf).withColumn("correction", F.lit(None).cast("string"))
+
+
+@query("m5_derive", _M5.replace("fixed AS (SELECT s.photo_id, CASE WHEN", "fixed AS (SELECT s.photo_id, CASE WHEN false AND s.photo_id < 0 THEN '' WHEN 1 = 2 AND").replace(" WHEN s.photo_id % 17 = 4 AND n.ns IS NOT NULL THEN 'use' WHEN s.photo_id % 17 = 5 AND f.ns IS NOT NULL THEN 'use' END AS fix", " END AS fix")
+       + f" SELECT photo_id, source, CASE WHEN refined THEN mns ELSE ns END AS ns, CASE WHEN source IS NOT NULL THEN refined END AS refined, CASE WHEN source IS NOT NULL THEN {_CONF} END AS confidence FROM refd")
 def m5(spark, sf):
-    p = a.photos_events(spark, sf)
-    k = F.col("photo_id") % 3
-    candidate = lambda cond, value, name: F.when(cond, F.struct(value.alias("s"), F.lit(name).alias("source")))
-    folder = F.unix_seconds(dates.folder_date(F.col("folder")).cast("timestamp"))
-    first = F.filter(F.array(candidate(k == 0, F.col("capture_s"), "exif"), candidate(k <= 1, dates.name_date(F.col("name")), "name"), candidate(F.lit(True), folder, "folder")), lambda x: x.isNotNull())
-    return p.withColumn("first", F.get(first, F.lit(0))).select("photo_id", F.col("first.s").alias("effective_s"), F.col("first.source").alias("source"))
+    d = dates.derive(_no_fix(spark, sf), NOW_NS, THIS_YEAR)
+    return d.select("photo_id", "effective.source", "effective.date.ns", "effective.refined", "effective.confidence")
 
 
-@query("m6_shift", _P + " SELECT photo_id, capture_s + CASE WHEN camera = 'cam3' THEN -93600 ELSE 0 END AS shifted_s FROM photos_events")
+@query("m6_corrections", _M5 + f" SELECT photo_id, source, CASE WHEN refined THEN mns ELSE ns END AS ns, CASE WHEN source IS NOT NULL THEN {_CONF} END AS confidence FROM refd")
 def m6(spark, sf):
-    return a.photos_events(spark, sf).select("photo_id", (F.col("capture_s") + F.when(F.col("camera") == "cam3", -93600).otherwise(0)).alias("shifted_s"))
+    d = dates.derive(shots(spark, sf), NOW_NS, THIS_YEAR)
+    return d.select("photo_id", "effective.source", "effective.date.ns", "effective.confidence")
 
 
-@query("m7_flags", _P + " SELECT photo_id, CAST(CASE WHEN camera = 'cam3' THEN 4 ELSE 0 END + CASE WHEN capture_s % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS flags FROM photos_events")
+@query(
+    "m7_flags",
+    _M5
+    + f""", h AS (SELECT photo_id, count(*) AS n, count(*) FILTER (NOT plausible) AS bad FROM marked WHERE k < 4 GROUP BY 1)
+    SELECT r.photo_id, CAST(CASE WHEN source IN ('exif','gps','container','owner') AND mns IS NOT NULL AND greatest(ns - mns, mns - {_END.format("ns", "precision")}) > 86400000000000 THEN 1 ELSE 0 END
+      + CASE WHEN coalesce(bad, 0) > 0 THEN 2 ELSE 0 END + CASE WHEN n IS NULL THEN 8 ELSE 0 END AS INTEGER) AS flags FROM refd r LEFT JOIN h USING (photo_id)""",
+)
 def m7(spark, sf):
-    bit = lambda c, b: F.when(c, b).otherwise(0)
-    return a.photos_events(spark, sf).select("photo_id", (bit(F.col("camera") == "cam3", 4) + bit(F.col("capture_s") % 2 == 0, 1)).cast("int").alias("flags"))
+    return dates.derive(shots(spark, sf), NOW_NS, THIS_YEAR).select("photo_id", "flags")
+
+
+@query("m16_inputs_key", "SELECT event_id AS photo_id, event_id % 3 = 0 AS changed FROM events")
+def m16(spark, sf):
+    """Which photos need a new derivation after the modification time of every third has moved."""
+    key = lambda m: dates.inputs_key(F.col("path"), F.col("exif_ns"), F.col("gps_ns"), F.col("container_ns"), m, F.col("correction"))
+    m = F.coalesce("mtime_ns", F.lit(0))
+    moved = m + F.when(F.col("photo_id") % 3 == 0, 1).otherwise(0)
+    return shots(spark, sf).select("photo_id", (key(m) != key(moved)).alias("changed"))
 
 
 @query("f18_media_filter", _P + " SELECT photo_id FROM photos_events WHERE camera = 'cam3' AND kind = 'click' AND folder >= '2024-01-10'")
@@ -59,9 +179,13 @@ def f18(spark, sf):
     return a.photos_events(spark, sf).where("camera = 'cam3' and kind = 'click' and folder >= '2024-01-10'").select("photo_id")
 
 
-@query("m8_camera_key", _P + " SELECT camera, kind, lower(camera) || '|' || kind AS camera_key FROM photos_events GROUP BY ALL")
+@query("m8_camera_key", "SELECT event_id AS photo_id, CASE WHEN event_id % 5 = 0 THEN '' ELSE trim(event_type) || '|' || 'A/' || (user_id % 7) || '|' || CASE WHEN event_id % 3 = 0 THEN '' ELSE CAST(user_id AS VARCHAR) END END AS camera_key FROM events")
 def m8(spark, sf):
-    return a.photos_events(spark, sf).select("camera", "kind", F.concat_ws("|", F.lower("camera"), "kind").alias("camera_key")).distinct()
+    none = F.col("event_id") % 5 == 0
+    make = F.when(none, F.lit("  ")).otherwise(F.concat(F.lit(" "), "event_type", F.lit("\x00 ")))
+    model = F.when(~none, F.concat(F.lit("A|"), (F.col("user_id") % 7).cast("string")))
+    serial = F.when(~none & (F.col("event_id") % 3 != 0), F.col("user_id").cast("string"))
+    return a.table(spark, sf, "events").select(F.col("event_id").alias("photo_id"), dates.camera_key(make, model, serial).alias("camera_key"))
 
 
 @query("m9_events", _P + " SELECT folder, count(DISTINCT camera) AS cameras, count(*) AS photos FROM photos_events GROUP BY 1 HAVING count(DISTINCT camera) >= 2")
@@ -69,30 +193,77 @@ def m9(spark, sf):
     return dates.events(a.photos_events(spark, sf))
 
 
-@query("m10_candidates", _CAND.replace("{m}", "0") + " SELECT folder, camera, delta FROM cand")
+#: Shots of seven cameras in day folders.  Camera 3 is 26 h ahead; camera 5's clock is 20 h off at times; some carry GPS.
+_CAMS = """cams AS (SELECT event_id AS photo_id, CAST(date_trunc('day', ts) AS DATE) AS day, strftime(ts, '%Y-%m-%d') AS folder, 'cam' || (user_id % 7) AS camera, date_trunc('second', ts) AS t,
+    CAST(epoch(date_trunc('second', ts)) AS BIGINT) + CASE WHEN user_id % 7 = 3 THEN 200000 WHEN user_id % 7 = 5 AND day(ts) % 3 = 0 THEN 300000 + day(ts) * 1000 ELSE 0 END AS cap,
+    CASE WHEN user_id % 7 = 1 OR (user_id % 7 = 6 AND day(ts) % 4 = 1) THEN CAST(epoch(date_trunc('second', ts)) AS BIGINT) + CASE WHEN user_id % 7 = 6 THEN 100000 ELSE 0 END END AS gps, user_id % 2 = 0 AS offset_known FROM events WHERE {where})"""
+_CANDS = """ev AS (SELECT folder FROM cams GROUP BY 1 HAVING count(DISTINCT camera) >= 2),
+ own AS (SELECT folder, camera, count(*) AS n, median(cap - gps) AS m, min(cap - gps) AS lo, max(cap - gps) AS hi, bool_and(offset_known) AS known FROM cams JOIN ev USING (folder) WHERE gps IS NOT NULL GROUP BY ALL),
+ owngps AS (SELECT folder, camera, CAST(m AS BIGINT) AS delta, 'own_gps' AS reference FROM own WHERE n >= 3 AND hi - lo <= 600 AND abs(m) > CASE WHEN known THEN 3600 ELSE 50400 END),
+ per AS (SELECT folder, camera, min(cap) AS lo, max(cap) AS hi, list_sort(list(cap)) AS caps FROM cams JOIN ev USING (folder) GROUP BY ALL),
+ oth AS (SELECT p.folder, p.camera, min(c.cap) AS olo, max(c.cap) AS ohi, list_sort(list(c.cap)) AS ocaps, count(c.gps) AS g, count(*) FILTER (c.gps IS NOT NULL AND abs(c.cap - c.gps) > 600) AS far,
+    count(*) FILTER (NOT (c.cap >= epoch(c.day) AND c.cap < epoch(c.day) + 86400)) AS out FROM per p JOIN cams c ON c.folder = p.folder AND c.camera <> p.camera GROUP BY ALL),
+ mine AS (SELECT folder, camera, count(*) FILTER (cap >= epoch(day) AND cap < epoch(day) + 86400) AS inn FROM cams GROUP BY ALL),
+ rng AS (SELECT p.folder, p.camera, ((caps[(len(caps) + 1) // 2] * 1000000000 + ((caps[len(caps) // 2 + 1] - caps[(len(caps) + 1) // 2]) * 1000000000) // 2) - (ocaps[(len(ocaps) + 1) // 2] * 1000000000 + ((ocaps[len(ocaps) // 2 + 1] - ocaps[(len(ocaps) + 1) // 2]) * 1000000000) // 2)) AS dns,
+    CASE WHEN g > 0 AND far = 0 THEN 'gps' WHEN out = 0 AND inn = 0 THEN 'folder_name' ELSE 'none' END AS reference
+   FROM per p JOIN oth USING (folder, camera) JOIN mine USING (folder, camera) WHERE hi - lo < 86400 AND (hi < olo - 21600 OR lo > ohi + 21600)),
+ cand AS (SELECT * FROM owngps UNION ALL SELECT folder, camera, CAST(sign(dns) * ((abs(dns) + 500000000) // 1000000000) AS BIGINT), reference FROM rng WHERE (folder, camera) NOT IN (SELECT folder, camera FROM owngps))"""
+
+
+def cams(spark, sf):
+    e = a.table(spark, sf, "events")
+    t, u, day = F.unix_seconds(F.date_trunc("second", F.col("ts")).cast("timestamp")), F.col("user_id") % 7, F.dayofmonth("ts")
+    off = F.when(u == 3, 200_000).when((u == 5) & (day % 3 == 0), 300_000 + day * 1000).otherwise(0)
+    gps = F.when((u == 1) | ((u == 6) & (day % 4 == 1)), t + F.when(u == 6, 100_000).otherwise(0))
+    folder = F.date_format("ts", "yyyy-MM-dd")
+    return e.select(
+        F.col("event_id").alias("photo_id"), folder.alias("folder"), F.concat(F.lit("cam"), u.cast("string")).alias("camera"), ((t + off) * dates.SECOND).alias("capture_ns"), (gps * dates.SECOND).alias("gps_ns"),
+        (F.col("user_id") % 2 == 0).alias("offset_known"), dates.leading_date(folder).alias("folder_day"),
+    )
+
+
+_C = "WITH " + _CAMS.format(where="true") + "," + _CANDS
+
+
+@query("m11_own_gps", _C + " SELECT folder, camera, delta FROM owngps")
+def m11(spark, sf):
+    return dates.own_gps(cams(spark, sf))
+
+
+@query("m10_candidates", _C + " SELECT folder, camera, delta, reference FROM cand")
 def m10(spark, sf):
-    return dates.offset_candidates(a.photos_events(spark, sf), 0)
+    return dates.offset_candidates(cams(spark, sf))
+
+
+_JUDGE = """judged AS (SELECT camera, max(delta) - min(delta) AS spread, bool_or(reference IN ('gps', 'own_gps')) OR (count(*) >= 2 AND bool_or(reference = 'folder_name')) AS backed, list_sort(list(delta)) AS ds FROM cand GROUP BY 1),
+ off AS (SELECT camera, -(ds[(len(ds) + 1) // 2] + (ds[len(ds) // 2 + 1] - ds[(len(ds) + 1) // 2]) // 2) AS s FROM judged WHERE spread <= 600 AND backed)"""
 
 
 @query(
     "m12_offset",
-    _CAND.replace("{m}", "0")
-    + """, r AS (SELECT *, row_number() OVER (PARTITION BY camera ORDER BY delta, folder) AS r, count(*) OVER (PARTITION BY camera) AS n FROM cand)
-    SELECT camera, max(n) AS folders, -CAST(round(max(CASE WHEN r = (n + 1) // 2 THEN delta END) / 60) AS BIGINT) * 60 AS suggested FROM r GROUP BY camera HAVING max(delta) - min(delta) <= 36000""",
+    _C + "," + _JUDGE + ", cams1 AS (SELECT * FROM cams WHERE camera NOT IN (SELECT camera FROM off))," + _CANDS.replace("cams", "cams1").replace("ev", "ev1").replace("owngps", "og1").replace("own AS", "own1 AS").replace("FROM own ", "FROM own1 ").replace("per ", "per1 ").replace("oth ", "oth1 ").replace("mine ", "mine1 ").replace("rng ", "rng1 ").replace("cand AS", "cand1 AS").replace("'own_gps'", "'own_gps'")
+    + """ SELECT c.camera, count(*) AS photos, CASE WHEN any_value(o.s) IS NOT NULL THEN 'offset' WHEN c.camera IN (SELECT camera FROM cand1) THEN 'disagrees' ELSE 'ok' END AS state,
+      CAST(any_value(sign(o.s) * ((abs(o.s) + 30) // 60)) * 60 AS BIGINT) AS shift_s FROM cams c LEFT JOIN off o USING (camera) GROUP BY 1""",
 )
 def m12(spark, sf):
-    return dates.offsets(dates.offset_candidates(a.photos_events(spark, sf), 0), 36000)
+    return dates.detect(cams(spark, sf))
 
 
-@query("m14_template", _P + " SELECT photo_id, strftime(CAST(folder AS DATE), '%Y/%m') || '/' || folder AS target FROM photos_events")
+@query("m14_template", "WITH " + _FOLDER + "," + _M2 + " SELECT DISTINCT folder, CASE photo_id % 12 WHEN 0 THEN '' WHEN 1 THEN 'Trip' WHEN 2 THEN 'x' WHEN 3 THEN string_split(folder, '/')[2] WHEN 4 THEN string_split(folder, '/')[3] WHEN 5 THEN string_split(folder, '/')[2] WHEN 9 THEN '13' WHEN 10 THEN string_split(folder, '/')[2] WHEN 8 THEN '' ELSE folder END AS event FROM m2")
 def m14(spark, sf):
-    day = dates.folder_date(F.col("folder"))
-    return a.photos_events(spark, sf).select("photo_id", F.concat(F.date_format(day, "yyyy/MM"), F.lit("/"), F.col("folder")).alias("target"))
+    """The event name of each folder: its last part without a leading date."""
+    f = a.table(spark, sf, "events").select(_foldered(F.col("ts")).alias("folder")).distinct()
+    return f.select("folder", dates.event_name(F.substring_index("folder", "/", -1)).alias("event"))
 
 
-@query("m15_rename", _P + " SELECT photo_id, substr(name, 5, 15) || '_' || name AS renamed FROM photos_events")
+@query("m15_rename", "WITH " + _NAMED + " SELECT photo_id, CASE WHEN photo_id % 11 = 6 AND false THEN name ELSE strftime(ts, '%Y%m%d_%H%M%S_') || name END AS renamed FROM named WHERE photo_id % 2 = 0")
 def m15(spark, sf):
-    return a.photos_events(spark, sf).select("photo_id", F.concat(F.substring("name", 5, 15), F.lit("_"), F.col("name")).alias("renamed"))
+    """By the time taken; a name that starts so already would be kept, and a date coarser than a second names nothing."""
+    e = a.table(spark, sf, "events").withColumn("name", _formed(F.col("ts")))
+    second = dates.instant(F.unix_micros(F.date_trunc("second", F.col("ts")).cast("timestamp")) * 1000)
+    day = F.struct(F.lit(0).cast("long").alias("ns"), F.date_format("ts", "yyyy-MM-dd").alias("local"), F.lit("day").alias("precision"))
+    date = F.when(F.col("event_id") % 2 == 0, second).otherwise(day)
+    return e.select(F.col("event_id").alias("photo_id"), dates.renamed(F.col("name"), date).alias("renamed")).where("renamed is not null")
 
 
 @query("o11_media_page", _P + " SELECT photo_id, capture_s FROM photos_events ORDER BY capture_s, photo_id LIMIT 100")
