@@ -2,28 +2,27 @@
 
 Tokens are words (A-Z lower-cased) and one end per text.  P(v | u) is the
 Good-Turing discounted share of u's occurrences that v follows, where the pair
-was seen at least ``MIN_PAIR`` times in training, and otherwise alpha(u) * P(v);
-alpha(u) makes the sum over all v exactly one.  P(v) is the discounted share of
-all tokens, and one unknown token has exactly the mass that the discounts leave.
-
-A text's log probability is a sum of one term per word and of one correction per
-kept pair::
-
-    log P(v | u) = log P(v) + log alpha(u) + [pair kept] * correction(u, v)
-
-so it needs the table of words and the table of kept pairs, each partitioned by
-the hash of the first word, and no dictionary.  Each task packs the pairs of some
-thousand texts, sorted and counted, into one block per partition.  The blocks
-are shuffled once and used twice: to count, and, beside the finished tables, to
-add up each text's terms.
-
-Words that are common in the first ``PROBE`` rows have their pairs spread over
-all partitions; that moves work and changes no figure.
+was seen in training, however rarely, and otherwise alpha(u) * P(v); alpha(u) makes
+the sum over all v exactly one.  P(v) is the discounted share of all tokens, and
+one unknown token has exactly the mass that the discounts leave.
+
+Each task packs the pairs of some thousand texts, sorted and counted, into one
+block per bucket of first words.  The blocks are shuffled once and read by several
+branches of one plan: to count words and pairs, to ask for P(v) where a pair was
+not seen, and to add up each text's terms.  Two tables are joined by word: of the
+seen pairs, whose P(v) make alpha(u), and of the questions.  P(v) of frequent words
+(``FREQUENT`` at most, found in a share of the texts, counted in all) is broadcast;
+only the pairs that end in another word travel.  A bucket is a fraction of a
+partition, so what one group of the Python side holds does not grow with the input
+where the partitions do.
+
+Words that are common in a share of the texts of all partitions have their pairs
+spread over all buckets; that moves work and changes no figure.
 
 Null text counts as empty: one token, the end.  A null training flag means held
 out.  Where the counts of counts are too thin for a Good-Turing discount between
 0 and 1, a count r keeps (r - 1/2) / r.  With nothing to learn from, every token
-is the unknown one and scores 0.
+is the unknown one and scores 0.  Ids may be of any type, null or repeated.
 """
 
 from __future__ import annotations
@@ -37,14 +36,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from granary.llm.common import partitions
+from granary.llm.common import checkpoint, partitions, slices
 
 #: Counts up to this are discounted.
 TOP_DISCOUNT = 5
-MIN_PAIR = 2
-#: Rows, and code points of each, that are looked at for words whose pairs should be spread.
-PROBE, PROBE_CHARS = 1000, 4000
+#: Share of the texts that are looked at for words whose pairs should be spread, and for frequent ones.
+PROBE = 0.02
+FREQUENT = 1 << 17
+#: Buckets in a partition.
+SPLIT = 2
 #: Words and texts packed into one set of blocks.
 BLOCK_WORDS = 1 << 21
 BLOCK_TEXTS = 50_000
@@ -132,14 +134,14 @@ def count_pairs(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return u[at], v[at], np.add.reduceat(c, at) if len(at) else c
 
 
-def discounts(n: list[Column], lowest: int) -> Column:
+def discounts(n: list[Column]) -> Column:
     """Array of the discounts of counts 1 to TOP_DISCOUNT; ``n``: how many have count 1, 2, ..."""
     k = TOP_DISCOUNT
     a = F.try_divide((k + 1) * n[k], n[0])
     out = []
     for r in range(1, k + 1):
         d = F.try_divide(F.try_divide((r + 1) * n[r], r * n[r - 1]) - a, 1 - a)
-        out.append(F.when((a < 1) & (d > 0) & (d <= 1), d).otherwise(F.lit((r - 0.5) / r)) if r >= lowest else F.lit(0.0))
+        out.append(F.when((a < 1) & (d > 0) & (d <= 1), d).otherwise(F.lit((r - 0.5) / r)))
     return F.array(*out)
 
 
@@ -147,22 +149,34 @@ def discounted(count: Column, table: Column) -> Column:
     return F.when(count <= TOP_DISCOUNT, F.element_at(table, F.least(count, F.lit(TOP_DISCOUNT)).cast("int")) * count).otherwise(count.cast("double"))
 
 
+def word_counts(rows: DataFrame) -> DataFrame:
+    """``name`` and ``c`` of the words of ``body``, counted in each task before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 4096):
+            names, times = np.unique(np.concatenate([names_of(t.as_py()) for t in b.column(0)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(times.astype(np.int64))], ["name", "c"])
+
+    return rows.select("body").mapInArrow(run, "name long, c long").groupBy("name").agg(F.sum("c").alias("c"))
+
+
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Learn from the rows where ``train`` holds and score all rows.
 
     Returns id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score`` (add-one unigram) and ``score`` (this model), both log10.
     """
-    n = partitions(docs.sparkSession)
+    spark = docs.sparkSession
+    n, buckets = partitions(spark), partitions(spark) * SPLIT
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), F.coalesce(train, F.lit(False)).alias("train"))
     kind = rows.schema["id"].dataType.simpleString()
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    id_type = to_arrow_type(rows.schema["id"].dataType)
 
-    few = rows.select(F.substring("body", 1, PROBE_CHARS).alias("body")).limit(PROBE).collect()
-    names, times = np.unique(np.concatenate([names_of(r[0]) for r in few] or [np.zeros(0, np.uint64)]), return_counts=True)
-    common = names[times * 4 * n >= max(int(times.sum()), 1)]  # 4 n names at most
-    spread = np.append(common, START)
-    spread_names = docs.sparkSession.createDataFrame([(int(x),) for x in spread.view(np.int64)], "u long")
+    some = checkpoint(word_counts(rows.sample(PROBE, 2)).orderBy(F.desc("c"), "name").limit(FREQUENT))
+    probed = some.agg(F.sum("c")).first()[0] or 0
+    common = some.where(F.col("c") * (4 * buckets) >= max(probed, 1)).collect()  # 4 x buckets names at most
+    spread = np.append(np.array([r[0] for r in common], np.int64).view(np.uint64), START)
+    spread_names = spark.createDataFrame([(int(x),) for x in spread.view(np.int64)], "u long")
 
     def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -172,7 +186,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
         def emit() -> Iterator[pa.RecordBatch]:
             batch = (part << 24) + made
-            for k, (b, block) in enumerate(pack(texts, trained, spread, n)):
+            for k, (b, block) in enumerate(pack(texts, trained, spread, buckets)):
                 first = k == 0
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -204,49 +218,49 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     dealt = rows.mapInArrow(
         blocks_of, f"bucket int, batch long, block binary, ids array<{kind}>, trained array<boolean>, sizes array<long>, n_texts int"
     ).repartition(n, "bucket")
+    # All columns of the blocks go into every group, so that all branches read the same shuffle.
+    grouped = dealt.groupBy("bucket")
+    k = TOP_DISCOUNT
 
-    def counts_of(key: tuple, table: pa.Table) -> pa.Table:
+    def counts_of(table: pa.Table) -> pa.Table:
+        """Kind 0: words and counts; 2: how many pairs have count r; 3: the same of each spread word, for r above k their sum."""
         u, v, c = count_pairs(table.column("block").to_pylist())
         new = np.ones(len(u), bool)
         new[1:] = u[1:] != u[:-1]
         at = np.flatnonzero(new)
-        words, sums = np.where(u[at] == START, END, u[at]), np.add.reduceat(c, at) if len(at) else c
-        kept = c >= MIN_PAIR
         out = [
-            (words, np.zeros_like(words), 0, sums),
-            (v[kept], u[kept], 1, c[kept]),
-            (np.arange(1, TOP_DISCOUNT + 2, dtype=np.uint64), np.zeros(TOP_DISCOUNT + 1, np.uint64), 2, np.bincount(np.minimum(c, TOP_DISCOUNT + 2), minlength=TOP_DISCOUNT + 3)[1:-1]),
+            (np.where(u[at] == START, END, u[at]), 0, np.zeros(len(at), np.int64), np.add.reduceat(c, at) if len(at) else c),
+            (np.zeros(k + 1, np.uint64), 2, np.arange(1, k + 2), np.bincount(np.minimum(c, k + 2), minlength=k + 3)[1:-1]),
         ]
+        mine = np.isin(u, spread)
+        for name in np.unique(u[mine]):
+            own = c[mine][u[mine] == name]
+            low = np.bincount(np.minimum(own, k + 1), minlength=k + 2)[1 : k + 1]
+            out.append((np.full(k + 1, name), 3, np.arange(1, k + 2), np.append(low, own[own > k].sum())))
         return pa.table(
             {
-                "bucket": pa.array(np.full(sum(len(x[0]) for x in out), key[0].as_py()), pa.int32()),
-                "name": np.concatenate([x[0] for x in out]).view(np.int64),
-                "u": np.concatenate([x[1] for x in out]).view(np.int64),
-                "kind": pa.array(np.concatenate([np.full(len(x[0]), x[2]) for x in out]), pa.int32()),
-                "c": np.concatenate([x[3] for x in out]),
+                "name": np.concatenate([x[0] for x in out]).astype(np.uint64).view(np.int64),
+                "kind": pa.array(np.concatenate([np.full(len(x[0]), x[1]) for x in out]), pa.int32()),
+                "r": pa.array(np.concatenate([x[2] for x in out]), pa.int32()),
+                "c": np.concatenate([x[3] for x in out]).astype(np.int64),
             }
         )
 
-    # All columns of the blocks go in, so that this reads the same shuffle as the sums below.
-    counts = (
-        dealt.groupBy("bucket").applyInArrow(counts_of, "bucket int, name long, u long, kind int, c long")
-        .where("name is not null and u is not null")
-    )
+    counts = grouped.applyInArrow(counts_of, "name long, kind int, r int, c long").where("name is not null")
     words = counts.where("kind = 0").groupBy("name").agg(F.sum("c").alias("c"))
-    k = TOP_DISCOUNT
     word_sums = words.agg(
         F.coalesce(F.sum("c"), F.lit(0)).alias("n_all"),
         F.count(F.lit(1)).alias("n_distinct"),
         *(F.count_if(F.col("c") == r).alias(f"w{r}") for r in range(1, k + 2)),
     )
     pair_sums = counts.where("kind = 2").agg(
-        *(F.coalesce(F.sum(F.when(F.col("name") == r, F.col("c"))), F.lit(0)).alias(f"b{r}") for r in range(1, k + 2))
+        *(F.coalesce(F.sum(F.when(F.col("r") == r, F.col("c"))), F.lit(0)).alias(f"b{r}") for r in range(1, k + 2))
     )
     left_over = sum((F.col(f"w{r}") * r * (1 - F.col("dw")[r - 1]) for r in range(1, k + 1)), F.lit(0.0))
     model = (
         word_sums.join(F.broadcast(pair_sums))  # one row each
-        .withColumn("dw", discounts([F.col(f"w{r}") for r in range(1, k + 2)], 1))
-        .withColumn("db", discounts([F.col(f"b{r}") for r in range(1, k + 2)], MIN_PAIR))
+        .withColumn("dw", discounts([F.col(f"w{r}") for r in range(1, k + 2)]))
+        .withColumn("db", discounts([F.col(f"b{r}") for r in range(1, k + 2)]))
         .withColumn("left_over", left_over)
         .select(
             "n_all",
@@ -258,29 +272,57 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             F.when(F.col("left_over") > 0, F.col("left_over")).otherwise(F.lit(1.0)).alias("unknown"),
         )
     )
-    share = discounted(F.col("c_v"), F.col("dw")) / F.col("whole")
-    pairs = (
-        counts.where("kind = 1")
-        .join(words.withColumnRenamed("c", "c_v"), "name")
-        .join(F.broadcast(model))  # one row
-        .select("bucket", "u", F.col("name").alias("v"), discounted(F.col("c"), F.col("db")).alias("left_count"), share.alias("p_v"))
-    )
-    # The spread words' totals: 4 n + 1 rows at most, one value for all partitions.
-    # (The bucket keeps the pairs' columns the same, so that one shuffle serves both.)
-    spread_sums = pairs.join(F.broadcast(spread_names), "u").groupBy("u").agg(
-        F.sum("left_count").alias("kept"), F.sum("p_v").alias("below"), F.min("bucket").alias("bucket")
-    )
+    shares = words.join(F.broadcast(model)).select("name", (discounted(F.col("c"), F.col("dw")) / F.col("whole")).alias("p_v"))
+    frequent = shares.join(F.broadcast(some.select("name")), "name", "left_semi").select(F.col("name").alias("v"), F.col("p_v").alias("p_often"))
+
+    def pairs_of(table: pa.Table) -> pa.Table:
+        """Seen pairs; those of a spread word belong to bucket -1."""
+        u, v, c = count_pairs(table.column("block").to_pylist())
+        own = table.column("bucket")[0].as_py()
+        return pa.table({"bucket": pa.array(np.where(np.isin(u, spread), -1, own), pa.int32()), "u": u.view(np.int64), "v": v.view(np.int64)})
+
+    pairs = grouped.applyInArrow(pairs_of, "bucket int, u long, v long").where("u is not null")
+    often = pairs.join(F.broadcast(frequent), "v", "left")  # FREQUENT rows at most
+    # Both parts in one pass: what ends in a frequent word is summed before the shuffle, the rest asks for its word.
+    known = often.groupBy("bucket", "u", F.when(F.col("p_often").isNull(), F.col("v")).alias("asks")).agg(F.sum("p_often").alias("below"), F.count(F.lit(1)).alias("n"))
+    asked = known.where("asks is not null").join(shares, F.col("asks") == F.col("name")).select("bucket", "u", F.col("p_v").alias("below"))
+    below = known.where("asks is null").select("bucket", "u", "below").unionByName(asked).groupBy("bucket", "u").agg(F.sum("below").alias("below"))
+
+    spread_below = below.where("bucket = -1").select("u", "below")
+    of_count = F.when(F.col("r") > k, F.col("c").cast("double")).otherwise(F.col("c") * F.col("r") * F.element_at("db", F.least("r", F.lit(k))))
+    spread_kept = counts.where("kind = 3").join(F.broadcast(model)).groupBy(F.col("name").alias("u")).agg(F.sum(of_count).alias("kept"))
     spread_counts = words.join(
         F.broadcast(spread_names.select(F.when(F.col("u") == int(START), int(END)).otherwise(F.col("u")).alias("name"), "u")), "name"
     )
-    spread_model = spread_counts.join(spread_sums, "u", "left").agg(
-        F.collect_list(F.struct("u", "c", F.coalesce("kept", F.lit(0.0)).alias("kept"), F.coalesce("below", F.lit(0.0)).alias("below"), "bucket")).alias("spread")
+    # 4 x buckets + 1 rows at most, in one row.
+    spread_model = spread_counts.join(spread_kept, "u", "left").join(spread_below, "u", "left").agg(
+        F.collect_list(F.struct("u", "c", F.coalesce("kept", F.lit(0.0)).alias("kept"), F.coalesce("below", F.lit(0.0)).alias("below"))).alias("spread")
+    )
+
+    def questions_of(table: pa.Table) -> pa.Table:
+        """Words whose P(v) a text needs, as the pair before them was not seen: (name, batch, text, times)."""
+        blocks = table.column("block").to_pylist()
+        seen = Pairs(*count_pairs(blocks))
+        out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for batch, block in zip(table.column("batch").to_pylist(), blocks, strict=True):
+            u, v, pair_of, d, count, _ = unpack(block)
+            new = (seen.find(u, v) < 0)[pair_of]
+            out.append((v[pair_of[new]], np.full(new.sum(), batch), d[new], count[new]))
+        name, batch, text, times = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"name": name.view(np.int64), "batch": batch, "text": pa.array(text, pa.int32()), "times": times})
+
+    questions = grouped.applyInArrow(questions_of, "name long, batch long, text int, times long").where("name is not null")
+    answered = (
+        questions.join(shares, "name", "left")
+        .join(F.broadcast(model.select("unknown", "whole")))
+        .groupBy("batch", "text")
+        .agg(F.sum(F.col("times") * F.log10(F.coalesce("p_v", F.col("unknown") / F.col("whole")))).alias("backed"))
     )
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _parts([], id_type)
-        m = {c: left.column(c)[0].as_py() for c in ("n_all", "n_distinct", "dw", "whole", "unknown", "spread")}
+        m = {c: left.column(c)[0].as_py() for c in ("n_all", "n_distinct", "db", "spread")}
         blocks = left.column("block").to_pylist()
         tables = Tables(blocks, right, m)
         out = []
@@ -296,10 +338,10 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         return _parts(out, id_type)
 
     parts = (
-        dealt.join(F.broadcast(model))
+        dealt.join(F.broadcast(model.select("n_all", "n_distinct", "db")))
         .join(F.broadcast(spread_model))
         .groupBy("bucket")
-        .cogroup(pairs.groupBy("bucket"))
+        .cogroup(below.where("bucket >= 0").groupBy("bucket"))
         .applyInArrow(add_up, f"batch long, ids array<{kind}>, trained array<boolean>, sizes array<long>, train_tokens long, part binary")
     )
 
@@ -316,6 +358,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                     s[used] += x
         return pa.table(
             {
+                "batch": table.column("batch")[holds].as_py() + np.zeros(len(ids), np.int64),
+                "text": np.arange(len(ids), dtype=np.int32),
                 "id": pa.array(ids, id_type),
                 "held_out": pa.array([not x for x in table.column("trained")[holds].as_py()], pa.bool_()),
                 "n_tokens": pa.array(table.column("sizes")[holds].as_py(), pa.int64()),
@@ -327,9 +371,11 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         )
 
     out = parts.groupBy("batch").applyInArrow(
-        finish, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        finish, f"batch long, text int, id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    )
+    return out.join(answered, ["batch", "text"], "left").select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", (F.col("score") + F.coalesce("backed", F.lit(0.0))).alias("score")
     )
-    return out.withColumnRenamed("id", id_col)
 
 
 def _parts(rows: list[dict], id_type: pa.DataType) -> pa.Table:
@@ -346,68 +392,77 @@ def _parts(rows: list[dict], id_type: pa.DataType) -> pa.Table:
     return pa.Table.from_pylist(rows, schema=schema)
 
 
+class Pairs:
+    """Pairs to be found by their words."""
+
+    def __init__(self, u: np.ndarray, v: np.ndarray, c: np.ndarray) -> None:
+        key = self.key_of(u, v)
+        self.order = np.argsort(key)
+        self.u, self.v, self.c = u, v, c
+        self.key = key[self.order]
+
+    @staticmethod
+    def key_of(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return mix(mix(u) ^ (v * _U(0x9E3779B97F4A7C15)))
+
+    def find(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Place of each pair, -1 for one that is not there."""
+        if not len(self.key):
+            return np.full(len(u), -1)
+        k = self.order[np.minimum(np.searchsorted(self.key, self.key_of(u, v)), len(self.key) - 1)]
+        return np.where((self.u[k] == u) & (self.v[k] == v), k, -1)
+
+
 class Tables:
-    """One partition's words and kept pairs, ready to add up the terms of a block."""
+    """One bucket's words and pairs, ready to add up the terms of a block.
+
+    A seen pair has its discounted share, another one alpha of its first word;
+    P(v) of the latter comes from the questions.
+    """
 
-    def __init__(self, blocks: list[bytes], pairs: pa.Table, m: dict) -> None:
-        self.m = m
+    def __init__(self, blocks: list[bytes], below_of: pa.Table, m: dict) -> None:
         us, cs = [], []
         for block in blocks:
             u, _, pair_of, d, count, trained = unpack(block)
             us.append(u)
             cs.append(np.bincount(pair_of, weights=count * trained[d], minlength=len(u)))
         self.words, at = np.unique(np.concatenate(us), return_inverse=True)
-        self.counts = np.bincount(at, weights=np.concatenate(cs), minlength=len(self.words)).astype(float)
-        u = pairs.column("u").to_numpy().view(np.uint64)
-        v = pairs.column("v").to_numpy().view(np.uint64)
-        left_count, p_v = pairs.column("left_count").to_numpy(), pairs.column("p_v").to_numpy()
+        counts = np.bincount(at, weights=np.concatenate(cs), minlength=len(self.words)).astype(float)
+        self.pairs = Pairs(*count_pairs(blocks))
+        u, c = self.pairs.u, self.pairs.c
+        table = np.append(0.0, m["db"])
+        left_count = np.where(c <= TOP_DISCOUNT, table[np.minimum(c, TOP_DISCOUNT)] * c, c).astype(float)
         of = np.searchsorted(self.words, u)
         kept = np.bincount(of, weights=left_count, minlength=len(self.words)).astype(float)
-        below = np.bincount(of, weights=p_v, minlength=len(self.words)).astype(float)
+        below = np.zeros(len(self.words))
+        if below_of.num_rows:
+            below[np.searchsorted(self.words, below_of.column("u").to_numpy().view(np.uint64))] = below_of.column("below").to_numpy()
         spread = {e["u"] & (1 << 64) - 1: e for e in m["spread"]}
         ends = spread.get(int(START))
         for name, e in spread.items():
             k = int(np.searchsorted(self.words, _U(name)))
             if k < len(self.words) and self.words[k] == _U(name):
-                self.counts[k], kept[k], below[k] = e["c"], e["kept"], e["below"]
+                counts[k], kept[k], below[k] = e["c"], e["kept"], e["below"]
         # where nothing is left for other followers, one more occurrence is set aside for them
-        history = np.maximum(self.counts, 1.0)
+        history = np.maximum(counts, 1.0)
         history = np.where(kept > history - 1e-9, history + 1, history)
         self.alpha = np.log10((1 - kept / history) / (1 - below))
-        self.word_term = self.alpha + self.log_share(self.counts)
-        self.base_term = np.log10(self.counts + 1) - math.log10(m["n_all"] + m["n_distinct"] + 1)
-        self.known = (self.counts > 0).astype(float)
+        self.seen = np.log10(left_count / history[of]) if len(of) else left_count
+        whole = math.log10(m["n_all"] + m["n_distinct"] + 1)
+        self.base_term = np.log10(counts + 1) - whole
+        self.known = (counts > 0).astype(float)
         at_start = np.flatnonzero(self.words == START)  # the start is no token
-        self.word_term[at_start] = self.alpha[at_start]
         self.base_term[at_start] = self.known[at_start] = 0
-        correction = np.log10(left_count / history[of]) - np.log10(p_v) - self.alpha[of] if len(of) else p_v
-        key = mix(mix(u) ^ (v * _U(0x9E3779B97F4A7C15)))
-        order = np.argsort(key)
-        self.key, self.u, self.v, self.correction = key[order], u[order], v[order], correction[order]
-        c_end = np.array([float(ends["c"]) if ends else 0.0])
-        self.end = [
-            float(self.log_share(c_end)[0]),
-            math.log10(c_end[0] + 1) - math.log10(m["n_all"] + m["n_distinct"] + 1),
-            float(c_end[0] > 0),
-            0.0,
-        ]
-
-    def log_share(self, counts: np.ndarray) -> np.ndarray:
-        table = np.append(0.0, self.m["dw"])
-        c = counts.astype(np.int64)
-        value = np.where(c <= TOP_DISCOUNT, table[np.minimum(c, TOP_DISCOUNT)] * counts, counts)
-        return np.log10(np.where(c > 0, value, self.m["unknown"]) / self.m["whole"])
+        c_end = float(ends["c"]) if ends else 0.0
+        self.end = [0.0, math.log10(c_end + 1) - whole, float(c_end > 0), 0.0]
 
     def sums(self, block: bytes, n_texts: int) -> list[np.ndarray]:
-        """Per text: score, base score, known tokens, entries."""
+        """Per text: score without the P(v) of unseen pairs, base score, known tokens, entries."""
         u, v, pair_of, d, count, _ = unpack(block)
         at = np.searchsorted(self.words, u)
-        per_pair = self.word_term[at].copy()
-        if len(self.key):
-            key = mix(mix(u) ^ (v * _U(0x9E3779B97F4A7C15)))
-            k = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-            hit = (self.u[k] == u) & (self.v[k] == v)
-            per_pair[hit] += self.correction[k[hit]]
+        place = self.pairs.find(u, v)
+        per_pair = self.alpha[at].copy()
+        per_pair[place >= 0] = self.seen[place[place >= 0]]
         at = at[pair_of]
         terms = (per_pair[pair_of], self.base_term[at], self.known[at], np.ones(len(at)))
         return [np.bincount(d, weights=t * count, minlength=n_texts) for t in terms]

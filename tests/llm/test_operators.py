@@ -128,12 +128,12 @@ def katz(train, all_texts):
             out[r] = (d if d is not None and 0 < d <= 1 else (r - 0.5) / r) if r >= lowest else 0
         return out
 
-    du, db = table(uni.values(), 1), table(bi.values(), 2)
+    du, db = table(uni.values(), 1), table(bi.values(), 1)
     left = sum(c * (1 - du.get(c, 1)) for c in uni.values())
     whole = n if left > 0 else n + 1
     unknown = left if left > 0 else 1
     p = lambda w: (uni[w] * du.get(uni[w], 1) if uni[w] else unknown) / whole
-    kept = {x: c for x, c in bi.items() if c >= 2}
+    kept = dict(bi)
     have, below, hist = Counter(), Counter(), Counter()
     for (u, w), c in kept.items():
         have[u] += c * db.get(c, 1)
@@ -159,7 +159,11 @@ def katz(train, all_texts):
     return out
 
 
-def test_language_model_equals_dictionaries(spark, docs, awkward):
+@pytest.mark.parametrize("probe", [0.02, 0.9])
+def test_language_model_equals_dictionaries(spark, docs, awkward, monkeypatch, probe):
+    """With few and with many words spread over all buckets, and frequent ones broadcast."""
+    monkeypatch.setattr(language_model, "PROBE", probe)
+    monkeypatch.setattr(language_model, "FREQUENT", 500)
     for table, mod in ((docs, 7), (awkward, 2), (awkward.limit(0), 2), (awkward, 1)):
         rows = table.select("doc_id", "text").collect()
         train = [r.text for r in rows if zlib.crc32(str(r.doc_id).encode()) % mod != (2 if mod == 7 else 0)]
