@@ -43,8 +43,8 @@ from granary.llm.common import checkpoint, partitions, slices
 #: Counts up to this are discounted.
 TOP_DISCOUNT = 5
 #: Share of the texts that are looked at for words whose pairs should be spread, and for frequent ones.
-PROBE = 0.02
-FREQUENT = 1 << 17
+PROBE = 0.05
+FREQUENT = 1 << 18
 #: Buckets in a partition.
 SPLIT = 2
 #: Words and texts packed into one set of blocks.
@@ -116,8 +116,14 @@ def unpack(block: bytes) -> tuple[np.ndarray, ...]:
     return np.repeat(u, followers), v, pair_of, d.astype(np.int64), count.astype(np.int64), np.unpackbits(flags, count=n).astype(np.int64)
 
 
+def pair_key(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """A sort key by which equal pairs, and pairs of one first word, stand together."""
+    high = _U(0xFFFFFFFF00000000)
+    return (mix(u) & high) | (mix(v + _U(0x9E3779B97F4A7C15)) >> _U(32))
+
+
 def count_pairs(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (word, follower) of a partition and their counts in training texts."""
+    """Distinct (word, follower) of a bucket and their counts in training texts, by ``pair_key``."""
     us, vs, cs = [], [], []
     for block in blocks:
         u, v, pair_of, d, count, trained = unpack(block)
@@ -126,11 +132,15 @@ def count_pairs(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         vs.append(v[c > 0])
         cs.append(c[c > 0])
     u, v, c = np.concatenate(us), np.concatenate(vs), np.concatenate(cs)
-    order = np.lexsort((v, u))
-    u, v, c = u[order], v[order], c[order]
-    new = np.ones(len(u), bool)
-    new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
-    at = np.flatnonzero(new)
+    key = pair_key(u, v)
+    order = np.argsort(key)
+    u, v, c, key = u[order], v[order], c[order], key[order]
+    differs = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+    if (differs & (key[1:] == key[:-1])).any():  # different pairs of one key: order them by their words as well
+        order = np.lexsort((v, u, key))
+        u, v, c = u[order], v[order], c[order]
+        differs = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+    at = np.flatnonzero(np.append(True, differs)) if len(u) else np.zeros(0, np.int64)
     return u[at], v[at], np.add.reduceat(c, at) if len(at) else c
 
 
@@ -246,8 +256,13 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             }
         )
 
-    counts = grouped.applyInArrow(counts_of, "name long, kind int, r int, c long").where("name is not null")
-    words = counts.where("kind = 0").groupBy("name").agg(F.sum("c").alias("c"))
+    # One exchange by name for all kinds, told apart only afterwards (r is 0 for kind 0 alone), so that the
+    # blocks are counted once.
+    counts = (
+        grouped.applyInArrow(counts_of, "name long, kind int, r int, c long")
+        .repartition(n, "name").groupBy("name", "r").agg(F.sum("c").alias("c"), F.max("kind").alias("kind"))
+    )
+    words = counts.where("kind = 0").select("name", "c")
     word_sums = words.agg(
         F.coalesce(F.sum("c"), F.lit(0)).alias("n_all"),
         F.count(F.lit(1)).alias("n_distinct"),
@@ -284,9 +299,10 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     pairs = grouped.applyInArrow(pairs_of, "bucket int, u long, v long").where("u is not null")
     often = pairs.join(F.broadcast(frequent), "v", "left")  # FREQUENT rows at most
     # Both parts in one pass: what ends in a frequent word is summed before the shuffle, the rest asks for its word.
-    known = often.groupBy("bucket", "u", F.when(F.col("p_often").isNull(), F.col("v")).alias("asks")).agg(F.sum("p_often").alias("below"), F.count(F.lit(1)).alias("n"))
+    known = often.groupBy("bucket", "u", F.when(F.col("p_often").isNull(), F.col("v")).alias("asks")).agg(F.sum("p_often").alias("below"))
     asked = known.where("asks is not null").join(shares, F.col("asks") == F.col("name")).select("bucket", "u", F.col("p_v").alias("below"))
-    below = known.where("asks is null").select("bucket", "u", "below").unionByName(asked).groupBy("bucket", "u").agg(F.sum("below").alias("below"))
+    both = known.where("asks is null").select("bucket", "u", "below").unionByName(asked)
+    below = both.repartition(n, "bucket").groupBy("bucket", "u").agg(F.sum("below").alias("below"))
 
     spread_below = below.where("bucket = -1").select("u", "below")
     of_count = F.when(F.col("r") > k, F.col("c").cast("double")).otherwise(F.col("c") * F.col("r") * F.element_at("db", F.least("r", F.lit(k))))
@@ -393,24 +409,27 @@ def _parts(rows: list[dict], id_type: pa.DataType) -> pa.Table:
 
 
 class Pairs:
-    """Pairs to be found by their words."""
+    """Pairs in the order of ``count_pairs``, to be found by their words."""
 
     def __init__(self, u: np.ndarray, v: np.ndarray, c: np.ndarray) -> None:
-        key = self.key_of(u, v)
-        self.order = np.argsort(key)
-        self.u, self.v, self.c = u, v, c
-        self.key = key[self.order]
-
-    @staticmethod
-    def key_of(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        return mix(mix(u) ^ (v * _U(0x9E3779B97F4A7C15)))
+        self.u, self.v, self.c, self.key = u, v, c, pair_key(u, v)
 
     def find(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         """Place of each pair, -1 for one that is not there."""
         if not len(self.key):
             return np.full(len(u), -1)
-        k = self.order[np.minimum(np.searchsorted(self.key, self.key_of(u, v)), len(self.key) - 1)]
-        return np.where((self.u[k] == u) & (self.v[k] == v), k, -1)
+        key = pair_key(u, v)
+        k = np.searchsorted(self.key, key)
+        found = np.full(len(u), -1)
+        open_ = np.arange(len(u))
+        while len(open_):  # more than one step only where pairs share a key
+            open_ = open_[k[open_] < len(self.key)]
+            open_ = open_[self.key[k[open_]] == key[open_]]
+            hit = (self.u[k[open_]] == u[open_]) & (self.v[k[open_]] == v[open_])
+            found[open_[hit]] = k[open_[hit]]
+            open_ = open_[~hit]
+            k[open_] += 1
+        return found
 
 
 class Tables:
