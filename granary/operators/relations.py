@@ -14,26 +14,68 @@ def shared_keys(files: DataFrame, most: int) -> DataFrame:
     return per.join(held, "key").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= most)
 
 
-def matches(files: DataFrame, most_keys: int = 3, most_folders: int = 64) -> DataFrame:
-    """How much of each folder a lies in another folder b (``a``, ``b``, ``matched``, ``matched_files``, ``total``, ``files``).
+def classes(files: DataFrame) -> DataFrame:
+    """``folder`` and ``rep``: the smallest folder that holds the same keys, each as often.
 
-    Candidates are found through a's few largest shared keys and, for a key,
-    its first folders only: that is the search the inventory defines.
+    Folders are told apart by two sums of hashes over their files, so no folder
+    is gathered.
     """
-    keys = shared_keys(files, most_keys).select(F.col("folder").alias("a"), "key")
+    h = lambda seed: F.sum(F.xxhash64(F.lit(seed), "key").cast("decimal(20,0)"))
+    sums = files.groupBy("folder").agg(h(1).alias("h"), h(2).alias("g"), F.count(F.lit(1)).alias("n"))
+    rep = sums.groupBy("h", "g", "n").agg(F.min("folder").alias("rep"))
+    return sums.join(rep, ["h", "g", "n"]).select("folder", "rep")
+
+
+def measured(pairs: DataFrame, files: DataFrame) -> DataFrame:
+    """How much of each folder a lies in folder b: ``matched``, ``matched_files``, and a's ``total`` and ``files``."""
     holders = files.select("folder", "key").distinct()
-    some = holders.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("folder"))).where(F.col("n") <= most_folders)
-    pairs = keys.join(some.select(F.col("folder").alias("b"), "key"), "key").where("a <> b").select("a", "b").distinct()
     own = files.groupBy(F.col("folder").alias("a")).agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("files"))
+    # The files of a folder by key first, so that what is joined to the pairs is small.
+    by_key = files.groupBy(F.col("folder").alias("a"), "key").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("names"))
     hit = (
-        pairs.join(files.select(F.col("folder").alias("a"), "key", "size"), "a")
+        pairs.join(by_key, "a")
         .join(holders.select(F.col("folder").alias("b"), "key"), ["b", "key"], "left_semi")
         .groupBy("a", "b")
-        .agg(F.sum("size").alias("matched"), F.count(F.lit(1)).alias("matched_files"))
+        .agg(F.sum("size").alias("matched"), F.sum("names").alias("matched_files"))
     )
     return hit.join(own, "a")
 
 
+def matches(files: DataFrame, most_keys: int = 3) -> DataFrame:
+    """``measured`` of all folders that share one of either's few largest shared keys, in both directions; no cap on holders."""
+    keys = shared_keys(files, most_keys).select(F.col("folder").alias("a"), "key")
+    pairs = keys.join(files.select(F.col("folder").alias("b"), "key").distinct(), "key").where("a <> b").select("a", "b")
+    return measured(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), files)
+
+
+def class_matches(files: DataFrame, most_keys: int = 3) -> DataFrame:
+    """``matches`` between the representatives of equal folders, and each other member with its representative, both ways."""
+    of = classes(files)
+    kept = files.join(of.where("folder = rep").select("folder"), "folder", "left_semi")
+    own = kept.groupBy(F.col("folder").alias("rep")).agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("files"))
+    member = of.where("folder <> rep").join(own, "rep")
+    row = lambda a, b: member.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col("total").alias("matched"), F.col("files").alias("matched_files"), "total", "files")
+    found = matches(kept, most_keys).select("a", "b", "matched", "matched_files", "total", "files")
+    return found.unionByName(row("folder", "rep")).unionByName(row("rep", "folder"))
+
+
+def partners(files: DataFrame, most_keys: int = 3, most_folders: int = 64) -> DataFrame:
+    """The best partner of each folder (R3): most bytes, then most files, then the first.
+
+    The search is bounded by definition: of each of the folder's largest shared
+    keys the first ``most_folders`` other holders are looked at.
+    """
+    keys = shared_keys(files, most_keys).select(F.col("folder").alias("a"), "key")
+    order = Window.partitionBy("key").orderBy("folder")
+    ranked = files.select("folder", "key").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= most_folders + 1)
+    own = ranked.select(F.col("folder").alias("a"), "key", F.col("n").alias("own"))
+    near = keys.join(own, ["a", "key"], "left").join(ranked.select(F.col("folder").alias("b"), "key", "n"), "key").where("a <> b")
+    near = near.where(F.col("n") - F.when(F.col("own") < F.col("n"), 1).otherwise(0) <= most_folders)
+    found = measured(near.select("a", "b").distinct(), files)
+    best = Window.partitionBy("a").orderBy(F.desc("matched"), F.desc("matched_files"), "b")
+    return found.withColumn("granary_rank", F.row_number().over(best)).where("granary_rank = 1").drop("granary_rank")
+
+
 def labels(found: DataFrame) -> DataFrame:
     """same where both sides lie in each other, inside where one does, overlap from half of either side's bytes."""
     back = found.select(F.col("a").alias("b"), F.col("b").alias("a"), (F.col("matched_files") == F.col("files")).alias("other_inside"), (F.col("matched") * 2 >= F.col("total")).alias("other_half"))

@@ -82,13 +82,23 @@ def j8(spark, sf):
 
 _L = a.with_tables(a.TREE_LINES)
 _PER = _L + ", per AS (SELECT folder, key, CAST(sum(size) AS BIGINT) AS bytes FROM tree_lines GROUP BY ALL), held AS (SELECT key FROM per GROUP BY key HAVING count(*) > 1), top3 AS (SELECT folder, key, bytes, row_number() OVER (PARTITION BY folder ORDER BY bytes DESC, key) AS rank FROM per JOIN held USING (key) QUALIFY rank <= 3)"
-_MATCH = (
-    _PER
-    + """, holders AS (SELECT DISTINCT folder, key FROM tree_lines), few AS (SELECT folder, key FROM holders QUALIFY row_number() OVER (PARTITION BY key ORDER BY folder) <= 64),
-    pairs AS (SELECT DISTINCT t.folder AS a, s.folder AS b FROM top3 t JOIN few s USING (key) WHERE t.folder <> s.folder),
+#: ``found``: what of a lies in b, for pairs that share one of a's or b's three largest shared keys.
+_FOUND = """, holders AS (SELECT DISTINCT folder, key FROM tree_lines), half AS (SELECT DISTINCT t.folder AS a, s.folder AS b FROM top3 t JOIN {from_holders} s USING (key) WHERE t.folder <> s.folder),
+    pairs AS ({pairs}),
     own AS (SELECT folder AS a, CAST(sum(size) AS BIGINT) AS total, count(*) AS files FROM tree_lines GROUP BY 1),
     hit AS (SELECT p.a, p.b, CAST(sum(f.size) AS BIGINT) AS matched, count(*) AS matched_files FROM pairs p JOIN tree_lines f ON f.folder = p.a JOIN holders h ON h.folder = p.b AND h.key = f.key GROUP BY ALL),
     found AS (SELECT hit.*, total, files FROM hit JOIN own USING (a))"""
+_BOTH = "SELECT a, b FROM half UNION SELECT b, a FROM half"
+_MATCH = _PER + _FOUND.format(from_holders="holders", pairs=_BOTH)
+_TREE = _L[5:].replace("tree_lines AS", "all_lines AS", 1)
+_CLASSES = f"""WITH {_TREE}, sig AS (SELECT folder, string_agg(key, ',' ORDER BY key) AS sig FROM all_lines GROUP BY 1), cls AS (SELECT folder, min(folder) OVER (PARTITION BY sig) AS rep FROM sig),
+  tree_lines AS (SELECT * FROM all_lines WHERE folder IN (SELECT rep FROM cls))"""
+_CLASS_MATCH = (
+    _CLASSES
+    + _PER[len(_L) :]
+    + _FOUND.format(from_holders="holders", pairs=_BOTH)
+    + """, links AS (SELECT a, b, matched, matched_files, total, files FROM found UNION ALL SELECT c.folder, c.rep, total, files, total, files FROM cls c JOIN own ON own.a = c.rep WHERE c.folder <> c.rep
+      UNION ALL SELECT c.rep, c.folder, total, files, total, files FROM cls c JOIN own ON own.a = c.rep WHERE c.folder <> c.rep)"""
 )
 
 
@@ -97,42 +107,50 @@ def w4(spark, sf):
     return relations.shared_keys(a.tree_lines(spark, sf), 3).select("folder", "key", "bytes", F.col("rank").cast("long").alias("rank"))
 
 
-@query("r1_match", _MATCH + " SELECT a, b, matched, matched_files, total, files FROM found")
+@query("r1_match", _CLASS_MATCH + " SELECT a, b, matched, matched_files, total, files FROM links")
 def r1(spark, sf):
-    return relations.matches(a.tree_lines(spark, sf))
+    return relations.class_matches(a.tree_lines(spark, sf))
 
 
-@query("r2_inside", _MATCH + " SELECT a, b, matched FROM found WHERE matched_files = files")
+@query("r2_inside", _CLASS_MATCH + " SELECT a, b, matched FROM links WHERE matched_files = files")
 def r2(spark, sf):
-    return relations.matches(a.tree_lines(spark, sf)).where("matched_files = files").select("a", "b", "matched")
+    return relations.class_matches(a.tree_lines(spark, sf)).where("matched_files = files").select("a", "b", "matched")
 
 
-@query("r3_partner", _MATCH + " SELECT a, b, matched FROM found QUALIFY row_number() OVER (PARTITION BY a ORDER BY matched DESC, matched_files DESC, b) = 1")
+@query(
+    "r3_partner",
+    _PER
+    + _FOUND.format(
+        from_holders="holders",
+        pairs="SELECT DISTINCT a, b FROM (SELECT t.folder AS a, s.folder AS b, row_number() OVER (PARTITION BY t.folder, t.key ORDER BY s.folder) AS n FROM top3 t JOIN holders s USING (key) WHERE t.folder <> s.folder) WHERE n <= 64",
+    )
+    + " SELECT a, b, matched FROM found QUALIFY row_number() OVER (PARTITION BY a ORDER BY matched DESC, matched_files DESC, b) = 1",
+)
 def r3(spark, sf):
-    order = Window.partitionBy("a").orderBy(F.desc("matched"), F.desc("matched_files"), "b")
-    return relations.matches(a.tree_lines(spark, sf)).withColumn("rn", F.row_number().over(order)).where("rn = 1").select("a", "b", "matched")
+    return relations.partners(a.tree_lines(spark, sf)).select("a", "b", "matched")
 
 
 @query(
     "r4_labels",
-    _MATCH
+    _CLASS_MATCH
     + """, l AS (SELECT f.a, f.b, f.matched, CASE WHEN f.matched_files = f.files AND g.matched_files = g.files THEN 'same' WHEN f.matched_files = f.files THEN 'inside'
-      WHEN f.matched * 2 >= f.total OR coalesce(g.matched * 2 >= g.total, false) THEN 'overlap' END AS relation FROM found f LEFT JOIN found g ON g.a = f.b AND g.b = f.a)
+      WHEN f.matched * 2 >= f.total OR coalesce(g.matched * 2 >= g.total, false) THEN 'overlap' END AS relation FROM links f LEFT JOIN links g ON g.a = f.b AND g.b = f.a)
     SELECT a, b, relation, matched FROM l WHERE relation IS NOT NULL AND (relation = 'inside' OR a < b)""",
 )
 def r4(spark, sf):
-    return relations.labels(relations.matches(a.tree_lines(spark, sf)))
+    return relations.labels(relations.class_matches(a.tree_lines(spark, sf)))
 
 
 def _sides(spark, sf):
-    f = a.tree_docs(spark, sf).select("source_id", F.regexp_replace("path", "^[^/]+/", "").alias("path"), F.col("digest").alias("key"), "size")
-    near = f.withColumn("path", F.concat(F.substring_index("path", "/", 1), F.lit("/"), (F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long") % 39).cast("string")))
-    return near.where("source_id in ('src0', 'src1', 'src2', 'src3')").drop("source_id"), near.where("source_id in ('src4', 'src5', 'src6', 'src7')").drop("source_id")
+    """All files, dealt into two sides by their source's last letter; two neighbours by id share a relative path."""
+    path = F.concat("kind", F.lit("/"), F.expr("entry_id div 2").cast("string"), F.lit(".txt"))
+    rows = a.tree_docs(spark, sf).select((F.ascii(F.substring("source_id", -1, 1)) % 2 == 0).alias("is_left"), path.alias("path"), F.col("digest").alias("key"), "size")
+    return rows.where("is_left").drop("is_left"), rows.where("not is_left").drop("is_left")
 
 
 _SIDES = a.with_tables(
     a.TREE_DOCS,
-    "sides AS (SELECT source_id IN ('src0','src1','src2','src3') AS is_left, kind || '/' || (entry_id % 39) AS path, digest AS key, size FROM tree_docs WHERE source_id IN ('src0','src1','src2','src3','src4','src5','src6','src7'))",
+    "sides AS (SELECT ascii(right(source_id, 1)) % 2 = 0 AS is_left, kind || '/' || entry_id // 2 || '.txt' AS path, digest AS key, size FROM tree_docs)",
     "l AS (SELECT path AS left_path, key, size AS ls, row_number() OVER (PARTITION BY key ORDER BY path) AS n FROM sides WHERE is_left)",
     "r AS (SELECT path AS right_path, key, size AS rs, row_number() OVER (PARTITION BY key ORDER BY path) AS n FROM sides WHERE NOT is_left)",
     "p AS (SELECT left_path, right_path, ls, rs FROM l FULL OUTER JOIN r ON l.key = r.key AND l.n = r.n)",

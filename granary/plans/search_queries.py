@@ -98,7 +98,7 @@ def o8(spark, sf):
     return docs(spark, sf).where("state = 'pending'").orderBy(F.desc("size"), F.desc("entry_id")).limit(50).select("entry_id", "size")
 
 
-@query("o12_resolve", _D + " SELECT entry_id FROM files WHERE size > 5000 ORDER BY entry_id LIMIT 1001")
+@query("o12_resolve", _D + " SELECT entry_id FROM files WHERE size > 5000")
 def o12(spark, sf):
     return search.resolve(docs(spark, sf), search.Query(min_size=5001))
 
