@@ -12,9 +12,9 @@ branches of one plan: to count words and pairs, to ask for P(v) where a pair was
 not seen, and to add up each text's terms.  Two tables are joined by word: of the
 seen pairs, whose P(v) make alpha(u), and of the questions.  P(v) of frequent words
 (``FREQUENT`` at most, found in a share of the texts, counted in all) is broadcast;
-only the pairs that end in another word travel.  A bucket is a fraction of a
-partition, so what one group of the Python side holds does not grow with the input
-where the partitions do.
+only the pairs that end in another word travel.  A bucket is a partition or, by
+``SPLIT``, a fraction of one, so what one group of the Python side holds does not
+grow with the input where the partitions do; more buckets make more partial sums.
 
 Words that are common in a share of the texts of all partitions have their pairs
 spread over all buckets; that moves work and changes no figure.
@@ -44,9 +44,9 @@ from granary.llm.common import checkpoint, partitions, slices
 TOP_DISCOUNT = 5
 #: Share of the texts that are looked at for words whose pairs should be spread, and for frequent ones.
 PROBE = 0.05
-FREQUENT = 1 << 18
+FREQUENT = 1 << 19
 #: Buckets in a partition.
-SPLIT = 2
+SPLIT = 1
 #: Words and texts packed into one set of blocks.
 BLOCK_WORDS = 1 << 21
 BLOCK_TEXTS = 50_000
