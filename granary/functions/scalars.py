@@ -16,7 +16,7 @@ def csv_guard(cell: Column) -> Column:
 
 
 def shown(raw: bytes) -> str:
-    """An injective text form of raw bytes: backslashes doubled, bad bytes ``\\xNN``, unprintable letters ``\\u{X}``."""
+    """An injective text form of raw bytes: backslashes doubled, bad bytes ``\\xNN``, unprintable letters ``\\u{XXXX}``."""
     out = []
     for c in raw.decode("utf-8", "surrogateescape"):
         code = ord(c)
@@ -27,7 +27,7 @@ def shown(raw: bytes) -> str:
         elif c.isprintable():
             out.append(c)
         else:
-            out.append(f"\\u{{{code:X}}}")
+            out.append(f"\\u{{{code:04X}}}")
     return "".join(out)
 
 
@@ -38,16 +38,17 @@ def display_name(raw: pd.Series) -> pd.Series:
 
 @F.pandas_udf(StringType())
 def zip_member_name(raw: pd.Series) -> pd.Series:
-    """As ``display_name``; what is not UTF-8 is read as code page 850."""
+    """As ``display_name``; a component of the path that is not UTF-8 is read as code page 850."""
 
-    def one(b: bytes | None) -> str | None:
-        if b is None:
-            return None
+    def component(b: bytes) -> bytes:
         try:
-            bytes(b).decode()
+            b.decode()
         except UnicodeDecodeError:
-            b = bytes(b).decode("cp850").encode()
-        return shown(bytes(b))
+            return b.decode("cp850").encode()
+        return b
+
+    def one(b: bytes | None) -> str | None:
+        return None if b is None else shown(b"/".join(map(component, bytes(b).split(b"/"))))
 
     return raw.map(one)
 

@@ -27,6 +27,16 @@ def effective_decisions(entries: DataFrame, own: DataFrame) -> DataFrame:
     )
 
 
+def effective_tags(entries: DataFrame, own: DataFrame) -> DataFrame:
+    """The tags of each entry, its own and those of the folders above: ``path``, ``tag`` and ``level``, the depth of the nearest carrier.
+
+    ``own`` has ``own_path`` and ``tag``.
+    """
+    at = with_ancestors(entries.select("path"), True).select("path", F.col("ancestor").alias("at"), "level")
+    itself = entries.select("path", F.col("path").alias("at"), depth(F.col("path")).alias("level"))
+    return at.unionByName(itself).join(own, F.col("at") == F.col("own_path")).groupBy("path", "tag").agg(F.max("level").alias("level"))
+
+
 def topmost(paths: DataFrame, column: str = "path") -> DataFrame:
     """Paths of a set that have no other path of the set above them."""
     p = paths.select(F.col(column).alias("path")).distinct()

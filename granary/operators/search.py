@@ -43,8 +43,9 @@ class Query:
         out = F.lit(True)
         if self.source is not None:
             out &= F.col("source_id") == self.source
-        if self.name is not None:  # short names keep their accents
-            out &= F.col("name").contains(self.name) if len(self.name) < 3 else folded(F.col("name")).contains(self.name.lower())
+        if self.name is not None:  # of either case; below three letters accents count
+            fold = F.lower if len(self.name) < 3 else folded
+            out &= fold(F.col("name")).contains(fold(F.lit(self.name)))
         if self.extensions:
             out &= extension(F.col("name")).isin([e.lower().lstrip(".") for e in self.extensions])
         if self.kinds:

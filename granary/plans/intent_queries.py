@@ -77,9 +77,19 @@ def f9(spark, sf):
     return i4(spark, sf).where("tag = 'french'").select("entry_id")
 
 
-@query("w5_nearest_tag", _T + " SELECT d.entry_id, tag, max(g.level) AS level FROM tree_docs d JOIN tagged g ON g.path IN (d.path, d.source_id || '/' || d.kind) GROUP BY ALL")
+_OWN_TAGS = """own_tags AS (SELECT path, 'flagged' AS tag FROM tree_docs JOIN labels ON doc_id = entry_id WHERE toxic = 1
+  UNION SELECT DISTINCT source_id || '/' || kind, 'french' FROM tree_docs WHERE kind = 'fr' UNION SELECT DISTINCT source_id, 'flagged' FROM tree_docs WHERE source_id LIKE '%1' UNION SELECT DISTINCT source_id, 'french' FROM tree_docs)"""
+
+
+@query("w5_nearest_tag", a.with_tables(a.TREE_DOCS, _OWN_TAGS) + " SELECT d.path, tag, max(len(string_split(o.path, '/'))) AS level FROM tree_docs d JOIN own_tags o ON d.path = o.path OR starts_with(d.path, o.path || '/') GROUP BY ALL")
 def w5(spark, sf):
-    return i4(spark, sf).select("entry_id", "tag", F.when(F.col("tag") == "french", 2).otherwise(3).alias("level"))
+    """Tags of files, of language folders and of sources, where a nearer carrier hides one further up."""
+    t = a.tree_docs(spark, sf)
+    tag = lambda rows, path, name: rows.select(path.alias("own_path"), F.lit(name).alias("tag"))
+    toxic = a.table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("entry_id"))
+    own = tag(t.join(toxic, "entry_id", "left_semi"), F.col("path"), "flagged").unionByName(tag(t.where("kind = 'fr'"), F.concat_ws("/", "source_id", "kind"), "french"))
+    own = own.unionByName(tag(t.where("source_id like '%1'"), F.col("source_id"), "flagged")).unionByName(tag(t, F.col("source_id"), "french")).distinct()
+    return intent.effective_tags(t, own).withColumn("level", F.col("level").cast("long"))
 
 
 @query("a25_tag_counts", _T + " SELECT tag, count(*) AS n FROM tagged GROUP BY 1")

@@ -42,12 +42,12 @@ for key, q, cond in (
 
 @query("f2_name_contains", _N + f" SELECT entry_id, name FROM parts WHERE contains({_FOLD}, 'bolt')")
 def f2(spark, sf):
-    return parts(spark, sf).where(folded(F.col("name")).contains("bolt")).select("entry_id", "name")
+    return parts(spark, sf).where(search.Query(name="BÓLT").predicate()).select("entry_id", "name")
 
 
 @query("f3_short_name", _N + " SELECT entry_id, name FROM parts WHERE contains(lower(name), 'ot')")
 def f3(spark, sf):
-    return parts(spark, sf).where(F.lower("name").contains("ot")).select("entry_id", "name")
+    return parts(spark, sf).where(search.Query(name="Ot").predicate()).select("entry_id", "name")
 
 
 @query("f7_years", _D + " SELECT entry_id FROM files WHERE mtime_ns >= 86400000000000 AND year(make_timestamp(mtime_ns // 1000)) BETWEEN 1973 AND 1976")
@@ -150,11 +150,10 @@ def s12(spark, sf):
     return docs(spark, sf).select("entry_id", F.to_json(F.struct("entry_id", "kind", "size")).alias("body"))
 
 
-@query("u1_display_name")
+@query("u1_display_name", "SELECT page_id, replace(url, chr(92), chr(92) || chr(92)) || CASE page_id % 3 WHEN 0 THEN chr(92) || 'u{200B}' WHEN 1 THEN chr(92) || 'u{0009}' || chr(92) || 'xFF' ELSE chr(92) || chr(92) || 'é' END AS shown FROM pages")
 def u1(spark, sf):
-    return a.table(spark, sf, "pages").select("page_id", display_name(F.col("url").cast("binary")).alias("shown"))
-
-
-_RULES = "r(rule, pattern, priority, category) AS (VALUES ('bolt', 'bolt', 10, 'metal'), ('gear', 'gear', 10, 'metal'), ('ring', 'ring', 20, 'round'), ('small', 'small', 20, 'small'), ('red', 'red', 20, 'colour'))"
+    """Addresses with a zero-width space, a tab and a bad byte, or a backslash at the end."""
+    odd = F.when(F.col("page_id") % 3 == 0, F.unhex(F.lit("E2808B"))).when(F.col("page_id") % 3 == 1, F.unhex(F.lit("09FF"))).otherwise(F.unhex(F.lit("5CC3A9")))
+    return a.table(spark, sf, "pages").select("page_id", display_name(F.concat(F.col("url").cast("binary"), odd)).alias("shown"))
 
 

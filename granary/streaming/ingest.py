@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder; a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="granary-")
+    """A fresh folder below the cluster's shared checkpoint folder; a temporary one where none is set and all runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set; it has to name a folder that all executors share")
+    base = base or tempfile.mkdtemp(prefix="granary-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from granary.functions.scalars import preview_text, shown
@@ -163,3 +164,58 @@ def test_preview_finds_the_encoding():
     assert preview_text(b"\xfe\xff\x00a", 9) == ("UTF-16BE", "a")
     assert preview_text(b"caf\xe9 ", 9) == ("windows-1252", "café ")
     assert preview_text(b"", 9) == ("UTF-8", "")
+
+
+def test_places_of_a_content(spark):
+    """One content on two disks, one twice on a disk, one alone, one pending, one empty; a member makes another copy."""
+    from granary.operators import places
+
+    columns = "entry_id long, source_id string, digest string, size long, content_state string, state string, nlink int"
+    rows = [
+        (1, "p", "a", 5, "hashed", "present", 1), (2, "q", "a", 5, "hashed", "present", 1), (3, "p", "b", 6, "hashed", "present", 1), (4, "p", "b", 6, "hashed", "present", 1),
+        (5, "p", "c", 7, "hashed", "present", 1), (6, "p", None, 8, "pending", "present", 1), (7, "p", None, 0, None, "present", 1), (8, "p", None, 9, "unique_size", "present", 1),
+        (9, "p", None, 9, "sampled", "present", 1), (10, "p", "d", 3, "hashed", "present", 2), (11, "p", "d", 3, "hashed", "present", 2), (12, "p", "e", 4, "hashed", "missing", 1),
+        (13, "p", None, 4, "unreadable", "present", 1), (14, "p", "z", 90, "hashed", "present", 1), (15, "q", "f", 2, "hashed", "present", 1),
+    ]
+    extra = {"path": "cast(entry_id as string)", "stable": "true", "online": "source_id = 'p'", "quarantined": "false", "dev": "1", "ino": "if(nlink > 1, 1, entry_id)"}
+    files = spark.createDataFrame(rows, columns).selectExpr("*", *(f"{e} as {c}" for c, e in extra.items()))
+    members = spark.createDataFrame([(1, 14, "in/x", None, 2, "hashed", "f")], "member_id long, archive_id long, path string, link_path string, size long, content_state string, digest string")
+    listed = spark.createDataFrame([(14, "complete")], "archive_id long, listing string")
+    inner = places.placed_members(members, listed, files)
+    got = {r.entry_id: r for r in places.places(files, places.copies(files, inner)).collect()}
+    want = {1: "other_source", 2: "other_source", 3: "this_source", 4: "this_source", 5: "only_copy", 6: "unchecked", 7: "none", 8: "only_copy", 9: "only_copy", 10: "only_copy", 11: "only_copy", 12: None, 13: "unreadable", 15: "other_source"}
+    assert {k: got[k].place for k in want} == want
+    assert got[1].offline_only and not got[2].offline_only
+    assert [r.place for r in places.places(inner, places.copies(files, inner)).collect()] == ["other_source"]
+    amounts = {p: 0 for q in (*places.ORDER, "disposable") for p in (f"{q}_files", f"{q}_bytes")}
+    decide = lambda complete, **files_in: spark.createDataFrame([{**amounts, **files_in}]).select(places.folder_place(F.lit(complete))).first()[0]
+    assert decide(True, only_copy_files=1, unreadable_files=9) == "only_copy" and decide(True, unchecked_files=1, unreadable_files=1) == "unchecked"
+    assert decide(False, other_source_files=2) == "unreadable" and decide(True, other_source_files=2) == "other_source" and decide(False) == "unreadable"
+
+
+def test_clock_offsets(spark):
+    """A camera 26 h ahead at two events, another one with GPS; without GPS the same camera merely disagrees."""
+    from granary.operators import dates
+
+    hour = 3600 * dates.SECOND
+    def shots(gps):
+        rows = []
+        for event in (0, 500):
+            for k in range(5):
+                rows.append((f"f{event}", "right", (event + k) * hour, (event + k) * hour if gps else None))
+                rows.append((f"f{event}", "ahead", (event + 26 + k) * hour, None))
+        return spark.createDataFrame(rows, "folder string, camera string, capture_ns long, gps_ns long").selectExpr("*", "false as offset_known", "cast(null as struct<ns:bigint,local:string,precision:string>) as folder_day")
+    got = {r.camera: (r.state, r.shift_s) for r in dates.detect(shots(True)).collect()}
+    assert got == {"ahead": ("offset", -26 * 3600), "right": ("ok", None)}
+    assert {r.camera: r.state for r in dates.detect(shots(False)).collect()} == {"ahead": "disagrees", "right": "disagrees"}
+
+
+def test_rule_packs_are_checked(spark):
+    from granary.operators import rules
+
+    pack = rules.load_pack('[[signal]]\nid = "s"\nnames = ["*.s"]\n[[file]]\nid = "a"\npriority = 5\ncategory = "cache"\nnames = ["*.c"]\n[[folder]]\nid = "b"\npriority = 1\nchild_any = ["s"]\ncategory = "backup"\n')
+    files = spark.createDataFrame([("x.C", "other", 1), ("y", "other", 1)], "name string, file_kind string, size long")
+    assert [(r.category, r.triage) for r in rules.classify_files(files, pack.files).orderBy("name").collect()] == [("cache", "discard"), ("unknown", "review")]
+    for bad in ('[[folder]]\nid = "b"\npriority = 1\nchild_any = ["t"]', '[[file]]\nid = "a"\npriority = 1\ncategory = "odd"', '[[file]]\nid = "a"\npriority = 1\n[[file]]\nid = "a"\npriority = 2'):
+        with pytest.raises(ValueError):
+            rules.load_pack(bad)
