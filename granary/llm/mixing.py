@@ -33,11 +33,13 @@ BUCKETS = 1 << 20
 SHRINK = 3.0
 #: Every word's log odds are drawn towards nothing by so many of their standard errors; so all words of
 #: the sample enter, and one that chance explains says nothing.
-DOUBT = 3.0
+DOUBT = 4.0
 #: A word counts if it is in at least this share of the texts of some domain; rarer ones tell of copies, not of domains.
-SUPPORT = 0.015
+SUPPORT = 0.03
 #: Share of the texts above which the absence of a word says nothing.
 COMMON = 0.05
+#: A target: what a domain's classifier sees of it in documents that more likely belong to others; so only its own documents go.
+LEFTOVER = "leftover"
 STEPS = 32
 TOLERANCE = 1e-4
 
@@ -123,7 +125,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Data
     return found.select("id", "n_words", *((p / whole).alias(f"p{k}") for k, p in enumerate(parts)))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float | None], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float | str | None], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``n_words``, ``posterior`` (map by domain) and ``rate`` of every id.
 
     ``labelled`` has ``label_id`` and ``domain``; ``targets`` gives each domain's
@@ -134,12 +136,13 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float | None],
     ps = [f"p{k}" for k in range(len(domains))]
     state = checkpoint(posteriors(rows, labelled, domains).withColumn("rate", F.lit(1.0)))
     pairs = [(a, b) for a in ps for b in ps]
-    found = state.agg(F.sum("n_words"), *(F.sum(F.col("n_words") * F.col(p)) for p in ps), *(F.sum(F.col("n_words") * F.col(a) * F.col(b)) for a, b in pairs)).first()
+    found = state.agg(F.sum("n_words"), *(F.sum(F.col("n_words") * F.col(p)) for p in ps), *(F.sum(F.when(F.col(p) < 0.5, F.col("n_words") * F.col(p))) for p in ps), *(F.sum(F.col("n_words") * F.col(a) * F.col(b)) for a, b in pairs)).first()
     tokens = float(found[0] or 1)
     natural = [(x or 0.0) / tokens for x in found[1 : len(ps) + 1]]
-    gram = np.array([x or 0.0 for x in found[len(ps) + 1 :]], float).reshape(len(ps), len(ps)) / tokens
+    leftover = [(x or 0.0) / tokens for x in found[len(ps) + 1 : 2 * len(ps) + 1]]
+    gram = np.array([x or 0.0 for x in found[2 * len(ps) + 1 :]], float).reshape(len(ps), len(ps)) / tokens
     weight = np.linalg.pinv(gram, rcond=1e-3, hermitian=True)
-    wanted = np.array([own if targets[d] is None else targets[d] for d, own in zip(domains, natural, strict=True)])
+    wanted = np.array([{None: own, LEFTOVER: rest}.get(targets[d], targets[d]) for d, own, rest in zip(domains, natural, leftover, strict=True)], float)
     state = state.withColumn("before", F.col("rate"))
     last, speed, least = None, 1.0, float("inf")
     for step in range(STEPS):
