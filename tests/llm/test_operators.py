@@ -395,6 +395,18 @@ def test_pipeline_drops_near_copies_at_0_8(spark, sf):
     assert {r.doc_id for r in near(spark, both, sf).collect()} == set(want.values())
 
 
+def test_pipeline_on_awkward_rows(spark, awkward, tmp_path):
+    """All stages over nulls, empty, long and repeated texts, with extra columns of clashing names."""
+    import corpus_pipeline
+
+    awkward.withColumn("lang", F.when(F.col("doc_id") % 3 > 0, "en")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, 1, 0), (8, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    left = {r.doc_id for r in out}
+    assert left and left <= set(range(len(AWKWARD))) and not left & {0, 1, 2, 4, 7}
+    assert all(len(r.token_ids) == 4 * r.n_tokens for r in out)
+
+
 def test_golay_indices():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 1 << 23, 3000)
