@@ -1,4 +1,4 @@
-"""Snapshots, plans, commands, streaming ingest (S*, X*, T*)."""
+"""Snapshots, plans, commands, streaming ingest."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Content groups, places, relations, comparison (A9-A20, A33, D*, J*, R*, CP*, W1-W4)."""
+"""Content groups, places, relations, comparison."""
 
 from __future__ import annotations
 

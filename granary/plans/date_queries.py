@@ -1,4 +1,4 @@
-"""Dates of photos (M*, O11, S9, F18)."""
+"""Dates of photos."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Decisions, tags, selections, review lists (I*, A16, A18, A22-A26, W5, W6, D11-D16)."""
+"""Decisions, tags, selections, review lists."""
 
 from __future__ import annotations
 

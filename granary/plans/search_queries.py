@@ -1,4 +1,4 @@
-"""Search filters, orders and pages (F*, O*, PJ*, C*)."""
+"""Search filters, orders and pages."""
 
 from __future__ import annotations
 
