@@ -143,7 +143,10 @@ def manifest(leaves: DataFrame, group_col: str, id_col: str, leaf_col: str, carr
     )
     trees = checkpoint(prefix_sums(rows.groupBy("tree").agg(F.count(F.lit(1)).alias("n")), ["tree"], "n"))
     most, n_trees = trees.agg(F.max("n"), F.count(F.lit(1))).first()
-    numbered = prefix_sums(rows, ["tree", "leaf_id", "hash"]).join(trees.select("tree", "n", "n_before"), "tree")
+    # a tree is a run of the numbering, so it meets its leaves stretch by stretch and none is hot
+    stretch = F.explode(F.sequence(F.floor(F.col("n_before") / BLOCK), F.floor((F.col("n_before") + F.col("n") - 1) / BLOCK)))
+    runs = trees.select("tree", "n", "n_before", stretch.alias("stretch"))
+    numbered = prefix_sums(rows, ["tree", "leaf_id", "hash"]).withColumn("stretch", F.floor(F.col("row_index") / BLOCK)).join(runs, ["tree", "stretch"])
     nodes = numbered.withColumn("place", F.col("row_index") - F.col("n_before"))
     below = _rounds(nodes, most or 0, ["leaf_id", *kept])
     tops = _next(below[-1]).select("tree", "hash")
