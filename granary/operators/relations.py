@@ -59,23 +59,6 @@ def class_matches(files: DataFrame, most_keys: int = 3) -> DataFrame:
     return found.unionByName(row("folder", "rep")).unionByName(row("rep", "folder"))
 
 
-def partners(files: DataFrame, most_keys: int = 3, most_folders: int = 64) -> DataFrame:
-    """The best partner of each folder (R3): most bytes, then most files, then the first.
-
-    The search is bounded by definition: of each of the folder's largest shared
-    keys the first ``most_folders`` other holders are looked at.
-    """
-    keys = shared_keys(files, most_keys).select(F.col("folder").alias("a"), "key")
-    order = Window.partitionBy("key").orderBy("folder")
-    ranked = files.select("folder", "key").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= most_folders + 1)
-    own = ranked.select(F.col("folder").alias("a"), "key", F.col("n").alias("own"))
-    near = keys.join(own, ["a", "key"], "left").join(ranked.select(F.col("folder").alias("b"), "key", "n"), "key").where("a <> b")
-    near = near.where(F.col("n") - F.when(F.col("own") < F.col("n"), 1).otherwise(0) <= most_folders)
-    found = measured(near.select("a", "b").distinct(), files)
-    best = Window.partitionBy("a").orderBy(F.desc("matched"), F.desc("matched_files"), "b")
-    return found.withColumn("granary_rank", F.row_number().over(best)).where("granary_rank = 1").drop("granary_rank")
-
-
 def labels(found: DataFrame) -> DataFrame:
     """same where both sides lie in each other, inside where one does, overlap from half of either side's bytes."""
     back = found.select(F.col("a").alias("b"), F.col("b").alias("a"), (F.col("matched_files") == F.col("files")).alias("other_inside"), (F.col("matched") * 2 >= F.col("total")).alias("other_half"))
@@ -136,19 +119,3 @@ def drop_wrapper(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFram
         return own.join(F.broadcast(drop)).withColumn("path", F.when(F.col("drop"), bare).otherwise(F.col("path"))).drop("drop")
 
     return stripped(left, right), stripped(right, left)
-
-
-def maximal(found: DataFrame) -> DataFrame:
-    """Relations (``a``, ``b``, ``relation``: folder paths) that no outer pair holds.
-
-    A pair is held where both its folders are, or lie below, those of another
-    pair; an overlap holds overlaps only, a same holds both ways.  Holding
-    is transitive, so it is tested against all pairs at once: each pair is
-    spread over its folders' ancestors, a number bounded by the depths.
-    """
-    up = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, "/", -1))), lambda k: F.array_join(F.slice(F.split(c, "/", -1), 1, k), "/"))
-    spread = found.select("a", "b", "relation", F.explode(up(F.col("a"))).alias("oa")).select("*", F.explode(up(F.col("b"))).alias("ob"))
-    outer = found.select(F.col("a").alias("oa"), F.col("b").alias("ob"), F.col("relation").alias("orel"))
-    back = outer.where("orel = 'same'").select(F.col("ob").alias("oa"), F.col("oa").alias("ob"), "orel")
-    held = spread.join(outer.unionByName(back), ["oa", "ob"]).where("not (a = oa and b = ob) and not (a = ob and b = oa) and (orel <> 'overlap' or relation = 'overlap')")
-    return found.join(held.select("a", "b").distinct(), ["a", "b"], "left_anti")

@@ -82,24 +82,6 @@ def j8(spark, sf):
 
 _L = a.with_tables(a.TREE_LINES)
 _PER = _L + ", per AS (SELECT folder, key, CAST(sum(size) AS BIGINT) AS bytes FROM tree_lines GROUP BY ALL), held AS (SELECT key FROM per GROUP BY key HAVING count(*) > 1), top3 AS (SELECT folder, key, bytes, row_number() OVER (PARTITION BY folder ORDER BY bytes DESC, key) AS rank FROM per JOIN held USING (key) QUALIFY rank <= 3)"
-#: ``found``: what of a lies in b, for pairs that share one of a's or b's three largest shared keys.
-_FOUND = """, holders AS (SELECT DISTINCT folder, key FROM tree_lines), half AS (SELECT DISTINCT t.folder AS a, s.folder AS b FROM top3 t JOIN {from_holders} s USING (key) WHERE t.folder <> s.folder),
-    pairs AS ({pairs}),
-    own AS (SELECT folder AS a, CAST(sum(size) AS BIGINT) AS total, count(*) AS files FROM tree_lines GROUP BY 1),
-    hit AS (SELECT p.a, p.b, CAST(sum(f.size) AS BIGINT) AS matched, count(*) AS matched_files FROM pairs p JOIN tree_lines f ON f.folder = p.a JOIN holders h ON h.folder = p.b AND h.key = f.key GROUP BY ALL),
-    found AS (SELECT hit.*, total, files FROM hit JOIN own USING (a))"""
-_BOTH = "SELECT a, b FROM half UNION SELECT b, a FROM half"
-_MATCH = _PER + _FOUND.format(from_holders="holders", pairs=_BOTH)
-_TREE = _L[5:].replace("tree_lines AS", "all_lines AS", 1)
-_CLASSES = f"""WITH {_TREE}, sig AS (SELECT folder, string_agg(key, ',' ORDER BY key) AS sig FROM all_lines GROUP BY 1), cls AS (SELECT folder, min(folder) OVER (PARTITION BY sig) AS rep FROM sig),
-  tree_lines AS (SELECT * FROM all_lines WHERE folder IN (SELECT rep FROM cls))"""
-_CLASS_MATCH = (
-    _CLASSES
-    + _PER[len(_L) :]
-    + _FOUND.format(from_holders="holders", pairs=_BOTH)
-    + """, links AS (SELECT a, b, matched, matched_files, total, files FROM found UNION ALL SELECT c.folder, c.rep, total, files, total, files FROM cls c JOIN own ON own.a = c.rep WHERE c.folder <> c.rep
-      UNION ALL SELECT c.rep, c.folder, total, files, total, files FROM cls c JOIN own ON own.a = c.rep WHERE c.folder <> c.rep)"""
-)
 
 
 @query("w4_top3", _PER + " SELECT folder, key, bytes, rank FROM top3")
@@ -107,40 +89,6 @@ def w4(spark, sf):
     return relations.shared_keys(a.tree_lines(spark, sf), 3).select("folder", "key", "bytes", F.col("rank").cast("long").alias("rank"))
 
 
-@query("r1_match", _CLASS_MATCH + " SELECT a, b, matched, matched_files, total, files FROM links")
-def r1(spark, sf):
-    return relations.class_matches(a.tree_lines(spark, sf))
-
-
-@query("r2_inside", _CLASS_MATCH + " SELECT a, b, matched FROM links WHERE matched_files = files")
-def r2(spark, sf):
-    return relations.class_matches(a.tree_lines(spark, sf)).where("matched_files = files").select("a", "b", "matched")
-
-
-@query(
-    "r3_partner",
-    _PER
-    + _FOUND.format(
-        from_holders="holders",
-        pairs="SELECT DISTINCT a, b FROM (SELECT t.folder AS a, s.folder AS b, row_number() OVER (PARTITION BY t.folder, t.key ORDER BY s.folder) AS n FROM top3 t JOIN holders s USING (key) WHERE t.folder <> s.folder) WHERE n <= 64",
-    )
-    + " SELECT a, b, matched FROM found QUALIFY row_number() OVER (PARTITION BY a ORDER BY matched DESC, matched_files DESC, b) = 1",
-)
-def r3(spark, sf):
-    return relations.partners(a.tree_lines(spark, sf)).select("a", "b", "matched")
-
-
-@query(
-    "r4_labels",
-    _CLASS_MATCH
-    + """, l AS (SELECT f.a, f.b, f.matched, CASE WHEN f.matched_files = f.files AND g.matched_files = g.files THEN 'same' WHEN f.matched_files = f.files THEN 'inside'
-      WHEN f.matched * 2 >= f.total OR coalesce(g.matched * 2 >= g.total, false) THEN 'overlap' END AS relation FROM links f LEFT JOIN links g ON g.a = f.b AND g.b = f.a)
-    SELECT a, b, relation, matched FROM l WHERE relation IS NOT NULL AND (relation = 'inside' OR a < b)""",
-)
-def r4(spark, sf):
-    return relations.labels(relations.class_matches(a.tree_lines(spark, sf)))
-
-
 def _sides(spark, sf):
     """All files, dealt into two sides by their source's last letter; two neighbours by id share a relative path."""
     path = F.concat("kind", F.lit("/"), F.expr("entry_id div 2").cast("string"), F.lit(".txt"))
@@ -208,29 +156,3 @@ def cp4(spark, sf):
     left, right = _sides(spark, sf)
     wrapped = right.withColumn("path", F.concat(F.lit("backup/"), F.col("path")))
     return relations.drop_wrapper(left, wrapped)[1].select("path", "key")
-
-
-def _nested(spark, sf):
-    """Files of the folders of sources and of languages within them."""
-    f = with_ancestors(a.tree_docs(spark, sf)).select(F.col("ancestor").alias("folder"), F.col("digest").alias("key"), "size")
-    return relations.labels(relations.matches(f).where("not startswith(b, concat(a, '/')) and not startswith(a, concat(b, '/'))"))
-
-
-_NEST = a.with_tables(a.TREE_DOCS, a.closure_sql("tree_docs"), "tree_lines AS (SELECT ancestor AS folder, digest AS key, size FROM closure)") + _MATCH[len(_L) :].replace(
-    "found AS (SELECT hit.*, total, files FROM hit JOIN own USING (a))", "found AS (SELECT hit.*, total, files FROM hit JOIN own USING (a) WHERE NOT starts_with(b, a || '/') AND NOT starts_with(a, b || '/'))"
-)
-_LABELS = """, l AS (SELECT f.a, f.b, CASE WHEN f.matched_files = f.files AND g.matched_files = g.files THEN 'same' WHEN f.matched_files = f.files THEN 'inside'
-  WHEN f.matched * 2 >= f.total OR coalesce(g.matched * 2 >= g.total, false) THEN 'overlap' END AS relation FROM found f LEFT JOIN found g ON g.a = f.b AND g.b = f.a),
-  k AS (SELECT * FROM l WHERE relation IS NOT NULL AND (relation = 'inside' OR a < b)),
-  o AS (SELECT a, b, relation FROM k UNION ALL SELECT b, a, relation FROM k WHERE relation = 'same')"""
-
-
-@query(
-    "r6_maximal",
-    _NEST
-    + _LABELS
-    + """ SELECT a, b, relation FROM k WHERE NOT EXISTS (SELECT 1 FROM o WHERE (k.a = o.a OR starts_with(k.a, o.a || '/')) AND (k.b = o.b OR starts_with(k.b, o.b || '/'))
-      AND NOT (k.a = o.a AND k.b = o.b) AND NOT (k.a = o.b AND k.b = o.a) AND (o.relation <> 'overlap' OR k.relation = 'overlap'))""",
-)
-def r6(spark, sf):
-    return relations.maximal(_nested(spark, sf)).select("a", "b", "relation")

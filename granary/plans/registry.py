@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-from granary.plans import change_queries, content_queries, date_queries, intent_queries, inventory_queries, review_queries, rule_queries, search_queries, tree_queries  # noqa: E402, F401
+from granary.plans import change_queries, content_queries, date_queries, intent_queries, inventory_queries, relation_queries, review_queries, rule_queries, search_queries, tree_queries  # noqa: E402, F401

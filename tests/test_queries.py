@@ -125,12 +125,6 @@ def test_wrapper_goes_where_paths_then_agree(spark):
     assert paths(l) == {"a/1", "b/2"} and paths(r) == set()
 
 
-def test_outer_relations_hold_inner_ones(spark):
-    rows = [("p", "q", "same"), ("p/x", "q/x", "inside"), ("q/y", "p/y", "inside"), ("p/z", "r", "overlap"), ("p/z/k", "r/k", "inside"), ("p/z/m", "r/m", "overlap")]
-    got = {(r.a, r.b) for r in relations.maximal(spark.createDataFrame(rows, "a string, b string, relation string")).collect()}
-    assert got == {("p", "q"), ("p/z", "r"), ("p/z/k", "r/k")}
-
-
 def test_merge_makes_missing_folders_only(spark):
     here = spark.createDataFrame([("a/n/1",), ("a/2",), ("b/3",)], "path string")
     there = spark.createDataFrame([("a/2",), ("a/4",)], "path string")
