@@ -50,6 +50,41 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield b.slice(k, rows)
 
 
+def text_name(text: str | Column) -> Column:
+    """128 bits that name a text (null as empty); with the id they name a row's content."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.unhex(F.md5(F.coalesce(c, F.lit(""))))
+
+
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not use."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows whose id and text ``gone`` names, and one of the rows that repeat an id and a text of ``repeated``.
+
+    Both tables have ``row_id`` and ``name`` (``text_name``), once each; another
+    text of a dropped id stays.  A null id is in neither.  ``repeated`` is
+    read back to tell whether there are any; which of the repeated rows stays is
+    open where their other columns differ.
+    """
+
+    def matching(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        return rows.join(keys, (rows[id_col] == keys["row_id"]) & (text_name(rows[text_col]) == keys["name"]), how)
+
+    left = matching(docs, gone, "left_anti")
+    repeated = checkpoint(repeated)
+    if repeated.isEmpty():
+        return left
+    name = fresh(docs, "name")
+    again = matching(left, repeated, "left_semi").withColumn(name, text_name(text_col)).dropDuplicates([id_col, name]).drop(name)
+    return matching(left, repeated, "left_anti").unionByName(again)
+
+
 def prefix_sums(df: DataFrame, order: list[str], *values: str) -> DataFrame:
     """Exclusive running sums of ``values`` and the global row number over the whole table.
 

@@ -6,8 +6,9 @@ grouping pre-aggregates before the shuffle: a text that fills a third of the
 table travels once per map task.
 
 Null text counts as the empty text.  Rows that repeat an id and a text are the
-same document and share one fate.  A null id never survives over a non-null
-one.  Other columns are untouched and may have any name.
+same document: one of them stays where they stay.  Rows with one id and
+different texts are different documents.  A null id never survives over a
+non-null one, and filters never drop its row.  Other columns are untouched and may have any name.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import checkpoint
+from granary.llm.common import checkpoint, without
 
 
 def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -49,20 +50,25 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     repeated = checkpoint(repeated_classes(docs, id_col, text_col, keep))
     rows = _hashed(docs, id_col, text_col).select("id", "hash128", F.unhex(F.sha2("body", 256)).alias("sha256"))
+    return _judged(rows, repeated).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("sha256")).alias("text_sha256"))
+
+
+def _judged(rows: DataFrame, repeated: DataFrame) -> DataFrame:
     return rows.join(repeated, ["hash128", "sha256"], "left").select(
-        F.col("id").alias(id_col),
+        "id",
+        "hash128",
+        "sha256",
         F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (F.col("group_size").isNull() | F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"),
-        F.lower(F.hex("sha256")).alias("text_sha256"),
     )
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of ``docs`` that survive, with their columns unchanged."""
-    gone = (
-        exact_groups(docs, id_col, text_col, keep)
-        .where(~F.col("kept"))
-        .select(F.col(id_col).alias("gone_id"))
-    )
-    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+    """One row of each text, the one with the ``keep`` id, with its columns unchanged; null ids stay."""
+    repeated = checkpoint(repeated_classes(docs, id_col, text_col, keep))
+    rows = _hashed(docs, id_col, text_col).select("id", "hash128", F.unhex(F.sha2("body", 256)).alias("sha256"))
+    judged = _judged(rows, repeated).where("id is not null and group_size > 1")
+    per_row = checkpoint(judged.groupBy(F.col("id").alias("row_id"), F.col("hash128").alias("name"), "kept").agg(F.count(F.lit(1)).alias("n")))
+    gone = per_row.where("not kept").select("row_id", "name")
+    return without(docs, gone, per_row.where("kept and n > 1").select("row_id", "name"), id_col, text_col)

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granary.llm.common import fresh
+
 N = 3
 SLOTS = 1 << 18
 HASHES = 3
@@ -204,7 +206,6 @@ def drop_unknown_language(docs: DataFrame, least: float = 0.25, text_col: str =
     model = learn(docs, text_col, lang_col)
     if not model.languages:
         return docs
-    found = predictor(docs.sparkSession, model)(F.col(text_col))
-    return docs.withColumn("granary_language", found).where(
-        (F.col("granary_language.lang_pred") != "und") & (F.col("granary_language.score") >= least)
-    ).drop("granary_language")
+    found = fresh(docs, "language_found")
+    judged = docs.withColumn(found, predictor(docs.sparkSession, model)(F.col(text_col)))
+    return judged.where((F.col(found)["lang_pred"] != "und") & (F.col(found)["score"] >= least)).drop(found)

@@ -144,11 +144,10 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     kind = rows.schema["id"].dataType.simpleString()
-    id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     fields = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
-    def batch(edges: list, ids: list, texts: list, results: list) -> pa.RecordBatch:
+    def batch(id_type: pa.DataType, edges: list, ids: list, texts: list, results: list) -> pa.RecordBatch:
         columns = [pa.array([r and r[k] for r in results], t) for k, t in enumerate(types)]
         return pa.RecordBatch.from_arrays(
             [pa.array(edges, pa.int64()), pa.array(ids, id_type), pa.array(texts, pa.string()), *columns], ["edge", "id", "body", *fields]
@@ -156,20 +155,21 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        last = None
+        last = id_type = None
         for b in slices(batches):
             ids, results = [], []
+            id_type = b.column(0).type
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = tree(text)
                 if last is None:
-                    yield batch([2 * part], [key], [text], [None])
+                    yield batch(id_type, [2 * part], [key], [text], [None])
                 else:
                     ids.append(last[0])
                     results.append(_compare(last[1], last[2], text, own))
                 last = (key, text, own)
-            yield batch([None] * len(ids), ids, [None] * len(ids), results)
+            yield batch(id_type, [None] * len(ids), ids, [None] * len(ids), results)
         if last:
-            yield batch([2 * part + 1], [last[0]], [last[1]], [None])
+            yield batch(id_type, [2 * part + 1], [last[0]], [last[1]], [None])
 
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "body")
     walked = checkpoint(ordered.mapInArrow(walk, f"edge long, id {kind}, body string, {_RESULT}"))

@@ -13,8 +13,7 @@ dropped whenever the squares grow, speeds up the rest.
 DataFrame functions only.  Null text counts as empty; a text without words has
 no part in any total and gets even posteriors and rate 1.  An empty table gives
 no rows; without any usable label all posteriors are even.  Different texts
-of one id are one document whose words are counted together; a repeated row
-counts once.
+of one id are different documents with a rate each; a repeated row counts once.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import WORD_GAP, checkpoint
+from granary.llm.common import WORD_GAP, checkpoint, fresh, text_name
 
 #: Labelled rows that the classifier is fitted on, at most (those of lowest id hash).
 SAMPLE = 20_000
@@ -105,28 +104,26 @@ def fit_weights(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tup
 
 
 def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> DataFrame:
-    """``id``, ``n_words`` and ``p0``, ``p1``, ... by domain, one row per id of ``docs`` (``id``, ``body``)."""
+    """``id``, ``name``, ``n_words`` and ``p0``, ``p1``, ... by domain, one row per id and text of ``docs`` (``id``, ``body``)."""
     weights, priors = fit_weights(docs, labelled, domains)
     found = (
-        words_of(docs.withColumn("row_hash", F.xxhash64("body")), "id", "row_hash")
+        words_of(docs.withColumn("name", text_name("body")), "id", "name")
         .join(F.broadcast(weights), "bucket", "left")  # BUCKETS rows at most
-        .groupBy("id", "row_hash")
+        .groupBy("id", "name")
         .agg(
             F.max("n_words").alias("n_words"),
             *(F.sum(F.coalesce(F.col("weights")[k], F.lit(0.0))).alias(f"s{k}") for k in range(len(domains))),
         )
-        .groupBy("id")
-        .agg(F.sum("n_words").alias("n_words"), *(F.sum(f"s{k}").alias(f"s{k}") for k in range(len(domains))))
     )
     logits = [F.col(f"s{k}") + F.lit(prior) for k, prior in enumerate(priors)]
     top = F.greatest(*logits) if len(logits) > 1 else logits[0]
     parts = [F.exp(x - top) for x in logits]
     whole = sum(parts[1:], parts[0])
-    return found.select("id", "n_words", *((p / whole).alias(f"p{k}") for k, p in enumerate(parts)))
+    return found.select("id", "name", "n_words", *((p / whole).alias(f"p{k}") for k, p in enumerate(parts)))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float | str | None], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ``n_words``, ``posterior`` (map by domain) and ``rate`` of every id.
+    """id, ``name`` (of the text), ``n_words``, ``posterior`` (map by domain) and ``rate`` of every id and text.
 
     ``labelled`` has ``label_id`` and ``domain``; ``targets`` gives each domain's
     expected token total as a share of all tokens (the shares need not sum to 1).
@@ -159,24 +156,21 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float | str | N
         slope = weight @ ahead
         move = sum((F.col(p) * float(x) for p, x in zip(ps[1:], slope[1:], strict=True)), F.col(ps[0]) * float(slope[0]))
         pushed = F.col("rate") + push * (F.col("rate") - F.col("before")) - move
-        state = state.select("id", "n_words", *ps, F.greatest(F.lit(0.0), pushed).alias("rate"), F.col("rate").alias("before"))
+        state = state.select("id", "name", "n_words", *ps, F.greatest(F.lit(0.0), pushed).alias("rate"), F.col("rate").alias("before"))
         last = sums
         if step % 4 == 3:
             state = checkpoint(state)
     named = F.create_map(*(x for d, p in zip(domains, ps, strict=True) for x in (F.lit(d), F.col(p))))
-    return state.select(F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), named.alias("posterior"), "rate")
+    return state.select(F.col("id").alias(id_col), "name", F.col("n_words").cast("long").alias("n_words"), named.alias("posterior"), "rate")
 
 
-def resample(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def resample(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each row as often as its rate, rounded to the nearest whole number (halves up).
 
-    A row whose id has no rate, or a null id, stays once.
+    Rates belong to an id and a text.  A row without a rate, or with a null id, stays once.
     """
-    known = rates.select(F.col(id_col).alias("rate_id"), F.floor(F.col("rate") + 0.5).cast("int").alias("granary_copies"))
-    out = docs.join(known, docs[id_col] == known["rate_id"], "left")
-    times = F.coalesce("granary_copies", F.lit(1))
-    return (
-        out.where(times > 0)
-        .withColumn("granary_copy", F.explode(F.sequence(F.lit(1), times)))
-        .select(*(docs[c] for c in docs.columns))
-    )
+    times, turn = fresh(docs, "times"), fresh(docs, "turn")
+    known = rates.select(F.col(id_col).alias("rate_id"), F.col("name").alias("rate_name"), F.floor(F.col("rate") + 0.5).cast("int").alias("rounded"))
+    out = docs.join(known, (docs[id_col] == known["rate_id"]) & (text_name(docs[text_col]) == known["rate_name"]), "left")
+    counted = out.select(*(docs[c] for c in docs.columns), F.coalesce(known["rounded"], F.lit(1)).alias(times)).where(F.col(times) > 0)
+    return counted.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(times, turn)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import checkpoint, partitions, slices
+from granary.llm.common import checkpoint, partitions, slices, text_name, without
 from granary.llm.graph import components
 
 #: (lowest bit, width) of each segment.
@@ -107,15 +107,20 @@ def shingle_votes(text: str, width: int) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and ``fp`` (the 64 bits as a long) of every row; null text has no words."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    return _marked(docs, width, id_col, text_col).select(F.col("id").alias(id_col), "fp")
+
+
+def _marked(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """``id``, ``name`` of the text and ``fp``."""
+    rows = docs.select(F.col(id_col).alias("id"), text_name(text_col).alias("name"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            fps = [shingle_votes(t.as_py(), width) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+            fps = [shingle_votes(t.as_py(), width) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["id", "name", "fp"])
 
-    return rows.mapInArrow(run, f"id {kind}, fp long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, name binary, fp long")
 
 
 def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,16 +186,22 @@ def near_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_co
 
     Null ids are grouped but never lend their id.  Repeated rows share one fate.
     """
-    marked = checkpoint(fingerprints(docs, width, id_col, text_col).withColumnRenamed(id_col, "id"))
-    classes = checkpoint(marked.groupBy("fp").agg(F.min("id").alias("first_id")))
+    return _grouped(docs, width, id_col, text_col).select(F.col("id").alias(id_col), "fp", F.col("first.id").alias("component_id"))
+
+
+def _grouped(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """Every row's ``id``, ``name`` and ``fp`` with the ``first`` (id, name) of its component."""
+    marked = checkpoint(_marked(docs, width, id_col, text_col))
+    classes = checkpoint(marked.groupBy("fp").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "name"))).alias("first")))
     found = components(links(classes)).select(F.col("node").alias("fp"), "root")
     joined = classes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = checkpoint(joined.join(lowest, "root").select("fp", "component_id"))
-    return marked.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    lowest = joined.groupBy("root").agg(F.min("first").alias("first"))
+    named = checkpoint(joined.drop("first").join(lowest, "root").select("fp", "first"))
+    return marked.join(named, "fp").select("id", "name", "fp", "first")
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, the one with the smallest id; columns unchanged."""
-    gone = near_groups(docs, width, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone_id"))
-    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+    """One row of each group, the one with the smallest id (of its texts the one with the smallest hash); columns unchanged, null ids stay."""
+    rows = _grouped(docs, width, id_col, text_col).where("id is not null")
+    per_row = checkpoint(rows.groupBy(F.col("id").alias("row_id"), "name").agg(F.bool_and((F.col("id") == F.col("first.id")) & (F.col("name") == F.col("first.name"))).alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1"))
+    return without(docs, per_row.where("not kept").select("row_id", "name"), per_row.where("kept").select("row_id", "name"), id_col, text_col)

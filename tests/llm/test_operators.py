@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from granary.llm.common import text_name
 from granary.llm import bpe, chat, exact_dedup, graph, language_id, language_model, merkle, mixing, near_dedup, queries, sharding, simhash, substring_dedup
 
 ROWS = "doc_id long, text string, lang string, source string, n_chars long, id string, row string, body string, kept boolean, shard int, fp long, rate double"
@@ -503,7 +504,7 @@ def test_mixing_meets_targets(spark, sf, awkward):
 
 def test_resample_counts(spark):
     docs = make(spark, ["a", "b", "c", "d"])
-    rates = spark.createDataFrame([(0, 0.49), (1, 0.5), (2, 2.2)], "doc_id long, rate double")
+    rates = docs.where("doc_id < 3").select("doc_id", text_name("text").alias("name"), F.expr("element_at(array(0.49D, 0.5D, 2.2D), cast(doc_id + 1 as int))").alias("rate"))
     assert Counter(r.doc_id for r in mixing.resample(docs, rates).collect()) == {1: 1, 2: 2, 3: 1}
 
 
