@@ -3,11 +3,12 @@
 Documents are ordered by the smallest id of their text, then by id, so equal
 texts stand together.  Each key range is summed by itself, the sums of the
 ranges become offsets, and a unit goes to the shard in whose equal share of the
-total its middle byte falls.  A unit is a document, or all documents of one text
-where they take no more than ``TOGETHER`` of a shard and are ``MOST_ROWS`` at
-most; a larger group is cut wherever the shares end.  So shards are contiguous
-in that order, their sizes differ by little more than the largest unit, and no
-group of copies has to fit one task.  DataFrame functions only.
+total its middle byte falls.  A unit is a row, or all rows of one text where they
+take no more than ``TOGETHER`` of a shard, however many they are.  Only what the
+balance of bytes forces is cut: a larger group, wherever the shares end.  So
+shards are contiguous in that order and their sizes differ by little more than
+the largest unit.  Places come from the running sums of all rows, so no group of
+copies has to fit one task.  DataFrame functions only.
 
 Size is the UTF-8 length of the text (null: 0) plus a fixed cost per record,
 so empty and null texts have a place too; a null text counts as the empty one.
@@ -17,14 +18,13 @@ first.  An empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import prefix_sums
+from granary.llm.common import checkpoint, prefix_sums
 
-#: Share of a shard's size up to which the copies of one text stay in one shard, and their greatest number.
+#: Share of a shard's size up to which the copies of one text stay in one shard.
 TOGETHER = 0.02
-MOST_ROWS = 10_000
 
 
 def assign_shards(docs: DataFrame, shards: int = 24, record_cost: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -38,25 +38,18 @@ def assign_shards(docs: DataFrame, shards: int = 24, record_cost: int = 8, id_co
     )
     whole = thin.agg(F.sum("size").alias("total"))  # one row
     copies = thin.groupBy("text_key").agg(F.min("id").alias("lead"), F.sum("size").alias("group_size"), F.count(F.lit(1)).alias("group_rows"))
-    small = (F.col("group_size") * shards <= TOGETHER * F.col("total")) & (F.col("group_rows") <= MOST_ROWS)
-    repeated = copies.where("group_rows > 1").join(F.broadcast(whole)).select("text_key", "lead", small.alias("together"))
-    rows = thin.join(repeated, "text_key", "left").select(
-        "id", "size", "text_crc32", F.coalesce("lead", "id").alias("lead"), F.when(F.col("together"), F.col("lead")).otherwise(F.col("id")).alias("unit")
+    repeated = copies.where("group_rows > 1").join(F.broadcast(whole)).select(
+        "text_key", "lead", F.when(F.col("group_size") * shards <= TOGETHER * F.col("total"), F.col("group_size")).alias("group_size")
     )
-    # Rows of one unit are numbered inside it; a unit has MOST_ROWS at most unless rows repeat an id.
-    inside = Window.partitionBy("lead", "unit").orderBy("id", "text_crc32", "size")
-    units = rows.groupBy("lead", "unit").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows_in"))
-    placed = prefix_sums(units, ["lead", "unit"], "bytes", "rows_in").join(F.broadcast(whole))
-    cut = placed.withColumn("shard", F.least(F.lit(shards - 1), F.expr(f"((2 * bytes_before + bytes) * {shards}) div (2 * total)")).cast("int"))
-    first = cut.groupBy("shard").agg(F.min("rows_in_before").alias("first_row"))  # one row per shard
-    starts = cut.join(F.broadcast(first), "shard").select(
-        F.col("lead").alias("unit_lead"), F.col("unit").alias("unit_id"), "shard", (F.col("rows_in_before") - F.col("first_row")).alias("start")
-    )
-    same_unit = F.col("lead").eqNullSafe(F.col("unit_lead")) & F.col("unit").eqNullSafe(F.col("unit_id"))
-    return (
-        rows.withColumn("place", F.row_number().over(inside) - 1)
-        .join(starts, same_unit)
-        .select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("start") + F.col("place")).cast("long").alias("slot"))
+    rows = thin.join(repeated, "text_key", "left").withColumn("lead", F.coalesce("lead", "id"))
+    placed = checkpoint(prefix_sums(rows, ["lead", "text_key", "id"], "size"))
+    starts = placed.where("group_size is not null").groupBy("text_key").agg(F.min("size_before").alias("start"))
+    middle = F.coalesce(2 * F.col("start") + F.col("group_size"), 2 * F.col("size_before") + F.col("size"))
+    cut = placed.join(starts, "text_key", "left").join(F.broadcast(whole)).withColumn("middle", middle)
+    cut = cut.withColumn("shard", F.least(F.lit(shards - 1), F.expr(f"(middle * {shards}) div (2 * total)")).cast("int"))
+    first = cut.groupBy("shard").agg(F.min("row_index").alias("first_row"))  # one row per shard
+    return cut.join(F.broadcast(first), "shard").select(
+        F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("row_index") - F.col("first_row")).cast("long").alias("slot")
     )
 
 

@@ -250,9 +250,9 @@ def test_shards_are_contiguous_and_balanced(spark, docs, awkward, tmp_path):
             count[text] += 1
         total = sum(size.values())
         units = defaultdict(list)
-        for key, text in rows:
+        for place, (key, text) in enumerate(rows):
             together = count[text] > 1 and size[text] * shards <= sharding.TOGETHER * total
-            units[lead[text], lead[text] if together else key].append((key, len(text.encode()) + 8, zlib.crc32(text.encode())))
+            units[(lead[text], lead[text], 0) if together else (lead[text], key, place)].append((key, len(text.encode()) + 8, zlib.crc32(text.encode())))
         at, want, slots = 0, [], Counter()
         for _, held in sorted(units.items()):
             own = sum(x[1] for x in held)
@@ -264,6 +264,12 @@ def test_shards_are_contiguous_and_balanced(spark, docs, awkward, tmp_path):
         got = sorted(tuple(r) for r in sharding.assign_shards(table, shards).collect())
         assert got == sorted(want)
     assert sharding.assign_shards(awkward.limit(0)).count() == 0
+    # 20,000 empty copies weigh little and stay together; a text that is half of all bytes is cut where the shares end
+    many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    large = spark.range(50_000, 54_000).select(F.col("id").alias("doc_id"), F.lit("y" * 9_000).alias("text"))
+    found = sharding.assign_shards(many.unionByName(large).repartition(5), 5).groupBy("text_crc32", "shard").count().collect()
+    assert sorted((r.shard, r["count"]) for r in found if r.text_crc32 == 0) == [(0, 20_000)]
+    assert [s for s, _ in sorted((r.shard, r["count"]) for r in found if r.text_crc32)] == [0, 1, 2, 3, 4]
     sharding.write_shards(docs, sharding.assign_shards(docs, 4), f"{tmp_path}/out")
     assert spark.read.parquet(f"{tmp_path}/out").count() == docs.count()
 
