@@ -33,8 +33,6 @@ SHRINK = 3.0
 #: Every word's log odds are drawn towards nothing by so many of their standard errors; so all words of
 #: the sample enter, and one that chance explains says nothing.
 DOUBT = 4.0
-#: A word counts if it is in at least this share of the texts of some domain; rarer ones tell of copies, not of domains.
-SUPPORT = 0.03
 #: Share of the texts above which the absence of a word says nothing.
 COMMON = 0.05
 #: A target: what a domain's classifier sees of it in documents that more likely belong to others; so only its own documents go.
@@ -87,14 +85,13 @@ def fit_weights(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tup
         odds = F.log((F.col(f"n{k}") + pull) / (expected[d] + pull))
         doubt = DOUBT * F.sqrt(F.lit(1.0 - share[d]) / (F.col(f"n{k}") + pull))
         inside.append(F.least(F.lit(0.999), overall * F.exp(F.signum(odds) * F.greatest(F.lit(0.0), F.abs(odds) - doubt))))
-    telling, frequent = F.lit(False), F.lit(False)
-    for k, (d, p) in enumerate(zip(domains, inside, strict=True)):
+    telling = F.lit(False)
+    for p in inside:
         telling = telling | (p != overall)
-        frequent = frequent | (F.col(f"n{k}") >= SUPPORT * max(rows.get(d, 0), 1))
     # The absence of a common word mostly tells how long a text is, so it does not count.
     absent = [F.when(overall <= COMMON, F.log((1 - p) / (1 - overall))).otherwise(0.0) for p in inside]
     table = checkpoint(
-        wide.where(telling & frequent).select(
+        wide.where(telling).select(
             "bucket", F.array(*absent).alias("absent"), F.array(*(F.log(p / overall) - x for p, x in zip(inside, absent, strict=True))).alias("weights")
         )
     )
