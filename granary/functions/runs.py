@@ -1,10 +1,12 @@
-"""Cutting the lineage of long runs."""
+"""Long runs: cutting their lineage, and numbering rows of groups of any size."""
 
 from __future__ import annotations
 
+import functools
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -20,3 +22,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir is not set; it has to name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="granary-checkpoint-"))
     return df.checkpoint()
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """``name``: each row's place (from 1) in its group ``by`` in ``order``, without a group having to fit one task.
+
+    Rows are dealt into ranges of (by, order) and numbered inside each; a group
+    that runs over several ranges goes on counting from the ranges before.  Such
+    groups are fewer than the ranges, so their offsets are broadcast.
+    """
+    inside, at, before = f"{name}_inside", f"{name}_range", f"{name}_before"
+    ranged = checkpoint(rows.repartitionByRange(*by, *order).withColumn(at, F.spark_partition_id()))
+    counts = ranged.groupBy(at, *by).agg(F.count(F.lit(1)).alias(inside))
+    earlier = Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(at, *by, F.sum(inside).over(earlier).alias(before)).where(F.col(before) > 0)
+    offsets = offsets.select(*(F.col(c).alias(f"{name}_{k}") for k, c in enumerate([at, *by])), before)
+    same = [F.col(c).eqNullSafe(F.col(f"{name}_{k}")) for k, c in enumerate([at, *by])]
+    placed = ranged.withColumn(inside, F.row_number().over(Window.partitionBy(at, *by).orderBy(*order)))
+    joined = placed.join(F.broadcast(offsets), functools.reduce(lambda x, y: x & y, same), "left")
+    return joined.withColumn(name, F.col(inside) + F.coalesce(before, F.lit(0))).drop(inside, before, *(f"{name}_{k}" for k in range(len(by) + 1)), at)

@@ -1,23 +1,10 @@
-"""Names to signals and kinds, and rules to categories."""
+"""Archive formats by name."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from granary.functions.paths import glob_pattern
-
-Rule = tuple[str, str, int, str]
-
-
-def signals(name: Column, globs: dict[str, str]) -> Column:
-    """Names of the globs that match, in the given order."""
-    return F.filter(F.array(*(F.when(name.rlike(glob_pattern(g)), F.lit(s)) for s, g in globs.items())), lambda x: x.isNotNull())
-
-
-def lookup(key: Column, table: dict[str, str]) -> Column:
-    return F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[key]
-
 
 def archive_format(name: Column) -> Column:
     low = F.lower(name)
@@ -29,27 +16,3 @@ def archive_format(name: Column) -> Column:
         .when(low.endswith(".gz"), "gzip")
         .when(low.endswith(".bz2"), "bzip2")
     )
-
-
-def resolve(entries: DataFrame, column: str, rules: list[Rule]) -> DataFrame:
-    """Adds ``category``: of the matching rules of highest priority, their only category; unknown if they differ, none without a match.
-
-    The rules are literals, so classification is a projection: no join, no shuffle.
-    """
-    hits = F.filter(
-        F.array(
-            *(
-                F.when(F.col(column).rlike(glob_pattern(g)), F.struct(F.lit(p).alias("priority"), F.lit(c).alias("category")))
-                for _, g, p, c in rules
-            )
-        ),
-        lambda x: x.isNotNull(),
-    )
-    top = F.array_max(F.transform("granary_hits", lambda h: h["priority"]))
-    best = F.array_distinct(F.transform(F.filter("granary_hits", lambda h: h["priority"] == top), lambda h: h["category"]))
-    return (
-        entries.withColumn("granary_hits", hits)
-        .withColumn("granary_best", best)
-        .withColumn("category", F.when(F.size("granary_hits") == 0, "none").when(F.size("granary_best") > 1, "unknown").otherwise(F.get("granary_best", F.lit(0))))
-        .drop("granary_hits", "granary_best")
-    )

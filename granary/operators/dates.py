@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.paths import parent, with_ancestors
+from granary.functions.runs import checkpoint
 
 FIRST_YEAR = 1990
 SECOND = 1_000_000_000
@@ -277,6 +278,9 @@ def own_gps(photos: DataFrame) -> DataFrame:
     return at.where((F.col("n") >= 3) & (F.col("high") - F.col("low") <= 600 * SECOND) & (F.abs("middle") > limit)).select(*by, half_away(F.col("middle"), SECOND).alias("delta"))
 
 
+_SHOT = ("folder", "camera", "capture_ns", "gps_ns", "offset_known", "folder_day")
+
+
 def offset_candidates(photos: DataFrame) -> DataFrame:
     """Per event and camera how far its clock seems off: ``folder``, ``camera``, ``delta`` (seconds) and ``reference``.
 
@@ -286,34 +290,45 @@ def offset_candidates(photos: DataFrame) -> DataFrame:
     cameras' range, widened by six hours: the difference of the medians.  What
     the other cameras' GPS or the folder's date says of them is the reference.
     """
-    p = photos.where("camera <> ''")
+    return _candidates(checkpoint(photos.where("camera <> ''").select(*_SHOT)))
+
+
+def _candidates(shots: DataFrame) -> DataFrame:
     by = ["folder", "camera"]
-    p = p.join(p.groupBy("folder").agg(F.count_distinct("camera").alias("cameras")).where("cameras >= 2").select("folder"), "folder")
     inside = F.coalesce(contains(F.col("folder_day"), F.col("capture_ns")), F.lit(False))
     gps_far = F.coalesce(F.abs(F.col("capture_ns") - F.col("gps_ns")) > 600 * SECOND, F.lit(False))
-    per = p.groupBy(*by).agg(
+    per = shots.groupBy(*by).agg(
         F.min("capture_ns").alias("low"), F.max("capture_ns").alias("high"), F.count(F.lit(1)).alias("n"), F.count("gps_ns").alias("gps"), F.count_if(gps_far).alias("far"),
         F.count_if(inside).alias("inside"), F.max(F.col("folder_day").isNotNull()).alias("dated"),
     )
-    # The other cameras' figures: the folder's less the camera's own; their median by exclusion.
+    # The other cameras' figures: the folder's less the camera's own; their ends by the first two of the folder's.
     w = Window.partitionBy("folder")
-    ends = per.groupBy("folder").agg(F.sort_array(F.collect_list(F.struct("low", "camera"))).alias("lows"), F.sort_array(F.collect_list(F.struct("high", "camera")), asc=False).alias("highs"))
-    other = lambda c: F.get(F.filter(c, lambda x: x["camera"] != F.col("camera")), F.lit(0))
-    at = per.join(ends, "folder").withColumns(
-        {"other_low": other("lows")["low"], "other_high": other("highs")["high"], **{f"other_{x}": F.sum(x).over(w) - F.col(x) for x in ("n", "gps", "far", "inside")}, "has_day": F.max("dated").over(w)}
-    )
+    second = lambda order: F.nth_value(order, 2).over(w.orderBy(*ends[order]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first = lambda order: F.first(order).over(w.orderBy(*ends[order]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ends = {"low": [F.asc("low"), F.asc("camera")], "high": [F.desc("high"), F.asc("camera")]}
+    turn = {x: F.row_number().over(w.orderBy(*ends[x])) for x in ends}
+    figures = {f"other_{x}": F.when(turn[x] == 1, second(x)).otherwise(first(x)) for x in ends}
+    figures |= {f"other_{x}": F.sum(x).over(w) - F.col(x) for x in ("n", "gps", "far", "inside")}
+    at = per.withColumns({**figures, "has_day": F.max("dated").over(w)}).where("other_n > 0")
+    at = checkpoint(at)
     margin = 6 * 3600 * SECOND
     apart = (F.col("high") - F.col("low") < DAY) & ((F.col("high") < F.col("other_low") - margin) | (F.col("low") > F.col("other_high") + margin))
-    found = at.where(apart).drop("lows", "highs")
-    mine = median_of(p, by, "capture_ns", "own_middle")
-    rest = p.select("folder", F.col("camera").alias("of"), "capture_ns").join(found.select(*by), "folder").where("of <> camera")
-    theirs = median_of(rest, by, "capture_ns", "other_middle")
+    found = at.where(apart)
+    # A camera that lies apart is the first or the last of its folder, so the others' median is two ranks of the folder's captures.
+    asked = found.select("folder", F.col("camera").alias("of"), F.col("n").alias("own_n"), "other_n", (F.col("high") < F.col("other_low")).alias("before"))
+    skip = F.when(F.col("before"), F.col("own_n")).otherwise(0)
+    ranks = F.array(skip + F.expr("(other_n + 1) div 2"), skip + F.expr("other_n div 2 + 1"), F.when(F.col("before"), 0).otherwise(F.col("other_n")) + F.expr("(own_n + 1) div 2"), F.when(F.col("before"), 0).otherwise(F.col("other_n")) + F.expr("own_n div 2 + 1"))
+    asked = asked.select("folder", "of", F.posexplode(ranks).alias("which", "place"))
+    counted = shots.join(found.select("folder").distinct(), "folder", "left_semi").groupBy("folder", "capture_ns").agg(F.count(F.lit(1)).alias("k"))
+    upto = counted.withColumn("upto", F.sum("k").over(w.orderBy("capture_ns")))
+    picked = asked.join(upto, "folder").where("upto >= place and upto - k < place").groupBy("folder", "of").agg(*(F.max(F.when(F.col("which") == k, F.col("capture_ns"))).alias(f"v{k}") for k in range(4)))
+    middles = picked.select("folder", F.col("of").alias("camera"), F.expr("v0 + (v1 - v0) div 2").alias("other_middle"), F.expr("v2 + (v3 - v2) div 2").alias("own_middle"))
     reference = (
         F.when((F.col("other_gps") > 0) & (F.col("other_far") == 0), "gps")
         .when(F.col("has_day") & (F.col("other_inside") == F.col("other_n")) & (F.col("inside") == 0), "folder_name").otherwise("none")
     )
-    by_range = found.join(mine, by).join(theirs, by).select(*by, half_away(F.col("own_middle") - F.col("other_middle"), SECOND).alias("delta"), reference.alias("reference"))
-    by_gps = own_gps(p).withColumn("reference", F.lit("own_gps"))
+    by_range = found.join(middles, by).select(*by, half_away(F.col("own_middle") - F.col("other_middle"), SECOND).alias("delta"), reference.alias("reference"))
+    by_gps = own_gps(shots.join(at.select(*by), by, "left_semi")).withColumn("reference", F.lit("own_gps"))
     return by_gps.unionByName(by_range.join(by_gps.select(*by), by, "left_anti"))
 
 
@@ -323,14 +338,18 @@ def detect(photos: DataFrame) -> DataFrame:
     Offset: all its candidates agree within ten minutes, and a GPS, or the
     folder's date at two events, sides with the others; the shift is minus the
     median, to the minute.  Then the rest is compared again without those
-    cameras: who still has candidates disagrees.
+    cameras: who still has candidates disagrees.  The photos are written once,
+    reduced to what both passes read.
     """
-    first = offset_candidates(photos).persist()  # a row per event and camera at most, read three times
+    shots = checkpoint(photos.where("camera <> ''").select(*_SHOT))
+    first = checkpoint(_candidates(shots))  # a row per event and camera at most
     backed = F.max(F.col("reference").isin("gps", "own_gps")) | ((F.count(F.lit(1)) >= 2) & F.max(F.col("reference") == "folder_name"))
     judged = first.groupBy("camera").agg((F.max("delta") - F.min("delta")).alias("spread"), backed.alias("backed"))
-    off = judged.where("spread <= 600 and backed").join(median_of(first, ["camera"], "delta", "middle"), "camera").select("camera", (half_away(-F.col("middle"), 60) * 60).alias("shift_s")).persist()  # a row per camera at most
-    second = offset_candidates(photos.join(off, "camera", "left_anti")).select("camera").distinct().withColumn("again", F.lit(True))
-    every = photos.where("camera <> ''").groupBy("camera").agg(F.count(F.lit(1)).alias("photos"))
-    return every.join(off, "camera", "left").join(second, "camera", "left").select(
+    agreed = judged.where("spread <= 600 and backed").join(median_of(first, ["camera"], "delta", "middle"), "camera")
+    off = checkpoint(agreed.select("camera", (half_away(-F.col("middle"), 60) * 60).alias("shift_s")))
+    second = first if off.isEmpty() else _candidates(shots.join(off, "camera", "left_anti"))
+    again = second.select("camera").distinct().withColumn("again", F.lit(True))
+    every = shots.groupBy("camera").agg(F.count(F.lit(1)).alias("photos"))
+    return every.join(off, "camera", "left").join(again, "camera", "left").select(
         "camera", "photos", F.when(F.col("shift_s").isNotNull(), "offset").when(F.col("again"), "disagrees").otherwise("ok").alias("state"), "shift_s"
     )

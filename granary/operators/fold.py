@@ -60,11 +60,3 @@ def composition(entries: DataFrame, groups: DataFrame) -> DataFrame:
 def top_per_folder(entries: DataFrame, most: int, *order: Column) -> DataFrame:
     """At most ``most`` rows below each folder with their ``rank``, in a total order."""
     return with_ancestors(entries, True).withColumn("rank", F.row_number().over(Window.partitionBy("ancestor").orderBy(*order))).where(F.col("rank") <= most)
-
-
-def median_long(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Exact median of a long; of an even number the truncated mean of the middle two."""
-    w = Window.partitionBy(*keys)
-    ranked = rows.withColumn("r", F.row_number().over(w.orderBy(value))).withColumn("n", F.count(F.lit(1)).over(w))
-    middle = ranked.where("r = (n + 1) div 2 or r = n div 2 + 1")
-    return middle.groupBy(*keys).agg(F.expr(f"(min({value}) + max({value})) div 2").alias("median"))

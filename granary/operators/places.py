@@ -12,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.paths import with_ancestors
+from granary.functions.runs import checkpoint
+
 #: In the order in which they decide a folder's place.
 ORDER = ("only_copy", "this_source", "unchecked", "unreadable", "other_source")
 #: Smallest size whose content is sampled before it is read.
@@ -49,13 +52,31 @@ def physical_key() -> Column:
     return F.when(linked, F.concat(F.lit("h"), "source_id", F.lit("/"), "dev", F.lit("/"), "ino")).otherwise(F.concat(F.lit("e"), "entry_id"))
 
 
+#: A chain of links is followed over 2 to the power of this many hops.
+LINK_DOUBLINGS = 6
+
+
 def resolve_links(members: DataFrame) -> DataFrame:
-    """A tar hard link takes size, state and content of the member that its ``link_path`` names in the same archive."""
-    target = members.select(
-        F.col("archive_id").alias("of"), F.col("path").alias("target"), F.col("raw_size").alias("t_size"), F.col("raw_state").alias("t_state"), F.col("raw_digest").alias("t_digest")
+    """A tar hard link takes size, state and content of the file at the end of its chain of links.
+
+    ``link_path`` names the next member in the same archive.  Pointers are
+    doubled, so a chain of 64 links takes six joins of the links alone; a chain
+    that is longer, runs in a circle or ends at nothing has no known content and
+    keeps its own size.
+    """
+    links = members.where("link_path is not null").select("archive_id", F.col("path").alias("start"), F.col("link_path").alias("at"))
+    for _ in range(LINK_DOUBLINGS):
+        following = links.select("archive_id", F.col("start").alias("at"), F.col("at").alias("next"))
+        moved = links.join(following, ["archive_id", "at"], "left").select("archive_id", "start", F.coalesce("next", "at").alias("at"), F.col("next").isNotNull().alias("on"))
+        if moved.where("on").isEmpty():
+            break
+        links = checkpoint(moved.drop("on"))
+    target = members.where("link_path is null").select(
+        "archive_id", F.col("path").alias("at"), F.col("raw_size").alias("t_size"), F.col("raw_state").alias("t_state"), F.col("raw_digest").alias("t_digest")
     )
+    ends = links.join(target, ["archive_id", "at"]).select(F.col("archive_id").alias("of"), "start", "t_size", "t_state", "t_digest")
     link = F.col("link_path").isNotNull()
-    return members.join(target, (F.col("archive_id") == F.col("of")) & (F.col("link_path") == F.col("target")), "left").select(
+    return members.join(ends, link & (F.col("archive_id") == F.col("of")) & (F.col("path") == F.col("start")), "left").select(
         "member_id", "archive_id", "path", "link_path",
         F.coalesce("t_size", "raw_size").alias("size"),
         F.when(link, F.col("t_state")).otherwise(F.col("raw_state")).alias("content_state"),
@@ -63,6 +84,51 @@ def resolve_links(members: DataFrame) -> DataFrame:
     )
 
 
+def split_archive(size: Column, weights: Column) -> Column:
+    """Shares of an archive's ``size`` by the bytes of its members in each place, in the order of ``ORDER``.
+
+    Exact quotients in decimals, the rest to the largest remainders (ties to the
+    earlier place); then every place with members but no share takes one byte
+    from the largest share while that has more than one.  Without members all
+    are nothing; a negative size counts as none.
+    """
+    whole = lambda c: c.cast("decimal(20,0)")
+    most = F.greatest(size, F.lit(0).cast("long"))
+    w = F.transform(weights, lambda x: F.greatest(x, F.lit(0).cast("long")))
+    total = F.aggregate(w, F.lit(0).cast("decimal(20,0)"), lambda s, x: whole(s + x))
+    product = lambda x: (most.cast("decimal(19,0)") * x.cast("decimal(19,0)")).cast("decimal(38,0)")
+    parts = F.transform(w, lambda x: F.struct(F.call_function("div", product(x), total).alias("share"), F.call_function("mod", product(x), total.cast("decimal(38,0)")).alias("rest")))
+    left = most - F.aggregate(parts, F.lit(0).cast("long"), lambda s, p: s + p["share"])
+
+    def first_of_rest(p: Column, k: Column) -> Column:
+        before = F.filter(F.transform(parts, lambda q, j: (q["rest"] > p["rest"]) | ((q["rest"] == p["rest"]) & (j < k) & (F.element_at(w, j + 1) > 0))), lambda x: x)
+        return (F.element_at(w, k + 1) > 0) & (F.size(before) < left)
+
+    shares = F.transform(parts, lambda p, k: p["share"] + F.when(first_of_rest(p, k), 1).otherwise(0))
+
+    def one_byte(acc: Column, k: Column) -> Column:
+        top = F.array_max(acc)
+        move = (F.element_at(w, k + 1) > 0) & (F.element_at(acc, k + 1) == 0) & (top > 1)
+        moved = F.transform(acc, lambda x, j: x + F.when(j == k, 1).otherwise(0) - F.when(j + 1 == F.array_position(acc, top), 1).otherwise(0))
+        return F.when(move, moved).otherwise(acc)
+
+    fair = F.aggregate(F.sequence(F.lit(0), F.size(w) - 1), shares.cast("array<bigint>"), one_byte)
+    return F.when(total > 0, fair).otherwise(F.transform(w, lambda x: F.lit(0).cast("long")))
+
+
+def split_sql(table: str) -> str:
+    """CTEs up to ``split`` (the table's columns and ``shares``): ``split_archive`` over ``size`` and ``w``, five weights (HUGEINT)."""
+    steps = [
+        f"""quotients AS (SELECT *, list_sum(w) AS total, [CASE WHEN list_sum(w) > 0 THEN greatest(size, 0)::HUGEINT * x // list_sum(w) ELSE 0 END FOR x IN w] AS q,
+          [CASE WHEN list_sum(w) > 0 THEN greatest(size, 0)::HUGEINT * x % list_sum(w)::HUGEINT ELSE 0 END FOR x IN w] AS r FROM {table})""",
+        "ordered AS (SELECT *, greatest(size, 0) - list_sum(q) AS spare, [w[k] > 0 AND len([j FOR j IN range(1, 6) IF r[j] > r[k] OR (r[j] = r[k] AND j < k AND w[j] > 0)]) < greatest(size, 0) - list_sum(q) FOR k IN range(1, 6)] AS lucky FROM quotients)",
+        "s0 AS (SELECT *, [q[k] + CASE WHEN total > 0 AND lucky[k] THEN 1 ELSE 0 END FOR k IN range(1, 6)] AS s FROM ordered)",
+    ]
+    for k in range(1, 6):
+        steps.append(f"s{k} AS (SELECT * REPLACE (CASE WHEN w[{k}] > 0 AND s[{k}] = 0 AND list_max(s) > 1 THEN [s[j] + CASE WHEN j = {k} THEN 1 ELSE 0 END - CASE WHEN j = list_position(s, list_max(s)) THEN 1 ELSE 0 END FOR j IN range(1, 6)] ELSE s END AS s) FROM s{k - 1})")
+    return ", ".join([*steps, "split AS (SELECT *, s::BIGINT[] AS shares FROM s5)"])
+
+
 def placed_members(members: DataFrame, archives: DataFrame, files: DataFrame) -> DataFrame:
     """Members with what they take from their archive's file: source, state, keys."""
     at = files.withColumn("akey", physical_key()).select(
@@ -237,6 +303,20 @@ def coverage(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(*figures)
 
 
+def folder_duplication(files: DataFrame, copy: DataFrame) -> DataFrame:
+    """Per ``source_id`` and folder (``ancestor``) the bytes that are candidates, checked, duplicated and unreadable."""
+    n = copy.groupBy("digest").agg(F.count_distinct("pkey").alias("copies"))
+    live = files.where("state = 'present' and not quarantined and size > 0 and content_state is not null").join(n, "digest", "left")
+    state = F.col("content_state")
+    amount = lambda c: F.sum(F.when(c, F.col("size")).otherwise(0))
+    return with_ancestors(live, True).groupBy("source_id", "ancestor").agg(
+        amount(~state.isin("unique_size", "unreadable")).alias("candidate"),
+        amount(state.isin("hashed", "sampled")).alias("checked"),
+        amount((state == "hashed") & F.coalesce(F.col("copies") > 1, F.lit(False))).alias("duplicated"),
+        amount(state == "unreadable").alias("unreadable"),
+    )
+
+
 def preferred(wants: DataFrame, copy: DataFrame) -> DataFrame:
     """For each want (``member``, ``id``, ``digest``, ``source_id``, ``pkey``, ``place``) the copy to show.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.runs import checkpoint, numbered
+
 
 def shared_keys(files: DataFrame, most: int) -> DataFrame:
     """Per folder its ``most`` largest keys that other folders hold too (``folder``, ``key``, ``bytes``)."""
@@ -75,26 +77,67 @@ def labels(found: DataFrame) -> DataFrame:
     )
 
 
-def compare(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Files of two sides (``path``, ``key``, ``size``) in buckets: identical, different, only_left, only_right.
+#: Content states that say what a file is; empty files need none.
+KNOWN = ("hashed", "unique_size", "sampled")
+#: The order in which the first bucket that holds files is opened.
+OPENING = ("only_left", "only_right", "different", "unchecked", "identical")
+
 
-    Equal contents are paired in path order; of the rest, files with one
-    relative path are different; surplus copies stay on their side.
+def compare(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Files of two sides (``path``, ``size``, ``content_state``, ``digest``) in buckets, one row per file or pair.
+
+    identical (CP1): contents on both sides, paired in path order; a surplus copy
+    stands alone there with its ``twin``, the other side's first file of the
+    content.  Empty files are one content.  different (CP2): of the rest, files
+    of one relative path whose sizes differ or whose contents are both known.
+    only_left and only_right (CP3): what the other side is known to lack; where
+    its files of that size leave that open, unchecked.  ``size`` is the left
+    file's where there is one.
     """
-    order = Window.partitionBy("key").orderBy("path")
-    l = left.withColumn("n", F.row_number().over(order)).select("key", "n", F.col("path").alias("left_path"), F.col("size").alias("left_size"))  # noqa: E741
-    r = right.withColumn("n", F.row_number().over(order)).select("key", "n", F.col("path").alias("right_path"), F.col("size").alias("right_size"))
-    paired = l.join(r, ["key", "n"], "full_outer")
-    same = paired.where("left_path is not null and right_path is not null").select("left_path", "right_path", F.col("left_size").alias("size"), F.lit("identical").alias("bucket"))
-    alone_l = paired.where("right_path is null").select("left_path", F.col("left_size").alias("size"))
-    alone_r = paired.where("left_path is null").select("right_path", F.col("right_size").alias("other"))
-    rest = alone_l.join(alone_r, alone_l["left_path"] == alone_r["right_path"], "full_outer").select(
+
+    def side(files: DataFrame, name: str) -> DataFrame:
+        key = F.when(F.col("size") == 0, F.lit("empty")).when(F.col("content_state") == "hashed", F.concat(F.lit("c"), F.col("digest")))
+        known = (F.col("size") == 0) | F.coalesce(F.col("content_state").isin(*KNOWN), F.lit(False))
+        return checkpoint(files.select(F.col("path").alias(f"{name}_path"), F.col("size").alias(f"{name}_size"), key.alias("key"), known.alias(f"{name}_known")))
+
+    l, r = side(left, "left"), side(right, "right")  # noqa: E741
+    first = lambda d, n: d.where("key is not null").groupBy("key").agg(F.min(f"{n}_path").alias(f"{n}_first"))
+    both = checkpoint(first(l, "left").join(first(r, "right"), "key"))
+    turn = lambda d, n: numbered(d.join(both, "key"), ["key"], [f"{n}_path"], "turn").select("key", "turn", f"{n}_path", f"{n}_size", "left_first", "right_first")
+    paired = turn(l, "left").join(turn(r, "right"), ["key", "turn", "left_first", "right_first"], "full_outer")
+    same = paired.select(
+        F.lit("identical").alias("bucket"),
         "left_path",
         "right_path",
-        F.coalesce("size", "other").alias("size"),
-        F.when(F.col("right_path").isNull(), "only_left").when(F.col("left_path").isNull(), "only_right").otherwise("different").alias("bucket"),
+        F.coalesce("left_size", "right_size").alias("size"),
+        F.when(F.col("right_path").isNull(), F.col("right_first")).when(F.col("left_path").isNull(), F.col("left_first")).alias("twin"),
     )
-    return same.unionByName(rest)
+    alone = lambda d: d.join(both.select("key"), "key", "left_anti")
+    met = alone(l).drop("key").join(alone(r).drop("key"), F.col("left_path") == F.col("right_path"), "full_outer")
+    paths = F.col("left_path").isNotNull() & F.col("right_path").isNotNull()
+    differ = paths & ((F.col("left_size") != F.col("right_size")) | (F.col("left_known") & F.col("right_known")))
+    met = met.withColumn("differ", differ)
+    different = met.where("differ").select(F.lit("different").alias("bucket"), "left_path", "right_path", F.col("left_size").alias("size"), F.lit(None).cast("string").alias("twin"))
+
+    def rest(name: str, other: DataFrame, of: str) -> DataFrame:
+        sizes = other.groupBy(F.col(f"{of}_size").alias("size")).agg(F.count_if(~F.col(f"{of}_known")).alias("open"))
+        mine = met.where(~F.col("differ") & F.col(f"{name}_path").isNotNull()).select(f"{name}_path", F.col(f"{name}_size").alias("size"), F.col(f"{name}_known").alias("known"))
+        # a known file may be one of theirs that is not; a file that is not known may be any of theirs
+        unsure = F.when(F.col("known"), F.coalesce("open", F.lit(0)) > 0).otherwise(F.col("open").isNotNull())
+        at = [F.col(f"{n}_path") if n == name else F.lit(None).cast("string") for n in ("left", "right")]
+        bucket = F.when(unsure, "unchecked").otherwise(f"only_{name}")
+        return mine.join(sizes, "size", "left").select(bucket.alias("bucket"), at[0].alias("left_path"), at[1].alias("right_path"), "size", F.lit(None).cast("string").alias("twin"))
+
+    return same.unionByName(different).unionByName(rest("left", r, "right")).unionByName(rest("right", l, "left"))
+
+
+def summary(buckets: DataFrame) -> DataFrame:
+    """Files and bytes of every bucket, empty ones too, and which one is ``opened`` first (CP5)."""
+    counted = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+    every = buckets.sparkSession.createDataFrame(list(enumerate(OPENING)), "rank int, bucket string")
+    full = every.join(counted, "bucket", "left").select("rank", "bucket", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
+    opened = full.agg(F.coalesce(F.min(F.when(F.col("files") > 0, F.col("rank"))), F.lit(0)).alias("opened"))  # five rows
+    return full.join(F.broadcast(opened)).select("bucket", "files", "bytes", (F.col("rank") == F.col("opened")).alias("opened"))
 
 
 def drop_wrapper(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,33 +2,24 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from granary.functions.paths import with_ancestors
-from granary.operators import content, relations
+from granary.operators import places, relations
+from granary.plans.inventory_queries import tables
 from granary.plans.registry import query
 from granary.sources import adapters as a
+from granary.sources import inventory as inv
 
-_KEY = "CASE WHEN nlink > 1 AND ino IS NOT NULL THEN 'h' || source_id || ':' || ino ELSE 'e' || entry_id END AS pkey"
-_D = a.with_tables(a.TREE_DOCS, f"files AS (SELECT *, {_KEY} FROM tree_docs)")
-_C = _D + ", copies AS (SELECT digest, count(*) AS names, count(DISTINCT pkey) AS copies, count(DISTINCT source_id) AS sources, max(size) AS size FROM files WHERE state = 'hashed' AND size > 0 GROUP BY digest)"
-_P = (
-    _C
-    + """, placed AS (SELECT f.*, CASE WHEN unreadable THEN 'unreadable' WHEN f.size = 0 THEN 'none' WHEN state <> 'hashed' THEN 'unchecked'
-      WHEN c.sources > 1 THEN 'other_source' WHEN c.copies > 1 THEN 'this_source' ELSE 'only_copy' END AS place FROM files f LEFT JOIN copies c USING (digest))"""
-)
-_S = _P + "," + a.closure_sql("placed", True) + ", sums AS (SELECT ancestor, " + ", ".join(f"CAST(sum(CASE WHEN place = '{p}' THEN size ELSE 0 END) AS BIGINT) AS {p}" for p in content.PLACE_ORDER) + " FROM closure GROUP BY 1)"
+_D = a.with_tables(a.TREE_DOCS, "files AS (SELECT * FROM tree_docs)")
 
 
 def docs(spark, sf):
     return a.tree_docs(spark, sf)
 
 
-@query("j5_physical_key", _D + " SELECT entry_id, pkey FROM files")
+@query("j5_physical_key", inv.sql() + f" SELECT entry_id, {inv._PHYS.format('f')} AS pkey FROM files f")
 def j5(spark, sf):
-    return docs(spark, sf).select("entry_id", content.physical_key().alias("pkey"))
+    return inv.files(spark, sf).select("entry_id", places.physical_key().alias("pkey"))
 
 
 @query("a34_member_coverage", _D + " SELECT kind, state, count(*) AS n FROM files GROUP BY ALL")
@@ -41,25 +32,22 @@ def d4(spark, sf):
     return docs(spark, sf).groupBy("digest").agg(F.min("entry_id").alias("first_id"), F.max("size").alias("size"))
 
 
+_HERE = "state = 'present' AND NOT quarantined AND size > 0 AND content_state IS NOT NULL"
+
+
 @query(
     "a19_dir_dups",
-    _C
-    + ","
-    + a.closure_sql("files", True)
-    + """ SELECT ancestor, CAST(sum(c.size) AS BIGINT) AS candidate, CAST(sum(CASE WHEN state = 'hashed' THEN c.size ELSE 0 END) AS BIGINT) AS checked,
-      CAST(sum(CASE WHEN state = 'hashed' AND k.copies > 1 THEN c.size ELSE 0 END) AS BIGINT) AS duplicated FROM closure c LEFT JOIN copies k USING (digest) GROUP BY 1""",
+    inv.sql(
+        f"figured AS (SELECT *, (SELECT count(DISTINCT pkey) FROM copy c WHERE c.digest = f.digest) AS copies FROM files f WHERE {_HERE})",
+        a.closure_sql("figured", True),
+    )
+    + """ SELECT source_id, ancestor, CAST(coalesce(sum(size) FILTER (content_state NOT IN ('unique_size', 'unreadable')), 0) AS BIGINT) AS candidate,
+      CAST(coalesce(sum(size) FILTER (content_state IN ('hashed', 'sampled')), 0) AS BIGINT) AS checked, CAST(coalesce(sum(size) FILTER (content_state = 'hashed' AND copies > 1), 0) AS BIGINT) AS duplicated,
+      CAST(coalesce(sum(size) FILTER (content_state = 'unreadable'), 0) AS BIGINT) AS unreadable FROM closure GROUP BY ALL""",
 )
 def a19(spark, sf):
-    f = docs(spark, sf)
-    c = content.copies(f).select("digest", "copies")
-    amount = lambda cond: F.sum(F.when(cond, F.col("size")).otherwise(0))
-    hashed = F.col("state") == "hashed"
-    return with_ancestors(f.join(c, "digest", "left"), True).groupBy("ancestor").agg(
-        F.sum("size").alias("candidate"), amount(hashed).alias("checked"), amount(hashed & (F.col("copies") > 1)).alias("duplicated")
-    )
-
-
-_OTHER = "pairs AS (SELECT f.entry_id, f.source_id, o.entry_id AS copy_id, o.source_id AS copy_source FROM files f JOIN files o ON f.digest = o.digest AND f.pkey <> o.pkey WHERE f.state = 'hashed' AND o.state = 'hashed' AND f.size > 0)"
+    files, _, copy = tables(spark, sf)
+    return places.folder_duplication(files, copy)
 
 
 @query("j6_anti", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -92,51 +80,72 @@ def w4(spark, sf):
 def _sides(spark, sf):
     """All files, dealt into two sides by their source's last letter; two neighbours by id share a relative path."""
     path = F.concat("kind", F.lit("/"), F.expr("entry_id div 2").cast("string"), F.lit(".txt"))
-    rows = a.tree_docs(spark, sf).select((F.ascii(F.substring("source_id", -1, 1)) % 2 == 0).alias("is_left"), path.alias("path"), F.col("digest").alias("key"), "size")
+    known = F.when(F.col("state") == "hashed", F.col("digest"))
+    size = F.when(F.col("entry_id") % 97 == 6, 0).otherwise(F.col("size"))
+    rows = a.tree_docs(spark, sf).select((F.ascii(F.substring("source_id", -1, 1)) % 2 == 0).alias("is_left"), path.alias("path"), known.alias("digest"), size.alias("size"), F.col("state").alias("content_state"))
     return rows.where("is_left").drop("is_left"), rows.where("not is_left").drop("is_left")
 
 
 _SIDES = a.with_tables(
     a.TREE_DOCS,
-    "sides AS (SELECT ascii(right(source_id, 1)) % 2 = 0 AS is_left, kind || '/' || entry_id // 2 || '.txt' AS path, digest AS key, size FROM tree_docs)",
-    "l AS (SELECT path AS left_path, key, size AS ls, row_number() OVER (PARTITION BY key ORDER BY path) AS n FROM sides WHERE is_left)",
-    "r AS (SELECT path AS right_path, key, size AS rs, row_number() OVER (PARTITION BY key ORDER BY path) AS n FROM sides WHERE NOT is_left)",
-    "p AS (SELECT left_path, right_path, ls, rs FROM l FULL OUTER JOIN r ON l.key = r.key AND l.n = r.n)",
-    "al AS (SELECT left_path, ls FROM p WHERE right_path IS NULL)",
-    "ar AS (SELECT right_path, rs FROM p WHERE left_path IS NULL)",
-    "buckets AS (SELECT left_path, right_path, ls AS size, 'identical' AS bucket FROM p WHERE left_path IS NOT NULL AND right_path IS NOT NULL UNION ALL SELECT left_path, right_path, coalesce(ls, rs), CASE WHEN right_path IS NULL THEN 'only_left' WHEN left_path IS NULL THEN 'only_right' ELSE 'different' END FROM al FULL OUTER JOIN ar ON left_path = right_path)",
+    """sides AS (SELECT ascii(right(source_id, 1)) % 2 = 0 AS is_left, kind || '/' || entry_id // 2 || '.txt' AS path, CASE WHEN entry_id % 97 = 6 THEN 0 ELSE size END AS size,
+      CASE WHEN entry_id % 97 = 6 THEN 'empty' WHEN state = 'hashed' THEN digest END AS key, entry_id % 97 = 6 OR state IN ('hashed', 'sampled') AS known FROM tree_docs)""",
+    "lk AS (SELECT * FROM sides WHERE is_left)",
+    "rk AS (SELECT * FROM sides WHERE NOT is_left)",
+    "nl AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY path) AS n FROM lk WHERE key IN (SELECT key FROM rk))",
+    "nr AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY path) AS n FROM rk WHERE key IN (SELECT key FROM lk))",
+    """ident AS (SELECT 'identical' AS bucket, l.path AS left_path, r.path AS right_path, coalesce(l.size, r.size) AS size,
+      CASE WHEN r.path IS NULL THEN (SELECT min(path) FROM rk WHERE rk.key = l.key) WHEN l.path IS NULL THEN (SELECT min(path) FROM lk WHERE lk.key = r.key) END AS twin
+      FROM nl l FULL OUTER JOIN nr r ON l.key = r.key AND l.n = r.n)""",
+    "ol AS (SELECT * FROM lk WHERE key IS NULL OR key NOT IN (SELECT key FROM rk WHERE key IS NOT NULL))",
+    "orr AS (SELECT * FROM rk WHERE key IS NULL OR key NOT IN (SELECT key FROM lk WHERE key IS NOT NULL))",
+    "diff AS (SELECT 'different' AS bucket, l.path AS left_path, r.path AS right_path, l.size, CAST(NULL AS VARCHAR) AS twin FROM ol l JOIN orr r ON l.path = r.path WHERE l.size <> r.size OR (l.known AND r.known))",
+    """buckets AS (SELECT * FROM ident UNION ALL SELECT * FROM diff
+      UNION ALL SELECT CASE WHEN EXISTS (SELECT 1 FROM rk WHERE rk.size = l.size AND NOT (l.known AND rk.known)) THEN 'unchecked' ELSE 'only_left' END, path, NULL, size, NULL FROM ol l WHERE path NOT IN (SELECT left_path FROM diff)
+      UNION ALL SELECT CASE WHEN EXISTS (SELECT 1 FROM lk WHERE lk.size = r.size AND NOT (r.known AND lk.known)) THEN 'unchecked' ELSE 'only_right' END, NULL, path, size, NULL FROM orr r WHERE path NOT IN (SELECT right_path FROM diff))""",
 )
 
 
-@query("cp1_identical", _SIDES + " SELECT left_path, right_path, size FROM buckets WHERE bucket = 'identical'")
+@query("cp1_identical", _SIDES + " SELECT left_path, right_path, size, twin FROM buckets WHERE bucket = 'identical'")
 def cp1(spark, sf):
     return relations.compare(*_sides(spark, sf)).where("bucket = 'identical'").drop("bucket")
 
 
 @query("cp2_different", _SIDES + " SELECT left_path, right_path, size FROM buckets WHERE bucket = 'different'")
 def cp2(spark, sf):
-    return relations.compare(*_sides(spark, sf)).where("bucket = 'different'").drop("bucket")
+    return relations.compare(*_sides(spark, sf)).where("bucket = 'different'").select("left_path", "right_path", "size")
 
 
-@query("cp3_only", _SIDES + " SELECT bucket, coalesce(left_path, right_path) AS path, size FROM buckets WHERE bucket LIKE 'only%'")
+@query("cp3_only", _SIDES + " SELECT bucket, left_path, right_path, size FROM buckets WHERE bucket NOT IN ('identical', 'different')")
 def cp3(spark, sf):
-    return relations.compare(*_sides(spark, sf)).where("bucket like 'only%'").select("bucket", F.coalesce("left_path", "right_path").alias("path"), "size")
+    return relations.compare(*_sides(spark, sf)).where("bucket not in ('identical', 'different')").drop("twin")
 
 
-@query("cp5_summary", _SIDES + " SELECT bucket, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM buckets GROUP BY 1")
+@query(
+    "cp5_summary",
+    _SIDES
+    + """, ranks AS (SELECT unnest(['only_left', 'only_right', 'different', 'unchecked', 'identical']) AS bucket, unnest(range(5)) AS rank),
+    full_counts AS (SELECT bucket, rank, count(size) AS files, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes FROM ranks LEFT JOIN buckets USING (bucket) GROUP BY ALL)
+    SELECT bucket, files, bytes, rank = (SELECT coalesce(min(rank) FILTER (files > 0), 0) FROM full_counts) AS opened FROM full_counts""",
+)
 def cp5(spark, sf):
-    return relations.compare(*_sides(spark, sf)).groupBy("bucket").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+    return relations.summary(relations.compare(*_sides(spark, sf)))
 
 
-@query("d10_split")
-def d10(spark, sf):
-    @F.pandas_udf("array<long>")
-    def split(size: pd.Series, weights: pd.Series) -> pd.Series:
-        return pd.Series([content.split_archive(int(s), [int(w) for w in ws]) for s, ws in zip(size, weights, strict=True)])
+_AMOUNTS = "[coalesce(sum(size) FILTER (k = 0), 0), coalesce(sum(size) FILTER (k = 1), 0), coalesce(sum(size) FILTER (k = 2), 0), 0, coalesce(sum(size) FILTER (k = 4), 0)]"
+
 
-    members = a.archives_conv(spark, sf)
-    per = members.groupBy("archive_id").agg(F.sum("size").alias("size"), F.sum(F.when(F.col("path").startswith("user"), F.col("size")).otherwise(0)).alias("u"), F.sum(F.when(F.col("path").startswith("assistant"), F.col("size")).otherwise(0)).alias("v"))
-    return per.select("archive_id", split(F.col("size") * 3 + 1, F.array("u", "v", F.lit(1).cast("long"))).alias("shares"))
+@query(
+    "d10_split",
+    a.with_tables(a.ARCHIVES_CONV, f"w AS (SELECT archive_id, sum(size) // 7 AS size, {_AMOUNTS}::HUGEINT[] AS w FROM (SELECT *, (archive_id + hash_free) % 5 AS k FROM (SELECT *, length(path) + CAST(size AS BIGINT) AS hash_free FROM archives_conv)) GROUP BY 1)", places.split_sql("w"))
+    + " SELECT archive_id, shares FROM split",
+)
+def d10(spark, sf):
+    """Each conversation as an archive of a seventh of its members' bytes, dealt over five places."""
+    members = a.archives_conv(spark, sf).withColumn("k", (F.col("archive_id") + F.length("path") + F.col("size")) % 5)
+    amount = lambda k: F.coalesce(F.sum(F.when(F.col("k") == k, F.col("size"))), F.lit(0)).cast("long")
+    per = members.groupBy("archive_id").agg(F.expr("sum(size) div 7").alias("size"), F.array(amount(0), amount(1), amount(2), F.lit(0).cast("long"), amount(4)).alias("weights"))
+    return per.select("archive_id", places.split_archive(F.col("size"), F.col("weights")).alias("shares"))
 
 
 @query("t1_union", _D + ",m AS (SELECT key, size FROM (" + a.ARCHIVES_CONV.strip().split("AS (", 1)[1].rsplit(")", 1)[0] + ")) SELECT digest AS key, size, 'file' AS arm FROM files UNION ALL SELECT key, size, 'member' FROM m")
@@ -155,4 +164,5 @@ _WRAP = _SIDES + """, wrapped AS (SELECT 'backup/' || path AS path, key FROM sid
 def cp4(spark, sf):
     left, right = _sides(spark, sf)
     wrapped = right.withColumn("path", F.concat(F.lit("backup/"), F.col("path")))
-    return relations.drop_wrapper(left, wrapped)[1].select("path", "key")
+    key = F.when(F.col("size") == 0, "empty").otherwise(F.col("digest"))
+    return relations.drop_wrapper(left, wrapped)[1].select("path", key.alias("key"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granary.functions.paths import depth, with_ancestors
-from granary.operators import fold
+from granary.operators import dates, fold
 from granary.plans.registry import query
 from granary.sources import adapters as a
 
@@ -152,7 +152,7 @@ def a28(spark, sf):
     SELECT year, CAST((min(mtime_s) + max(mtime_s)) // 2 AS BIGINT) AS median FROM r WHERE r = (n + 1) // 2 OR r = n // 2 + 1 GROUP BY year""",
 )
 def a29(spark, sf):
-    return fold.median_long(a.tree_orders(spark, sf), ["year"], "mtime_s")
+    return dates.median_of(a.tree_orders(spark, sf), ["year"], "mtime_s", "median")
 
 
 @query("j3_closure", a.with_tables(a.TREE_PAGES, a.closure_sql("tree_pages")) + " SELECT entry_id, path, ancestor, level FROM closure")

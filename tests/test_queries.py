@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from granary.functions.runs import numbered
 from granary.functions.scalars import preview_text, shown
-from granary.operators import changes, content, fold, intent, relations, search
+from granary.operators import changes, fold, intent, places, relations, search
 from granary.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -66,12 +67,43 @@ def test_nearest_decision_wins(spark):
     assert {r.path for r in intent.topmost(spark.createDataFrame([("a",), ("a/b",), ("a0",)], "path string")).collect()} == {"a", "a0"}
 
 
-def test_compare_counts_pairs_once(spark):
-    kind = "path string, key string, size long"
-    left = spark.createDataFrame([("1", "k", 1), ("2", "k", 1), ("3", "m", 2), ("4", "n", 3)], kind)
-    right = spark.createDataFrame([("9", "k", 1), ("3", "o", 2)], kind)
-    got = sorted((r.bucket, r.left_path or "", r.right_path or "") for r in relations.compare(left, right).collect())
-    assert got == [("different", "3", "3"), ("identical", "1", "9"), ("only_left", "2", ""), ("only_left", "4", "")]
+def test_compare_buckets(spark):
+    """Pairs in path order, surplus copies with a twin, and what sizes and unread files leave open."""
+    kind = "path string, size long, content_state string, digest string"
+    left = [("1", 1, "hashed", "k"), ("2", 1, "hashed", "k"), ("3", 2, "hashed", "m"), ("4", 3, "hashed", "n"), ("5", 7, "pending", None), ("6", 0, None, None), ("7", 9, "sampled", None), ("8", 4, "pending", None)]
+    right = [("9", 1, "hashed", "k"), ("3", 2, "hashed", "o"), ("5", 8, "pending", None), ("e", 0, None, None), ("f", 3, "pending", None), ("8", 4, "hashed", "q"), ("g", 5, "hashed", "r")]
+    got = relations.compare(spark.createDataFrame(left, kind), spark.createDataFrame(right, kind))
+    assert sorted(((r.bucket, r.left_path, r.right_path, r.size, r.twin) for r in got.collect()), key=str) == sorted([
+        ("identical", "1", "9", 1, None), ("identical", "2", None, 1, "9"), ("identical", "6", "e", 0, None),
+        ("different", "3", "3", 2, None), ("different", "5", "5", 7, None),
+        ("unchecked", "4", None, 3, None), ("unchecked", "8", None, 4, None), ("unchecked", None, "8", 4, None), ("unchecked", None, "f", 3, None),
+        ("only_left", "7", None, 9, None), ("only_right", None, "g", 5, None),
+    ], key=str)
+    opened = {r.bucket: (r.files, r.bytes, r.opened) for r in relations.summary(got).collect()}
+    assert opened == {"only_left": (1, 9, True), "only_right": (1, 5, False), "different": (2, 9, False), "unchecked": (4, 14, False), "identical": (3, 2, False)}
+    none = relations.summary(relations.compare(spark.createDataFrame([], kind), spark.createDataFrame([], kind)))
+    assert [r.bucket for r in none.where("opened").collect()] == ["only_left"]
+
+
+def test_numbers_of_a_group_over_many_ranges(spark):
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, id, -1) as g", "(id * 7919) % 3001 as v").repartition(6)
+    got = numbered(rows, ["g"], ["v"], "place").collect()
+    assert all(r.place == 1 for r in got if r.g >= 0)
+    hot = sorted((r.v, r.place) for r in got if r.g < 0)
+    assert [p for _, p in hot] == list(range(1, 2001))
+
+
+def test_chains_of_links(spark):
+    """Five links to one file, a link to nothing, a circle, and a chain of forty."""
+    rows = [(1, "f", None, 9, "hashed", "d")] + [(1, f"l{k}", f"l{k - 1}" if k else "f", 0, None, None) for k in range(5)]
+    rows += [(1, "lost", "gone", 0, None, None), (1, "x", "y", 0, None, None), (1, "y", "x", 0, None, None), (1, "self", "self", 0, None, None), (2, "f", "l1", 0, None, None)]
+    rows += [(3, "end", None, 4, "pending", None)] + [(3, f"c{k}", f"c{k - 1}" if k else "end", 0, None, None) for k in range(40)]
+    t = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "member_id int, archive_id int, path string, link_path string, raw_size long, raw_state string, raw_digest string")
+    got = {(r.archive_id, r.path): (r.size, r.content_state, r.digest) for r in places.resolve_links(t).collect()}
+    assert len(got) == len(rows)
+    assert all(got[1, f"l{k}"] == (9, "hashed", "d") for k in range(5)) and got[1, "f"] == (9, "hashed", "d")
+    assert all(got[k] == (0, None, None) for k in ((1, "lost"), (1, "x"), (1, "y"), (1, "self"), (2, "f")))
+    assert all(got[3, f"c{k}"] == (4, "pending", None) for k in range(40))
 
 
 def test_last_copy_is_refused(spark):
@@ -81,11 +113,34 @@ def test_last_copy_is_refused(spark):
         assert {r.entry_id: r.refused for r in changes.last_copies(d, copies).collect()} == want
 
 
-@pytest.mark.parametrize("size, weights", [(0, [1, 1]), (1, [1, 1, 1]), (2, [1, 1, 1]), (10, [1, 1, 1, 0, 0]), (10, [2**62, 2**62, 1, 0, 0])])
-def test_split_keeps_the_sum(size, weights):
-    shares = content.split_archive(size, weights)
-    assert sum(shares) == size and all(s >= 0 for s in shares)
-    assert all(s == 0 for s, w in zip(shares, weights, strict=True) if w == 0)
+def split_plainly(size, weights):
+    """Largest remainders in whole numbers, then a byte for every place with members."""
+    w, size = [max(x, 0) for x in weights], max(size, 0)
+    total = sum(w)
+    if not total:
+        return [0] * len(w)
+    shares, rest = [size * x // total for x in w], [size * x % total for x in w]
+    for _ in range(size - sum(shares)):
+        k = max((k for k in range(len(w)) if w[k]), key=lambda k: (rest[k], -k))
+        shares[k], rest[k] = shares[k] + 1, 0
+    for k in range(len(w)):
+        top = max(shares)
+        if w[k] and not shares[k] and top > 1:
+            shares[shares.index(top)] -= 1
+            shares[k] = 1
+    return shares
+
+
+def test_split_equals_whole_numbers(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(s, w) for s in (0, 1, 2, 10, -3) for w in ([1, 1, 1, 0, 0], [2**62, 2**62, 1, 0, 0], [0] * 5, [1, 10**9, 1, 1, 1], [-5, 3, 0, 0, 1])]
+    rows += [(2**62, [2**62] * 5), (2**63 - 1, [2**63 - 1, 1, 2**63 - 1, 7, 3])]
+    rows += [(rng.randrange(40), [rng.choice([0, 1, 3, 1000]) for _ in range(5)]) for _ in range(200)]
+    t = spark.createDataFrame(rows, "size long, weights array<long>")
+    for r in t.withColumn("shares", places.split_archive(F.col("size"), F.col("weights"))).collect():
+        assert r.shares == split_plainly(r.size, r.weights), (r.size, r.weights)
 
 
 def test_names_are_injective():
@@ -144,13 +199,6 @@ def test_rescue_names_the_outermost_group(spark):
     assert [tuple(r) for r in got] == [("g", "g/h/i", 5)]
 
 
-def test_preferred_copy_is_elsewhere_first(spark):
-    kind = "entry_id long, source_id string, digest string, size long, state string, ino long, nlink int"
-    rows = [(1, "s", "k", 1, "hashed", 7, 2), (2, "s", "k", 1, "hashed", 7, 2), (3, "s", "k", 1, "hashed", 8, 1), (4, "t", "k", 1, "hashed", 9, 1), (5, "s", "m", 1, "hashed", 1, 2), (6, "s", "m", 1, "hashed", 1, 2), (7, "u", "n", 1, "hashed", 2, 1), (8, "u", "n", 1, "hashed", 3, 1)]
-    got = {r.entry_id: (r.copy_id, r.copy_source) for r in content.preferred_copies(spark.createDataFrame(rows, kind)).collect()}
-    assert got == {1: (4, "t"), 2: (4, "t"), 3: (4, "t"), 4: (1, "s"), 7: (8, "u"), 8: (7, "u")}
-
-
 def test_preview_finds_the_encoding():
     assert preview_text(b"\xef\xbb\xbfab", 9) == ("UTF-8", "ab")
     assert preview_text("aé".encode(), 2) == ("UTF-8", "a")
