@@ -2,22 +2,26 @@
 
 Every entry is counted for each folder above it by exploding its path prefixes;
 partial aggregation runs before the shuffle, so a folder that holds a large part
-of the tree costs one row per task.
+of the tree costs one row per task.  ``by`` names columns that tell volumes apart: equal
+paths of two volumes are different folders, and each volume has its own root.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.paths import with_ancestors
+from granary.functions.paths import depth, known_time, parent, with_ancestors
+from granary.functions.runs import checkpoint
 
 
-def totals(entries: DataFrame, root: bool = True) -> DataFrame:
+def totals(entries: DataFrame, root: bool = True, by: Sequence[str] = ()) -> DataFrame:
     """Per folder: ``files``, ``bytes``, ``oldest``, ``newest``."""
     return (
         with_ancestors(entries, root)
-        .groupBy("ancestor", "level")
+        .groupBy(*by, "ancestor", "level")
         .agg(
             F.count(F.lit(1)).alias("files"),
             F.sum("size").alias("bytes"),
@@ -27,9 +31,9 @@ def totals(entries: DataFrame, root: bool = True) -> DataFrame:
     )
 
 
-def breakdown(entries: DataFrame, key: str) -> DataFrame:
+def breakdown(entries: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
     """Per folder and value of ``key``: ``files``, ``bytes``."""
-    return with_ancestors(entries, True).groupBy("ancestor", key).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+    return with_ancestors(entries, True).groupBy(*by, "ancestor", key).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
 
 
 def first_by(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -38,25 +42,107 @@ def first_by(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return rows.withColumn("granary_place", F.row_number().over(place)).where("granary_place = 1").drop("granary_place")
 
 
-def main_kind(entries: DataFrame, key: str = "kind") -> DataFrame:
+def main_kind(entries: DataFrame, key: str = "kind", by: Sequence[str] = ()) -> DataFrame:
     """Per folder the kind with most bytes, then most files, then the smallest name."""
-    return first_by(breakdown(entries, key), ["ancestor"], F.desc("bytes"), F.desc("files"), F.asc(key))
+    return first_by(breakdown(entries, key, by), [*by, "ancestor"], F.desc("bytes"), F.desc("files"), F.asc(key))
 
 
-def composition(entries: DataFrame, groups: DataFrame) -> DataFrame:
+def composition(entries: DataFrame, groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per folder and family: bytes, where a grouped folder hides its inner mix from those above it.
 
-    ``groups`` has ``group_path`` and ``group_family``.  A file counts for a
+    ``groups`` has ``group_path``, ``group_family`` and ``by``.  A file counts for a
     folder under the family of the highest group strictly below that folder, or
     under its own.
     """
     rows = with_ancestors(entries, True)
-    marked = rows.join(groups, rows["ancestor"] == groups["group_path"], "left")
-    inner = Window.partitionBy("path").orderBy("level").rangeBetween(1, Window.unboundedFollowing)
+    marked = rows.join(groups.withColumnRenamed("group_path", "ancestor"), [*by, "ancestor"], "left")
+    inner = Window.partitionBy(*by, "path").orderBy("level").rangeBetween(1, Window.unboundedFollowing)
     family = F.coalesce(F.first("group_family", ignorenulls=True).over(inner), F.col("family"))
-    return marked.withColumn("shown", family).groupBy("ancestor", "shown").agg(F.sum("size").alias("bytes"))
+    return marked.withColumn("shown", family).groupBy(*by, "ancestor", "shown").agg(F.sum("size").alias("bytes"))
 
 
-def top_per_folder(entries: DataFrame, most: int, *order: Column) -> DataFrame:
+def top_per_folder(entries: DataFrame, most: int, *order: Column, by: Sequence[str] = ()) -> DataFrame:
     """At most ``most`` rows below each folder with their ``rank``, in a total order."""
-    return with_ancestors(entries, True).withColumn("rank", F.row_number().over(Window.partitionBy("ancestor").orderBy(*order))).where(F.col("rank") <= most)
+    return with_ancestors(entries, True).withColumn("rank", F.row_number().over(Window.partitionBy(*by, "ancestor").orderBy(*order))).where(F.col("rank") <= most)
+
+
+def notable(entries: DataFrame, groups: DataFrame, families: Sequence[str], most: int = 10, by: Sequence[str] = ()) -> DataFrame:
+    """What stands out in each folder (A7): at most ``most`` files and folders of other families than its main one.
+
+    ``entries``: path, size, family; ``groups``: path of folders that stand for
+    themselves.  For each family that may be the main one of the folder above, a
+    folder stands out itself where it is a group or holds less than half of its
+    bytes in that family; else what stands out inside it does.  Levels are gone
+    through once from the deepest up, with lists of bounded length per folder and
+    family, larger first, then by path; so no folder is joined with all that lies
+    below it.  The main family has most bytes, ties by the order of ``families``.
+
+    Returns ``by``, ``folder``, ``path``, ``bytes``, ``is_folder`` and ``rank``; a
+    folder without bytes has no main family and lists nothing.
+    """
+    key = [*by, "folder"]
+    own = entries.select(*by, parent(F.col("path")).alias("folder"), "path", F.col("size").alias("bytes"), "family")
+    per = own.groupBy(*key).agg(F.sum("bytes").alias("bytes"), *(F.sum(F.when(F.col("family") == f, F.col("bytes")).otherwise(0)).alias(f"b{k}") for k, f in enumerate(families)))
+    above = F.transform(F.sequence(F.lit(0), depth(F.col("folder"))), lambda n: F.when(n == 0, F.lit("")).otherwise(F.call_function("substring_index", F.col("folder"), F.lit("/"), n)))
+    sums = per.withColumn("folder", F.explode(above)).groupBy(*key).agg(*(F.sum(c).alias(c) for c in ("bytes", *(f"b{k}" for k in range(len(families))))))
+    grouped = groups.select(*by, F.col("path").alias("folder"), F.lit(True).alias("is_group")).distinct()
+    sums = checkpoint(sums.join(grouped, key, "left").withColumns({"is_group": F.coalesce("is_group", F.lit(False)), "level": depth(F.col("folder"))}))
+    ranks = Window.partitionBy(*key, "against").orderBy(F.desc("bytes"), "path")
+
+    def shortest(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= most)
+
+    against = F.explode(F.array(*(F.lit(k) for k in range(len(families)))))
+    odd = own.withColumn("against", against).where(F.element_at(F.array(*(F.lit(f) for f in families)), F.col("against") + 1) != F.col("family"))
+    lists = checkpoint(shortest(odd.select(*key, "against", "path", "bytes", F.lit(False).alias("is_folder"))).withColumn("level", depth(F.col("folder"))).drop("rank"))
+    deepest = sums.agg(F.max("level")).first()[0] or 0
+    done = lists.where(F.col("level") == deepest)
+    out = done
+    for level in range(deepest, 0, -1):
+        here = sums.where(F.col("level") == level).withColumn("against", against)
+        share = sum((F.when(F.col("against") == k, F.col(f"b{k}")).otherwise(0) for k in range(1, len(families))), F.when(F.col("against") == 0, F.col("b0")).otherwise(0))
+        here = here.withColumn("itself", F.col("is_group") | (2 * share < F.col("bytes")))
+        up = [*by, parent(F.col("folder")).alias("folder"), "against"]
+        whole = here.where("itself").select(*up, F.col("folder").alias("path"), "bytes", F.lit(True).alias("is_folder"))
+        inner = done.join(here.where("not itself").select(*key, "against"), [*key, "against"], "left_semi").select(*up, "path", "bytes", "is_folder")
+        files = lists.where(F.col("level") == level - 1).select(*key, "against", "path", "bytes", "is_folder")
+        done = checkpoint(shortest(files.unionByName(whole).unionByName(inner)).drop("rank").withColumn("level", F.lit(level - 1)))
+        out = out.unionByName(done)
+    best = F.greatest(*(F.col(f"b{k}") for k in range(len(families)))) if len(families) > 1 else F.col("b0")
+    main = F.coalesce(*(F.when(F.col(f"b{k}") == best, F.lit(k)) for k in range(len(families))))
+    mains = sums.where("bytes > 0").select(*key, main.alias("against"))
+    found = out.join(mains, [*key, "against"], "left_semi")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("bytes"), "path"))).select(*key, "path", "bytes", "is_folder", "rank")
+
+
+def figures(entries: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """All figures of each folder (A1): ``folders``, ``symlinks``, ``specials``, ``unreadable``, ``mounts``, ``partial``, ``files``, ``bytes``, ``oldest``, ``newest``.
+
+    ``entries``: path, kind (file, directory, symlink, other), state, mount (a
+    folder that begins another volume), partial (a folder read in part), size and
+    mtime_ns.  Times before ``FIRST_KNOWN_NS`` are unknown.  Every folder has a
+    row, empty ones too.
+    """
+    kind, size = F.col("kind"), F.when(F.col("kind") == "file", F.col("size")).otherwise(0)
+    shut = (kind == "directory") & (F.col("partial") | (F.col("state") == "unreadable"))
+    marks = {
+        "folders": F.count_if(kind == "directory"),
+        "symlinks": F.count_if(kind == "symlink"),
+        "specials": F.count_if(kind == "other"),
+        "unreadable": F.count_if(F.col("state") == "unreadable"),
+        "mounts": F.count_if(F.col("mount")),
+        "partial": F.bool_or(shut),
+        "files": F.count_if(kind == "file"),
+        "bytes": F.sum(size),
+        "oldest": F.min(F.when(kind == "file", known_time(F.col("mtime_ns")))),
+        "newest": F.max(F.when(kind == "file", known_time(F.col("mtime_ns")))),
+    }
+    # a folder's own mark of being read in part is its own figure as well as that of those above
+    folder = [*by, "ancestor"]
+    own = entries.where(kind == "directory").select(*by, F.col("path").alias("ancestor"), F.coalesce(shut, F.lit(False)).alias("own_partial"))
+    below = with_ancestors(entries, True).groupBy(*folder).agg(*(c.alias(n) for n, c in marks.items()))
+    joined = below.join(own.where("ancestor <> ''"), folder, "full_outer")
+    counts = [n for n in marks if n not in ("partial", "oldest", "newest")]
+    return joined.select(
+        *folder, *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in counts), F.coalesce(F.col("partial") | F.col("own_partial"), "partial", "own_partial", F.lit(False)).alias("partial"), "oldest", "newest"
+    )

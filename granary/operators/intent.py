@@ -1,54 +1,61 @@
-"""Decisions and tags: what an entry has itself and what it takes from above."""
+"""Decisions and tags: what an entry has itself and what it takes from above.
+
+``by`` names columns that tell volumes apart, in all tables of a call.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.paths import depth, with_ancestors
 
 
-def effective_decisions(entries: DataFrame, own: DataFrame) -> DataFrame:
+def effective_decisions(entries: DataFrame, own: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The nearest decision at or above each entry (``decision``, ``origin``); undecided without any.
 
     ``own`` has ``own_path`` and ``own_decision``.  The decided paths are joined
     to the path prefixes of the entries; nothing is compared by range.
     """
-    at = with_ancestors(entries.select("path"), True).select("path", F.col("ancestor").alias("at"), "level")
-    itself = entries.select("path", F.col("path").alias("at"), depth(F.col("path")).alias("level"))
     near = (
-        at.unionByName(itself)
-        .join(own, F.col("at") == F.col("own_path"))
-        .groupBy("path")
+        _spots(entries, by)
+        .join(own.withColumn("at", F.col("own_path")), [*by, "at"])
+        .groupBy(*by, "path")
         .agg(F.max_by(F.struct("own_decision", "own_path"), "level").alias("n"))
     )
-    return entries.join(near, "path", "left").select(
+    return entries.join(near, [*by, "path"], "left").select(
         *entries.columns, F.coalesce("n.own_decision", F.lit("undecided")).alias("decision"), F.col("n.own_path").alias("origin")
     )
 
 
-def effective_tags(entries: DataFrame, own: DataFrame) -> DataFrame:
+def _spots(entries: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Every entry's path with itself and each folder above it (``at``, ``level``)."""
+    above = with_ancestors(entries.select(*by, "path"), True).select(*by, "path", F.col("ancestor").alias("at"), "level")
+    return above.unionByName(entries.select(*by, "path", F.col("path").alias("at"), depth(F.col("path")).alias("level")))
+
+
+def effective_tags(entries: DataFrame, own: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The tags of each entry, its own and those of the folders above: ``path``, ``tag`` and ``level``, the depth of the nearest carrier.
 
     ``own`` has ``own_path`` and ``tag``.
     """
-    at = with_ancestors(entries.select("path"), True).select("path", F.col("ancestor").alias("at"), "level")
-    itself = entries.select("path", F.col("path").alias("at"), depth(F.col("path")).alias("level"))
-    return at.unionByName(itself).join(own, F.col("at") == F.col("own_path")).groupBy("path", "tag").agg(F.max("level").alias("level"))
+    return _spots(entries, by).join(own.withColumn("at", F.col("own_path")), [*by, "at"]).groupBy(*by, "path", "tag").agg(F.max("level").alias("level"))
 
 
-def topmost(paths: DataFrame, column: str = "path") -> DataFrame:
+def topmost(paths: DataFrame, column: str = "path", by: Sequence[str] = ()) -> DataFrame:
     """Paths of a set that have no other path of the set above them."""
-    p = paths.select(F.col(column).alias("path")).distinct()
-    covered = with_ancestors(p, True).join(p.withColumnRenamed("path", "top"), F.col("ancestor") == F.col("top"), "left_semi").select("path").distinct()
-    return p.join(covered, "path", "left_anti").withColumnRenamed("path", column)
+    p = paths.select(*by, F.col(column).alias("path")).distinct()
+    covered = with_ancestors(p, True).join(p.withColumnRenamed("path", "ancestor"), [*by, "ancestor"], "left_semi").select(*by, "path").distinct()
+    return p.join(covered, [*by, "path"], "left_anti").withColumnRenamed("path", column)
 
 
-def rescue(indicators: DataFrame, groups: DataFrame) -> DataFrame:
+def rescue(indicators: DataFrame, groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Valuable entries (``path``, ``bytes``) inside disposable groups (``path``), each under its outermost group.
 
     An indicator inside another one is no row, so no byte counts twice.
     """
-    g = groups.select(F.col("path").alias("group_path")).distinct()
-    inside = with_ancestors(indicators, True).join(g, F.col("ancestor") == F.col("group_path")).groupBy("path", "bytes").agg(F.min_by("group_path", "level").alias("group_path"))
-    return inside.join(topmost(inside), "path", "left_semi").select("group_path", "path", "bytes")
+    g = groups.select(*by, F.col("path").alias("ancestor")).distinct()
+    inside = with_ancestors(indicators, True).join(g, [*by, "ancestor"]).groupBy(*by, "path", "bytes").agg(F.min_by("ancestor", "level").alias("group_path"))
+    return inside.join(topmost(inside, by=by), [*by, "path"], "left_semi").select(*by, "group_path", "path", "bytes")

@@ -303,6 +303,19 @@ def coverage(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(*figures)
 
 
+def blind(rows: DataFrame, partial: DataFrame) -> DataFrame:
+    """Folders of files (``source_id``, ``ancestor``) and whether something in or below them could not be seen.
+
+    That is an unreadable file, or a folder (``partial``: source_id, path) that was
+    not readable, was read in part or begins another volume.  Its mark rises to
+    every folder above it.
+    """
+    key = ["source_id", "ancestor"]
+    shut = with_ancestors(rows, True).groupBy(*key).agg(F.bool_or(F.col("state") == "unreadable").alias("shut"))
+    above = with_ancestors(partial, True).select(*key).unionByName(partial.select("source_id", F.col("path").alias("ancestor")))
+    return shut.join(above.distinct().withColumn("gap", F.lit(True)), key, "left").select(*key, (F.col("shut") | F.coalesce("gap", F.lit(False))).alias("blind"))
+
+
 def folder_duplication(files: DataFrame, copy: DataFrame) -> DataFrame:
     """Per ``source_id`` and folder (``ancestor``) the bytes that are candidates, checked, duplicated and unreadable."""
     n = copy.groupBy("digest").agg(F.count_distinct("pkey").alias("copies"))

@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from granary.operators import changes
+from granary.plans.inventory_queries import tables
 from granary.plans.registry import query
 from granary.sources import adapters as a
+from granary.sources import inventory as inv
 from granary.streaming import ingest
 
 _D = a.with_tables(a.TREE_DOCS)
@@ -64,10 +66,42 @@ def x2(spark, sf):
     return changes.name_conflicts(moves, True).select("seq", "conflict")
 
 
-@query("x5_free_name", "SELECT p_partkey AS seq, CASE WHEN row_number() OVER w = 1 THEN p_type ELSE p_type || ' (' || row_number() OVER w || ')' END AS free_name FROM part WINDOW w AS (PARTITION BY p_brand, p_type ORDER BY p_partkey)")
+#: Parts moved into their brand's folder, named by type with a number here and there; suppliers' names are there already.
+_MOVES = """moves AS (SELECT p_partkey AS entry_id, p_brand AS dest, CASE WHEN p_partkey % 11 = 3 THEN p_type || ' (' || (1 + p_size % 4) || ').jpg' ELSE p_type || '.jpg' END AS name, CASE WHEN p_partkey % 4 = 1 THEN p_name END AS digest FROM part),
+there AS (SELECT DISTINCT p_brand AS dest, p_type || ' (' || (1 + p_size % 7) || ').jpg' AS name, NULL AS digest FROM part WHERE p_size % 5 = 2 UNION SELECT DISTINCT p_brand, p_type || '.jpg', NULL FROM part WHERE p_size % 13 = 4
+  UNION SELECT p_brand, p_type || '.jpg', min(p_name) FROM part WHERE p_size % 17 = 5 GROUP BY ALL)"""
+
+
+def _moves(spark, sf):
+    p = a.table(spark, sf, "part")
+    wide = F.concat("p_type", F.lit(" ("), (1 + F.col("p_size") % 4).cast("string"), F.lit(").jpg"))
+    plain = F.concat("p_type", F.lit(".jpg"))
+    moves = p.select(
+        F.col("p_partkey").alias("entry_id"), F.col("p_partkey").alias("seq"), F.col("p_brand").alias("dest"), F.when(F.col("p_partkey") % 11 == 3, wide).otherwise(plain).alias("name"),
+        F.when(F.col("p_partkey") % 4 == 1, F.col("p_name")).alias("digest"),
+    )
+    none = F.lit(None).cast("string").alias("digest")
+    used = p.where("p_size % 5 = 2").select(F.col("p_brand").alias("dest"), F.concat("p_type", F.lit(" ("), (1 + F.col("p_size") % 7).cast("string"), F.lit(").jpg")).alias("name"), none)
+    used = used.unionByName(p.where("p_size % 13 = 4").select(F.col("p_brand").alias("dest"), plain.alias("name"), none))
+    same = p.where("p_size % 17 = 5").groupBy(F.col("p_brand").alias("dest"), plain.alias("name")).agg(F.min("p_name").alias("digest"))
+    return moves, used.unionByName(same)
+
+
+@query(
+    "x5_free_name",
+    f"""WITH {_MOVES},
+    turned AS (SELECT m.*, row_number() OVER w AS turn, first_value(digest) OVER w AS first_digest, EXISTS (SELECT 1 FROM there t WHERE t.dest = m.dest AND t.name = m.name) AS there,
+      (SELECT max(digest) FROM there t WHERE t.dest = m.dest AND t.name = m.name) AS there_digest FROM moves m WINDOW w AS (PARTITION BY dest, name ORDER BY entry_id)),
+    judged AS (SELECT *, NOT there AND turn = 1 AS keeps, NOT (NOT there AND turn = 1) AND coalesce(digest = CASE WHEN there THEN there_digest ELSE first_digest END, false) AS copied, substr(name, 1, length(name) - 4) AS stem FROM turned),
+    seek AS (SELECT *, row_number() OVER (PARTITION BY dest, stem ORDER BY entry_id) AS nth FROM judged WHERE NOT keeps AND NOT copied),
+    used AS (SELECT dest, name FROM moves UNION SELECT dest, name FROM there),
+    free AS (SELECT s.dest, s.stem, g AS k, row_number() OVER (PARTITION BY s.dest, s.stem ORDER BY g) AS nth FROM (SELECT DISTINCT dest, stem FROM seek) s, range(1, 1000) t(g)
+      WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.dest = s.dest AND u.name = s.stem || ' (' || g || ').jpg'))
+    SELECT j.entry_id, CASE WHEN j.keeps THEN j.name WHEN k IS NOT NULL THEN j.stem || ' (' || k || ').jpg' END AS free_name, CASE WHEN j.copied THEN 'identical_copy' WHEN NOT j.keeps AND k IS NULL THEN 'name_taken' END AS reason
+    FROM judged j LEFT JOIN seek s USING (entry_id) LEFT JOIN free f ON f.dest = s.dest AND f.stem = s.stem AND f.nth = s.nth""",
+)
 def x5(spark, sf):
-    n = F.row_number().over(Window.partitionBy("p_brand", "p_type").orderBy("p_partkey"))
-    return a.table(spark, sf, "part").withColumn("n", n).select(F.col("p_partkey").alias("seq"), F.when(F.col("n") == 1, F.col("p_type")).otherwise(F.concat("p_type", F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).alias("free_name"))
+    return changes.free_names(*_moves(spark, sf))
 
 
 @query("x8_undo", "SELECT o_custkey AS action, o_orderkey AS item, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS step FROM orders")
@@ -76,10 +110,21 @@ def x8(spark, sf):
     return a.table(spark, sf, "orders").select(F.col("o_custkey").alias("action"), F.col("o_orderkey").alias("item"), step.alias("step"))
 
 
-@query("x10_last_copy", _D + ", n AS (SELECT digest, count(*) AS n FROM tree_docs GROUP BY 1) SELECT entry_id, row_number() OVER (PARTITION BY digest ORDER BY path, entry_id) >= n AS refused FROM tree_docs JOIN n USING (digest) WHERE kind <> 'fr'")
+_GONE = "(starts_with(f.path, 'de/') OR starts_with(f.path, 'fr/') OR f.entry_id % 2 = 1)"
+
+
+@query(
+    "x10_last_copy",
+    inv.sql(
+        f"gone AS (SELECT entry_id, source_id, path FROM files f WHERE {_GONE})",
+        "stays AS (SELECT digest FROM copy WHERE holder NOT IN (SELECT entry_id FROM gone))",
+        "foremost AS (SELECT c.digest, c.id FROM copy c JOIN gone g ON g.entry_id = c.id WHERE NOT c.member QUALIFY row_number() OVER (PARTITION BY digest ORDER BY at_path DESC, c.source_id DESC, c.id DESC) = 1)",
+    )
+    + " SELECT entry_id, entry_id IN (SELECT id FROM foremost WHERE digest NOT IN (SELECT digest FROM stays)) AS refused FROM gone",
+)
 def x10(spark, sf):
-    t = a.tree_docs(spark, sf)
-    return changes.last_copies(t.where("kind <> 'fr'").select("entry_id", "digest", "path"), t.groupBy("digest").agg(F.count(F.lit(1)).alias("n")))
+    files, _, copy = tables(spark, sf)
+    return changes.last_copies(files.alias("f").where(_GONE.replace("starts_with", "startswith")).select("entry_id", "source_id", "path"), copy)
 
 
 @query("a23_check_counts", _D + " SELECT source_id, state, unreadable, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM tree_docs GROUP BY ALL")
@@ -163,3 +208,26 @@ def x11(spark, sf):
     s = a.tree_docs(spark, sf).select("entry_id", F.concat_ws("/", "source_id", "kind", (F.col("entry_id") % 39).cast("string")).alias("path"), "unreadable", "kind")
     items = s.where("unreadable").select("entry_id", F.col("path").alias("origin"))
     return changes.restore_draft(items, s.where("not unreadable and kind <> 'fr'").select("path"))
+
+
+_ZONES = ("America/New_York", "Europe/Berlin", "Australia/Lord_Howe", "UTC")
+_RUNS = """runs AS (SELECT event_id, ts AS after, ['America/New_York', 'Europe/Berlin', 'Australia/Lord_Howe', 'UTC'][1 + event_id % 4] AS zone, user_id % 24 AS hour, (event_id * 7) % 60 AS minute, CASE WHEN user_id % 3 = 0 THEN 1 + user_id % 7 END AS weekday
+  FROM (SELECT * REPLACE (ts + INTERVAL (40 * (event_id % 20)) DAY AS ts) FROM events)),
+days AS (SELECT *, CAST(timezone(zone, timezone('UTC', after)) AS DATE) + CAST(n AS INTEGER) AS d FROM runs, range(0, 9) t(n)),
+walls AS (SELECT *, d + to_hours(hour) + to_minutes(minute) AS wall, timezone('UTC', timezone(zone, d + to_hours(hour) + to_minutes(minute))) AS late FROM days WHERE weekday IS NULL OR isodow(d) = weekday),
+-- of a wall time that occurs twice the first
+times AS (SELECT *, CASE WHEN timezone(zone, timezone('UTC', late - INTERVAL 60 MINUTE)) = wall THEN late - INTERVAL 60 MINUTE WHEN timezone(zone, timezone('UTC', late - INTERVAL 30 MINUTE)) = wall THEN late - INTERVAL 30 MINUTE ELSE late END AS due FROM walls)"""
+
+
+@query("t8_schedule", f"WITH {_RUNS} SELECT event_id, CAST(epoch(min(due)) AS BIGINT) AS next_s FROM times WHERE due > after GROUP BY 1")
+def t8(spark, sf):
+    """An event's next scan by a zone, a time of day and, for a third of the users, a weekday; over a year and both changes of the clock."""
+    e = a.table(spark, sf, "events")
+    zone = F.element_at(F.array(*(F.lit(z) for z in _ZONES)), (1 + F.col("event_id") % 4).cast("int"))
+    moved = F.expr("cast(ts as timestamp_ntz) + make_dt_interval(cast(40 * (event_id % 20) as int))")
+    runs = e.select(
+        "event_id", moved.alias("after"), zone.alias("zone"), (F.col("user_id") % 24).cast("int").alias("hour"), ((F.col("event_id") * 7) % 60).cast("int").alias("minute"),
+        F.when(F.col("user_id") % 3 == 0, 1 + F.col("user_id") % 7).alias("weekday"),
+    )
+    seconds = F.expr("timestampdiff(SECOND, timestamp_ntz '1970-01-01 00:00:00', next_at)")
+    return changes.next_runs(runs).select("event_id", seconds.alias("next_s"))

@@ -205,22 +205,22 @@ def a20(spark, sf):
     return places.sums(with_ancestors(placed(spark, sf), True), "source_id", "ancestor")
 
 
-_BLIND = "blind AS (SELECT source_id, ancestor, bool_or(state = 'unreadable') AS blind FROM closure GROUP BY ALL)"
+_BLIND = inv.PARTIAL_SQL + """, seen AS (SELECT source_id, ancestor, bool_or(state = 'unreadable') AS shut FROM closure GROUP BY ALL),
+blind AS (SELECT source_id, ancestor, shut OR EXISTS (SELECT 1 FROM partial_folders p WHERE p.source_id = s.source_id AND (ancestor = '' OR p.path = ancestor OR starts_with(p.path, ancestor || '/'))) AS blind FROM seen s)"""
 
 
-def blind(rows):
-    """Folders (``source_id``, ``ancestor``) and whether an unreadable entry lies below."""
-    return with_ancestors(rows, True).groupBy("source_id", "ancestor").agg(F.bool_or(F.col("state") == "unreadable").alias("blind"))
+def blind(spark, sf, rows):
+    return places.blind(rows, inv.partial_folders(spark, sf))
 
 
 @query("f21_unreadable_below", inv.sql(_PLACED, closure_sql("placed", True), _BLIND) + " SELECT source_id, ancestor FROM blind WHERE blind")
 def f21(spark, sf):
-    return blind(inv.files(spark, sf)).where("blind").select("source_id", "ancestor")
+    return blind(spark, sf, inv.files(spark, sf)).where("blind").select("source_id", "ancestor")
 
 
 @query("f22_complete", inv.sql(_PLACED, closure_sql("placed", True), _BLIND) + " SELECT source_id, ancestor, NOT blind AS complete FROM blind")
 def f22(spark, sf):
-    return blind(inv.files(spark, sf)).select("source_id", "ancestor", (~F.col("blind")).alias("complete"))
+    return blind(spark, sf, inv.files(spark, sf)).select("source_id", "ancestor", (~F.col("blind")).alias("complete"))
 
 
 @query(
@@ -232,7 +232,7 @@ def f22(spark, sf):
 )
 def d8(spark, sf):
     rows = placed(spark, sf)
-    whole = blind(rows).join(places.sums(with_ancestors(rows, True), "source_id", "ancestor"), ["source_id", "ancestor"], "left")
+    whole = blind(spark, sf, rows).join(places.sums(with_ancestors(rows, True), "source_id", "ancestor"), ["source_id", "ancestor"], "left")
     return whole.select("source_id", "ancestor", places.folder_place(~F.col("blind")).alias("place"))
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.functions.paths import depth, with_ancestors
+from granary.functions.paths import with_ancestors
 from granary.operators import dates, fold
 from granary.plans.registry import query
 from granary.sources import adapters as a
+from granary.sources import inventory as inv
 
 _O = a.with_tables(a.TREE_ORDERS)
 _OC = a.with_tables(a.TREE_ORDERS, a.closure_sql("tree_orders", True))
@@ -21,6 +22,41 @@ def a1(spark, sf):
     return fold.totals(a.tree_orders(spark, sf))
 
 
+#: Files of the inventory with their folders, links and special files; a few folders are shut, read in part or another volume.
+_ENTRIES = """entries AS (SELECT source_id, path, CASE WHEN entry_id % 23 = 7 THEN 'symlink' WHEN entry_id % 59 = 9 THEN 'other' ELSE 'file' END AS kind, state, false AS mount, false AS partial, size, mtime_ns FROM files
+  UNION ALL SELECT DISTINCT source_id, array_to_string(string_split(path, '/')[: k], '/'), 'directory', CASE WHEN k = 2 AND ascii(path[-1]) % 5 = 1 AND path LIKE 'en/7/%' THEN 'unreadable' ELSE 'present' END,
+    k = 2 AND path LIKE 'fr/3/%', k = 1 AND path LIKE 'es/%' AND source_id LIKE '%3', CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM (SELECT source_id, regexp_replace(path, '/[^/]*$', '/1') AS path FROM files), range(1, 3) t(k) WHERE k < len(string_split(path, '/')))"""
+
+
+def entries(spark, sf):
+    f = inv.files(spark, sf)
+    kind = F.when(F.col("entry_id") % 23 == 7, "symlink").when(F.col("entry_id") % 59 == 9, "other").otherwise("file")
+    no = F.lit(False)
+    own = f.select("source_id", "path", kind.alias("kind"), "state", no.alias("mount"), no.alias("partial"), "size", "mtime_ns")
+    zero = F.lit(0).cast("long")
+    above = f.select("source_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("k"), F.regexp_replace("path", "/[^/]*$", "/1").alias("at")).where("k < size(split(at, '/', -1))").distinct()
+    folder = F.expr("substring_index(at, '/', k)")
+    shut = (F.col("k") == 2) & F.col("at").startswith("en/7/") & (F.lit(ord("1") % 5) == 1)
+    at = above.select(
+        "source_id", folder.alias("path"), F.lit("directory").alias("kind"), F.when(shut, "unreadable").otherwise("present").alias("state"), ((F.col("k") == 2) & F.col("at").startswith("fr/3/")).alias("mount"),
+        ((F.col("k") == 1) & F.col("at").startswith("es/") & F.col("source_id").endswith("3")).alias("partial"), zero.alias("size"), zero.alias("mtime_ns"),
+    )
+    return own.unionByName(at.distinct())
+
+
+@query(
+    "a1_figures",
+    inv.sql(_ENTRIES, a.closure_sql("entries", True))
+    + """, below AS (SELECT source_id, ancestor, count(*) FILTER (kind = 'directory') AS folders, count(*) FILTER (kind = 'symlink') AS symlinks, count(*) FILTER (kind = 'other') AS specials, count(*) FILTER (state = 'unreadable') AS unreadable,
+      count(*) FILTER (mount) AS mounts, bool_or(kind = 'directory' AND (partial OR state = 'unreadable')) AS part, count(*) FILTER (kind = 'file') AS files, CAST(coalesce(sum(size) FILTER (kind = 'file'), 0) AS BIGINT) AS bytes,
+      min(mtime_ns) FILTER (kind = 'file' AND mtime_ns >= 86400000000000) AS oldest, max(mtime_ns) FILTER (kind = 'file' AND mtime_ns >= 86400000000000) AS newest FROM closure GROUP BY ALL)
+    SELECT source_id, ancestor, folders, symlinks, specials, unreadable, mounts, part OR coalesce((SELECT bool_or(partial OR state = 'unreadable') FROM entries e WHERE e.kind = 'directory' AND e.source_id = b.source_id AND e.path = b.ancestor), false) AS partial,
+      files, bytes, oldest, newest FROM below b""",
+)
+def a1_figures(spark, sf):
+    return fold.figures(entries(spark, sf), by=["source_id"])
+
+
 @query("a2_by_kind", _OC + " SELECT ancestor, kind, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM closure GROUP BY ALL")
 def a2_kind(spark, sf):
     return fold.breakdown(a.tree_orders(spark, sf), "kind")
@@ -77,21 +113,32 @@ def a6(spark, sf):
     return fold.top_per_folder(a.tree_orders(spark, sf), 20, F.asc("path")).select("ancestor", "path", F.col("rank").cast("long").alias("rank"))
 
 
+def _inside(level: int) -> str:
+    """What stands out in the folders of a level, against each family: their files (or customers' orders below), and folders or what these list."""
+    return f""", in{level} AS (SELECT folder, vs, path, bytes, is_folder FROM (
+      SELECT parent AS folder, vs, path, bytes, false AS is_folder FROM leaf, fams WHERE depth = {level} AND family <> vs
+      UNION ALL SELECT f.parent, fams.vs, f.ancestor, f.bytes, true FROM folder f, fams WHERE f.level = {level + 1} AND (f.is_group OR 2 * (CASE fams.vs WHEN 'F' THEN f.bf ELSE f.bo END) < f.bytes)
+      UNION ALL SELECT f.parent, c.vs, c.path, c.bytes, c.is_folder FROM folder f JOIN in{level + 1} c ON c.folder = f.ancestor WHERE f.level = {level + 1} AND NOT f.is_group AND 2 * (CASE c.vs WHEN 'F' THEN f.bf ELSE f.bo END) >= f.bytes)
+    QUALIFY row_number() OVER (PARTITION BY folder, vs ORDER BY bytes DESC, path) <= 10)"""
+
+
 @query(
     "a7_notable",
     _OC
-    + """, f AS (SELECT ancestor, family, sum(size) AS b FROM closure GROUP BY ALL),
-    d AS (SELECT ancestor, family AS main FROM f QUALIFY row_number() OVER (PARTITION BY ancestor ORDER BY b DESC, family) = 1)
-    SELECT c.ancestor, c.path, c.size, row_number() OVER (PARTITION BY c.ancestor ORDER BY c.size DESC, c.path) AS rank FROM closure c JOIN d USING (ancestor) WHERE c.family <> d.main QUALIFY rank <= 10""",
+    + """, fams(vs) AS (VALUES ('F'), ('O')),
+    leaf AS (SELECT path, size AS bytes, family, array_to_string(string_split(path, '/')[: -2], '/') AS parent, len(string_split(path, '/')) - 1 AS depth FROM tree_orders),
+    folder AS (SELECT ancestor, level, array_to_string(string_split(ancestor, '/')[: -2], '/') AS parent, CAST(sum(size) AS BIGINT) AS bytes, CAST(coalesce(sum(size) FILTER (family = 'F'), 0) AS BIGINT) AS bf,
+      CAST(coalesce(sum(size) FILTER (family = 'O'), 0) AS BIGINT) AS bo, level = 3 AND ancestor LIKE '%7' AS is_group FROM closure GROUP BY ALL),
+    in5 AS (SELECT '' AS folder, '' AS vs, '' AS path, CAST(0 AS BIGINT) AS bytes, false AS is_folder WHERE false)"""
+    + "".join(_inside(k) for k in (4, 3, 2, 1, 0))
+    + " SELECT i.folder, i.path, i.bytes, i.is_folder, row_number() OVER (PARTITION BY i.folder ORDER BY i.bytes DESC, i.path) AS rank FROM ("
+    + " UNION ALL ".join(f"SELECT * FROM in{k}" for k in range(5))
+    + ") i JOIN folder f ON f.ancestor = i.folder WHERE i.vs = CASE WHEN f.bf >= f.bo THEN 'F' ELSE 'O' END AND f.bytes > 0",
 )
 def a7(spark, sf):
-    rows = with_ancestors(a.tree_orders(spark, sf), True)
-    main = fold.first_by(rows.groupBy("ancestor", "family").agg(F.sum("size").alias("b")), ["ancestor"], F.desc("b"), F.asc("family")).select("ancestor", F.col("family").alias("main"))
-    odd = rows.join(main, "ancestor").where("family <> main")
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("ancestor").orderBy(F.desc("size"), "path")).cast("long")
-    return odd.withColumn("rank", rank).where("rank <= 10").select("ancestor", "path", "size", "rank")
+    t = a.tree_orders(spark, sf)
+    groups = with_ancestors(t).where("level = 3 and ancestor like '%7'").select(F.col("ancestor").alias("path")).distinct()
+    return fold.notable(t, groups, ["F", "O"]).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(
@@ -212,11 +259,3 @@ def t11(spark, sf):
     from granary.functions.paths import below
 
     return t.where(~below(F.col("path"), "ASIA") & ~below(F.col("path"), "EUROPE")).select("path", "size")
-
-
-@query("pj16_depth_name", _O + " SELECT path, CAST(len(string_split(path, '/')) AS INTEGER) AS depth, string_split(path, '/')[-1] AS name, array_to_string(list_slice(string_split(path, '/'), 1, 4), '/') AS parent FROM tree_orders")
-def pj(spark, sf):
-    from granary.functions.paths import name, parent
-
-    p = F.col("path")
-    return a.tree_orders(spark, sf).select("path", depth(p).cast("int").alias("depth"), name(p).alias("name"), parent(p).alias("parent"))

@@ -69,6 +69,16 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("digest", F.when(F.col("content_state") == "hashed", F.col("digest")))
 
 
+#: Folders (source_id, path) that were read in part or begin another volume.
+PARTIAL_SQL = "partial_folders AS (SELECT DISTINCT source_id, regexp_replace(path, '/[^/]*$', '') AS path FROM files WHERE path LIKE 'fr/3/%' AND source_id LIKE '%4' UNION SELECT DISTINCT source_id, 'es' FROM files WHERE source_id LIKE '%7')"
+
+
+def partial_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = files(spark, sf_dir).select("source_id", "path")
+    mounts = f.where("path like 'fr/3/%' and source_id like '%4'").select("source_id", F.regexp_replace("path", "/[^/]*$", "").alias("path"))
+    return mounts.unionByName(f.where("source_id like '%7'").select("source_id", F.lit("es").alias("path"))).distinct()
+
+
 def raw_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members as listed: a tar hard link names its target's path and has no content of its own."""
     d = table(spark, sf_dir, "documents").where("doc_id % 4 = 1")

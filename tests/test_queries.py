@@ -106,13 +106,6 @@ def test_chains_of_links(spark):
     assert all(got[3, f"c{k}"] == (4, "pending", None) for k in range(40))
 
 
-def test_last_copy_is_refused(spark):
-    d = spark.createDataFrame([(1, "k", "a"), (2, "k", "b")], "entry_id long, digest string, path string")
-    for n, want in ((3, {1: False, 2: False}), (2, {1: False, 2: True})):
-        copies = spark.createDataFrame([("k", n)], "digest string, n long")
-        assert {r.entry_id: r.refused for r in changes.last_copies(d, copies).collect()} == want
-
-
 def split_plainly(size, weights):
     """Largest remainders in whole numbers, then a byte for every place with members."""
     w, size = [max(x, 0) for x in weights], max(size, 0)
