@@ -31,6 +31,44 @@ def totals(entries: DataFrame, root: bool = True, by: Sequence[str] = ()) -> Dat
     )
 
 
+def refold(stored: DataFrame, gone: DataFrame, come: DataFrame, entries: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``totals`` kept up with a change (T5, T10), without counting what did not change.
+
+    ``stored`` is the fold before it, ``gone`` and ``come`` the old and the new rows
+    of the entries that changed (an entry that only has another time is in both),
+    ``entries`` the table after it.  Files and bytes move by signed sums.  An
+    oldest or newest time is taken over or lowered from the new rows; only where a
+    row that had it went is it looked up among the entries below those folders.
+    Folders without files are no more.
+    """
+    key = [*by, "ancestor", "level"]
+
+    def spread(rows: DataFrame, sign: int) -> DataFrame:
+        marked = rows.withColumns({"sign": F.lit(sign), "was": F.lit(sign < 0)})
+        return with_ancestors(marked, True)
+
+    ends = [f(F.when(F.col("was") == w, F.col("mtime_s"))).alias(n) for w, n, f in ((True, "gone_low", F.min), (True, "gone_high", F.max), (False, "come_low", F.min), (False, "come_high", F.max))]
+    moved = spread(gone, -1).unionByName(spread(come, 1)).groupBy(*key).agg(F.sum("sign").alias("d_files"), F.sum(F.col("sign") * F.col("size")).alias("d_bytes"), *ends)
+    joined = stored.join(moved, key, "full_outer")
+    none = lambda c: F.coalesce(F.col(c), F.lit(0))
+    lost_low = F.coalesce(F.col("gone_low") <= F.col("oldest"), F.lit(False)) & ~F.coalesce(F.col("come_low") <= F.col("oldest"), F.lit(False))
+    lost_high = F.coalesce(F.col("gone_high") >= F.col("newest"), F.lit(False)) & ~F.coalesce(F.col("come_high") >= F.col("newest"), F.lit(False))
+    now = checkpoint(
+        joined.select(
+            *key,
+            (none("files") + none("d_files")).alias("files"),
+            (none("bytes") + none("d_bytes")).alias("bytes"),
+            F.least("oldest", "come_low").alias("oldest"),
+            F.greatest("newest", "come_high").alias("newest"),
+            (lost_low | lost_high).alias("lost"),
+        ).where("files > 0")
+    )
+    lost = now.where("lost").select(*key)
+    found = with_ancestors(entries, True).join(lost, key, "left_semi").groupBy(*key).agg(F.min("mtime_s").alias("low"), F.max("mtime_s").alias("high"))
+    mended = now.where("lost").drop("oldest", "newest").join(found, key, "left").withColumnsRenamed({"low": "oldest", "high": "newest"})
+    return now.where("not lost").unionByName(mended.select(*now.columns)).drop("lost")
+
+
 def breakdown(entries: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
     """Per folder and value of ``key``: ``files``, ``bytes``."""
     return with_ancestors(entries, True).groupBy(*by, "ancestor", key).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))

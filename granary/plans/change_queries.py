@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from granary.operators import changes
 from granary.plans.inventory_queries import tables
@@ -171,9 +172,26 @@ def s17(spark, sf):
     return with_ancestors(h).join(h.withColumnRenamed("path", "outer_path"), F.col("ancestor") == F.col("outer_path")).select("outer_path", F.col("path").alias("inner_path"))
 
 
-@query("t4_stream_ingest", "SELECT user_id, count(*) AS n, CAST(max(event_id) AS BIGINT) AS last_id FROM events GROUP BY 1")
+@query(
+    "t4_stream_ingest",
+    """WITH ops AS (SELECT user_id AS c_custkey, CASE event_type WHEN 'purchase' THEN 'delete' WHEN 'signup' THEN 'insert' ELSE 'update' END AS op, event_id, value, event_type FROM events WHERE event_type <> 'view' OR event_id % 3 = 0),
+    per AS (SELECT c_custkey, bool_or(op = 'delete') AS gone, max(event_id) FILTER (op = 'insert') AS new_id, arg_max(value, event_id) FILTER (op = 'insert') AS new_value, arg_max(value, event_id) FILTER (op = 'update') AS value FROM ops GROUP BY 1)
+    SELECT coalesce(c.c_custkey, p.c_custkey) AS c_custkey, coalesce(p.value, p.new_value, c_acctbal) AS c_acctbal, CASE WHEN new_id IS NOT NULL THEN 'signup' ELSE c_mktsegment END AS c_mktsegment
+    FROM customer c FULL OUTER JOIN per p USING (c_custkey) WHERE new_id IS NOT NULL OR (c.c_custkey IS NOT NULL AND NOT coalesce(gone, false))""",
+)
 def t4(spark, sf):
-    return ingest.latest_by_user(spark, f"{sf}/events.parquet")
+    """Customers, changed by a stream of events: purchases take one out, sign-ups put one in, the others change a balance."""
+    schema = StructType.fromDDL("c_custkey long, c_acctbal double, c_mktsegment string")
+    root, state = ingest.shared_folder(spark, "customers"), ingest.shared_folder(spark, "customers-state")
+    base = a.table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    ingest.commit(root, base.withColumns({"op": F.lit("insert"), "seq": F.lit(0).cast("long")}), 0, schema, "c_custkey")
+    events = spark.readStream.schema(a.table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    op = F.when(F.col("event_type") == "purchase", "delete").when(F.col("event_type") == "signup", "insert").otherwise("update")
+    changes_ = events.where("event_type <> 'view' or event_id % 3 = 0").select(
+        F.col("user_id").alias("c_custkey"), F.col("value").alias("c_acctbal"), F.when(op == "insert", F.lit("signup")).alias("c_mktsegment"), op.alias("op"), F.col("event_id").alias("seq")
+    )
+    ingest.ingest(changes_, root, state, schema, "c_custkey")
+    return ingest.current(spark, root, schema)
 
 
 _MERGE = a.with_tables(

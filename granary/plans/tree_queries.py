@@ -240,11 +240,38 @@ def i10(spark, sf):
     return kids.groupBy("parent").agg(F.count(F.lit(1)).alias("n"), F.min("child").alias("only_child")).where("n = 1").drop("n")
 
 
-@query("t5_refold", _OC + ", touched AS (SELECT DISTINCT ancestor FROM closure WHERE path LIKE '%/1.r') SELECT c.ancestor, count(*) AS files, CAST(sum(c.size) AS BIGINT) AS bytes FROM closure c JOIN touched USING (ancestor) GROUP BY 1")
+def _after(t):
+    """The orders' tree after a change: lines gone, others of another size."""
+    line = F.substring_index("path", "/", -1)
+    lost, grown = (line == "1.r") & (F.col("size") % 3 == 0), (line == "2.n") & (F.col("size") % 2 == 0)
+    return lost, grown
+
+
+_AFTER = "after AS (SELECT * REPLACE (CASE WHEN path LIKE '%/2.n' AND size % 2 = 0 THEN size + 1000 ELSE size END AS size) FROM tree_orders WHERE NOT (path LIKE '%/1.r' AND size % 3 = 0))"
+_FULL = " SELECT ancestor, level, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, min(mtime_s) AS oldest, max(mtime_s) AS newest FROM closure GROUP BY ALL"
+
+
+@query("t5_refold", a.with_tables(a.TREE_ORDERS, _AFTER, a.closure_sql("after", True)) + _FULL)
 def t5(spark, sf):
+    """The fold kept up with removed and grown files equals the fold of the tree after it."""
+    t = a.tree_orders(spark, sf)
+    lost, grown = _after(t)
+    new = t.where(~lost).withColumn("size", F.when(grown, F.col("size") + 1000).otherwise(F.col("size")))
+    return fold.refold(fold.totals(t), t.where(lost | grown), new.where(grown & ~lost), new)
+
+
+_LATER = "later AS (SELECT * REPLACE (CASE WHEN path LIKE '%/3.a' THEN mtime_s + 86400 * CAST(size AS BIGINT) WHEN path LIKE '%/1.n' AND size = 50 THEN mtime_s - 900000000 ELSE mtime_s END AS mtime_s) FROM tree_orders)"
+
+
+@query("t10_time_refold", a.with_tables(a.TREE_ORDERS, _LATER, a.closure_sql("later", True)) + _FULL)
+def t10(spark, sf):
+    """Only the times of some files change."""
     t = a.tree_orders(spark, sf)
-    touched = with_ancestors(t.where(F.col("path").endswith("/1.r")), True).select("ancestor").distinct()
-    return with_ancestors(t, True).join(touched, "ancestor", "left_semi").groupBy("ancestor").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+    line = F.substring_index("path", "/", -1)
+    late, early = line == "3.a", (line == "1.n") & (F.col("size") == 50)
+    moved = F.when(late, F.col("mtime_s") + 86400 * F.col("size")).when(early, F.col("mtime_s") - 900_000_000).otherwise(F.col("mtime_s"))
+    new = t.withColumn("mtime_s", moved)
+    return fold.refold(fold.totals(t), t.where(late | early), new.where(late | early), new)
 
 
 @query("t9_subtree_move", _O + " SELECT CASE WHEN path LIKE 'ASIA/%' THEN 'MOVED/' || substr(path, 6) ELSE path END AS path, size FROM tree_orders")
