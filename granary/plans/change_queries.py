@@ -128,11 +128,6 @@ def x10(spark, sf):
     return changes.last_copies(files.alias("f").where(_GONE.replace("starts_with", "startswith")).select("entry_id", "source_id", "path"), copy)
 
 
-@query("a23_check_counts", _D + " SELECT source_id, state, unreadable, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM tree_docs GROUP BY ALL")
-def a23(spark, sf):
-    return a.tree_docs(spark, sf).groupBy("source_id", "state", "unreadable").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
-
-
 @query("x20_siblings", _D + " SELECT entry_id FROM tree_docs t WHERE kind <> 'de' AND EXISTS (SELECT 1 FROM tree_docs m WHERE m.kind = 'de' AND m.source_id = t.source_id AND m.entry_id // 200 = t.entry_id // 200)")
 def x20(spark, sf):
     t = a.tree_docs(spark, sf).select("entry_id", "source_id", "kind", F.expr("entry_id div 200").alias("stem"))

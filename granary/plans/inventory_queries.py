@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granary.functions.paths import extension, with_ancestors
-from granary.operators import places
+from granary.operators import places, purge
 from granary.plans.registry import query
 from granary.sources import inventory as inv
 from granary.sources.adapters import closure_sql
@@ -404,28 +404,74 @@ def c12(spark, sf):
 _ITEM = "entry_id % 5 = 3"
 
 
-@query(
-    "x12_verdict",
-    inv.sql(_PLACED)
-    + f""" SELECT k.entry_id, CASE WHEN k.source_id LIKE '%9' OR k.state = 'unreadable' THEN 'unreadable' WHEN k.size = 0 OR a.listing = 'complete' THEN 'no_content'
+_VERDICT = f"""verdicts AS (SELECT * FROM (SELECT k.*, CASE WHEN k.source_id LIKE '%9' OR k.state = 'unreadable' THEN 'unreadable' WHEN k.size = 0 OR a.listing = 'complete' THEN 'no_content'
       WHEN EXISTS (SELECT 1 FROM copy c WHERE c.digest = k.text_digest AND c.pkey <> k.pkey AND c.online AND NOT (c.holder % 5 = 3)) THEN CASE WHEN file_kind = 'archive' THEN 'opaque_archive' ELSE 'safe' END
       WHEN EXISTS (SELECT 1 FROM copy c WHERE c.digest = k.text_digest AND c.pkey <> k.pkey AND NOT c.online AND NOT (c.holder % 5 = 3)) THEN 'copy_offline'
       WHEN file_kind = 'archive' THEN 'opaque_archive' ELSE 'unique' END AS verdict
-    FROM (SELECT k.*, sha256(d.text) AS text_digest FROM keyed k JOIN documents d ON d.doc_id = k.entry_id) k LEFT JOIN archives a ON a.archive_id = k.entry_id WHERE k.{_ITEM} AND k.state <> 'missing'""",
-)
-def x12(spark, sf):
+    FROM (SELECT k.*, sha256(d.text) AS text_digest FROM keyed k JOIN documents d ON d.doc_id = k.entry_id) k LEFT JOIN archives a ON a.archive_id = k.entry_id WHERE k.{_ITEM} AND k.state <> 'missing'))"""
+
+
+def checked(spark, sf):
     """Every file of the plan read in full and looked for among the copies that the plan leaves."""
     from granary.sources.adapters import table
 
     files, _, copy = tables(spark, sf)
     read = table(spark, sf, "documents").select(F.col("doc_id").alias("entry_id"), F.sha2("text", 256).alias("read_digest"))
-    left = copy.where("not (holder % 5 = 3)").groupBy(F.col("digest").alias("read_digest")).agg(F.collect_set(F.struct("pkey", "online")).alias("spare"), F.bool_or("online").alias("on"), F.bool_or(~F.col("online")).alias("off"))
-    # Names of the file's own inode are no copies; only where such a name is left the list of the content's copies is looked at.
-    rows = files.where(_ITEM).join(read, "entry_id").join(left, "read_digest", "left").withColumn("own", places.physical_key())
-    other = lambda on: F.coalesce(F.exists("spare", lambda c: (c["pkey"] != F.col("own")) & (c["online"] == on)), F.lit(False))
     listed = inv.archives(spark, sf).withColumnRenamed("archive_id", "entry_id")
-    rows = rows.join(listed, "entry_id", "left")
-    return rows.select("entry_id", places.verdict(~F.col("source_id").endswith("9"), other(True), other(False), F.col("listing")).alias("verdict")).where("verdict is not null")
+    items = files.where(_ITEM).join(read, "entry_id").join(listed, "entry_id", "left").withColumns({"own": places.physical_key(), "item_readable": ~F.col("source_id").endswith("9")})
+    return purge.judged(items, copy.where("not (holder % 5 = 3)"), "read_digest", F.col("listing"))
+
+
+@query("x12_verdict", inv.sql(_PLACED, _VERDICT) + " SELECT entry_id, verdict FROM verdicts")
+def x12(spark, sf):
+    return checked(spark, sf).select("entry_id", "verdict")
+
+
+_CLASS = """CASE WHEN family = 'personal' OR regexp_extract(path, '[^/]\\.([^./]+)$', 1) = 'eml' OR entry_id % 23 = 7 THEN 'possibly_valuable' WHEN family = 'disposable' OR category = 'application_installation' THEN 'likely_junk' ELSE 'uncertain' END"""
+_GATES = f"""classed AS (SELECT *, CASE WHEN verdict = 'unique' THEN {_CLASS} END AS class, source_id NOT LIKE '%9' AS item_readable, CASE WHEN entry_id % 7 = 2 THEN 1700000000 END AS confirmed_at,
+  CASE WHEN source_id LIKE '%4' THEN 1700000001 END AS junk_confirmed_at, CASE WHEN entry_id % 2 = 0 THEN 'a/copy' END AS copy_path FROM verdicts),
+gates AS (SELECT *, (verdict IN ('unique', 'copy_offline', 'unreadable') OR (verdict = 'opaque_archive' AND copy_path IS NULL)) AND item_readable IS DISTINCT FROM false AS gated,
+  confirmed_at IS NOT NULL OR (verdict = 'unique' AND class IS NOT DISTINCT FROM 'likely_junk' AND junk_confirmed_at IS NOT NULL) AS confirmed,
+  verdict IN ('copy_offline', 'unreadable') OR (verdict = 'opaque_archive' AND copy_path IS NULL) OR (verdict = 'unique' AND class IS DISTINCT FROM 'likely_junk') AS one_by_one FROM classed)"""
+
+
+def gates(spark, sf):
+    """The check's rows with their class, and what was confirmed: some files by themselves, the junk of some sources as a group."""
+    rows = checked(spark, sf)
+    traits = F.when(F.col("entry_id") % 23 == 7, F.array(F.lit("contains_database"))).otherwise(F.array(F.lit("contains_vcs")))
+    cls = places.purge_class(F.col("category"), F.col("file_kind"), traits, extension(F.substring_index("path", "/", -1)))
+    rows = rows.withColumns(
+        {
+            "class": F.when(F.col("verdict") == "unique", cls), "is_file": F.lit(True), "copy_path": F.when(F.col("entry_id") % 2 == 0, "a/copy"),
+            "confirmed_at": F.when(F.col("entry_id") % 7 == 2, 1_700_000_000), "junk_confirmed_at": F.when(F.col("source_id").endswith("4"), 1_700_000_001),
+        }
+    )
+    verdict, junk = F.col("verdict"), F.col("class")
+    return rows.withColumns(
+        {
+            "gated": purge.gated(verdict, F.col("copy_path"), F.col("item_readable")), "confirmed": purge.confirmed(F.col("confirmed_at"), verdict, junk, F.col("junk_confirmed_at")),
+            "one_by_one": purge.confirmed_one_by_one(verdict, junk, F.col("copy_path")),
+        }
+    )
+
+
+@query("f20_gates", inv.sql(_PLACED, _VERDICT, _GATES) + " SELECT entry_id, gated, confirmed, one_by_one FROM gates")
+def f20(spark, sf):
+    return gates(spark, sf).select("entry_id", "gated", "confirmed", "one_by_one")
+
+
+@query(
+    "a23_check_counts",
+    inv.sql(_PLACED, _VERDICT, _GATES)
+    + " SELECT verdict, coalesce(class, '') AS class, gated, confirmed, count(*) AS files, CAST(sum(CASE WHEN verdict = 'no_content' THEN 0 ELSE size END) AS BIGINT) AS bytes FROM gates GROUP BY ALL",
+)
+def a23(spark, sf):
+    return purge.counts(gates(spark, sf))
+
+
+@query("x15_unconfirmed", inv.sql(_PLACED, _VERDICT, _GATES) + " SELECT entry_id, verdict, class FROM gates WHERE gated AND NOT confirmed")
+def x15(spark, sf):
+    return purge.unconfirmed(gates(spark, sf)).select("entry_id", "verdict", "class")
 
 
 @query(

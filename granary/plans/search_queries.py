@@ -62,12 +62,6 @@ def f13(spark, sf):
     return docs(spark, sf).where(~((F.col("path") == "src19") | F.col("path").startswith("src19/"))).select("entry_id")
 
 
-@query("f20_null_safe", "WITH t AS (SELECT d.doc_id AS entry_id, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)) SELECT entry_id, quality IS NOT DISTINCT FROM toxic AS same, quality IS NULL AS unknown FROM t")
-def f20(spark, sf):
-    t = a.table(spark, sf, "documents").join(a.table(spark, sf, "labels"), "doc_id", "left")
-    return t.select(F.col("doc_id").alias("entry_id"), F.col("quality").eqNullSafe(F.col("toxic")).alias("same"), F.col("quality").isNull().alias("unknown"))
-
-
 @query("f23_glob", _N + " SELECT entry_id, name FROM parts WHERE lower(name) GLOB '*b?lt*'")
 def f23(spark, sf):
     return parts(spark, sf).where(F.col("name").rlike(glob_pattern("*B?LT*"))).select("entry_id", "name")
