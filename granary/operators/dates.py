@@ -156,6 +156,10 @@ def candidates(rows: DataFrame, now_ns: int, this_year: int) -> DataFrame:
     return out.drop("folder_date", *(f"granary_{s}" for s in dates))
 
 
+#: The effective date of a photo.
+EFFECTIVE = "struct<source:string,date:struct<ns:bigint,local:string,precision:string>,confidence:string,refined:boolean>"
+
+
 def _take(candidate: Column, slack: int) -> Column:
     """A candidate as the effective date: one coarser than a second that holds the modification time is refined by it."""
     source, date, mtime = candidate["source"], candidate["date"], F.col("mtime_ns")
@@ -332,24 +336,79 @@ def _candidates(shots: DataFrame) -> DataFrame:
     return by_gps.unionByName(by_range.join(by_gps.select(*by), by, "left_anti"))
 
 
-def detect(photos: DataFrame) -> DataFrame:
-    """``camera``, ``photos``, ``state`` (offset, disagrees, ok) and ``shift_s`` of every camera.
+def camera_shots(rows: DataFrame, now_ns: int) -> DataFrame:
+    """What clocks are compared by (J13): photos with a camera and a plausible capture, moved by the owner's shift.
 
-    Offset: all its candidates agree within ten minutes, and a GPS, or the
-    folder's date at two events, sides with the others; the shift is minus the
-    median, to the minute.  Then the rest is compared again without those
-    cameras: who still has candidates disagrees.  The photos are written once,
-    reduced to what both passes read.
+    ``rows``: photo_id, folder, camera, capture_ns, gps_ns, offset_known,
+    folder_day, correction (null, set, shift, use_name, use_folder) and shift_s.  A
+    photo that the owner dated otherwise says nothing about its camera.
     """
+    usable = (F.col("camera") != "") & F.col("capture_ns").isNotNull() & plausible(instant(F.col("capture_ns")), now_ns)
+    moved = F.col("capture_ns") + F.when(F.col("correction") == "shift", F.coalesce("shift_s", F.lit(0)) * SECOND).otherwise(0)
+    return rows.where(usable & (F.col("correction").isNull() | (F.col("correction") == "shift"))).select("photo_id", *_SHOT[:2], moved.alias("capture_ns"), *_SHOT[3:])
+
+
+def detection(photos: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``detect`` and the events it rests on: ``camera``, ``folder``, ``delta``, ``reference`` of cameras that are off or disagree."""
     shots = checkpoint(photos.where("camera <> ''").select(*_SHOT))
     first = checkpoint(_candidates(shots))  # a row per event and camera at most
     backed = F.max(F.col("reference").isin("gps", "own_gps")) | ((F.count(F.lit(1)) >= 2) & F.max(F.col("reference") == "folder_name"))
     judged = first.groupBy("camera").agg((F.max("delta") - F.min("delta")).alias("spread"), backed.alias("backed"))
     agreed = judged.where("spread <= 600 and backed").join(median_of(first, ["camera"], "delta", "middle"), "camera")
     off = checkpoint(agreed.select("camera", (half_away(-F.col("middle"), 60) * 60).alias("shift_s")))
-    second = first if off.isEmpty() else _candidates(shots.join(off, "camera", "left_anti"))
+    second = first if off.isEmpty() else checkpoint(_candidates(shots.join(off, "camera", "left_anti")))
     again = second.select("camera").distinct().withColumn("again", F.lit(True))
     every = shots.groupBy("camera").agg(F.count(F.lit(1)).alias("photos"))
-    return every.join(off, "camera", "left").join(again, "camera", "left").select(
+    cameras = every.join(off, "camera", "left").join(again, "camera", "left").select(
         "camera", "photos", F.when(F.col("shift_s").isNotNull(), "offset").when(F.col("again"), "disagrees").otherwise("ok").alias("state"), "shift_s"
     )
+    columns = ["camera", "folder", "delta", "reference"]
+    rest = second.join(off, "camera", "left_anti").select(*columns)
+    return cameras, first.join(off, "camera", "left_semi").select(*columns).unionByName(rest)
+
+
+def detect(photos: DataFrame) -> DataFrame:
+    """``camera``, ``photos``, ``state`` (offset, disagrees, ok) and ``shift_s`` of every camera.
+
+    Offset: all its candidates agree within ten minutes, and a GPS, or the
+    folder's date at two events, sides with the others; the shift is minus the
+    median, to the minute.  Then the rest is compared again without those
+    cameras: who still has candidates disagrees.  The photos are written once,
+    reduced to what both passes read.
+    """
+    return detection(photos)[0]
+
+
+def camera_flags(flags: DataFrame, photos: DataFrame, cameras: DataFrame, events: DataFrame) -> DataFrame:
+    """``flags`` (photo_id, flags) with CAMERA_OFFSET on the photos that an offset camera took at its events, and off on all others (M7)."""
+    off = events.join(cameras.where("state = 'offset'").select("camera"), "camera", "left_semi").select("folder", "camera")
+    marked = photos.join(off, ["folder", "camera"], "left_semi").select("photo_id", F.lit(CAMERA_OFFSET).alias("bit"))
+    clear = F.col("flags").bitwiseAND(F.lit(~CAMERA_OFFSET))
+    return flags.join(marked, "photo_id", "left").select("photo_id", clear.bitwiseOR(F.coalesce("bit", F.lit(0))).alias("flags"))
+
+
+def cameras_read(cameras: DataFrame, events: DataFrame, photos: DataFrame) -> DataFrame:
+    """Stored cameras and their events as they can still be shown (M19): without cameras and event folders that have no photos any more.
+
+    One row per camera and event; a camera without events has one with nulls.
+    """
+    known = cameras.join(photos.select("camera").distinct(), "camera", "left_semi")
+    left = events.join(photos.select("folder").distinct(), "folder", "left_semi")
+    return known.join(left, "camera", "left")
+
+
+def rederive(stored: DataFrame, rows: DataFrame, now_ns: int, this_year: int) -> DataFrame:
+    """``stored`` dates brought up to date with their inputs (M17): ``photo_id``, ``inputs_key``, ``effective``, ``flags``.
+
+    Only photos that are new or whose ``inputs_key`` differs are derived again; the
+    others keep their row, and those without inputs lose theirs.  The camera bit
+    is no input: a new derivation carries it over.
+    """
+    keyed = rows.withColumn("new_key", inputs_key(*(F.col(c) for c in ("path", "exif_ns", "gps_ns", "container_ns", "mtime_ns", "offset_known", "correction", "set_date", "shift_s"))))
+    old = stored.select("photo_id", F.col("inputs_key").alias("old_key"), F.col("flags").bitwiseAND(F.lit(CAMERA_OFFSET)).alias("bit"))
+    at = checkpoint(keyed.join(old, "photo_id", "left"))
+    same = F.coalesce(F.col("old_key") == F.col("new_key"), F.lit(False))
+    again = derive(at.where(~same), now_ns, this_year)
+    derived = again.select("photo_id", F.col("new_key").alias("inputs_key"), "effective", F.col("flags").bitwiseOR(F.coalesce("bit", F.lit(0))).alias("flags"))
+    kept = stored.join(at.where(same).select("photo_id"), "photo_id", "left_semi")
+    return kept.select("photo_id", "inputs_key", "effective", "flags").unionByName(derived)

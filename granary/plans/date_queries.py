@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from granary.functions.runs import checkpoint
 from granary.operators import dates
 from granary.plans.registry import query
 from granary.sources import adapters as a
@@ -249,6 +250,53 @@ def m12(spark, sf):
     return dates.detect(cams(spark, sf))
 
 
+#: As ``cams``, with photos that the owner dated (left out) and some moved by a minute.
+_SHIFTED = "WITH " + _CAMS.format(where="event_id % 31 <> 7").replace("cams AS", "cams0 AS", 1) + ", cams AS (SELECT * REPLACE (cap - CASE WHEN photo_id % 29 = 3 THEN 60 ELSE 0 END AS cap) FROM cams0)," + _CANDS + "," + _JUDGE
+
+
+def _corrected(spark, sf):
+    i = F.col("photo_id")
+    fixed = F.when(i % 31 == 7, "set").when(i % 29 == 3, "shift")
+    return cams(spark, sf).withColumns({"correction": fixed, "shift_s": F.lit(-60).cast("long")})
+
+
+@query("j13_camera_flags", _SHIFTED + " SELECT photo_id, CASE WHEN camera IN (SELECT camera FROM off) AND (folder, camera) IN (SELECT folder, camera FROM cand) THEN 12 ELSE 8 END AS flags FROM cams")
+def j13(spark, sf):
+    """The camera bit on photos that offset cameras took at the events; another bit is there already."""
+    photos = dates.camera_shots(_corrected(spark, sf), NOW_NS + 90 * dates.DAY)
+    cameras, events = dates.detection(photos)
+    return dates.camera_flags(photos.select("photo_id", F.lit(8).alias("flags")), photos, cameras, events)
+
+
+@query(
+    "m19_cameras_read",
+    "WITH " + _CAMS.format(where="true") + "," + _CANDS + "," + _JUDGE
+    + """, shown AS (SELECT camera, count(*) AS photos FROM cams GROUP BY 1), now AS (SELECT * FROM cams WHERE camera <> 'cam2' AND day(day) % 5 <> 3)
+    SELECT s.camera, s.photos, o.s IS NOT NULL AS is_off, e.folder, e.delta, e.reference FROM shown s LEFT JOIN off o USING (camera) LEFT JOIN (SELECT * FROM cand WHERE camera IN (SELECT camera FROM off) AND folder IN (SELECT folder FROM now)) e USING (camera)
+    WHERE s.camera IN (SELECT camera FROM now)""",
+)
+def m19(spark, sf):
+    """Offset cameras with their events after one camera's photos and every fifth day's folder have gone."""
+    photos = cams(spark, sf)
+    cameras, events = dates.detection(photos)
+    events = events.join(cameras.where("state = 'offset'").select("camera"), "camera", "left_semi")
+    now = photos.where((F.col("camera") != "cam2") & (F.substring("folder", 9, 2).cast("int") % 5 != 3))
+    read = dates.cameras_read(cameras, events, now)
+    return read.select("camera", "photos", (F.col("state") == "offset").alias("is_off"), "folder", "delta", "reference")
+
+
+@query("m17_rederive", _M5 + f" SELECT photo_id, source, CASE WHEN refined THEN mns ELSE ns END AS ns, CASE WHEN source IS NOT NULL THEN {_CONF} END AS confidence FROM refd WHERE photo_id % 13 <> 1")
+def m17(spark, sf):
+    """Dates stored before a third of the times moved and some photos came and went, brought up to date."""
+    i, now = F.col("photo_id"), shots(spark, sf)
+    before = now.where(i % 17 != 2).withColumn("mtime_ns", F.when(i % 3 == 0, F.col("mtime_ns") - dates.DAY).otherwise(F.col("mtime_ns")))
+    none = spark.createDataFrame([], "photo_id long, inputs_key long, flags int")
+    none = none.withColumn("effective", F.lit(None).cast(dates.EFFECTIVE))
+    stored = checkpoint(dates.rederive(none, before, NOW_NS, THIS_YEAR))
+    d = dates.rederive(stored, now.where(i % 13 != 1), NOW_NS, THIS_YEAR)
+    return d.select("photo_id", "effective.source", "effective.date.ns", "effective.confidence")
+
+
 @query("m14_template", "WITH " + _FOLDER + "," + _M2 + " SELECT DISTINCT folder, CASE photo_id % 12 WHEN 0 THEN '' WHEN 1 THEN 'Trip' WHEN 2 THEN 'x' WHEN 3 THEN string_split(folder, '/')[2] WHEN 4 THEN string_split(folder, '/')[3] WHEN 5 THEN string_split(folder, '/')[2] WHEN 9 THEN '13' WHEN 10 THEN string_split(folder, '/')[2] WHEN 8 THEN '' ELSE folder END AS event FROM m2")
 def m14(spark, sf):
     """The event name of each folder: its last part without a leading date."""
