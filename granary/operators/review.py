@@ -237,3 +237,60 @@ def newest_plan_first(items: DataFrame, *by: str) -> DataFrame:
     """``rank`` of quarantined items (O13): plan and sequence names read as numbers, the largest first, then the entry."""
     number = lambda c: F.coalesce(F.expr(f"try_cast(regexp_extract({c}, '^[0-9]+', 0) as long)"), F.lit(0))
     return items.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(number("plan").desc(), number("seq").desc(), F.desc("entry_id"))))
+
+
+#: The list that a category is on; and all lists, in the order that decides among equals.
+LIST_OF = {
+    "system_junk": "system_junk", "installer_download": "installers", "application_installation": "programs", "os_installation": "programs",
+    "cache": "caches", "temporary_data": "caches", "generated_artifacts": "caches",
+}
+LISTS = ("rescue", "duplicates", "unpacked_archives", "system_junk", "installers", "programs", "caches", "leftovers")
+
+
+def rule_lists(entries: DataFrame) -> DataFrame:
+    """Rows of the lists that rules fill (D12): ``entry_id``, ``source_id``, ``path``, ``list``, ``bytes``.
+
+    ``entries``: entry_id, source_id, path, kind (file, directory), state,
+    quarantined, category, bytes, files, partial_download and complete (a folder
+    in which all could be seen).  An entry is on its category's list; a partial
+    download among the caches is a leftover, and so are empty files and complete
+    folders without files.  On a list only the topmost of nested entries stands.
+    """
+    own = places.mapped(F.col("category"), LIST_OF)
+    partial = F.coalesce("partial_download", F.lit(False))
+    by_rule = F.when(partial & (own == "caches"), "leftovers").otherwise(own)
+    empty = ((F.col("kind") == "file") & (F.col("bytes") == 0)) | ((F.col("kind") == "directory") & (F.col("files") == 0) & (F.col("state") == "present") & F.col("complete"))
+    left = F.when(empty & ~F.coalesce(partial & (own == "caches"), F.lit(False)), "leftovers")
+    named = F.array_distinct(F.filter(F.array(by_rule, left), lambda x: x.isNotNull()))
+    rows = entries.where((F.col("state") != "missing") & ~F.col("quarantined") & (F.col("path") != "")).select("entry_id", "source_id", "path", "bytes", F.explode(named).alias("list"))
+    key = ["list", "source_id", "path"]
+    under = with_ancestors(rows).join(rows.select("list", "source_id", F.col("path").alias("ancestor")), ["list", "source_id", "ancestor"], "left_semi")
+    return rows.join(under.select(*key).distinct(), key, "left_anti")
+
+
+def cards(rows: DataFrame) -> DataFrame:
+    """A card per list (A18): open and decided ``rows`` and ``bytes``, lists without rows too, and their ``place``.
+
+    ``rows``: list, bytes and is_open; a null is_open counts as neither.  Rescue
+    comes first while it has open rows, then more open bytes, then LISTS' order.
+    """
+    amount = lambda c: F.coalesce(F.sum(F.when(c, F.col("bytes"))), F.lit(0)).cast("long")
+    open_, decided = F.col("is_open"), ~F.col("is_open")
+    per = rows.groupBy("list").agg(F.count_if(open_).alias("open_rows"), amount(open_).alias("open_bytes"), F.count_if(decided).alias("decided_rows"), amount(decided).alias("decided_bytes"))
+    every = rows.sparkSession.createDataFrame(list(enumerate(LISTS)), "rank int, list string")
+    figures = ["open_rows", "open_bytes", "decided_rows", "decided_bytes"]
+    full = every.join(per, "list", "left").select("rank", "list", *(F.coalesce(c, F.lit(0)).alias(c) for c in figures))
+    order = Window.orderBy(((F.col("list") == "rescue") & (F.col("open_rows") > 0)).desc(), F.desc("open_bytes"), "rank")  # as many rows as lists
+    return full.withColumn("place", F.row_number().over(order)).drop("rank")
+
+
+def page(rows: DataFrame, name: str, decided: bool, most: int = 50, after: tuple[int, int] | None = None) -> DataFrame:
+    """A list's first rows (O8), open or decided: more bytes first, then the larger id; ``after`` is the (bytes, id) of the last row seen.
+
+    One row more than ``most`` tells that there is a next page.
+    """
+    found = rows.where((F.col("list") == name) & (F.col("is_open") == (not decided)))
+    if after is not None:
+        size, entry = after
+        found = found.where((F.col("bytes") < size) | ((F.col("bytes") == size) & (F.col("entry_id") < entry)))
+    return found.orderBy(F.desc("bytes"), F.desc("entry_id")).limit(most + 1)

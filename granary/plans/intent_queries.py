@@ -137,26 +137,6 @@ def a26(spark, sf):
     return x9(spark, sf).agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
 
 
-_CARD = _I + ", cards AS (SELECT CASE WHEN size < 500 THEN 'leftovers' WHEN state = 'pending' THEN 'unchecked' WHEN unreadable THEN 'rescue' END AS list, size, decision = 'undecided' AS is_open FROM eff)"
-
-
-@query("a18_cards", _CARD + " SELECT list, count(*) FILTER (is_open) AS open_rows, CAST(coalesce(sum(size) FILTER (is_open), 0) AS BIGINT) AS open_bytes, count(*) FILTER (NOT is_open) AS decided_rows, CAST(coalesce(sum(size) FILTER (NOT is_open), 0) AS BIGINT) AS decided_bytes FROM cards WHERE list IS NOT NULL GROUP BY 1")
-def a18(spark, sf):
-    e = effective(spark, sf)
-    list_ = F.when(F.col("size") < 500, "leftovers").when(F.col("state") == "pending", "unchecked").when(F.col("unreadable"), "rescue")
-    open_ = F.col("decision") == "undecided"
-    amount = lambda c: F.sum(F.when(c, F.col("size")).otherwise(0))
-    return e.withColumn("list", list_).where("list is not null").groupBy("list").agg(
-        F.count_if(open_).alias("open_rows"), amount(open_).alias("open_bytes"), F.count_if(~open_).alias("decided_rows"), amount(~open_).alias("decided_bytes")
-    )
-
-
-@query("d12_leftovers", _I + " SELECT entry_id, CASE WHEN size = 0 THEN 'empty' WHEN size < 300 THEN 'tiny' ELSE 'partial' END AS reason FROM eff WHERE size < 300 OR state = 'sampled'")
-def d12(spark, sf):
-    s = F.col("size")
-    return a.tree_docs(spark, sf).where("size < 300 or state = 'sampled'").select("entry_id", F.when(s == 0, "empty").when(s < 300, "tiny").otherwise("partial").alias("reason"))
-
-
 @query("d16_open", _I + " SELECT entry_id, decision = 'undecided' AS is_open FROM eff WHERE state = 'hashed'")
 def d16(spark, sf):
     return effective(spark, sf).where("state = 'hashed'").select("entry_id", (F.col("decision") == "undecided").alias("is_open"))

@@ -301,3 +301,56 @@ def o13(spark, sf):
     d = a.table(spark, sf, "documents")
     items = d.select(F.col("doc_id").alias("entry_id"), "source", (F.col("doc_id") % 13).cast("string").alias("plan"), F.concat((F.col("n_chars") % 101).cast("string"), F.lit("-x")).alias("seq"))
     return review.newest_plan_first(items, "source").select("entry_id", "source", "rank")
+
+
+#: Files of the inventory with two folders a source: a cache with what lies below it, and one without files.
+_LISTED = """listable AS (SELECT entry_id, source_id, path, 'file' AS kind, state, quarantined, category, size AS bytes, 1 AS files, entry_id % 10 = 2 AS partial_download, true AS complete FROM files
+  UNION ALL SELECT -1 - ascii(right(source_id, 1)) - 100 * length(source_id), source_id, 'en/2', 'directory', 'present', false, 'cache', CAST(sum(size) AS BIGINT), count(*), false, true FROM files WHERE path LIKE 'en/2/%' GROUP BY source_id
+  UNION ALL SELECT DISTINCT -10001 - ascii(right(source_id, 1)) - 100 * length(source_id), source_id, 'fr/empty', 'directory', 'present', false, 'unknown', CAST(0 AS BIGINT), 0, false, source_id NOT LIKE '%4' FROM files),
+own_lists AS (SELECT *, CASE WHEN category = 'system_junk' THEN 'system_junk' WHEN category = 'installer_download' THEN 'installers' WHEN category IN ('application_installation', 'os_installation') THEN 'programs'
+  WHEN category IN ('cache', 'temporary_data', 'generated_artifacts') THEN CASE WHEN partial_download THEN 'leftovers' ELSE 'caches' END END AS by_rule,
+  (kind = 'file' AND bytes = 0) OR (kind = 'directory' AND files = 0 AND state = 'present' AND complete) AS empty FROM listable WHERE state <> 'missing' AND NOT quarantined),
+both_lists AS (SELECT entry_id, source_id, path, bytes, by_rule AS list FROM own_lists WHERE by_rule IS NOT NULL UNION SELECT entry_id, source_id, path, bytes, 'leftovers' FROM own_lists WHERE empty),
+list_rows AS (SELECT * FROM both_lists r WHERE NOT EXISTS (SELECT 1 FROM both_lists o WHERE o.list = r.list AND o.source_id = r.source_id AND starts_with(r.path, o.path || '/'))),
+open_rows AS (SELECT r.*, quality IS NULL AS is_open FROM list_rows r LEFT JOIN labels ON doc_id = entry_id)"""
+
+
+def list_rows(spark, sf):
+    f = inv.files(spark, sf)
+    columns = ["entry_id", "source_id", "path", "kind", "state", "quarantined", "category", "bytes", "files", "partial_download", "complete"]
+    own = f.withColumns({"kind": F.lit("file"), "bytes": F.col("size"), "files": F.lit(1).cast("long"), "partial_download": F.col("entry_id") % 10 == 2, "complete": F.lit(True)})
+    code = F.ascii(F.substring("source_id", -1, 1)) + 100 * F.length("source_id")
+    plain = {"kind": F.lit("directory"), "state": F.lit("present"), "quarantined": F.lit(False), "partial_download": F.lit(False)}
+    cache = f.where("path like 'en/2/%'").groupBy("source_id").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("files"))
+    cache = cache.withColumns({**plain, "entry_id": (-1 - code).cast("long"), "path": F.lit("en/2"), "category": F.lit("cache"), "complete": F.lit(True)})
+    empty = f.select("source_id").distinct().withColumns({**plain, "entry_id": (-10001 - code).cast("long"), "path": F.lit("fr/empty"), "category": F.lit("unknown"), "bytes": F.lit(0).cast("long"), "files": F.lit(0).cast("long")})
+    empty = empty.withColumn("complete", ~F.col("source_id").endswith("4"))
+    return review.rule_lists(own.select(*columns).unionByName(cache.select(*columns)).unionByName(empty.select(*columns)))
+
+
+def open_rows(spark, sf):
+    """The lists' rows; what the owner has judged is decided."""
+    judged = a.table(spark, sf, "labels").select(F.col("doc_id").alias("entry_id"), F.col("quality").isNotNull().alias("judged"))
+    return list_rows(spark, sf).join(judged, "entry_id", "left").withColumn("is_open", ~F.coalesce("judged", F.lit(False)))
+
+
+@query("d12_rule_lists", inv.sql(_LISTED) + " SELECT entry_id, list, bytes FROM list_rows")
+def d12(spark, sf):
+    return list_rows(spark, sf).select("entry_id", "list", "bytes")
+
+
+@query(
+    "a18_cards",
+    inv.sql(_LISTED)
+    + """, lists AS (SELECT unnest(['rescue', 'duplicates', 'unpacked_archives', 'system_junk', 'installers', 'programs', 'caches', 'leftovers']) AS list, unnest(range(8)) AS rank),
+    sums AS (SELECT list, rank, count(*) FILTER (is_open) AS open_rows, CAST(coalesce(sum(bytes) FILTER (is_open), 0) AS BIGINT) AS open_bytes, count(*) FILTER (NOT is_open) AS decided_rows,
+      CAST(coalesce(sum(bytes) FILTER (NOT is_open), 0) AS BIGINT) AS decided_bytes FROM lists LEFT JOIN open_rows USING (list) GROUP BY ALL)
+    SELECT list, open_rows, open_bytes, decided_rows, decided_bytes, row_number() OVER (ORDER BY list = 'rescue' AND open_rows > 0 DESC, open_bytes DESC, rank) AS place FROM sums""",
+)
+def a18(spark, sf):
+    return review.cards(open_rows(spark, sf)).withColumn("place", F.col("place").cast("long"))
+
+
+@query("o8_review_page", inv.sql(_LISTED) + " SELECT entry_id, bytes FROM open_rows WHERE list = 'caches' AND is_open ORDER BY bytes DESC, entry_id DESC LIMIT 51")
+def o8(spark, sf):
+    return review.page(open_rows(spark, sf), "caches", False).select("entry_id", "bytes")

@@ -175,12 +175,14 @@ def c11(spark, sf):
     return facts.select("source_id", "folder", Share(("image", "audio"), 0, 0.5).holds(files, size, whole).alias("half"), Share(("image", "audio"), 1, 0.0).holds(files, size, whole).alias("some"))
 
 
-_CATS = "cats(category) AS (VALUES ('personal_media'),('documents'),('source_project'),('application_user_data'),('application_installation'),('application_configuration'),('os_installation'),('installer_download'),('system_junk'),('cache'),('temporary_data'),('generated_artifacts'),('download_collection'),('backup'),('mixed'),('unknown'))"
+_BY_KIND = "by_kind AS (SELECT source_id, CASE WHEN category = 'unknown' THEN ['personal_media','documents','source_project','application_user_data','application_installation','application_configuration','os_installation','installer_download','system_junk','cache','temporary_data','generated_artifacts','download_collection','backup','mixed','unknown'][1 + entry_id % 16] ELSE category END AS category FROM files)"
 
 
-@query("c6_family", "WITH " + _CATS + f", c AS (SELECT category, false AS review FROM cats) SELECT category, {_FAM} AS family, {_TRIAGE} AS triage, {_GROUPED} AS grouped FROM c")
+@query("c6_family", inv.sql(_BY_KIND, f"c AS (SELECT source_id, category, false AS review, count(*) AS files FROM by_kind GROUP BY ALL)") + f" SELECT source_id, category, files, {_FAM} AS family, {_TRIAGE} AS triage, {_GROUPED} AS grouped FROM c")
 def c6(spark, sf):
-    """Family, triage and group of every category."""
-    cats = spark.createDataFrame([(c,) for c in rules.FAMILY_OF], "category string").withColumn("indicators", F.lit(0))
+    """Family, triage and group of the categories that a source's files have."""
+    order = F.array(*(F.lit(c) for c in rules.FAMILY_OF))
+    category = F.when(F.col("category") == "unknown", F.element_at(order, (1 + F.col("entry_id") % 16).cast("int"))).otherwise(F.col("category"))
+    cats = inv.files(spark, sf).groupBy("source_id", category.alias("category")).agg(F.count(F.lit(1)).alias("files")).withColumn("indicators", F.lit(0))
     of = cats.withColumns({"family": rules.mapped(F.col("category"), rules.FAMILY_OF), "triage": F.coalesce(rules.mapped(F.col("category"), rules.TRIAGE_OF), F.lit("review"))})
-    return rules.folder_flags(of).select("category", "family", "triage", "grouped")
+    return rules.folder_flags(of).select("source_id", "category", "files", "family", "triage", "grouped")

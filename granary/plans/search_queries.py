@@ -87,11 +87,6 @@ def o3(spark, sf):
     return d.join(F.broadcast(ids), "entry_id").select("entry_id", "path", "size", "digest")  # 100 ids
 
 
-@query("o8_review_page", _D + " SELECT entry_id, size FROM files WHERE state = 'pending' ORDER BY size DESC, entry_id DESC LIMIT 50")
-def o8(spark, sf):
-    return docs(spark, sf).where("state = 'pending'").orderBy(F.desc("size"), F.desc("entry_id")).limit(50).select("entry_id", "size")
-
-
 @query("o12_resolve", _D + " SELECT entry_id FROM files WHERE size > 5000")
 def o12(spark, sf):
     return search.resolve(docs(spark, sf), search.Query(min_size=5001))
