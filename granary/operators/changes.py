@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.paths import depth, parent, with_ancestors
+from granary.functions.runs import numbered
 
 
 def same_time(a: Column, b: Column, resolution: int, local_time: bool) -> Column:
@@ -63,6 +64,65 @@ def last_copies(discards: DataFrame, copy: DataFrame) -> DataFrame:
     return discards.select("entry_id").join(refused, "entry_id", "left").select("entry_id", F.coalesce("refused", F.lit(False)).alias("refused"))
 
 
+#: The folder of a volume that holds what was set aside.
+QUARANTINE = ".quarantine"
+
+
+def refusal(bulk: bool = False, move_out: bool = False) -> Column:
+    """Why an entry cannot move, whatever names are there; null where it can (X1).  The first reason that holds counts.
+
+    Over the columns source_id, path, kind, state, mount (begins another volume),
+    mounts (such folders below it), decision (its own, or null) and effective of
+    the entry; plan_source, dest (a folder's path), dest_effective and name of the
+    move.  In bulk, nothing kept moves to where it would not be.
+    """
+    path, dest = F.col("path"), F.col("dest")
+    set_aside = lambda c: (c == QUARANTINE) | c.startswith(QUARANTINE + "/")
+    folder = F.col("kind") == "directory"
+    into_itself = folder & ((dest == path) | F.startswith(dest, F.concat(path, F.lit("/"))))
+    there = (dest == parent(path)) & (F.col("name") == F.substring_index(path, "/", -1))
+    loses = F.lit(bulk) & (F.col("effective") == "keep") & F.col("decision").isNull() & (F.col("dest_effective") != F.col("effective"))
+    return (
+        F.when(F.col("source_id") != F.col("plan_source"), "other_source")
+        .when(set_aside(path) & (F.lit(not move_out) | set_aside(dest)), "in_quarantine")
+        .when(F.col("state") == "missing", "missing")
+        .when(path == "", "source_root")
+        .when(F.col("mount"), "other_filesystem")
+        .when(folder & (F.col("mounts") > 0), "contains_mount")
+        .when(into_itself, "into_itself")
+        .when(there, "already_there")
+        .when((dest == "") & (F.col("name") == QUARANTINE), "reserved_name")
+        .when(loses, "would_lose_keep")
+    )
+
+
+def siblings_left(moves: DataFrame, files: DataFrame, fold_case: bool = True) -> DataFrame:
+    """Moves that leave files of the same stem behind (X20): ``entry_id`` and ``left``, their number.
+
+    ``moves``: entry_id, folder, name, dest; ``files``: folder, name of all that is
+    there.  Files of one stem that go to the same place stay together.  Figures per
+    folder and stem, and per destination, tell; files are not paired.
+    """
+    stem = F.regexp_replace("name", r"(.)\.[^.]*$", "$1")
+    key = F.lower(stem) if fold_case else stem
+    total = files.withColumn("stem", key).groupBy("folder", "stem").agg(F.count(F.lit(1)).alias("total"))
+    marked = moves.withColumn("stem", key)
+    together = marked.groupBy("folder", "stem", "dest").agg(F.count(F.lit(1)).alias("together"))
+    at = marked.join(total, ["folder", "stem"]).join(together, ["folder", "stem", "dest"])
+    return at.select("entry_id", (F.col("total") - F.col("together")).alias("left")).where(F.col("left") > 0)
+
+
+def drop_unused_folders(items: DataFrame) -> DataFrame:
+    """A plan without the folders that nothing moves into (X21), numbered anew: ``seq`` from 1, ``was`` before.
+
+    ``items``: seq, op (mkdir, rename), path (where it is made or moved to) and
+    state.  A folder is needed by the planned moves at any depth below it.
+    """
+    needed = with_ancestors(items.where("op = 'rename' and state = 'planned'").select("path")).select(F.col("ancestor").alias("path"), F.lit("mkdir").alias("op")).distinct()
+    kept = items.where("op <> 'mkdir'").unionByName(items.where("op = 'mkdir'").join(needed, ["path", "op"], "left_semi").select(*items.columns))
+    return numbered(kept, [], ["seq"], "place").withColumnRenamed("seq", "was").withColumnRenamed("place", "seq")
+
+
 #: Highest number put behind a name, and bytes that a name can have.
 MOST_SUFFIX, MOST_NAME_BYTES = 999, 255
 

@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from granary.functions.paths import parent, with_ancestors
 from granary.operators import changes
 from granary.plans.inventory_queries import tables
 from granary.plans.registry import query
+from granary.plans.tree_queries import _ENTRIES, entries
 from granary.sources import adapters as a
 from granary.sources import inventory as inv
 from granary.streaming import ingest
@@ -56,9 +58,34 @@ def s16(spark, sf):
     return a.table(spark, sf, "events").groupBy(F.col("user_id").alias("command_key")).agg(F.min("event_id").alias("first_id"), (F.count_distinct("props") > 1).alias("conflict"))
 
 
-@query("x1_refusal", _D + " SELECT entry_id, CASE WHEN unreadable THEN 'unreadable' WHEN state = 'pending' THEN 'pending' WHEN size > 9000 THEN 'too_large' END AS reason FROM tree_docs")
+#: Where each file and folder of the inventory is to go: back where it is, into itself, to the top, or to another folder.
+_WISH = """wish AS (SELECT *, CASE WHEN path LIKE '%1' THEN 'src1' ELSE source_id END AS plan_source, CASE length(path) % 5 WHEN 0 THEN regexp_replace(path, '/?[^/]*$', '') WHEN 1 THEN path || '/x' WHEN 2 THEN '' ELSE 'en/3' END AS dest,
+  CASE WHEN length(path) % 5 = 2 AND kind = 'directory' THEN '.quarantine' ELSE regexp_extract(path, '[^/]*$') END AS name, CASE WHEN length(path) % 3 = 0 THEN 'keep' ELSE 'undecided' END AS effective,
+  CASE WHEN length(path) % 2 = 0 THEN 'keep' END AS decision, 'undecided' AS dest_effective, (SELECT count(*) FROM entries m WHERE m.mount AND m.source_id = e.source_id AND starts_with(m.path, e.path || '/')) AS mounts FROM entries e)"""
+
+
+@query(
+    "x1_refusal",
+    inv.sql(_ENTRIES, _WISH)
+    + """ SELECT source_id, path, kind, CASE WHEN source_id <> plan_source THEN 'other_source' WHEN path = '.quarantine' OR starts_with(path, '.quarantine/') THEN 'in_quarantine' WHEN state = 'missing' THEN 'missing' WHEN path = '' THEN 'source_root'
+      WHEN mount THEN 'other_filesystem' WHEN kind = 'directory' AND mounts > 0 THEN 'contains_mount' WHEN kind = 'directory' AND (dest = path OR starts_with(dest, path || '/')) THEN 'into_itself'
+      WHEN dest = regexp_replace(path, '/?[^/]*$', '') AND name = regexp_extract(path, '[^/]*$') THEN 'already_there' WHEN dest = '' AND name = '.quarantine' THEN 'reserved_name'
+      WHEN effective = 'keep' AND decision IS NULL AND dest_effective <> effective THEN 'would_lose_keep' END AS reason FROM wish""",
+)
 def x1(spark, sf):
-    return a.tree_docs(spark, sf).select("entry_id", F.when(F.col("unreadable"), "unreadable").when(F.col("state") == "pending", "pending").when(F.col("size") > 9000, "too_large").alias("reason"))
+    rows = entries(spark, sf)
+    path, last = F.col("path"), F.substring_index("path", "/", -1)
+    rest = F.length("path") % 5
+    mounts = with_ancestors(rows.where("mount")).groupBy("source_id", F.col("ancestor").alias("path")).agg(F.count(F.lit(1)).alias("mounts"))
+    wish = rows.join(mounts, ["source_id", "path"], "left").withColumns(
+        {
+            "mounts": F.coalesce("mounts", F.lit(0)), "plan_source": F.when(path.endswith("1"), "src1").otherwise(F.col("source_id")),
+            "dest": F.when(rest == 0, parent(path)).when(rest == 1, F.concat(path, F.lit("/x"))).when(rest == 2, "").otherwise("en/3"),
+            "name": F.when((rest == 2) & (F.col("kind") == "directory"), ".quarantine").otherwise(last), "effective": F.when(F.length("path") % 3 == 0, "keep").otherwise("undecided"),
+            "decision": F.when(F.length("path") % 2 == 0, "keep"), "dest_effective": F.lit("undecided"),
+        }
+    )
+    return wish.select("source_id", "path", "kind", changes.refusal(bulk=True).alias("reason"))
 
 
 @query("x2_conflict", "SELECT p_partkey AS seq, row_number() OVER (PARTITION BY p_brand, lower(p_type) ORDER BY p_partkey) > 1 AS conflict FROM part")
@@ -128,19 +155,37 @@ def x10(spark, sf):
     return changes.last_copies(files.alias("f").where(_GONE.replace("starts_with", "startswith")).select("entry_id", "source_id", "path"), copy)
 
 
-@query("x20_siblings", _D + " SELECT entry_id FROM tree_docs t WHERE kind <> 'de' AND EXISTS (SELECT 1 FROM tree_docs m WHERE m.kind = 'de' AND m.source_id = t.source_id AND m.entry_id // 200 = t.entry_id // 200)")
+_STEMS = """pf AS (SELECT p_partkey AS entry_id, p_brand AS folder, CASE WHEN p_size % 2 = 0 THEN p_type ELSE lower(p_type) END || ['.jpg', '.xmp', '.mov', ''][1 + p_size % 4] AS name, 'y' || p_size % 3 AS dest FROM part),
+mv AS (SELECT * FROM pf WHERE entry_id % 3 = 0), st AS (SELECT *, lower(regexp_replace(name, '(.)\\.[^.]*$', '\\1')) AS stem FROM pf)"""
+
+
+@query("x20_siblings", f"WITH {_STEMS} SELECT m.entry_id, count(*) AS left FROM st m JOIN st o ON o.folder = m.folder AND o.stem = m.stem AND o.entry_id <> m.entry_id WHERE m.entry_id IN (SELECT entry_id FROM mv) AND NOT (o.entry_id IN (SELECT entry_id FROM mv) AND o.dest = m.dest) GROUP BY 1")
 def x20(spark, sf):
-    t = a.tree_docs(spark, sf).select("entry_id", "source_id", "kind", F.expr("entry_id div 200").alias("stem"))
-    moved = t.where("kind = 'de'").select("source_id", "stem").distinct()
-    return t.where("kind <> 'de'").join(moved, ["source_id", "stem"], "left_semi").select("entry_id")
+    """Parts by brand and type with one of four endings; every third moves."""
+    stem = F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise(F.lower("p_type"))
+    ending = F.element_at(F.array(*(F.lit(e) for e in (".jpg", ".xmp", ".mov", ""))), 1 + F.col("p_size") % 4)
+    files = a.table(spark, sf, "part").select(F.col("p_partkey").alias("entry_id"), F.col("p_brand").alias("folder"), F.concat(stem, ending).alias("name"), F.concat(F.lit("y"), (F.col("p_size") % 3).cast("string")).alias("dest"))
+    return changes.siblings_left(files.where("entry_id % 3 = 0"), files)
+
+
+_PLAN = """plan AS (SELECT DISTINCT o_custkey * 1000000000 AS seq, 'mkdir' AS op, 'c' || o_custkey AS path, 'planned' AS state FROM orders
+  UNION ALL SELECT DISTINCT o_custkey * 1000000000 + 1 + ascii(o_orderstatus), 'mkdir', 'c' || o_custkey || '/' || o_orderstatus, 'planned' FROM orders
+  UNION ALL SELECT o_custkey * 1000000000 + 1000 + o_orderkey, 'rename', 'c' || o_custkey || '/' || o_orderstatus || '/' || o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 3 = 0 THEN 'planned' ELSE 'conflict' END FROM orders),
+kept AS (SELECT * FROM plan p WHERE op = 'rename' OR EXISTS (SELECT 1 FROM plan m WHERE m.op = 'rename' AND m.state = 'planned' AND starts_with(m.path, p.path || '/')))"""
 
 
-@query("x21_renumber", _D + " SELECT entry_id, row_number() OVER (PARTITION BY source_id ORDER BY entry_id) - 1 AS seq FROM tree_docs WHERE kind IN (SELECT kind FROM tree_docs GROUP BY 1 HAVING count(*) > 120)")
+@query("x21_renumber", f"WITH {_PLAN} SELECT op, path, state, seq AS was, row_number() OVER (ORDER BY seq) AS seq FROM kept")
 def x21(spark, sf):
-    t = a.tree_docs(spark, sf)
-    used = t.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).where("n > 120").select("kind")
-    seq = F.row_number().over(Window.partitionBy("source_id").orderBy("entry_id")).cast("long") - 1
-    return t.join(used, "kind", "left_semi").select("entry_id", seq.alias("seq"))
+    """A folder per customer and per state of its orders, and the orders that move into them or cannot."""
+    o = a.table(spark, sf, "orders")
+    base, customer = F.col("o_custkey") * 1_000_000_000, F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    status = F.concat_ws("/", customer, "o_orderstatus")
+    planned = F.lit("planned").alias("state")
+    made = o.select(base.alias("seq"), F.lit("mkdir").alias("op"), customer.alias("path"), planned).distinct()
+    made = made.unionByName(o.select((base + 1 + F.ascii("o_orderstatus")).alias("seq"), F.lit("mkdir").alias("op"), status.alias("path"), planned).distinct())
+    state = F.when((F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 3 == 0), "planned").otherwise("conflict")
+    moved = o.select((base + 1000 + F.col("o_orderkey")).alias("seq"), F.lit("rename").alias("op"), F.concat_ws("/", status, F.col("o_orderkey").cast("string")).alias("path"), state.alias("state"))
+    return changes.drop_unused_folders(made.unionByName(moved)).withColumn("seq", F.col("seq").cast("long"))
 
 
 @query("t2_distinct", _D + " SELECT source_id FROM tree_docs WHERE kind = 'de' UNION SELECT source_id FROM tree_docs WHERE size > 9000")
@@ -161,8 +206,6 @@ def t12(spark, sf):
 
 @query("s17_overlapping_roots", a.with_tables(a.TREE_PAGES) + ", h AS (SELECT DISTINCT path FROM tree_pages) SELECT x.path AS outer_path, y.path AS inner_path FROM h x JOIN h y ON y.path LIKE x.path || '/%'")
 def s17(spark, sf):
-    from granary.functions.paths import with_ancestors
-
     h = a.tree_pages(spark, sf).select("path").distinct()
     return with_ancestors(h).join(h.withColumnRenamed("path", "outer_path"), F.col("ancestor") == F.col("outer_path")).select("outer_path", F.col("path").alias("inner_path"))
 
