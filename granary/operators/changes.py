@@ -64,6 +64,13 @@ def last_copies(discards: DataFrame, copy: DataFrame) -> DataFrame:
     return discards.select("entry_id").join(refused, "entry_id", "left").select("entry_id", F.coalesce("refused", F.lit(False)).alias("refused"))
 
 
+def overlapping_roots(roots: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Roots (``path``) that lie below another root of their volume (S17): ``outer_path``, ``inner_path``."""
+    known = roots.select(*by, "path").distinct()
+    outer = known.withColumnRenamed("path", "outer_path").withColumn("ancestor", F.col("outer_path"))
+    return with_ancestors(known).join(outer, [*by, "ancestor"]).select(*by, "outer_path", F.col("path").alias("inner_path"))
+
+
 #: The folder of a volume that holds what was set aside.
 QUARANTINE = ".quarantine"
 

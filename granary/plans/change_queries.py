@@ -204,10 +204,14 @@ def t12(spark, sf):
     return a.table(spark, sf, "events").where("ts < timestamp_ntz'2024-01-10 00:00:00' and event_type = 'click'").select("event_id")
 
 
-@query("s17_overlapping_roots", a.with_tables(a.TREE_PAGES) + ", h AS (SELECT DISTINCT path FROM tree_pages) SELECT x.path AS outer_path, y.path AS inner_path FROM h x JOIN h y ON y.path LIKE x.path || '/%'")
+_ROOTS = """roots AS (SELECT DISTINCT entry_id % 2 AS volume, array_to_string(string_split(path, '/')[: 1 + entry_id % 3], '/') AS path FROM tree_pages)"""
+
+
+@query("s17_overlapping_roots", a.with_tables(a.TREE_PAGES, _ROOTS) + " SELECT x.volume, x.path AS outer_path, y.path AS inner_path FROM roots x JOIN roots y ON y.volume = x.volume AND starts_with(y.path, x.path || '/')")
 def s17(spark, sf):
-    h = a.tree_pages(spark, sf).select("path").distinct()
-    return with_ancestors(h).join(h.withColumnRenamed("path", "outer_path"), F.col("ancestor") == F.col("outer_path")).select("outer_path", F.col("path").alias("inner_path"))
+    """Roots are hosts, their folders and pages, on one of two volumes."""
+    cut = F.call_function("substring_index", F.col("path"), F.lit("/"), (1 + F.col("entry_id") % 3).cast("int"))
+    return changes.overlapping_roots(a.tree_pages(spark, sf).select((F.col("entry_id") % 2).alias("volume"), cut.alias("path")), ["volume"])
 
 
 @query(

@@ -160,14 +160,19 @@ def w3(spark, sf):
 
 
 _RESCUE = a.with_tables(a.TREE_ORDERS, a.closure_sql("tree_orders")) + """,
-  g AS (SELECT DISTINCT ancestor AS path FROM closure WHERE (level = 3 AND family = 'O') OR (level = 2 AND ancestor LIKE 'ASIA/%')),
+  g AS MATERIALIZED (SELECT DISTINCT ancestor AS path FROM closure WHERE (level = 3 AND family = 'O') OR (level = 2 AND ancestor LIKE 'ASIA/%')),
   ind AS (SELECT ancestor AS path, CAST(sum(size) AS BIGINT) AS bytes FROM closure WHERE level = 4 GROUP BY 1 HAVING max(size) = 50 UNION ALL SELECT path, size FROM tree_orders WHERE kind = 'R'),
   up AS (SELECT path, bytes, string_split(path, '/') AS p FROM ind),
-  spots AS (SELECT path, bytes, array_to_string(p[1:k], '/') AS up, k FROM up, range(1, 5) r(k) WHERE k < len(p)),
-  ins AS (SELECT spots.path, bytes, arg_min(spots.up, k) AS group_path FROM spots JOIN g ON g.path = spots.up GROUP BY ALL)"""
+  spots AS MATERIALIZED (SELECT path, bytes, array_to_string(p[1:k], '/') AS up, k FROM up, range(1, 5) r(k) WHERE k < len(p)),
+  ins AS MATERIALIZED (SELECT spots.path, bytes, arg_min(spots.up, k) AS group_path FROM spots JOIN g ON g.path = spots.up GROUP BY ALL)"""
 
 
-@query("d15_rescue", _RESCUE + " SELECT group_path, path, bytes FROM ins i WHERE NOT EXISTS (SELECT 1 FROM spots JOIN ins o ON o.path = spots.up WHERE spots.path = i.path)")
+@query(
+    "d15_rescue",
+    _RESCUE
+    + """, inner_ins AS MATERIALIZED (SELECT path FROM ins), covered AS MATERIALIZED (SELECT DISTINCT s.path FROM (SELECT path, up FROM spots WHERE path IN (SELECT path FROM inner_ins)) s JOIN inner_ins o ON o.path = s.up)
+    SELECT i.group_path, i.path, i.bytes FROM ins i LEFT JOIN covered c USING (path) WHERE c.path IS NULL""",
+)
 def d15(spark, sf):
     t = a.tree_orders(spark, sf)
     c = with_ancestors(t)

@@ -15,6 +15,7 @@ from granary.plans.inventory_queries import _PJ2, _PLACED, placed, tables
 from granary.plans.registry import query
 from granary.sources import adapters as a
 from granary.sources import inventory as inv
+from granary.sources import nested
 
 _AT = "source_id || '/' || path"
 _HELD = "content_state = 'hashed' AND state = 'present' AND NOT quarantined AND size > 0"
@@ -34,14 +35,6 @@ def folder_files(spark, sf):
     return inv.files(spark, sf).where(_HELD).select(F.regexp_replace(at, "/[^/]*$", "").alias("folder"), F.col("digest").alias("key"), "size")
 
 
-def archive_files(spark, sf):
-    """Contents of complete archives as folders ``archive:id``; an archive with a member that is not read is left out."""
-    _, members, _ = tables(spark, sf)
-    rows = members.where("listing = 'complete' and state = 'present' and not quarantined")
-    whole = rows.groupBy("archive_id").agg(F.bool_and(F.coalesce(F.col("digest").isNotNull() & (F.col("content_state") == "hashed"), F.lit(False))).alias("whole")).where("whole")
-    return rows.join(whole.select("archive_id"), "archive_id", "left_semi").select(F.concat(F.lit("archive:"), "archive_id").alias("folder"), F.col("digest").alias("key"), "size")
-
-
 @query(
     "a15_duplicate_groups",
     inv.sql(_FF, _IN)
@@ -73,15 +66,21 @@ def w2(spark, sf):
 
 @query(
     "d14_unpacked",
-    inv.sql(_FF)
-    + """, placed_m AS (SELECT m.archive_id, m.digest, m.content_state FROM members m JOIN archives a USING (archive_id) JOIN files f ON f.entry_id = m.archive_id
-      WHERE a.listing = 'complete' AND f.state = 'present' AND NOT f.quarantined),
-    whole AS (SELECT archive_id, list_sort(list_distinct(list(digest))) AS ks FROM placed_m GROUP BY 1 HAVING bool_and(coalesce(content_state = 'hashed' AND digest IS NOT NULL, false))),
-    fs AS (SELECT folder, list_sort(list_distinct(list(key))) AS ks FROM ff GROUP BY 1)
-    SELECT 'archive:' || archive_id AS archive, folder, w.ks = fs.ks AS same FROM whole w JOIN fs ON list_has_all(fs.ks, w.ks) QUALIFY row_number() OVER (PARTITION BY archive_id ORDER BY same DESC, folder) = 1""",
+    f"""WITH {nested.SQL},
+    held AS (SELECT *, source_id || '/' || archive AS z, source_id || '/' || array_to_string(string_split(path, '/')[: 2], '/') AS folder FROM line_files WHERE size > 0),
+    whole AS MATERIALIZED (SELECT z, list_sort(list_distinct(list(digest))) AS ks FROM held WHERE archive IS NOT NULL GROUP BY 1 HAVING bool_and(digest IS NOT NULL)),
+    fs AS MATERIALIZED (SELECT folder, list_sort(list_distinct(list(digest))) AS ks FROM held WHERE archive IS NULL AND digest IS NOT NULL GROUP BY 1)
+    SELECT z AS archive, folder, w.ks = fs.ks AS same FROM whole w JOIN fs ON list_has_all(fs.ks, w.ks) QUALIFY row_number() OVER (PARTITION BY z ORDER BY same DESC, folder) = 1""",
 )
 def d14(spark, sf):
-    return review.unpacked(archive_files(spark, sf), folder_files(spark, sf))
+    """Archives of the nested tree whose lines lie in one document's folder; one with a line that was not read is left out."""
+    rows = nested.files(spark, sf).where("size > 0")
+    z = rows.where("archive is not null").withColumn("folder", F.concat_ws("/", "source_id", "archive"))
+    open_ = z.where("digest is null").select("folder").distinct()
+    folder = F.concat_ws("/", "source_id", F.substring_index("path", "/", 2))
+    named = rows.where("archive is null and digest is not null").withColumn("folder", folder)
+    keyed = lambda d: d.select("folder", F.col("digest").alias("key"), "size")
+    return review.unpacked(keyed(z.join(open_, "folder", "left_anti")), keyed(named))
 
 
 @query(
