@@ -25,6 +25,8 @@ from granary.llm.common import checkpoint, prefix_sums
 
 #: Share of a shard's size up to which the copies of one text stay in one shard.
 TOGETHER = 0.02
+#: Rows of the numbering that meet their group at once.
+STRETCH = 256
 
 
 def assign_shards(docs: DataFrame, shards: int = 24, record_cost: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,9 +45,12 @@ def assign_shards(docs: DataFrame, shards: int = 24, record_cost: int = 8, id_co
     )
     rows = thin.join(repeated, "text_key", "left").withColumn("lead", F.coalesce("lead", "id"))
     placed = checkpoint(prefix_sums(rows, ["lead", "text_key", "id"], "size"))
-    starts = placed.where("group_size is not null").groupBy("text_key").agg(F.min("size_before").alias("start"))
+    # a group is a run of the numbering, so it meets its rows stretch by stretch and none is hot
+    runs = placed.where("group_size is not null").groupBy("text_key").agg(F.min("size_before").alias("start"), F.min("row_index").alias("low"), F.max("row_index").alias("high"))
+    stretch = lambda c: F.floor(F.col(c) / STRETCH)
+    starts = runs.select("text_key", "start", F.explode(F.sequence(stretch("low"), stretch("high"))).alias("stretch"))
     middle = F.coalesce(2 * F.col("start") + F.col("group_size"), 2 * F.col("size_before") + F.col("size"))
-    cut = placed.join(starts, "text_key", "left").join(F.broadcast(whole)).withColumn("middle", middle)
+    cut = placed.withColumn("stretch", stretch("row_index")).join(starts, ["text_key", "stretch"], "left").join(F.broadcast(whole)).withColumn("middle", middle)
     cut = cut.withColumn("shard", F.least(F.lit(shards - 1), F.expr(f"(middle * {shards}) div (2 * total)")).cast("int"))
     first = cut.groupBy("shard").agg(F.min("row_index").alias("first_row"))  # one row per shard
     return cut.join(F.broadcast(first), "shard").select(
