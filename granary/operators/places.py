@@ -217,15 +217,43 @@ def duplicate_class(inside: Column | None = None) -> Column:
 
 
 def sums(rows: DataFrame, *by: str) -> DataFrame:
-    """Files and bytes of each place and of disposable files, by group; what has no place or is empty counts nowhere."""
+    """Files and bytes of each place and of disposable files, by group; what has no place or is empty counts nowhere.
+
+    A column ``n``, where there is one, says for how many files a row counts.
+    """
     counted = rows.where(F.col("place").isin(*ORDER))
+    n = F.col("n") if "n" in rows.columns else F.lit(1)
     out = []
     for p in (*ORDER, "disposable"):
         here = F.col("disposable") if p == "disposable" else (F.col("place") == p) & ~F.col("disposable")
-        out += [F.count_if(here).alias(f"{p}_files"), F.sum(F.when(here, F.col("size")).otherwise(0)).alias(f"{p}_bytes")]
+        amount = lambda c: F.sum(F.when(here, c).otherwise(0)).cast("long")  # noqa: B023, E731
+        out += [amount(n).alias(f"{p}_files"), amount(F.col("size")).alias(f"{p}_bytes")]
     return counted.groupBy(*by).agg(*out)
 
 
+def with_archives_split(rows: DataFrame, covers: DataFrame) -> DataFrame:
+    """``rows`` of files with complete archives dealt over the places of their members (A20), for ``sums``.
+
+    ``covers`` is ``cover`` of the archives.  An archive that is not disposable
+    gives each place its share of the archive's own size and is one file in the
+    first place that its members are in; with no bytes in its members it counts
+    nowhere.
+    """
+    weights = covers.select(F.col("archive_id").alias("entry_id"), F.array(*(F.col(f"{p}_bytes") for p in ORDER)).alias("weights"))
+    at = rows.join(weights, "entry_id", "left")
+    shares = split_archive(F.col("size"), F.col("weights"))
+    some = F.transform("weights", lambda w: w > 0)
+    first = F.array_position(some, F.lit(True))
+    names = F.array(*(F.lit(p) for p in ORDER))
+    part = lambda place, size, n: F.struct(place.alias("place"), size.cast("long").alias("size"), n.cast("int").alias("n"))
+    dealt = F.transform(shares, lambda x, k: part(F.element_at(names, k + 1), x, F.when(k + 1 == first, 1).otherwise(0)))
+    dealt = F.filter(F.zip_with(dealt, some, lambda d, y: F.when(y, d)), lambda d: d.isNotNull())
+    split = F.col("weights").isNotNull() & ~F.col("disposable") & F.col("place").isin(*ORDER)
+    parts = F.when(split, dealt).otherwise(F.array(part(F.col("place"), F.col("size"), F.lit(1))))
+    rest = [c for c in rows.columns if c not in ("place", "size", "n")]
+    return at.select(*rest, F.explode(parts).alias("part")).select(*rest, "part.place", "part.size", "part.n")
+
+
 def folder_place(complete: Column) -> Column:
     """The first place in ORDER with a file; other_source and none become unreadable below an incomplete folder."""
     out = F.when(F.col(f"{ORDER[0]}_files") > 0, ORDER[0])

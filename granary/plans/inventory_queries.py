@@ -193,16 +193,34 @@ def d7(spark, sf):
 _SUMS = (
     "sums AS (SELECT source_id, ancestor, "
     + ", ".join(
-        f"count(*) FILTER ({t}) AS {p}_files, CAST(coalesce(sum(size) FILTER ({t}), 0) AS BIGINT) AS {p}_bytes"
+        f"CAST(coalesce(sum(n) FILTER ({t}), 0) AS BIGINT) AS {p}_files, CAST(coalesce(sum(size) FILTER ({t}), 0) AS BIGINT) AS {p}_bytes"
         for p, t in [(p, f"place = '{p}' AND NOT disposable") for p in ("only_copy", "this_source", "unchecked", "unreadable", "other_source")] + [("disposable", "disposable")]
     )
     + " FROM closure WHERE place IN ('only_copy','this_source','unchecked','unreadable','other_source') GROUP BY ALL)"
 )
 
 
-@query("a20_place_sums", inv.sql(_PLACED, closure_sql("placed", True), _SUMS) + " SELECT * FROM sums")
+#: ``dealt``: placed files, with complete archives dealt over the places of their members.
+_DEALT = f"""{_MPLACE},
+eff AS (SELECT i.archive_id, i.size, CASE WHEN p.place = 'other_source' THEN 'other_source' WHEN p.place = 'this_source' AND i.place = 'only_copy' THEN 'this_source' ELSE i.place END AS place
+  FROM mplaced i JOIN placed p ON p.entry_id = i.archive_id WHERE i.place IN ('only_copy','this_source','unchecked','unreadable','other_source')),
+aw AS (SELECT p.entry_id, p.size, [coalesce(sum(e.size) FILTER (e.place = x), 0) FOR x IN []]::HUGEINT[] AS none, [{", ".join(f"coalesce(sum(e.size) FILTER (e.place = '{x}'), 0)" for x in places.ORDER)}]::HUGEINT[] AS w
+  FROM placed p JOIN eff e ON e.archive_id = p.entry_id WHERE NOT p.disposable AND p.place IN ('only_copy','this_source','unchecked','unreadable','other_source') GROUP BY p.entry_id, p.size),
+{places.split_sql("aw")},
+dealt AS (SELECT entry_id, source_id, path, state, disposable, place, size, 1 AS n FROM placed WHERE entry_id NOT IN (SELECT entry_id FROM aw)
+  UNION ALL SELECT p.entry_id, source_id, path, state, disposable, [{", ".join(f"'{x}'" for x in places.ORDER)}][k], shares[k], CASE WHEN len([j FOR j IN range(1, k) IF w[j] > 0]) = 0 THEN 1 ELSE 0 END
+  FROM split s JOIN placed p USING (entry_id), range(1, 6) t(k) WHERE w[k] > 0)""".replace("[coalesce(sum(e.size) FILTER (e.place = x), 0) FOR x IN []]::HUGEINT[] AS none, ", "")
+
+
+def dealt(spark, sf, rows):
+    """``placed`` rows for sums, with complete archives dealt over places."""
+    own = rows.select(F.col("entry_id").alias("archive_id"), F.col("place").alias("own_place"))
+    return places.with_archives_split(rows, places.cover(places.sums(placed_members(spark, sf), "archive_id"), own))
+
+
+@query("a20_place_sums", inv.sql(_PLACED, _DEALT, closure_sql("dealt", True), _SUMS) + " SELECT * FROM sums")
 def a20(spark, sf):
-    return places.sums(with_ancestors(placed(spark, sf), True), "source_id", "ancestor")
+    return places.sums(with_ancestors(dealt(spark, sf, placed(spark, sf)), True), "source_id", "ancestor")
 
 
 _BLIND = inv.PARTIAL_SQL + """, seen AS (SELECT source_id, ancestor, bool_or(state = 'unreadable') AS shut FROM closure GROUP BY ALL),
@@ -225,14 +243,14 @@ def f22(spark, sf):
 
 @query(
     "d8_folder_place",
-    inv.sql(_PLACED, closure_sql("placed", True), _SUMS, _BLIND)
+    inv.sql(_PLACED, _DEALT, closure_sql("dealt", True), _SUMS, _BLIND)
     + """, decided AS (SELECT source_id, ancestor, blind, CASE WHEN only_copy_files > 0 THEN 'only_copy' WHEN this_source_files > 0 THEN 'this_source' WHEN unchecked_files > 0 THEN 'unchecked'
       WHEN unreadable_files > 0 THEN 'unreadable' WHEN other_source_files > 0 THEN 'other_source' ELSE 'none' END AS p FROM blind LEFT JOIN sums USING (source_id, ancestor))
     SELECT source_id, ancestor, CASE WHEN blind AND p IN ('other_source', 'none') THEN 'unreadable' ELSE p END AS place FROM decided""",
 )
 def d8(spark, sf):
     rows = placed(spark, sf)
-    whole = blind(spark, sf, rows).join(places.sums(with_ancestors(rows, True), "source_id", "ancestor"), ["source_id", "ancestor"], "left")
+    whole = blind(spark, sf, rows).join(places.sums(with_ancestors(dealt(spark, sf, rows), True), "source_id", "ancestor"), ["source_id", "ancestor"], "left")
     return whole.select("source_id", "ancestor", places.folder_place(~F.col("blind")).alias("place"))
 
 
