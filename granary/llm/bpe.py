@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -32,6 +33,8 @@ from granary.llm.common import slices
 SEEN_WORDS, SEEN_FRAGMENTS = 400_000, 50_000
 #: Symbols from which on a fragment's pairs wait in a heap.
 LONG = 48
+#: Ranks after every join.
+NO_JOIN = (1 << 60, -1)
 
 
 def byte_letters() -> list[str]:
@@ -64,6 +67,7 @@ class Codec:
             s = self._symbols(token)
             for pair in zip(s, s[1:], strict=False):
                 self.can_meet[pair] = True
+        self.meets = [row.tobytes() for row in self.can_meet]
         piece = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(piece.replace(r"\s", r"\p{White_Space}")).findall
         self.gaps = regex.compile(r"\p{White_Space}+").sub
@@ -83,12 +87,20 @@ class Codec:
         ids = [self.base[s] for s in symbols]
         if len(ids) >= LONG:
             return self.merge_long(ids)
-        while len(ids) > 1:
-            found = [(self.joins[p][0], k) for k, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.joins]
-            if not found:
+        # what each pair of neighbours joins to, as (rank, id); a join renews only the two pairs beside it
+        joins, none = self.joins, NO_JOIN
+        found = [joins.get(p, none) for p in zip(ids, ids[1:], strict=False)]
+        while found:
+            best = min(found)
+            if best is none:
                 break
-            _, k = min(found)
-            ids[k : k + 2] = [self.joins[ids[k], ids[k + 1]][1]]
+            k = found.index(best)
+            ids[k : k + 2] = [best[1]]
+            del found[k]
+            if k:
+                found[k - 1] = joins.get((ids[k - 1], ids[k]), none)
+            if k < len(found):
+                found[k] = joins.get((ids[k], ids[k + 1]), none)
         return tuple(ids)
 
     def merge_long(self, ids: list[int]) -> tuple[int, ...]:
@@ -115,9 +127,9 @@ class Codec:
         """Ids of one piece between white space and class changes."""
         symbols = list(piece.encode())
         symbols[-1] += 256
-        start, out = 0, []
-        for k in range(1, len(symbols) + 1):
-            if k == len(symbols) or not self.can_meet[symbols[k - 1], symbols[k]]:
+        start, out, meets, n = 0, [], self.meets, len(symbols)
+        for k in range(1, n + 1):
+            if k == n or not meets[symbols[k - 1]][symbols[k]]:
                 fragment = tuple(symbols[start:k])
                 if (ids := self.fragments.get(fragment)) is None:
                     if len(self.fragments) >= SEEN_FRAGMENTS:
@@ -131,7 +143,7 @@ class Codec:
 
     def unseen(self, word: str) -> bytes:
         ids = [i for piece in self.pieces(word) for i in self.word(piece)]
-        packed = np.array(ids, "<u4").tobytes()
+        packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(self.words) >= SEEN_WORDS:
             self.words.clear()
         if len(word) <= 64:
