@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.sources.adapters import table
+from granary.sources.adapters import MTIME_NS, table
 
 #: Extension, file kind and category by the remainder of the id modulo 8.
 SORTS = (
@@ -31,7 +31,7 @@ def _by_sort(column: int, archive: str) -> str:
     return _SORT.format(archive, *(s[column] for s in SORTS))
 
 
-#: Column expressions that Spark and DuckDB read alike.
+#: Column expressions that Spark and DuckDB read alike; of ``mtime_ns`` Spark reads MTIME_NS.
 _COLUMNS = {
     "entry_id": "doc_id",
     "source_id": "source",
@@ -65,7 +65,8 @@ _MEMBER = {
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per file; ``digest`` only where its content state is hashed."""
     d = table(spark, sf_dir, "documents")
-    out = d.select(*(F.expr(e.format(text="string")).alias(c) for c, e in _COLUMNS.items()), F.sha2("text", 256).alias("digest"))
+    own = _COLUMNS | {"mtime_ns": MTIME_NS}
+    out = d.select(*(F.expr(e.format(text="string")).alias(c) for c, e in own.items()), F.sha2("text", 256).alias("digest"))
     return out.withColumn("digest", F.when(F.col("content_state") == "hashed", F.col("digest")))
 
 
