@@ -168,3 +168,16 @@ def test_what_could_not_be_seen_rises(spark):
     partial = spark.createDataFrame([("s", "a/b/deep"), ("t", "q")], "source_id string, path string")
     got = {(r.source_id, r.ancestor): r.blind for r in places.blind(rows, partial).collect()}
     assert got == {("s", ""): True, ("s", "a"): True, ("s", "a/b"): True, ("s", "c"): True, ("s", "d"): False, ("t", ""): True, ("t", "a"): False, ("t", "a/b"): False}
+
+
+def test_composition_of_nested_groups_goes_up_by_levels(spark):
+    """Groups in groups, a group without a family, and no window over all files' ancestors."""
+    rows = [("a/b/c/1", "F", 1), ("a/b/c/2", "O", 2), ("a/b/3", "F", 4), ("a/d/4", "O", 8), ("e/5", None, 16), ("6", "F", 32)]
+    t = spark.createDataFrame(rows, "path string, family string, size long")
+    g = spark.createDataFrame([("a/b", "B"), ("a/b/c", "C"), ("a/d", None)], "group_path string, group_family string")
+    found = fold.composition(t, g)
+    assert {(r.ancestor, r.shown): r.bytes for r in found.collect()} == {
+        ("", "B"): 7, ("", "O"): 8, ("", None): 16, ("", "F"): 32, ("a", "B"): 7, ("a", "O"): 8, ("a/b", "C"): 3, ("a/b", "F"): 4,
+        ("a/b/c", "F"): 1, ("a/b/c", "O"): 2, ("a/d", "O"): 8, ("e", None): 16,
+    }
+    assert "Window" not in found._jdf.queryExecution().toString()
