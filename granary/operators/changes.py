@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.paths import depth, parent, with_ancestors
-from granary.functions.runs import numbered
+from granary.functions.runs import numbered, spread
 
 
 def same_time(a: Column, b: Column, resolution: int, local_time: bool) -> Column:
@@ -186,16 +186,14 @@ def next_runs(schedules: DataFrame) -> DataFrame:
     time skips runs as much later as the clock jumps; one that occurs twice runs
     at its first occurrence.
     """
-    day = F.to_date(F.convert_timezone(F.lit("UTC"), F.col("zone"), F.col("after")))
-
-    def run(n: Column) -> Column:
-        d = F.date_add(day, n)
-        local = F.make_timestamp_ntz(F.year(d), F.month(d), F.day(d), F.col("hour"), F.col("minute"), F.lit(0))
-        return F.struct(F.convert_timezone(F.col("zone"), F.lit("UTC"), local).alias("at"), (F.weekday(d) + 1).alias("day"))
-
-    times = F.transform(F.sequence(F.lit(0), F.lit(8)), run)
-    due = F.filter(times, lambda t: (t["at"] > F.col("after")) & F.coalesce(t["day"] == F.col("weekday"), F.lit(True)))
-    return schedules.withColumn("next_at", F.array_min(F.transform(due, lambda t: t["at"])))
+    day, weekday = F.col("granary_day"), F.col("weekday")
+    first = F.pmod(weekday - 1 - F.weekday(day), F.lit(7)).cast("int")
+    # Of the days from today on those that can be the first: a run later today may be over.
+    days = F.when(weekday.isNull(), F.array(*map(F.lit, range(3)))).otherwise(F.array(first, first + 7))
+    at = lambda n: F.date_add(day, n).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("hour"), F.col("minute"))
+    times = F.transform(days, lambda n: F.convert_timezone(F.col("zone"), F.lit("UTC"), at(n)))
+    here = spread(schedules).withColumn("granary_day", F.to_date(F.convert_timezone(F.lit("UTC"), F.col("zone"), F.col("after"))))
+    return here.withColumn("next_at", F.array_min(F.filter(times, lambda t: t > F.col("after")))).drop("granary_day")
 
 
 def merge_draft(only_here: DataFrame, there: DataFrame, by: Sequence[str] = ()) -> DataFrame:
