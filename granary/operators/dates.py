@@ -7,11 +7,13 @@ UTC.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.paths import parent, with_ancestors
-from granary.functions.runs import checkpoint
+from granary.functions.runs import checkpoint, spread
 
 FIRST_YEAR = 1990
 SECOND = 1_000_000_000
@@ -24,38 +26,48 @@ YEARS = (1700, 2200)
 MTIME_DISAGREES, IMPLAUSIBLE, CAMERA_OFFSET, NO_DATE_METADATA = 1, 2, 4, 8
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _date(digits: Column, precision: Column, millis: Column | None = None) -> Column:
     """The date that 14 digits name, null where there is none."""
-    at = F.try_to_timestamp(F.when(F.length(digits) == 14, digits), F.lit("yyyyMMddHHmmss"))
-    ns = F.unix_micros(at) * 1000 + (F.coalesce(millis, F.lit(0)) * 1_000_000 if millis is not None else 0)
     length = F.when(precision == "year", 4).when(precision == "month", 7).when(precision == "day", 10).otherwise(19)
-    local = F.substring(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(1), length)
-    return F.when(F.year(at).between(*YEARS), F.struct(ns.alias("ns"), local.alias("local"), precision.alias("precision")))
 
+    def of(at: Column) -> Column:
+        ns = F.unix_micros(at) * 1000 + (F.coalesce(millis, F.lit(0)) * 1_000_000 if millis is not None else 0)
+        local = F.substring(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(1), length)
+        return F.when(F.year(at).between(*YEARS), F.struct(ns.alias("ns"), local.alias("local"), precision.alias("precision")))
+
+    return _once(F.try_to_timestamp(F.when(F.length(digits) == 14, digits), F.lit("yyyyMMddHHmmss")), of)
 
-#: Shapes of dated file names: pattern of the lower-case name, what completes its digits, precision; the first that fits decides.
+
+#: Shapes of dated file names, of the lower-case name; the first that fits decides.  Each has another number of digits by its
+#: precision: 8 for a day, 14 for a second, 17 with thousandths.
 _NAMES = (
-    (r"^(?:img|vid)_(\d{8}_\d{6})(?!\d)", "", "second"),
-    (r"^pxl_(\d{8}_\d{6})\d{3}(?!\d)", "", "second"),
-    (r"^(?:img|vid)-(\d{8})-wa", "000000", "day"),
-    (r"^screenshot_(\d{4}-\d\d-\d\d-\d\d-\d\d-\d\d)(?!\d)", "", "second"),
-    (r"^screenshot_(\d{8}-\d{6})(?!\d)", "", "second"),
-    (r"^screenshot_(\d{4}-\d\d-\d\d)(?!\d)", "000000", "day"),
-    (r"^(\d{8}_\d{6})(?!\d)", "", "second"),
-    (r"^(\d{4}-\d\d-\d\d \d\d\.\d\d\.\d\d)(?!\d)", "", "second"),
+    r"(?:img|vid)_\d{8}_\d{6}(?!\d)",
+    r"pxl_\d{8}_\d{9}(?!\d)",
+    r"(?:img|vid)-\d{8}-wa",
+    r"screenshot_\d{4}-\d\d-\d\d-\d\d-\d\d-\d\d(?!\d)",
+    r"screenshot_\d{8}-\d{6}(?!\d)",
+    r"screenshot_\d{4}-\d\d-\d\d(?!\d)",
+    r"\d{8}_\d{6}(?!\d)",
+    r"\d{4}-\d\d-\d\d \d\d\.\d\d\.\d\d(?!\d)",
 )
 
 
 def name_date(file_name: Column) -> Column:
     """The date at the start of a camera's, phone's or chat program's file name (M1)."""
     s = F.translate(file_name, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    digits = precision = F.lit(None).cast("string")
-    for pattern, tail, p in reversed(_NAMES):
-        found = F.regexp_extract(s, pattern, 1)
-        digits = F.when(found != "", F.concat(F.regexp_replace(found, r"\D", ""), F.lit(tail))).otherwise(digits)
-        precision = F.when(found != "", p).otherwise(precision)
-    millis = F.regexp_extract(s, r"^pxl_\d{8}_\d{6}(\d{3})(?!\d)", 1)
-    return _date(digits, precision, F.when(millis != "", millis.cast("long")))
+    found = F.regexp_replace(F.regexp_extract(s, f"^(?:{'|'.join(_NAMES)})", 0), r"\D", "")
+
+    def of(digits: Column) -> Column:
+        day = F.length(digits) == 8
+        millis = F.when(F.length(digits) == 17, F.substring(digits, 15, 3).cast("long"))
+        return _date(F.when(day, F.concat(digits, F.lit("000000"))).otherwise(F.substring(digits, 1, 14)), F.when(day, "day").otherwise("second"), millis)
+
+    return _once(found, of)
 
 
 _SEP = r"(?=$|[ \-_.])"
@@ -67,8 +79,8 @@ def leading_date(folder: Column) -> Column:
     """The date that a folder's name begins with; of the forms the first that names a real one."""
     found = []
     for pattern, tail, p in _LEADING:
-        match = F.regexp_extract(folder, pattern, 0)
-        found.append(_date(F.when(match != "", F.concat(F.regexp_replace(match, r"\D", ""), F.lit(tail))), F.lit(p)))
+        digits = F.regexp_replace(F.regexp_extract(folder, pattern, 0), r"\D", "")
+        found.append(_date(F.concat(digits, F.lit(tail)), F.lit(p)))
     return F.coalesce(*found)
 
 
@@ -152,7 +164,8 @@ def candidates(rows: DataFrame, now_ns: int, this_year: int) -> DataFrame:
     # Each date is a column before it is used: an expression used ten times would be computed ten times.
     at = {s: F.col(f"granary_{s}") for s in dates}
     listed = [F.when(d.isNotNull(), F.struct(F.lit(s).alias("source"), d.alias("date"), plausible(d, now_ns).alias("plausible"))) for s, d in at.items()]
-    out = nearest_folder_dates(rows, this_year).withColumns({f"granary_{s}": d for s, d in dates.items()}).withColumn("candidates", F.filter(F.array(*listed), lambda c: c.isNotNull()))
+    # Reading dates takes most of the time, and a few large files are a few tasks.
+    out = spread(nearest_folder_dates(rows, this_year)).withColumns({f"granary_{s}": d for s, d in dates.items()}).withColumn("candidates", F.filter(F.array(*listed), lambda c: c.isNotNull()))
     return out.drop("folder_date", *(f"granary_{s}" for s in dates))
 
 

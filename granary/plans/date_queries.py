@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.functions.runs import checkpoint
+from granary.functions.runs import checkpoint, spread
 from granary.operators import dates
 from granary.plans.registry import query
 from granary.sources import adapters as a
@@ -19,13 +19,15 @@ _FORMS = ("IMG_{yyyyMMdd}_{HHmmss}.jpg", "PXL_{yyyyMMdd}_{HHmmss}123.jpg", "VID-
 _DUCK = {"yyyyMMdd": "%Y%m%d", "HHmmss": "%H%M%S", "yyyy": "%Y", "MM": "%m", "dd": "%d", "HH": "%H", "mm": "%M", "ss": "%S"}
 
 
+def _written(ts, forms, pick):
+    """The time in one of the forms; a single formatting call, as one call for each form makes code too long to be compiled."""
+    java = ["".join((x if n % 2 else f"'{x}'") for n, x in enumerate(form.replace("{", "}").split("}")) if x) for form in forms]
+    return F.call_function("date_format", ts, F.element_at(F.array(*map(F.lit, java)), (pick % len(forms)).cast("int") + 1))
+
+
 def _formed(ts):
     """A file name for each event, of the form that its id picks."""
-    out = F.lit(None).cast("string")
-    for k, form in enumerate(_FORMS):
-        pieces = [F.date_format(ts, x) if n % 2 else F.lit(x) for n, x in enumerate(form.replace("{", "}").split("}")) if x]
-        out = F.when(F.col("event_id") % len(_FORMS) == k, F.concat(*pieces)).otherwise(out)
-    return out
+    return _written(ts, _FORMS, F.col("event_id"))
 
 
 def _sql_form(form: str) -> str:
@@ -60,11 +62,7 @@ _FOLDERS = (
 
 
 def _foldered(ts):
-    out = F.lit(None).cast("string")
-    for k, (form, _) in enumerate(_FOLDERS):
-        pieces = [F.date_format(ts, x) if n % 2 else F.lit(x) for n, x in enumerate(form.replace("{", "}").split("}")) if x]
-        out = F.when(F.col("event_id") % len(_FOLDERS) == k, F.concat(*pieces)).otherwise(out)
-    return out
+    return _written(ts, [form for form, _ in _FOLDERS], F.col("event_id"))
 
 
 _FOLDER = "foldered AS (SELECT event_id AS photo_id, ts, CASE event_id % 12 " + " ".join(f"WHEN {k} THEN strftime(ts, '{_sql_form(f)}')" for k, (f, _) in enumerate(_FOLDERS)) + " END AS folder FROM events)"
@@ -92,7 +90,7 @@ _SHOTS = """shots AS (SELECT event_id AS photo_id, CASE WHEN event_id % 6 = 0 TH
 
 def shots(spark, sf):
     """Photos with header times (some impossible), GPS, container time, modification time and a path."""
-    e = a.table(spark, sf, "events")
+    e = spread(a.table(spark, sf, "events").select("event_id", "ts"))
     i, ts = F.col("event_id"), F.date_trunc("second", F.col("ts")).cast("timestamp")
     ns = lambda c: F.unix_micros(c) * 1000
     exif = F.when(i % 6 == 0, F.when(i % 4 == 0, F.lit("2001-01-01").cast("timestamp")).when(i % 4 == 2, F.lit("1985-06-01").cast("timestamp"))).when(i % 6 < 3, ts)
