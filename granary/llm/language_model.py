@@ -130,18 +130,29 @@ def count_pairs(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         c = np.bincount(pair_of, weights=count * trained[d], minlength=len(u)).astype(np.int64)
         us.append(u[c > 0])
         vs.append(v[c > 0])
-        cs.append(c[c > 0])
-    u, v, c = np.concatenate(us), np.concatenate(vs), np.concatenate(cs)
+        cs.append(c[c > 0].astype(np.int32))  # of one block, which is bounded
+    # One column after the other, so that few copies of a bucket are held at once.
+    u = np.concatenate(us)
+    us.clear()
+    v = np.concatenate(vs)
+    vs.clear()
+    c = np.concatenate(cs)
+    cs.clear()
     key = pair_key(u, v)
     order = np.argsort(key)
-    u, v, c, key = u[order], v[order], c[order], key[order]
+    u = u[order]
+    v = v[order]
+    c = c[order]
+    key = key[order]
+    del order
     differs = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
     if (differs & (key[1:] == key[:-1])).any():  # different pairs of one key: order them by their words as well
         order = np.lexsort((v, u, key))
         u, v, c = u[order], v[order], c[order]
         differs = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+    del key
     at = np.flatnonzero(np.append(True, differs)) if len(u) else np.zeros(0, np.int64)
-    return u[at], v[at], np.add.reduceat(c, at) if len(at) else c
+    return u[at], v[at], np.add.reduceat(c, at, dtype=np.int64) if len(at) else c.astype(np.int64)
 
 
 def discounts(n: list[Column]) -> Column:
@@ -443,8 +454,10 @@ class Tables:
         us, cs = [], []
         for block in blocks:
             u, _, pair_of, d, count, trained = unpack(block)
-            us.append(u)
-            cs.append(np.bincount(pair_of, weights=count * trained[d], minlength=len(u)))
+            c = np.bincount(pair_of, weights=count * trained[d], minlength=len(u))
+            runs = np.flatnonzero(np.append(True, u[1:] != u[:-1])) if len(u) else np.zeros(0, np.int64)
+            us.append(u[runs])  # a word's pairs stand together, so this is a row a word
+            cs.append(np.add.reduceat(c, runs) if len(runs) else c)
         self.words, at = np.unique(np.concatenate(us), return_inverse=True)
         counts = np.bincount(at, weights=np.concatenate(cs), minlength=len(self.words)).astype(float)
         self.pairs = Pairs(*count_pairs(blocks))
