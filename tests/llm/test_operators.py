@@ -592,3 +592,16 @@ def test_orders_of_hashes_have_no_fixed_first():
     for shared in (0, 1 << 63):
         x, y = (np.append(np.random.default_rng(k).integers(0, 1 << 64, 200, np.uint64), np.uint64(shared)) for k in (1, 2))
         assert not set(near_dedup.keys_of(x)) & set(near_dedup.keys_of(y))
+
+
+def test_a_bucket_holds_few_copies_of_its_pairs():
+    """About eight columns of eight bytes at once (103 bytes a pair before)."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    blocks = [b for _ in range(4) for _, b in language_model.pack([rng.integers(3, 1 << 62, 50_000, np.uint64)], [True], np.array([language_model.START]), 1)]
+    tracemalloc.start()
+    language_model.count_pairs(blocks)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 85 * 200_004
