@@ -4,7 +4,8 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from granary.operators import changes, dates, fold
+from granary.functions import paths
+from granary.operators import changes, dates, fold, intent
 
 
 def test_dates_and_schedules_are_dealt_over_the_cores(spark):
@@ -31,3 +32,16 @@ def test_lost_extremes_are_found_before_any_join(spark):
     assert "LeftSemi" not in out._jdf.queryExecution().optimizedPlan().toString()
     key = ["ancestor", "level", "files", "bytes", "oldest", "newest"]
     assert sorted(out.select(*key).collect()) == sorted(fold.totals(after).select(*key).collect())
+
+
+def test_rows_below_a_crowded_folder_do_not_meet_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(paths, "CROWDED", 3)
+    rows = spark.createDataFrame([(f"a/{k % 3}/{k}", k) for k in range(30)] + [("b/x", 1), ("b/x/y", 2), ("a/1", 3)], "path string, bytes long")
+    groups = spark.createDataFrame([("a",), ("a/2",), ("b/x",), ("c",)], "path string")
+    assert intent.topmost(rows)._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") >= 2  # none before
+    under = {r.path: r.group_path for r in intent.rescue(rows, groups).collect()}
+    assert under == {**{f"a/{k % 3}/{k}": "a" for k in range(30) if k % 3 != 1}, "a/1": "a", "b/x/y": "b/x"}
+    found = paths.above(rows, groups.withColumnRenamed("path", "ancestor"))
+    plain = paths.with_ancestors(rows, True).join(groups, F.col("ancestor") == groups["path"], "left_semi")
+    columns = ["path", "bytes", "level", "ancestor"]
+    assert sorted(found.select(*columns).collect()) == sorted(plain.select(*columns).collect())
