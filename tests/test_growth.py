@@ -4,8 +4,9 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from granary.functions import paths
+from granary.functions import paths, runs
 from granary.operators import changes, dates, fold, intent
+from granary.sources import adapters
 
 
 def test_dates_and_schedules_are_dealt_over_the_cores(spark):
@@ -45,3 +46,14 @@ def test_rows_below_a_crowded_folder_do_not_meet_in_one_task(spark, monkeypatch)
     plain = paths.with_ancestors(rows, True).join(groups, F.col("ancestor") == groups["path"], "left_semi")
     columns = ["path", "bytes", "level", "ancestor"]
     assert sorted(found.select(*columns).collect()) == sorted(plain.select(*columns).collect())
+
+
+def test_large_tables_are_joined_in_more_tasks(spark, sf, monkeypatch):
+    few = adapters.tree_orders(spark, sf)
+    monkeypatch.setattr(runs, "TASK_ROWS", 100)
+    many = adapters.tree_orders(spark, sf)
+    lines = adapters.table(spark, sf, "lineitem")
+    assert runs.dealt(lines, "l_orderkey").rdd.getNumPartitions() == -(-lines.count() // 100)
+    dealt = [d._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") for d in (few, many)]
+    assert dealt == [0, 2]  # none before
+    assert sorted(many.collect()) == sorted(few.collect())
