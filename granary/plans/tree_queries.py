@@ -136,9 +136,8 @@ def _inside(level: int) -> str:
     + ") i JOIN folder f ON f.ancestor = i.folder WHERE i.vs = CASE WHEN f.bf >= f.bo THEN 'F' ELSE 'O' END AND f.bytes > 0",
 )
 def a7(spark, sf):
-    t = a.tree_orders(spark, sf)
-    groups = with_ancestors(t).where("level = 3 and ancestor like '%7'").select(F.col("ancestor").alias("path")).distinct()
-    return fold.notable(t, groups, ["F", "O"]).withColumn("rank", F.col("rank").cast("long"))
+    groups = a.customer_folders(spark, sf).where("path like '%7'")
+    return fold.notable(a.tree_orders(spark, sf), groups, ["F", "O"]).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(

@@ -57,3 +57,30 @@ def test_large_tables_are_joined_in_more_tasks(spark, sf, monkeypatch):
     dealt = [d._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") for d in (few, many)]
     assert dealt == [0, 2]  # none before
     assert sorted(many.collect()) == sorted(few.collect())
+
+
+def test_groups_of_any_size_are_reduced_in_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(runs, "TASK_ROWS", 160)
+    rows = spark.range(4000).selectExpr("if(id < 2000, 'crowded', concat('k', id % 150)) AS key", "id AS n", "cast(id AS string) AS path").coalesce(2)
+    read = []
+
+    def summed(some, key):
+        sizes = some.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        read.append((len(key), sizes))
+        return some.groupBy(*key).agg(F.sum("n").alias("n"), F.min("path").alias("path"))
+
+    got = {r["key"]: r.n for r in runs.reduced(rows, ["key"], "path", summed).collect()}
+    assert got == {r["key"]: r.n for r in rows.groupBy("key").agg(F.sum("n").alias("n")).collect()}
+    assert [k for k, _ in read] == [2, 1] and max(n for _, n in read) < 500  # one task would read the 2000
+
+
+def test_notable_lists_are_made_in_more_tasks(spark, monkeypatch):
+    entries = [(f"{k % 3}/{k % 40}/{k}", k % 11, "xyz"[k % 7 % 3]) for k in range(600)] + [(f"1/f{k}", 3, "x") for k in range(100)]
+    t = spark.createDataFrame(entries, "path string, size long, family string")
+    g = spark.createDataFrame([("1/5",), ("2",), ("none/here",)], "path string")
+    few = fold.notable(t, g, ["x", "y"], 4).collect()
+    monkeypatch.setattr(runs, "TASK_ROWS", 20)
+    many = fold.notable(t, g, ["x", "y"], 4)
+    assert sorted(many.collect()) == sorted(few)
+    largest = many.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert len(few) > 300 and largest < 100  # all in one task before
