@@ -81,8 +81,10 @@ def _sides(spark, sf):
     """All files, dealt into two sides by their source's last letter; two neighbours by id share a relative path."""
     path = F.concat("kind", F.lit("/"), F.expr("entry_id div 2").cast("string"), F.lit(".txt"))
     known = F.when(F.col("state") == "hashed", F.col("digest"))
-    size = F.when(F.col("entry_id") % 97 == 6, 0).otherwise(F.col("size"))
-    rows = a.tree_docs(spark, sf).select((F.ascii(F.substring("source_id", -1, 1)) % 2 == 0).alias("is_left"), path.alias("path"), known.alias("digest"), size.alias("size"), F.col("state").alias("content_state"))
+    empty = F.col("entry_id") % 97 == 6
+    size = F.when(empty, 0).otherwise(F.col("size"))
+    state = F.when(~empty, F.col("state"))
+    rows = a.tree_docs(spark, sf).select((F.ascii(F.substring("source_id", -1, 1)) % 2 == 0).alias("is_left"), path.alias("path"), known.alias("digest"), size.alias("size"), state.alias("content_state"))
     return rows.where("is_left").drop("is_left"), rows.where("not is_left").drop("is_left")
 
 
@@ -164,5 +166,5 @@ _WRAP = _SIDES + """, wrapped AS (SELECT 'backup/' || path AS path, key FROM sid
 def cp4(spark, sf):
     left, right = _sides(spark, sf)
     wrapped = right.withColumn("path", F.concat(F.lit("backup/"), F.col("path")))
-    key = F.when(F.col("size") == 0, "empty").otherwise(F.col("digest"))
+    key = F.when(relations.is_empty(F.col("size"), F.col("content_state")), "empty").otherwise(F.col("digest"))
     return relations.drop_wrapper(left, wrapped)[1].select("path", key.alias("key"))
