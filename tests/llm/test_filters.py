@@ -3,6 +3,7 @@
 import datetime
 import decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +78,23 @@ def test_pipeline_of_nothing_and_of_repeated_ids(spark, sf):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, sf)
         assert docs.count() == len(set(rows))
+
+
+def test_near_copies_share_a_key_wherever_they_differ():
+    """Keys once were least values under 96 random orders: a set and the same one without these had none in common."""
+    draw = np.random.default_rng(64).integers
+    factor, offset = draw(0, 1 << 63, 96, np.uint64) * np.uint64(2) + np.uint64(1), draw(0, 1 << 64, 96, np.uint64)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 64, 2000, np.uint64)
+    other = np.delete(base, (base[:, None] * factor + offset).argmin(axis=0))
+    assert len(other) > 1900
+    full = rng.integers(0, 9, near_dedup.SLOTS)
+    for by in (None, full):
+        assert set(near_dedup.keys_of(base, by)) & set(near_dedup.keys_of(other, by))
+        for n in range(1, 400, 7):
+            whole = base[:n]
+            # at worst, all that only one of them has comes first in the order
+            mixed = whole * near_dedup.FACTOR + near_dedup.OFFSET
+            ranked = whole[np.argsort(mixed) if by is None else np.lexsort((mixed, by[near_dedup._slot(whole)]))]
+            assert set(near_dedup.keys_of(whole, by)) & set(near_dedup.keys_of(ranked[n // 5 :], by))
+            assert len(near_dedup.keys_of(whole, by)) == n // 5 + 1
